@@ -94,7 +94,7 @@ def lenient_items(response: Column, prefix: str = "") -> Column:
     inner = F.substring_index(F.substring_index(response, ACTION_START, -1), ACTION_END, 1)
     forced = F.concat(F.lit(f"{ACTION_START} {prefix}"), inner) if prefix else inner
     items = F.split(forced, ",")
-    items = F.when(items[0] == "", F.slice(items, 2, 2147483647)).otherwise(items)
+    items = F.when(items[0] == "", F.slice(items, F.lit(2), F.size(items))).otherwise(items)
     return F.transform(F.slice(items, 1, 6), lambda x: F.regexp_replace(x, r"[^0-9\-.]", ""))
 
 

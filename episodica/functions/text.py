@@ -102,7 +102,7 @@ def completion_spans(text: Column, instruction_template: str,
                      response_template: str = RESPONSE_TEMPLATE) -> Column:
     """Trained spans of a text with several turns: from each response template to the next instruction."""
     parts = F.split(text, _quoted(response_template))
-    return F.transform(F.slice(parts, 2, 2147483647), lambda p: F.substring_index(p, instruction_template, 1))
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.substring_index(p, instruction_template, 1))
 
 
 def _quoted(template: str) -> str:

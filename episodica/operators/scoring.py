@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import policy
 from ..schemas import VECTOR
 
 MAX_PARAMETERS = 100_000_000
@@ -114,18 +115,16 @@ def policy_action(network: Network, observation: Column, distribution: Column) -
     return F.when(F.size(observation) == dim, observation).otherwise(distribution["mean"])
 
 
-def score_reward_model(spark, network: Network, state: Column, action: Column, stats: DataFrame | None = None,
+def score_reward_model(spark, network: Network, state: Column, action: Column, stats: Column | None = None,
                        head: str = "out") -> Column:
     """Normalise, concatenate, run the network, denormalise. NULL state or action gives NULL.
 
-    ``stats`` is the one-row frame of ``normalization_stats``; without it nothing is scaled.
+    ``stats`` is the row of ``normalization_stats`` as a struct column of the scored frame; without
+    it nothing is scaled.
     """
-    from ..functions import policy
-
     if stats is None:
         return F.get(score_mlp_policy(spark, network, F.concat(state, action), head), F.lit(0))
-    s = stats.select(F.struct(*stats.columns)).scalar()
-    scaled = F.concat(policy.normalize(state, s["state_mean"], s["state_std"]),
-                      policy.normalize(action, s["action_mean"], s["action_std"]))
+    scaled = F.concat(policy.normalize(state, stats["state_mean"], stats["state_std"]),
+                      policy.normalize(action, stats["action_mean"], stats["action_std"]))
     raw = F.get(score_mlp_policy(spark, network, scaled, head), F.lit(0))
-    return policy.denormalize_reward(raw, s["reward_mean"], s["reward_std"])
+    return policy.denormalize_reward(raw, stats["reward_mean"], stats["reward_std"])

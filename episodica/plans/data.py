@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.equation import reward_equation
-from ..operators import episodes, evaluate, sampling, stats
+from ..operators import align, episodes, evaluate, sampling, stats
 from ..session import scratch_dir
 from ..sources import files
 from ..sources.tables import Inputs
@@ -129,6 +129,11 @@ def fitted_stats(i: Inputs) -> DataFrame:
     return stats.normalization_stats(i.transitions(), state_dim=4, action_dim=3)
 
 
+def with_stats(i: Inputs, rows: DataFrame) -> DataFrame:
+    """Rows with the statistics of all transitions as the struct column ``stats``."""
+    return align.attach_scalar(rows, fitted_stats(i).select(F.struct("*")), "stats")
+
+
 @query("normalization_stats", oracle(_STATS, "norm_stats"))
 def normalization_stats(i: Inputs) -> DataFrame:
     return stats_digest(fitted_stats(i))

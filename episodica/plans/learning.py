@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import align, evaluate, fits, policies, scoring
 from ..sources.tables import Inputs
-from .data import fitted_stats
+from .data import with_stats
 from .networks import (CATEGORICAL_POLICY, GAUSSIAN_POLICY, POLICY, POLICY_OTHER, REWARD_MODEL, forward_sql,
                        network_frame, normalized_sql)
 from .registry import as_text, hash_uniform, oracle, query, rnd, rounded, txt
@@ -28,8 +28,8 @@ def _network(i: Inputs, layers: list) -> scoring.Network:
                   FROM transitions"""}))
 def score_reward_model(i: Inputs) -> DataFrame:
     score = scoring.score_reward_model(i.spark, _network(i, REWARD_MODEL), F.col("observation"), F.col("action"),
-                                       fitted_stats(i))
-    return i.transitions().select("prompt_id", rounded(score, 4).alias("score"))
+                                       F.col("stats"))
+    return with_stats(i, i.transitions()).select("prompt_id", rounded(score, 4).alias("score"))
 
 
 @query("score_mlp_policy", oracle(f"""

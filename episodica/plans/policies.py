@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import policy, vectors
 from ..operators import gradients, groups, policies, stats
 from ..sources.tables import Inputs
-from .data import fitted_stats
+from .data import with_stats
 from .networks import normalized_sql
 from .registry import as_text, hash_normal, hash_uniform, oracle, query, rnd, rounded, txt
 from .rewards import mse_sql
@@ -36,19 +36,19 @@ def _outputs(i: Inputs) -> DataFrame:
            {txt(normalized_sql('action', 'action_mean', 'action_std'), 4)} AS action FROM transitions""",
     "transitions", "norm_stats"))
 def normalize_state_action(i: Inputs) -> DataFrame:
-    rows = i.transitions().withColumn("s", fitted_stats(i).select(F.struct("*")).scalar())
+    rows = with_stats(i, i.transitions())
     return rows.select(
         "prompt_id",
-        as_text(policy.normalize(F.col("observation"), F.col("s.state_mean"), F.col("s.state_std")), 4).alias("state"),
-        as_text(policy.normalize(F.col("action"), F.col("s.action_mean"), F.col("s.action_std")), 4).alias("action"))
+        as_text(policy.normalize(F.col("observation"), F.col("stats.state_mean"), F.col("stats.state_std")), 4).alias("state"),
+        as_text(policy.normalize(F.col("action"), F.col("stats.action_mean"), F.col("stats.action_std")), 4).alias("action"))
 
 
 @query("denormalize_reward", oracle(f"""
     SELECT prompt_id, {rnd('mean[1] * (SELECT reward_std FROM norm_stats) + (SELECT reward_mean FROM norm_stats)', 4)}
            AS reward FROM policy_outputs""", "policy_outputs", "norm_stats"))
 def denormalize_reward(i: Inputs) -> DataFrame:
-    rows = i.policy_outputs().withColumn("s", fitted_stats(i).select(F.struct("*")).scalar())
-    scaled = policy.denormalize_reward(F.col("mean")[0], F.col("s.reward_mean"), F.col("s.reward_std"))
+    rows = with_stats(i, i.policy_outputs())
+    scaled = policy.denormalize_reward(F.col("mean")[0], F.col("stats.reward_mean"), F.col("stats.reward_std"))
     return rows.select("prompt_id", rounded(scaled, 4).alias("reward"))
 
 
