@@ -1 +1,40 @@
 """Streaming queries, run to the end of the available files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import scratch_dir
+from ..sources.tables import Inputs
+from ..streaming import completions, episodes
+from .registry import oracle, query, rnd, rounded
+from .rewards import BC_DISCRETE_SQL, FORMAT_DISCRETE_SQL, discrete_registry
+
+
+def _as_feed(i: Inputs, rows: DataFrame, folder: str, per_trigger: int) -> DataFrame:
+    rows.write.parquet(folder)
+    return i.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+
+
+@query("stream_score_completions", oracle(f"""
+    SELECT prompt_id, gen_id, {rnd(f'({FORMAT_DISCRETE_SQL}) + ({BC_DISCRETE_SQL})')} AS reward
+    FROM completions_discrete""", "completions_discrete"))
+def stream_score_completions(i: Inputs) -> DataFrame:
+    folder = scratch_dir(i.spark, "scoring")
+    feed = _as_feed(i, i.completions_discrete("action_disc"), f"{folder}/in", 1000)
+    job = completions.start_scoring(feed, discrete_registry(), f"{folder}/out", f"{folder}/checkpoint", f"{folder}/log")
+    job.awaitTermination()
+    return i.spark.read.parquet(f"{folder}/out").select("prompt_id", "gen_id", rounded("reward").alias("reward"))
+
+
+@query("stream_episode_returns", oracle(f"""
+    SELECT episode_id, {rnd('sum(reward)', 4)} AS episode_return, count(*) AS episode_length, true AS complete
+    FROM rollouts GROUP BY episode_id""", "rollouts"))
+def stream_episode_returns(i: Inputs) -> DataFrame:
+    folder = scratch_dir(i.spark, "returns")
+    feed = _as_feed(i, i.rollouts(), f"{folder}/in", 1000)
+    job = episodes.start_returns(feed, f"{folder}/out", f"{folder}/checkpoint")
+    job.awaitTermination()
+    return i.spark.read.parquet(f"{folder}/out").select(
+        "episode_id", rounded("episode_return", 4).alias("episode_return"), "episode_length", "complete")
