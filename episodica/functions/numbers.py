@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 TWO_32 = 4294967296.0
 
 
@@ -44,13 +46,12 @@ def uniform(seed: int, *ids: Column) -> Column:
 
 def uniform_pair(seed: int, *ids: Column) -> Column:
     """STRUCT<a, b> of two independent draws from one digest."""
-    key = order_key(seed, *ids)
-    return F.struct(_hex_uniform(key, 1).alias("a"), _hex_uniform(key, 9).alias("b"))
+    return let(order_key(seed, *ids), lambda key: F.struct(
+        _hex_uniform(key, 1).alias("a"), _hex_uniform(key, 9).alias("b")))
 
 
-def normal_from(u: Column) -> Column:
-    """Box-Muller on a ``uniform_pair``."""
-    return F.sqrt(-2.0 * F.log(u["a"])) * F.cos(2.0 * math.pi * u["b"])
+def _box_muller(a: Column, b: Column) -> Column:
+    return F.sqrt(-2.0 * F.log(a)) * F.cos(2.0 * math.pi * b)
 
 
 def normal_pair_from(u: Column) -> Column:
@@ -61,4 +62,4 @@ def normal_pair_from(u: Column) -> Column:
 
 def normal(seed: int, *ids: Column) -> Column:
     """A standard normal draw fixed by the seed and the row key."""
-    return normal_from(uniform_pair(seed, *ids))
+    return let(order_key(seed, *ids), lambda key: _box_muller(_hex_uniform(key, 1), _hex_uniform(key, 9)))

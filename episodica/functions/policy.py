@@ -34,15 +34,16 @@ def clipped_surrogate(advantage: Column, log_prob: Column, clip: float = 0.2) ->
 
 
 def log_softmax_at(logits: Column, index: Column) -> Column:
-    top = F.array_max(logits)
-    spread = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.get(logits, index) - (top + F.log(spread))
+    def normaliser(top: Column) -> Column:
+        return top + F.log(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    return F.get(logits, index) - vectors.let(F.array_max(logits), normaliser)
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(powers, lambda p: p / vectors.total(powers))
+    def shares(powers: Column) -> Column:
+        return vectors.let(vectors.total(powers), lambda t: F.transform(powers, lambda p: p / t))
+    powers = vectors.let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return vectors.let(powers, shares)
 
 
 def guard_loss(loss: Column, limit: float = 10.0) -> Column:

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a value several times, or inside a lambda, and compute it once per row.
+
+    Catalyst shares no work between lambda calls: a row-level expression written inside a lambda
+    would run for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def mean(v: Column) -> Column:
-    return total(v) / F.size(v)
+    return let(v, lambda x: total(x) / F.size(x))
 
 
 def sub(a: Column, b: Column) -> Column:

@@ -8,25 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, vectors
+from ..functions.vectors import let
 
 
 def cloud_rewards(samples: Column, target: Column) -> Column:
     """Negative squared distance of each sample to the target."""
-    return F.transform(samples, lambda p: -vectors.squared_distance(p, target))
+    return let(target, lambda t: F.transform(samples, lambda p: -vectors.squared_distance(p, t)))
 
 
 def weighted_direction(samples: Column, rewards: Column, prediction: Column, reward_scale: Column | float,
                        weight_eps: float = 0.0) -> Column:
     """Mean direction from the prediction to the samples, weighted by softmax(reward * scale)."""
-    top = F.array_max(rewards) * reward_scale
-    powers = F.transform(rewards, lambda r: F.exp(r * reward_scale - top))
-    divisor = vectors.total(powers) + (weight_eps * F.exp(-top) if weight_eps else 0.0)
+    def direction(top: Column) -> Column:
+        powers = F.transform(rewards, lambda r: F.exp(r * reward_scale - top))
+        start = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+        # Weight total and weighted sum of the samples in one pass.
+        sums = F.aggregate(F.arrays_zip(powers.alias("w"), samples.alias("p")), start, lambda acc, s: F.array(
+            acc[0] + s["w"], acc[1] + s["w"] * s["p"][0], acc[2] + s["w"] * s["p"][1]))
+        extra = weight_eps * F.exp(-top) if weight_eps else F.lit(0.0)
+        return let(sums, lambda t: F.transform(F.array(F.lit(0), F.lit(1)), lambda i: (
+            F.get(t, i + 1) - t[0] * F.get(prediction, i)) / (t[0] + extra)))
 
-    def component(i: int) -> Column:
-        moved = F.transform(samples, lambda p: p[i] - prediction[i])
-        return vectors.dot(powers, moved) / divisor
-
-    return F.array(component(0), component(1))
+    return let(F.array_max(rewards) * reward_scale, direction)
 
 
 def gradient_compare(df: DataFrame, prediction: str, target: str, samples: str, reward_scale: Column | float = 2.0,
@@ -36,14 +39,16 @@ def gradient_compare(df: DataFrame, prediction: str, target: str, samples: str,
     With ``angle_eps`` 0 the angle of a zero gradient is 0. Each row carries its own samples, so no
     row meets another.
     """
-    p, t, s = F.col(prediction), F.col(target), F.col(samples)
-    out = df.withColumn("__r", cloud_rewards(s, t)).withColumns({
-        "mse_grad": vectors.scale(vectors.sub(t, p), gradient_scale),
-        "grpo_grad": vectors.scale(weighted_direction(s, F.col("__r"), p, reward_scale, weight_eps), gradient_scale),
-    }).withColumns({"mse_magnitude": vectors.norm(F.col("mse_grad")),
-                    "grpo_magnitude": vectors.norm(F.col("grpo_grad"))}).drop("__r")
-    m, g = F.col("mse_magnitude"), F.col("grpo_magnitude")
-    inner = vectors.dot(F.col("mse_grad"), F.col("grpo_grad"))
+    p, t = F.col(prediction), F.col(target)
+    weighted = let(F.col(samples), lambda s: let(cloud_rewards(s, t), lambda r: let(
+        p, lambda q: weighted_direction(s, r, q, reward_scale, weight_eps))))
+    scaled = F.struct(vectors.scale(vectors.sub(t, p), gradient_scale).alias("m"),
+                      vectors.scale(weighted, gradient_scale).alias("g"))
+    measured = let(scaled, lambda v: F.struct(
+        v["m"].alias("mse_grad"), v["g"].alias("grpo_grad"), vectors.norm(v["m"]).alias("mse_magnitude"),
+        vectors.norm(v["g"]).alias("grpo_magnitude"), vectors.dot(v["m"], v["g"]).alias("inner")))
+    out = df.withColumn("__v", measured)
+    m, g, inner = F.col("__v.mse_magnitude"), F.col("__v.grpo_magnitude"), F.col("__v.inner")
 
     def angle(cosine: Column) -> Column:
         return F.degrees(F.acos(vectors.clamp(cosine, -1.0, 1.0)))
@@ -52,7 +57,9 @@ def gradient_compare(df: DataFrame, prediction: str, target: str, samples: str,
         degrees = angle(inner / (m * g + angle_eps))
     else:
         degrees = F.when((m > 0) & (g > 0), angle(inner / (m * g))).otherwise(0.0)
-    return out.withColumns({"angle_diff": degrees, "magnitude_ratio": F.when(m > 0, g / m).otherwise(0.0)})
+    shown = [F.col(f"__v.{c}").alias(c) for c in ("mse_grad", "grpo_grad", "mse_magnitude", "grpo_magnitude")]
+    return out.select(*df.columns, *shown, degrees.alias("angle_diff"),
+                      F.when(m > 0, g / m).otherwise(0.0).alias("magnitude_ratio"))
 
 
 def gradient_series_stats(compared: DataFrame) -> DataFrame:
@@ -74,25 +81,47 @@ def sweep_cells(steps: DataFrame, row_id: str, prediction: str, target: str, see
                 reward_scales: Sequence[float] = tuple(SWEEP_REWARD_SCALES)) -> DataFrame:
     """Average angle and magnitude ratio for each parameter cell, each row being one step.
 
-    The noise of a row is drawn once for the largest cell; each cell scales a prefix of it. Cells
-    are a literal array exploded per row; rows are averaged per cell before the shuffle.
+    The noise of a row is drawn once for the largest cell; each cell scales a prefix z of it. The
+    samples are prediction + sigma * z, so their weighted direction is sigma * sum(w z) / sum(w) and
+    flat number arrays suffice. Rows are averaged per cell before the shuffle.
     """
-    noise = F.transform(F.sequence(F.lit(0), F.lit(max(n_samples) - 1)),
-                        lambda i: numbers.normal_pair_from(numbers.uniform_pair(seed, F.col(row_id), i)))
+    pair = F.transform(F.sequence(F.lit(0), F.lit(max(n_samples) - 1)),
+                       lambda i: let(numbers.uniform_pair(seed, F.col(row_id), i), numbers.normal_pair_from))
     cells = F.array(*[F.struct(F.lit(n).alias("n_samples"), F.lit(float(s)).alias("sigma"),
                                F.lit(float(k)).alias("reward_scale"))
                       for n in n_samples for s in sigmas for k in reward_scales])
-    expanded = (steps.select(F.col(prediction).alias("p"), F.col(target).alias("t"), noise.alias("z"))
-                .select("p", "t", "z", F.explode(cells).alias("c"))
-                .select("p", "t", "c.*", F.transform(
-                    F.slice("z", F.lit(1), F.col("c.n_samples")),
-                    lambda z: F.array(F.col("p")[0] + z[0] * F.col("c.sigma"),
-                                      F.col("p")[1] + z[1] * F.col("c.sigma"))).alias("s")))
-    compared = gradient_compare(expanded, "p", "t", "s", F.col("reward_scale"), weight_eps=1e-8, angle_eps=0.0)
-    moving = compared.where((F.col("mse_magnitude") > 0) & (F.col("grpo_magnitude") > 0))
-    return moving.groupBy("n_samples", "sigma", "reward_scale").agg(
-        F.avg("angle_diff").alias("avg_angle_diff"), F.stddev_pop("angle_diff").alias("std_angle_diff"),
-        F.avg("magnitude_ratio").alias("avg_magnitude_ratio"))
+    noise = let(pair, lambda z: F.struct(F.transform(z, lambda q: q[0]).alias("x"),
+                                         F.transform(z, lambda q: q[1]).alias("y")))
+    p, t = F.col(prediction), F.col(target)
+    gap = let(vectors.sub(t, p), lambda g: F.struct(g[0].alias("x"), g[1].alias("y")))
+    expanded = (steps.select(noise.alias("z"), gap.alias("g")).select("z", "g", F.explode(cells).alias("c"))
+                .select("c.*", F.col("g.x").alias("gx"), F.col("g.y").alias("gy"),
+                        F.slice("z.x", F.lit(1), F.col("c.n_samples")).alias("zx"),
+                        F.slice("z.y", F.lit(1), F.col("c.n_samples")).alias("zy")))
+    sigma, k = F.col("sigma"), F.col("reward_scale")
+    scores = F.zip_with("zx", "zy", lambda a, b: -k * (
+        (sigma * a - F.col("gx")) * (sigma * a - F.col("gx")) + (sigma * b - F.col("gy")) * (sigma * b - F.col("gy"))))
+
+    def weighted(top: Column, scored: Column) -> Column:
+        powers = F.transform(scored, lambda r: F.exp(r - top))
+        return let(powers, lambda w: F.struct(
+            (vectors.total(w) + 1e-8 * F.exp(-top)).alias("d"), vectors.dot(w, F.col("zx")).alias("x"),
+            vectors.dot(w, F.col("zy")).alias("y")))
+
+    mean = let(scores, lambda r: let(F.array_max(r), lambda top: weighted(top, r)))
+    compared = (expanded.select("n_samples", sigma, k, "gx", "gy", mean.alias("v"))
+                .select("n_samples", "sigma", "reward_scale", "gx", "gy",
+                        (sigma * F.col("v.x") / F.col("v.d")).alias("wx"),
+                        (sigma * F.col("v.y") / F.col("v.d")).alias("wy"))
+                .withColumns({"mse_magnitude": F.hypot("gx", "gy"), "grpo_magnitude": F.hypot("wx", "wy")}))
+    m, g = F.col("mse_magnitude"), F.col("grpo_magnitude")
+    # Conditions inside the aggregate: a filter here would be pushed down with the whole computation.
+    moving = (m > 0) & (g > 0)
+    cosine = (F.col("gx") * F.col("wx") + F.col("gy") * F.col("wy")) / (m * g)
+    angle = F.when(moving, F.degrees(F.acos(vectors.clamp(cosine, -1.0, 1.0))))
+    return compared.groupBy("n_samples", "sigma", "reward_scale").agg(
+        F.avg(angle).alias("avg_angle_diff"), F.stddev_pop(angle).alias("std_angle_diff"),
+        F.avg(F.when(moving, g / m)).alias("avg_magnitude_ratio"))
 
 
 def reinforce_gradients(df: DataFrame, x: Column, f: Column, y: Column, row_id: Column, n: int, sigma: float,

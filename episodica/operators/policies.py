@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, policy
+from ..functions.vectors import let
 from .align import repeat_prompts
 from .sampling import categorical_draw
 
@@ -71,26 +72,20 @@ def sample_cloud(center: Column, n: int, sigma: float, kind: str, row_id: Column
 
     With ``frame`` the points are turned by 0.05 * frame about the origin.
     """
-    u = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: numbers.uniform_pair(seed, row_id, i))
-
-    def moved(offset: Column, shift: Column | float = 0.0) -> Column:
-        return F.array(center[0] + shift + offset[0], center[1] + shift + offset[1])
-
-    if kind == "gaussian":
-        points = F.transform(u, lambda p: moved(gaussian_offset(p, sigma)))
-    elif kind == "uniform":
-        half = 2.0 * sigma
-        points = F.transform(u, lambda p: moved(F.array((2.0 * p["a"] - 1.0) * half, (2.0 * p["b"] - 1.0) * half)))
-    elif kind == "mixture":
-        points = F.transform(u, lambda p, i: moved(gaussian_offset(p, sigma), F.when(i < n // 2, 0.2).otherwise(-0.2)))
-    else:
+    if kind not in ("gaussian", "uniform", "mixture"):
         raise ValueError("kind must be 'gaussian', 'uniform' or 'mixture'")
-    if frame is None:
-        return points
-    c, s = F.cos(frame * 0.05), F.sin(frame * 0.05)
-    return F.transform(points, lambda p: F.array(p[0] * c - p[1] * s, p[0] * s + p[1] * c))
 
+    def offset(i: Column) -> Column:
+        u = numbers.uniform_pair(seed, row_id, i)
+        if kind == "uniform":
+            return let(u, lambda p: F.array((2.0 * p["a"] - 1.0) * (2.0 * sigma), (2.0 * p["b"] - 1.0) * (2.0 * sigma)))
+        shift = F.when(i < n // 2, 0.2).otherwise(-0.2) if kind == "mixture" else F.lit(0.0)
+        return F.transform(let(u, numbers.normal_pair_from), lambda z: shift + z * sigma)
 
-def gaussian_offset(u: Column, sigma: float) -> Column:
-    pair = numbers.normal_pair_from(u)
-    return F.transform(pair, lambda z: z * sigma)
+    offsets = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), offset)
+    points = let(center, lambda c: F.transform(offsets, lambda o: F.array(c[0] + o[0], c[1] + o[1])))
+    if frame is None:
+        return points
+    turn = F.array(F.cos(frame * 0.05), F.sin(frame * 0.05))
+    return let(turn, lambda t: F.transform(points, lambda p: F.array(p[0] * t[0] - p[1] * t[1],
+                                                                    p[0] * t[1] + p[1] * t[0])))

@@ -24,12 +24,20 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _spread(self, name: str, df: DataFrame, key: str) -> DataFrame:
+        """Spread a table over all cores when its files have fewer parts than the cluster has cores.
+
+        Large tables have parts enough and are not shuffled.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores, key) if self.table(name).rdd.getNumPartitions() < cores else df
+
     def logged(self) -> DataFrame:
         """Events with the embedding they refer to."""
         vectors = self.table("embeddings")
         size = vectors.agg(F.count(F.lit(1)).alias("n"))
         events = self.table("events").withColumn("vec_id", F.pmod(F.col("event_id"), size.scalar()))
-        return events.join(vectors, "vec_id")
+        return self._spread("events", events, "vec_id").join(self._spread("embeddings", vectors, "vec_id"), "vec_id")
 
     def transitions(self) -> DataFrame:
         """Transitions without step numbers: no exchange beyond the vector join."""
