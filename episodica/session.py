@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +42,20 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="episodica-")
     return os.path.join(shared, f"{label}-{uuid.uuid4().hex}")
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that nothing need be installed there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="episodica-ship-")) / "episodica.zip"  # Spark copies it to the executors
+    with zipfile.ZipFile(archive, "w") as out:
+        for p in sorted(top.rglob("*.py")):
+            out.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
