@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodica.llm import decontaminate, quality, secrets
+from episodica.llm import decontaminate, quality, secret_scan
 from episodica.session import scratch_dir, ship_package
 
 ORACLE_SQL = None

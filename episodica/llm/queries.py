@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, quality, secrets, warc
+from . import decontaminate, licenses, near_dedup, quality, secret_scan, sharding, substring_dedup, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -29,11 +29,11 @@ def op3(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @query("op7_secret_scan")
 def op7(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(docs.select("doc_id", "text"))
+    found = secret_scan.scan_secrets(docs.select("doc_id", "text"))
     s = found["secrets"]
     return found.select("doc_id", *[s[f"n_{k}"].alias(f"n_{k}") for k in ("assign", "access", "hex")],
-                        F.sha2(secrets.span_list(s["base"]), 256).alias("base_sha256"),
-                        secrets.span_list(s["spans"]).alias("spans"))
+                        F.sha2(secret_scan.span_list(s["base"]), 256).alias("base_sha256"),
+                        secret_scan.span_list(s["spans"]).alias("spans"))
 
 
 @query("op8_quality_rules")
@@ -41,6 +41,30 @@ def op8(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs.select("doc_id", "text")).select("doc_id", "quality.*")
 
 
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 @query("op10_warc_archive", table="pages")
 def op10(spark: SparkSession, pages: DataFrame, sf_dir: str) -> DataFrame:
     return warc.archived(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(docs.select("doc_id", "text"))
+    c = found["license"]
+    return found.select("doc_id", *[c[n].alias(n) for n in ("n_words", "n_base", "first_word", "last_word")],
+                        F.array_join(c["base_labels"], ",").alias("base_labels"),
+                        F.array_join(c["labels"], ",").alias("labels"), c["score"].alias("score"))
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = docs.select("doc_id", (F.octet_length(body) + 8).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"))
+    dealt = sharding.shuffled_shards(rows, "doc_id", 24)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))

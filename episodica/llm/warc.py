@@ -1,8 +1,8 @@
 """A content-addressed WARC archive in two Parquet tables.
 
 ``records`` keeps one exact WARC header for each page, with the digest of its payload; ``payloads`` keeps the bytes of each
-digest once. Of records with equal payloads the one with the smallest page_id is a response, the others revisit it. SHA-1
-is the digest of the headers; equal SHA-1 with different SHA-256 stops the write. Reading joins headers and payloads back
+digest (hexadecimal SHA-1) once. Of records with equal payloads the one with the smallest page_id is a response, the others revisit it. SHA-1
+is the digest; one digest with two lengths or two 64-bit checks stops the write. Reading joins headers and payloads back
 to whole records, parses the headers and verifies each payload against its header's digest and length.
 
 Frequent payloads: the smallest page of a digest is a map-side aggregate, and digests that occur more than once are joined
@@ -19,15 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
+from .groups import kept
 
 SALTS = 32
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CRLF = "\r\n"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 SHA-1: 40 hex digits are four times ten digits, and ten hex digits are eight base32 ones."""
-    digits = F.sha1(payload)
+def base32(digits: Column) -> Column:
+    """Upper-case base32 of 40 hex digits: they are four times ten digits, and ten hex digits are eight base32 ones."""
     out = []
     for k in range(4):
         number = F.conv(F.substring(digits, 10 * k + 1, 10), 16, 10).cast("bigint")
@@ -60,35 +60,35 @@ def _salted(rows: DataFrame, table: DataFrame, salt_of: str, how: str = "left")
     return rows.join(table, ["digest", "salt"], how).drop("salt")
 
 
-def _smallest(page: Column) -> Column:
-    """An order key under which null comes first."""
-    return F.struct(page.isNotNull().alias("known"), page.alias("page"))
-
-
 def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     """Write ``records`` and ``payloads`` below ``folder``; needs page_id, url and html.
 
-    Payloads below ``min_bytes`` are always responses, and each of them is stored under its digest once all the same.
+    Payloads below ``min_bytes`` are always responses; their bytes are stored once all the same.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"),
-                        payload.alias("payload"), base32_sha1(payload).alias("digest"),
-                        F.octet_length(payload).cast("bigint").alias("bytes"))
-    seen = rows.select("digest", _smallest(F.col("page_id")).alias("page"), F.sha2("payload", 256).alias("check"))
-    often = (seen.groupBy("digest").agg(F.min("page").alias("page"), F.min("check").alias("low"), F.max("check").alias("high"),
-                                        F.count(F.lit(1)).alias("n"))
-             .filter("n > 1")
-             .select("digest", F.when(F.col("low") != F.col("high"), F.raise_error(F.lit("two payloads share a SHA-1 digest")))
-                     .otherwise(F.col("page")).alias("first")))
+                        payload.alias("payload"))
+    rows = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("bigint").alias("bytes"))
+    # digests of several rows: their smallest page (null first), and a stop if two payloads share a digest
+    seen = rows.select("digest", "page_id", "bytes", F.xxhash64("payload").alias("check"))
+    often = (seen.groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.max(F.col("page_id").isNull().cast("int")).alias("unnamed"), F.count(F.lit(1)).alias("n"),
+        F.max("bytes").alias("most"), F.min("bytes").alias("least"), F.max("check").alias("high"), F.min("check").alias("low"))
+        .filter("n > 1").select(
+            "digest", F.when(F.col("unnamed") == 0, F.col("first")).alias("first"),
+            F.when((F.col("most") != F.col("least")) | (F.col("high") != F.col("low")),
+                   F.raise_error(F.lit("two payloads share a SHA-1 digest")).cast("boolean")).otherwise(True).alias("shared")))
+    often = kept(often, "payloads-met-often")
     marked = _salted(rows, often, "page_id")
-    again = F.col("first").isNotNull() & (_smallest(F.col("page_id")) != F.col("first"))
+    again = F.col("shared").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     header = _header({"revisit": again & (F.col("bytes") >= min_bytes), "page": _named(F.col("page_id")), "url": F.col("url"),
-                      "digest": F.col("digest"), "refers_to": _named(F.col("first.page")), "bytes": F.col("bytes")})
+                      "digest": base32(F.col("digest")), "refers_to": _named(F.col("first")), "bytes": F.col("bytes")})
     marked.select("digest", header.alias("header")).write.parquet(f"{folder}/records")
-    stored = marked.filter(~again)
-    once = stored.filter("first IS NULL").select("digest", "payload")
-    shared = stored.filter("first IS NOT NULL").select("digest", "payload").dropDuplicates(["digest"])
-    once.unionByName(shared).write.parquet(f"{folder}/payloads")
+    once = marked.filter("shared IS NULL").select("digest", "payload")
+    if not often.isEmpty():
+        shared = marked.filter(F.col("shared") & ~again).select("digest", "payload").dropDuplicates(["digest"])
+        once = once.unionByName(shared)
+    once.write.parquet(f"{folder}/payloads")
 
 
 def _field(name: str) -> Column:
@@ -104,15 +104,16 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     records = spark.read.parquet(f"{folder}/records").select(
         "header", _field("WARC-Type").alias("record_type"), _page("WARC-Record-ID").alias("page_id"),
         F.coalesce(_field("WARC-Target-URI"), F.lit("")).alias("url"),
-        F.regexp_extract(_field("WARC-Payload-Digest"), "sha1:(.*)", 1).alias("digest"),
+        "digest", F.regexp_extract(_field("WARC-Payload-Digest"), "sha1:(.*)", 1).alias("payload_digest"),
         _field("WARC-Payload-Length").cast("bigint").alias("payload_bytes"), _page("WARC-Refers-To").alias("refers_to"))
     payloads = spark.read.parquet(f"{folder}/payloads")
     response = F.col("record_type") == "response"
     joined = records.filter(response).join(payloads, "digest", "left").unionByName(
         records.filter(~response).withColumn("payload", F.lit(None).cast("binary")))
-    fits = (base32_sha1(F.col("payload")) == F.col("digest")) & (F.octet_length("payload") == F.col("payload_bytes"))
+    fits = (F.sha1("payload") == F.col("digest")) & (F.octet_length("payload") == F.col("payload_bytes")) \
+        & (base32(F.col("digest")) == F.col("payload_digest"))
     body = F.coalesce("payload", F.lit(b""))
-    return joined.select("page_id", "url", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to",
+    return joined.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to",
                          (~response | F.coalesce(fits, F.lit(False))).alias("verified"),
                          F.concat("header", F.lit(b"\r\n\r\n"), body, F.lit(b"\r\n\r\n")).alias("record"))
 
@@ -121,7 +122,7 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url and html of every record, revisits included."""
     records = spark.read.parquet(f"{folder}/records").select(
         _page("WARC-Record-ID").alias("page_id"), F.coalesce(_field("WARC-Target-URI"), F.lit("")).alias("url"),
-        F.regexp_extract(_field("WARC-Payload-Digest"), "sha1:(.*)", 1).alias("digest"))
+        "digest")
     joined = _salted(records, spark.read.parquet(f"{folder}/payloads"), "page_id")
     return joined.select("page_id", "url", F.decode("payload", "UTF-8").alias("html"))
 
