@@ -51,14 +51,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = tokens.mix((sums[r.last + WINDOW] - sums[r.first]) ^ grams[r.anchor]
                                ^ tokens.mix(windows[r.first]) ^ tokens.mix(tokens.mix(windows[r.last]))
                                ^ tokens.mix(bucket.astype(np.uint64) + np.uint64(1)))
-            _, keep, times = np.unique(whole, return_index=True, return_counts=True)  # the first of equal runs of a bucket
+            start = r.first - w.first[row]
+            order = np.lexsort((start, docs[row + chunk.first_row]))
+            _, keep, times = np.unique(whole[order], return_index=True, return_counts=True)
+            keep = order[keep]  # the first of equal runs of a bucket
             _, number = spread(count[keep])
             shipped = windows[np.repeat(r.first[keep], count[keep]) + number]
             raw = shipped.view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
             offsets = np.concatenate([[0], np.cumsum(count[keep]) * _BYTES]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(grams[r.anchor[keep]].view(np.int64)), pa.array(docs[row[keep] + chunk.first_row]),
-                 pa.array(bucket[keep]), pa.array((r.first - w.first[row])[keep].astype(np.int32)),
+                 pa.array(bucket[keep]), pa.array(start[keep].astype(np.int32)),
                  pa.array(times > 1), pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])],
                 names=["anchor", "doc", "bucket", "start", "twins", "windows"])
 
