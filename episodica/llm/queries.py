@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, near_dedup, quality, secret_scan, sharding, substring_dedup, warc
+from . import decontaminate, licenses, near_dedup, quality, secret_scan, sharding, substring_dedup, suffix_dedup, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -16,6 +16,12 @@ def op1(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs)
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_decontamination")
 def op3(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
