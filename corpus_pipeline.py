@@ -8,29 +8,65 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodica.llm import decontaminate, quality, secret_scan
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from episodica.llm import decontaminate, near_dedup, quality, secret_scan, sentencepiece
 from episodica.session import scratch_dir, ship_package
 
+#: No stage but the benchmark's is in reach of SQL over whole texts; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts are among them."""
     ship_package(spark)
     return quality.quality_rules(docs, output="_quality").filter("_quality.kept").drop("_quality")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays.
+
+    Rows that share a doc_id are one document, of which one row stays; rows without doc_id stay.
+    """
+    ship_package(spark)
+    chosen = near_dedup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    joined = docs.join(chosen, "doc_id").select(*[docs[c] for c in docs.columns])
+    one = joined.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_row = 1").drop("_row")
+    return one.unionByName(docs.filter("doc_id IS NULL"))
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark items go."""
+    """Documents contaminated by benchmark items go."""
     ship_package(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.decontaminate(docs, benchmark, output="_contamination")
     return found.filter("NOT _contamination.contaminated").drop("_contamination")
 
 
+def secrets_redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark, and n_chars follows the new text; all documents stay."""
+    ship_package(spark)
+    found = secret_scan.scan_secrets(docs, output="_secrets")
+    hit = F.size("_secrets.spans") > 0
+    text = F.when(hit, secret_scan.redacted(F.col("text"), F.col("_secrets.spans"))).otherwise(F.col("text"))
+    found = found.withColumn("_text", text)
+    n_chars = F.when(hit, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns({"text": F.col("_text"), "n_chars": n_chars}).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their SentencePiece ids in ``piece_ids``."""
+    ship_package(spark)
+    return sentencepiece.encode(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
     ("decontaminated", decontaminated),
+    ("secrets_redacted", secrets_redacted),
+    ("encoded", encoded),
 ]
 
 

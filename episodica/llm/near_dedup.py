@@ -36,7 +36,7 @@ SHINGLE, THRESHOLD = 5, 75
 HASHES, BANDS, ROWS, BITS = 256, 32, 4, 4
 #: Seven standard errors of the estimate at the threshold: 7 * sqrt(p (1 - p) / HASHES) / (1 - 2**-BITS), p = 0.766.
 MARGIN = 0.2
-CANOPY_BLOCK, GROUP_BLOCK, BLOCK_SHINGLES = 4_096, 1_024, 1_000_000
+CANOPY_BLOCK, GROUP_BLOCK, BLOCK_SHINGLES = 512, 256, 500_000
 _random = np.random.default_rng(31)
 _FACTORS = _random.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_FACTORS = _random.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, near_dedup, quality, secret_scan, sharding, substring_dedup, suffix_dedup, warc
+from . import decontaminate, licenses, near_dedup, quality, secret_scan, sentencepiece, sharding, substring_dedup, suffix_dedup, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -33,6 +33,14 @@ def op3(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         c["contaminated"].alias("contaminated"))
 
 
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = sentencepiece.decode(sentencepiece.encode(docs.select("doc_id", "text")))
+    return coded.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"),
+                        F.sha2(F.array_join("piece_ids", ","), 256).alias("pieces_sha256"),
+                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 @query("op7_secret_scan")
 def op7(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(docs.select("doc_id", "text"))

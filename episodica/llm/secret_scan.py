@@ -183,7 +183,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", output: str = "secrets",
 
 def span_list(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
