@@ -66,7 +66,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "logged": ((), """
         SELECT e.event_id, e.ts, e.user_id, e.event_type, e.value, b.label,
                list_transform(b.embedding, lambda x: x::DOUBLE) AS emb
-        FROM events e JOIN embeddings b ON b.vec_id = e.event_id % (SELECT count(*) FROM embeddings)"""),
+        FROM (SELECT *, event_id % (SELECT count(*) FROM embeddings) AS vec_id FROM events) e
+        JOIN embeddings b USING (vec_id)"""),
     "transitions": (("logged",), """
         SELECT user_id AS episode_id, event_id AS prompt_id, event_type,
                row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
