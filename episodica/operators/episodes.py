@@ -14,31 +14,34 @@ SEGMENT_STEPS = 10_000
 
 
 def flatten_episodes(episodes: DataFrame) -> DataFrame:
-    """One row per step; the terminal observation is dropped. ``segment`` continues long episodes."""
+    """One row per step; the terminal observation is dropped. ``first_step`` numbers the steps of a continued episode."""
     steps = F.arrays_zip(
         F.expr("slice(observations, 1, size(observations) - 1)").alias("observation"),
         F.col("actions").alias("action"), F.col("rewards").alias("reward"))
-    has_segments = "segment" in episodes.columns
-    base = F.coalesce(F.col("segment"), F.lit(0)) * SEGMENT_STEPS if has_segments else F.lit(0)
+    base = F.coalesce(F.col("first_step"), F.lit(0)) if "first_step" in episodes.columns else F.lit(0)
     return (episodes.select("episode_id", base.alias("__base"), F.posexplode(steps).alias("__pos", "__s"))
             .select("episode_id", (F.col("__base") + F.col("__pos")).cast("bigint").alias("step"),
                     F.col("__s.observation").alias("observation"), F.col("__s.action").alias("action"),
                     F.col("__s.reward").alias("reward")))
 
 
-def assemble_episodes(transitions: DataFrame) -> DataFrame:
-    """Ordered transitions to episode arrays, T+1 observations (the last one repeated).
+def assemble_episodes(transitions: DataFrame, segment_steps: int = SEGMENT_STEPS) -> DataFrame:
+    """Ordered transitions to episode arrays with T+1 observations.
 
-    An episode longer than SEGMENT_STEPS continues in further rows, numbered by ``segment``, so no
-    row or group grows with the episode.
+    A row holds at most ``segment_steps`` steps; an episode continues in further rows, numbered by ``segment``, with the
+    number of its ``first_step``. The last observation of a row is the first one of the row that follows, and at the end
+    of the episode the last one again, as the log has no later one.
     """
     row = F.struct("step", "observation", "action", "reward")
-    packed = (transitions.groupBy("episode_id", F.floor(F.col("step") / SEGMENT_STEPS).alias("segment"))
-              .agg(F.array_sort(F.collect_list(row)).alias("s")))
+    segment = F.floor(F.col("step") / segment_steps)
+    packed = (transitions.groupBy("episode_id", segment.alias("segment")).agg(F.array_sort(F.collect_list(row)).alias("s")))
+    following = transitions.where((F.col("step") % segment_steps == 0) & (F.col("step") > 0)).select(
+        "episode_id", (segment - 1).alias("segment"), F.col("observation").alias("__next"))
+    packed = packed.join(following, ["episode_id", "segment"], "left")
     observations = F.transform("s", lambda x: x["observation"])
     return packed.select(
-        "episode_id", "segment",
-        F.array_append(observations, F.element_at(observations, -1)).alias("observations"),
+        "episode_id", "segment", F.col("s")[0]["step"].alias("first_step"),
+        F.array_append(observations, F.coalesce("__next", F.element_at(observations, -1))).alias("observations"),
         F.transform("s", lambda x: x["action"]).alias("actions"),
         F.transform("s", lambda x: x["reward"]).alias("rewards"))
 

@@ -5,28 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .skew import HOT_ROWS, with_group_stats
+from .skew import with_group_stats
 
 
 def group_advantage(scored: DataFrame, reward: str = "reward", keys: tuple[str, ...] = ("prompt_id",),
-                    spread: tuple[str, ...] = ("gen_id",), scaled: bool = True, eps: float = 1e-4,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    scaled: bool = True, eps: float = 1e-4) -> DataFrame:
     """(reward - group mean) / (unbiased group std + eps); only the difference when not ``scaled``.
 
     Adds ``group_mean``, ``group_std`` and ``advantage``. A group of one has a NULL std and, scaled,
     a NULL advantage.
     """
     r = F.col(reward)
-    rows = with_group_stats(scored, list(keys), {"group_mean": F.avg(r), "group_std": F.stddev_samp(r)},
-                            list(spread), hot_rows)
+    rows = with_group_stats(scored, list(keys), {"group_mean": F.avg(r), "group_std": F.stddev_samp(r)})
     centred = F.col(reward) - F.col("group_mean")
     return rows.withColumn("advantage", centred / (F.col("group_std") + eps) if scaled else centred)
 
 
-def minmax_scale_group(df: DataFrame, column: str, keys: tuple[str, ...], spread: tuple[str, ...],
-                       hot_rows: int = HOT_ROWS) -> DataFrame:
+def minmax_scale_group(df: DataFrame, column: str, keys: tuple[str, ...]) -> DataFrame:
     """(x - min) / (max - min + 1e-8) inside the group, and the marker size 50 + 100 * scaled."""
     c = F.col(column)
-    rows = with_group_stats(df, list(keys), {"group_min": F.min(c), "group_max": F.max(c)}, list(spread), hot_rows)
+    rows = with_group_stats(df, list(keys), {"group_min": F.min(c), "group_max": F.max(c)})
     scaled = (c - F.col("group_min")) / (F.col("group_max") - F.col("group_min") + 1e-8)
     return rows.withColumn("scaled", scaled).withColumn("marker_size", 50.0 + 100.0 * F.col("scaled"))

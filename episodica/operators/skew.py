@@ -7,40 +7,31 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000   # a group above this size is spread over tasks
-HOT_GROUPS = 1_000     # at most this many groups are treated as hot, so what is broadcast is bounded
-SALTS = 512            # tasks a hot group is spread over
+HOT_ROWS = 1_000_000   # a group above this size is numbered in pieces
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys of the largest groups: at most HOT_GROUPS rows, each group above ``hot_rows``.
+def _attach(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on null-safe keys. Both sides are exchanged for it, so adaptive execution can split a hot key."""
+    right = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    match = F.lit(True)
+    for key in keys:
+        match = match & F.col(key).eqNullSafe(F.col(f"__right_{key}"))
+    return df.join(right, match, "left").drop(*[f"__right_{k}" for k in keys])
 
-    Reads only the key columns and counts before the shuffle. A large group left out of the list
-    is smaller than 1/HOT_GROUPS of the data.
-    """
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-            .where(F.col("__n") > hot_rows)
-            .orderBy(F.desc("__n"), *keys).limit(HOT_GROUPS)
-            .select(*keys))
+
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys of all groups above ``hot_rows``, counted before the shuffle: at most rows / hot_rows of them."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*keys)
 
 
-def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column], spread: Sequence[str],
-                     hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add statistics of each row's group.
+def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+    """Add statistics of each row's group; rows with null keys are a group too.
 
-    Ordinary groups use one window, so one exchange. Hot groups are pre-aggregated, their few result
-    rows broadcast, and their rows spread by a hash of ``spread``; the result is the same.
+    The statistics are aggregated before the shuffle and joined back, so no task needs a whole group: the input is
+    evaluated twice, and its rows are exchanged once, in a join whose hot keys Spark splits.
     """
-    hot = hot_groups(df, keys, hot_rows)
-    hot_stats = (df.join(F.broadcast(hot), list(keys), "left_semi")
-                 .groupBy(*keys).agg(*[c.alias(f"__hot_{n}") for n, c in stats.items()])
-                 .withColumn("__hot", F.lit(True)))
-    salted = (df.join(F.broadcast(hot_stats), list(keys), "left")
-              .withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-                          .otherwise(F.lit(0).cast("bigint"))))
-    group = Window.partitionBy(*keys, "__salt")
-    named = {n: F.when(F.col("__hot"), F.col(f"__hot_{n}")).otherwise(c.over(group)) for n, c in stats.items()}
-    return salted.select(*df.columns, *[c.alias(n) for n, c in named.items()])
+    grouped = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
+    return _attach(df, grouped, keys)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], name: str = "row_index",
@@ -52,8 +43,7 @@ def number_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     groups have no bucket and need one exchange.
     """
     hot = hot_groups(df, keys, hot_rows).withColumn("__hot", F.lit(True))
-    bucketed = (df.join(F.broadcast(hot), list(keys), "left")
-                .withColumn("__bucket", F.when(F.col("__hot"), bucket)))
+    bucketed = _attach(df, hot, keys).withColumn("__bucket", F.when(F.col("__hot"), bucket))
     sizes = (bucketed.where("__hot").groupBy(*keys, "__bucket")
              .agg(F.count(F.lit(1)).alias("__n")))
     # Runs over bucket sizes, never over rows.
@@ -61,5 +51,4 @@ def number_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seque
     offsets = sizes.select(*keys, "__bucket", F.sum("__n").over(before).alias("__before"))
     inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
     position = F.row_number().over(inside) - 1 + F.coalesce(F.col("__before"), F.lit(0))
-    return (bucketed.join(offsets, [*keys, "__bucket"], "left")
-            .select(*df.columns, position.cast("bigint").alias(name)))
+    return _attach(bucketed, offsets, [*keys, "__bucket"]).select(*df.columns, position.cast("bigint").alias(name))

@@ -10,7 +10,7 @@ from ..functions.equation import reward_equation
 from ..operators import align, episodes, evaluate, sampling, stats
 from ..session import scratch_dir
 from ..sources import files
-from ..sources.tables import Inputs
+from ..sources.tables import ACT_DIMS, OBS_DIMS, Inputs
 from .registry import as_text, hash_key, hash_uniform, literal, oracle, query, rnd, rounded, txt
 
 _SFT = f"""SELECT '<observation>' || {txt('observation')} || '</observation>' AS observation,
@@ -126,7 +126,7 @@ def stats_digest(one_row: DataFrame) -> DataFrame:
 
 
 def fitted_stats(i: Inputs) -> DataFrame:
-    return stats.normalization_stats(i.transitions(), state_dim=4, action_dim=3)
+    return stats.normalization_stats(i.transitions(), state_dim=OBS_DIMS, action_dim=ACT_DIMS)
 
 
 def with_stats(i: Inputs, rows: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def reward_report(i: Inputs) -> DataFrame:
     FROM (SELECT prompt_id, gen_id, (reward - min(reward) OVER w) / (max(reward) OVER w - min(reward) OVER w + 1e-8)
                  AS scaled FROM scores WINDOW w AS (PARTITION BY prompt_id))""", "completions_discrete", more=SCORES))
 def minmax_scale_group(i: Inputs) -> DataFrame:
-    rows = groups.minmax_scale_group(discrete_scores(i), "reward", ("prompt_id",), ("gen_id",))
+    rows = groups.minmax_scale_group(discrete_scores(i), "reward", ("prompt_id",))
     return rows.select("prompt_id", "gen_id", rounded("scaled").alias("scaled"),
                        rounded("marker_size", 4).alias("marker_size"))
 

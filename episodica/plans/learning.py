@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import align, evaluate, fits, policies, scoring
-from ..sources.tables import Inputs
+from ..sources.tables import ACT_DIMS, OBS_DIMS, Inputs
 from .data import with_stats
 from .networks import (CATEGORICAL_POLICY, GAUSSIAN_POLICY, POLICY, POLICY_OTHER, REWARD_MODEL, forward_sql,
                        network_frame, normalized_sql)
@@ -82,7 +82,7 @@ def compare_checkpoints(i: Inputs) -> DataFrame:
     return rows.select("prompt_id", *[rounded(c, 5).alias(c) for c in ("early", "late", "lowest", "highest")])
 
 
-_RANDOM_SQL = "[" + ", ".join(f"-1::DOUBLE + {hash_uniform(34, 'prompt_id', str(d))} * 2" for d in range(3)) + "]"
+_RANDOM_SQL = "[" + ", ".join(f"-1::DOUBLE + {hash_uniform(34, 'prompt_id', str(d))} * 2" for d in range(ACT_DIMS)) + "]"
 
 
 @query("offline_policy_eval", oracle(f"""
@@ -90,7 +90,7 @@ _RANDOM_SQL = "[" + ", ".join(f"-1::DOUBLE + {hash_uniform(34, 'prompt_id', str(
            {rnd('sum(reward)', 2)} AS total_reward, count(*) AS n_steps
     FROM (SELECT 'mlp' AS policy, {mse_sql('y', 'action')} AS e, CASE WHEN action_disc = 0 THEN 0::DOUBLE ELSE 1::DOUBLE END AS wrong, reward
           FROM {forward_sql(POLICY, 'transitions', 'prompt_id, action, action_disc, reward', 'observation')}
-          UNION ALL SELECT 'constant', {mse_sql('[0::DOUBLE, 0::DOUBLE, 0::DOUBLE]', 'action')},
+          UNION ALL SELECT 'constant', {mse_sql('[' + ', '.join(['0::DOUBLE'] * ACT_DIMS) + ']', 'action')},
                  CASE WHEN action_disc = 0 THEN 0::DOUBLE ELSE 1::DOUBLE END, reward FROM transitions
           UNION ALL SELECT 'random', {mse_sql(_RANDOM_SQL, 'action')},
                  CASE WHEN action_disc = floor({hash_uniform(35, 'prompt_id')} * 2) THEN 0::DOUBLE ELSE 1::DOUBLE END, reward
@@ -103,8 +103,8 @@ def offline_policy_eval(i: Inputs) -> DataFrame:
     state, zero = F.col("prompt_id"), F.lit(0)
     report = evaluate.offline_policy_eval({
         "mlp": against_log(scoring.score_mlp_policy(i.spark, _network(i, POLICY), F.col("observation")), zero),
-        "constant": against_log(policies.constant_action(3), zero),
-        "random": against_log(policies.random_action(state, [(-1.0, 1.0)] * 3, 34),
+        "constant": against_log(policies.constant_action(ACT_DIMS), zero),
+        "random": against_log(policies.random_action(state, [(-1.0, 1.0)] * ACT_DIMS, 34),
                               policies.random_discrete_action(state, 2, 35))})
     return report.select("policy", rounded("mse", 5).alias("mse"), rounded("zero_one_loss", 5).alias("zero_one_loss"),
                          rounded("total_reward", 2).alias("total_reward"), "n_steps")
@@ -122,7 +122,7 @@ def fit_reward_regressor(i: Inputs) -> DataFrame:
 
 @query("fit_bc_continuous")
 def fit_bc_continuous(i: Inputs) -> DataFrame:
-    models, errors = fits.fit_bc_continuous(i.transitions(), 3)
+    models, errors = fits.fit_bc_continuous(i.transitions(), ACT_DIMS)
     rows = i.transitions().select("prompt_id", fits.features(F.col("observation")).alias("raw"))
     for d, model in enumerate(models):
         rows = model.transform(rows).withColumn(f"action_{d}", F.round("prediction", 5)).drop("features", "prediction")
@@ -131,7 +131,7 @@ def fit_bc_continuous(i: Inputs) -> DataFrame:
 
 @query("fit_bc_discrete")
 def fit_bc_discrete(i: Inputs) -> DataFrame:
-    model, loss = fits.fit_bc_discrete(i.transitions(), 2, 4)
+    model, loss = fits.fit_bc_discrete(i.transitions(), 2, OBS_DIMS)
     rows = i.transitions().select("prompt_id", "action_disc", fits.features(F.col("observation")).alias("raw"))
     return model.transform(rows).select("prompt_id", "action_disc", F.col("prediction").cast("int").alias("predicted"),
                                         F.lit(round(loss, 6)).alias("val_zero_one_loss"))

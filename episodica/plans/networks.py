@@ -7,6 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
+from ..sources.tables import ACT_DIMS, OBS_DIMS
+
+BOTH = OBS_DIMS + ACT_DIMS
 
 
 def _weights(rows: int, columns: int, phase: float) -> tuple[list[list[float]], list[float]]:
@@ -19,15 +22,15 @@ def _layer(head: str, layer: int, rows: int, columns: int, phase: float, activat
     return head, layer, w, b, activation
 
 
-LINEAR_REWARD = [_layer("out", 0, 1, 7, 0.3, "id")]
-REWARD_MODEL = [_layer("out", 0, 8, 7, 0.1, "relu"), _layer("out", 1, 8, 8, 0.7, "relu"),
+LINEAR_REWARD = [_layer("out", 0, 1, BOTH, 0.3, "id")]
+REWARD_MODEL = [_layer("out", 0, 8, BOTH, 0.1, "relu"), _layer("out", 1, 8, 8, 0.7, "relu"),
                 _layer("out", 2, 1, 8, 1.3, "id")]
-POLICY = [_layer("out", 0, 8, 4, 0.2, "leaky_relu"), _layer("out", 1, 8, 8, 0.9, "leaky_relu"),
-          _layer("out", 2, 3, 8, 1.7, "tanh")]
-POLICY_OTHER = [_layer("out", 0, 8, 4, 2.2, "tanh"), _layer("out", 1, 3, 8, 2.9, "id")]
-GAUSSIAN_POLICY = [_layer("body", 0, 8, 4, 0.4, "tanh"), _layer("body", 1, 8, 8, 1.1, "tanh"),
-                   _layer("mean", 0, 3, 8, 0.5, "id"), _layer("log_std", 0, 3, 8, 0.8, "id")]
-CATEGORICAL_POLICY = [_layer("body", 0, 8, 4, 0.6, "tanh"), _layer("logits", 0, 2, 8, 1.9, "id")]
+POLICY = [_layer("out", 0, 8, OBS_DIMS, 0.2, "leaky_relu"), _layer("out", 1, 8, 8, 0.9, "leaky_relu"),
+          _layer("out", 2, ACT_DIMS, 8, 1.7, "tanh")]
+POLICY_OTHER = [_layer("out", 0, 8, OBS_DIMS, 2.2, "tanh"), _layer("out", 1, ACT_DIMS, 8, 2.9, "id")]
+GAUSSIAN_POLICY = [_layer("body", 0, 8, OBS_DIMS, 0.4, "tanh"), _layer("body", 1, 8, 8, 1.1, "tanh"),
+                   _layer("mean", 0, ACT_DIMS, 8, 0.5, "id"), _layer("log_std", 0, ACT_DIMS, 8, 0.8, "id")]
+CATEGORICAL_POLICY = [_layer("body", 0, 8, OBS_DIMS, 0.6, "tanh"), _layer("logits", 0, 2, 8, 1.9, "id")]
 
 
 def network_frame(spark: SparkSession, layers: list) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy, vectors
 from ..operators import gradients, groups, policies, stats
-from ..sources.tables import Inputs
+from ..sources.tables import ACT_DIMS, OBS_DIMS, Inputs
 from .data import with_stats
 from .networks import normalized_sql
 from .registry import as_text, hash_normal, hash_uniform, oracle, query, rnd, rounded, txt
@@ -84,13 +84,13 @@ def categorical_nll(i: Inputs) -> DataFrame:
         rounded(-F.avg(policy.log_softmax_at(F.col("logits"), F.col("action_disc")))).alias("loss"))
 
 
-def _noise_sql(seed: int, dims: int = 3, *ids: str) -> str:
-    return "[" + ", ".join(hash_normal(seed, *ids, str(d)) for d in range(dims)) + "]"
+def _noise_sql(seed: int, *ids: str) -> str:
+    return "[" + ", ".join(hash_normal(seed, *ids, str(d)) for d in range(ACT_DIMS)) + "]"
 
 
 _SAMPLED_SQL = f"""
     SELECT prompt_id, g.i AS gen_id, mean, {_STD} AS std, action,
-           list_transform(list_zip(mean, {_STD}, {_noise_sql(31, 3, 'prompt_id', 'g.i')}),
+           list_transform(list_zip(mean, {_STD}, {_noise_sql(31, 'prompt_id', 'g.i')}),
                           lambda p: p[1] + p[2] * p[3]) AS sampled
     FROM policy_outputs, (SELECT unnest([0, 1, 2, 3]) AS i) g"""
 
@@ -138,7 +138,7 @@ def sample_categorical_actions(i: Inputs) -> DataFrame:
 
 
 @query("add_exploration_noise", oracle(f"""
-    SELECT prompt_id, {txt("list_transform(list_zip(mean, " + _noise_sql(33, 3, 'prompt_id')
+    SELECT prompt_id, {txt("list_transform(list_zip(mean, " + _noise_sql(33, 'prompt_id')
                           + "), lambda p: p[1] + 0.1::DOUBLE * p[2])", 4)} AS action FROM policy_outputs""",
     "policy_outputs"))
 def add_exploration_noise(i: Inputs) -> DataFrame:
@@ -147,15 +147,15 @@ def add_exploration_noise(i: Inputs) -> DataFrame:
 
 
 @query("baseline_policies", oracle(f"""
-    SELECT prompt_id, '0.00000,0.00000,0.00000' AS constant_action,
-           {txt('[' + ', '.join(f"-1::DOUBLE + {hash_uniform(34, 'prompt_id', str(d))} * 2" for d in range(3)) + ']')}
+    SELECT prompt_id, '{','.join(['0.00000'] * ACT_DIMS)}' AS constant_action,
+           {txt('[' + ', '.join(f"-1::DOUBLE + {hash_uniform(34, 'prompt_id', str(d))} * 2" for d in range(ACT_DIMS)) + ']')}
              AS random_action, floor({hash_uniform(35, 'prompt_id')} * 2)::INTEGER AS random_discrete
     FROM transitions""", "transitions"))
 def baseline_policies(i: Inputs) -> DataFrame:
     state = F.col("prompt_id")
     return i.transitions().select(
-        "prompt_id", as_text(policies.constant_action(3)).alias("constant_action"),
-        as_text(policies.random_action(state, [(-1.0, 1.0)] * 3, 34)).alias("random_action"),
+        "prompt_id", as_text(policies.constant_action(ACT_DIMS)).alias("constant_action"),
+        as_text(policies.random_action(state, [(-1.0, 1.0)] * ACT_DIMS, 34)).alias("random_action"),
         policies.random_discrete_action(state, 2, 35).alias("random_discrete"))
 
 
@@ -169,7 +169,7 @@ def baseline_policies(i: Inputs) -> DataFrame:
 def gaussian_pdf_grid(i: Inputs) -> DataFrame:
     def fitted(model: int) -> DataFrame:
         rows = i.transitions().where(F.col("action_disc") == model)
-        one = stats.normalization_stats(rows, state_dim=4, action_dim=3)
+        one = stats.normalization_stats(rows, state_dim=OBS_DIMS, action_dim=ACT_DIMS)
         return one.select(F.lit(model).alias("model"), F.col("action_mean").alias("mean"),
                           F.col("action_std").alias("std"))
     grid = policies.gaussian_pdf_grid(fitted(0).unionByName(fitted(1)), ["model"])

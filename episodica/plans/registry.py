@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import fixed_list
-from ..sources.tables import Inputs
+from ..session import ship_package
+from ..sources.tables import ACT_DIMS, OBS_DIMS, Inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +20,11 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Inputs], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered already")
-        QUERIES[name] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(Inputs(spark, sf_dir))
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -60,6 +65,12 @@ def literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _part(block: int, size: int = ACT_DIMS) -> str:
+    """A block of the vector: block 0 is the observation, the others follow at the width of an action."""
+    start = OBS_DIMS + 1 + (block - 1) * ACT_DIMS
+    return f"emb[{start}:{start + size - 1}]" if block else f"emb[1:{OBS_DIMS}]"
+
+
 _GENERATED = "transitions, (SELECT unnest([0, 1, 2, 3]) AS i) g"
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -68,10 +79,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                list_transform(b.embedding, lambda x: x::DOUBLE) AS emb
         FROM (SELECT *, event_id % (SELECT count(*) FROM embeddings) AS vec_id FROM events) e
         JOIN embeddings b USING (vec_id)"""),
-    "transitions": (("logged",), """
+    "transitions": (("logged",), f"""
         SELECT user_id AS episode_id, event_id AS prompt_id, event_type,
                row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step,
-               emb[1:4] AS observation, emb[5:7] AS action, CAST(label % 2 AS INTEGER) AS action_disc,
+               {_part(0)} AS observation, {_part(1)} AS action, CAST(label % 2 AS INTEGER) AS action_disc,
                value AS reward
         FROM logged"""),
     "rollouts": (("transitions",), """
@@ -79,10 +90,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM transitions"""),
     "metrics": ((), """
         SELECT event_id // 100 AS run, event_id % 100 AS epoch, value AS val_loss FROM events"""),
-    "policy_outputs": (("logged",), """
-        SELECT event_id AS prompt_id, emb[1:4] AS observation, emb[5:7] AS action,
-               CAST(label % 2 AS INTEGER) AS action_disc, value AS reward, emb[8:10] AS mean,
-               emb[11:13] AS log_std, emb[14:16] AS ref_mean, emb[17:19] AS ref_log_std, emb[20:21] AS logits
+    "policy_outputs": (("logged",), f"""
+        SELECT event_id AS prompt_id, {_part(0)} AS observation, {_part(1)} AS action,
+               CAST(label % 2 AS INTEGER) AS action_disc, value AS reward, {_part(2)} AS mean,
+               {_part(3)} AS log_std, {_part(4)} AS ref_mean, {_part(5)} AS ref_log_std, {_part(6, 2)} AS logits
         FROM logged"""),
     "completions_discrete": (("transitions",), f"""
         SELECT prompt_id, gen_id, observation, action, action_disc, reward_logged,
@@ -116,7 +127,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                       ELSE array_to_string(v, ',') || '</action>' END AS completion
         FROM (SELECT prompt_id, CAST(g.i AS INTEGER) AS gen_id, observation, action, action_disc,
                      CAST((prompt_id * 7 + g.i * 3) % 10 AS INTEGER) AS k,
-                     list_transform([0, 1, 2], lambda j: CAST((prompt_id * 31 + g.i * 17 + j * 101) % 1000 AS VARCHAR)) AS v
+                     list_transform({list(range(ACT_DIMS))}, lambda j: CAST((prompt_id * 31 + g.i * 17 + j * 101) % 1000 AS VARCHAR)) AS v
               FROM {_GENERATED})"""),
     "countdown": ((), """
         SELECT p_partkey AS item_id,

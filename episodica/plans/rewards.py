@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rewards as rw
 from ..functions.equation import equation_candidate, reward_equation
 from ..operators import align, scoring, stats
-from ..sources.tables import Inputs
+from ..sources.tables import ACT_DIMS, Inputs
 from .data import with_stats
 from .networks import LINEAR_REWARD, linear_reward_sql, network_frame
 from .registry import hash_uniform, oracle, query, rnd, rounded
@@ -21,14 +21,14 @@ _EXTRA = "length(array_to_string(string_split(completion, '</action>')[2:], ''))
 
 def _format_sql(found: str) -> str:
     return (f"CASE WHEN {found} = '' THEN -10::DOUBLE ELSE {_END} + "
-            f"CASE WHEN len(string_split({found}, ',')) = 3 THEN -{_EXTRA} / 10::DOUBLE ELSE -10::DOUBLE END END")
+            f"CASE WHEN len(string_split({found}, ',')) = {ACT_DIMS} THEN -{_EXTRA} / 10::DOUBLE ELSE -10::DOUBLE END END")
 
 
 FORMAT_SQL, FORMAT_TOKEN_SQL = _format_sql(_LIST), _format_sql(TOKEN_LIST_SQL)
 FORMAT_DISCRETE_SQL = (f"CASE WHEN regexp_matches(completion, '^[0-1]</action>') THEN "
                        f"-(length(completion) - 10) / 10::DOUBLE + {_END} ELSE -10::DOUBLE END")
 _PARSED = f"list_transform(string_split({_LIST}, ','), lambda x: TRY_CAST(trim(x) AS DOUBLE))"
-PARSED_SQL = f"CASE WHEN {_LIST} <> '' AND len(string_split({_LIST}, ',')) = 3 THEN {_PARSED} END"
+PARSED_SQL = f"CASE WHEN {_LIST} <> '' AND len(string_split({_LIST}, ',')) = {ACT_DIMS} THEN {_PARSED} END"
 
 
 def mse_sql(a: str, b: str) -> str:
@@ -52,17 +52,17 @@ def _reward_oracle(expression: str, *ctes: str) -> str:
 
 
 def _with_action_ranges(i: Inputs, rows: DataFrame) -> DataFrame:
-    return stats.apply_ranges(rows, stats.dim_ranges(i.transitions(), "action", 3))
+    return stats.apply_ranges(rows, stats.dim_ranges(i.transitions(), "action", ACT_DIMS))
 
 
 @query("reward_format_continuous", _reward_oracle(FORMAT_SQL, "completions_continuous"))
 def reward_format_continuous(i: Inputs) -> DataFrame:
-    return _scored(i.completions_continuous(), rw.reward_format_continuous(F.col("completion"), 3))
+    return _scored(i.completions_continuous(), rw.reward_format_continuous(F.col("completion"), ACT_DIMS))
 
 
 @query("reward_format_tokenized", _reward_oracle(FORMAT_TOKEN_SQL, "completions_tokenized"))
 def reward_format_tokenized(i: Inputs) -> DataFrame:
-    return _scored(i.completions_tokenized(), rw.reward_format_tokenized(F.col("completion"), 3))
+    return _scored(i.completions_tokenized(), rw.reward_format_tokenized(F.col("completion"), ACT_DIMS))
 
 
 @query("reward_format_discrete", _reward_oracle(FORMAT_DISCRETE_SQL, "completions_discrete"))
@@ -73,13 +73,13 @@ def reward_format_discrete(i: Inputs) -> DataFrame:
 @query("reward_bc_continuous", _reward_oracle(BC_SQL, "completions_continuous"))
 def reward_bc_continuous(i: Inputs) -> DataFrame:
     rows = i.completions_continuous("action")
-    return _scored(rows, rw.reward_bc_continuous(F.col("completion"), F.col("action"), 3))
+    return _scored(rows, rw.reward_bc_continuous(F.col("completion"), F.col("action"), ACT_DIMS))
 
 
 @query("reward_bc_tokenized", _reward_oracle(BC_TOKEN_SQL, "completions_tokenized", "action_ranges"))
 def reward_bc_tokenized(i: Inputs) -> DataFrame:
     rows = _with_action_ranges(i, i.completions_tokenized("action"))
-    return _scored(rows, rw.reward_bc_tokenized(F.col("completion"), F.col("action"), 3, F.col("ranges")))
+    return _scored(rows, rw.reward_bc_tokenized(F.col("completion"), F.col("action"), ACT_DIMS, F.col("ranges")))
 
 
 @query("reward_bc_discrete", _reward_oracle(BC_DISCRETE_SQL, "completions_discrete"))
@@ -100,12 +100,12 @@ _TAGGED = "regexp_extract('<action>' || completion, '<action>([-+]?\\d*\\.\\d+(?
 
 
 @query("reward_control_amplitude", _reward_oracle(
-    f"CASE WHEN {_TAGGED} = '' THEN -10::DOUBLE WHEN len(string_split({_TAGGED}, ',')) = 3 THEN "
+    f"CASE WHEN {_TAGGED} = '' THEN -10::DOUBLE WHEN len(string_split({_TAGGED}, ',')) = {ACT_DIMS} THEN "
     f"-sqrt(list_sum(list_transform(string_split({_TAGGED}, ','), lambda x: "
     "CAST(trim(x) AS DOUBLE) * CAST(trim(x) AS DOUBLE)))) ELSE 0::DOUBLE END", "completions_continuous"))
 def reward_control_amplitude(i: Inputs) -> DataFrame:
     response = F.concat(F.lit("<action>"), "completion")
-    return _scored(i.completions_continuous(), rw.reward_control_amplitude(response, 3))
+    return _scored(i.completions_continuous(), rw.reward_control_amplitude(response, ACT_DIMS))
 
 
 @query("reward_model_continuous", _reward_oracle(
@@ -114,7 +114,7 @@ def reward_model_continuous(i: Inputs) -> DataFrame:
     net = scoring.load_network(network_frame(i.spark, LINEAR_REWARD))
     rows = with_stats(i, i.completions_continuous("observation"))
     return _scored(rows, rw.reward_model_continuous(
-        F.col("completion"), F.col("observation"), 3,
+        F.col("completion"), F.col("observation"), ACT_DIMS,
         lambda s, a: scoring.score_reward_model(i.spark, net, s, a, F.col("stats"))))
 
 
@@ -125,7 +125,7 @@ def reward_model_tokenized(i: Inputs) -> DataFrame:
     net = scoring.load_network(network_frame(i.spark, LINEAR_REWARD))
     rows = with_stats(i, _with_action_ranges(i, i.completions_tokenized("observation")))
     return _scored(rows, rw.reward_model_tokenized(
-        F.col("completion"), F.col("observation"), 3, F.col("ranges"),
+        F.col("completion"), F.col("observation"), ACT_DIMS, F.col("ranges"),
         lambda s, a: scoring.score_reward_model(i.spark, net, s, a, F.col("stats"))))
 
 

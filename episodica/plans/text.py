@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import parse, quantize, text
 from ..operators import align, episodes, evaluate, stats
-from ..sources.tables import Inputs
+from ..sources.tables import ACT_DIMS, OBS_DIMS, Inputs
 from .registry import as_text, hash_key, literal, oracle, query, rnd, rounded, txt
 
 OBS_SQL = f"'<observation>' || {txt('observation')} || '</observation>'"
@@ -66,7 +66,7 @@ def vector_to_list_text(i: Inputs) -> DataFrame:
     FROM transitions""", "transitions"))
 def parse_bracket_vector(i: Inputs) -> DataFrame:
     prompts = i.transitions().select("prompt_id", text.vector_to_list_text(F.col("observation")).alias("prompt"))
-    return prompts.select("prompt_id", as_text(parse.parse_bracket_vector(F.col("prompt"), 4)).alias("observation"))
+    return prompts.select("prompt_id", as_text(parse.parse_bracket_vector(F.col("prompt"), OBS_DIMS)).alias("observation"))
 
 
 @query("build_chat_messages", oracle(f"""
@@ -91,7 +91,7 @@ def build_grpo_prompt(i: Inputs) -> DataFrame:
 
 
 def _with_obs_ranges(i: Inputs, rows: DataFrame) -> DataFrame:
-    return stats.apply_ranges(rows, stats.dim_ranges(i.transitions(), "observation", 4))
+    return stats.apply_ranges(rows, stats.dim_ranges(i.transitions(), "observation", OBS_DIMS))
 
 
 @query("build_grpo_prompt_tokenized", oracle(f"""
@@ -278,7 +278,7 @@ def dim_ranges(i: Inputs) -> DataFrame:
         found = stats.dim_ranges(i.transitions(), side, dim)
         return found.select(F.lit(side).alias("side"), F.posexplode("ranges").alias("dim", "r")).select(
             "side", F.col("dim").cast("bigint").alias("dim"), F.col("r.min").alias("lo"), F.col("r.max").alias("hi"))
-    return rows("observation", 4).unionByName(rows("action", 3))
+    return rows("observation", OBS_DIMS).unionByName(rows("action", ACT_DIMS))
 
 
 @query("apply_ranges", oracle("""
@@ -293,7 +293,7 @@ def apply_ranges(i: Inputs) -> DataFrame:
 
 
 _TABLE_RANGES = "[" + ", ".join(f"{{'min': {lo}::DOUBLE, 'max': {hi}::DOUBLE}}"
-                                for lo, hi in quantize.HALFCHEETAH_OBS_RANGES[:4]) + "]"
+                                for lo, hi in quantize.HALFCHEETAH_OBS_RANGES) + "]"
 
 
 @query("quantize_obs", oracle(f"""
@@ -302,7 +302,7 @@ _TABLE_RANGES = "[" + ", ".join(f"{{'min': {lo}::DOUBLE, 'max': {hi}::DOUBLE}}"
     FROM transitions""", "transitions", "obs_ranges"))
 def quantize_obs(i: Inputs) -> DataFrame:
     rows = _with_obs_ranges(i, i.transitions())
-    fixed = quantize.ranges_literal(quantize.HALFCHEETAH_OBS_RANGES[:4])
+    fixed = quantize.ranges_literal(quantize.HALFCHEETAH_OBS_RANGES)
 
     def joined(ranges):
         return F.array_join(quantize.quantize_obs(F.col("observation"), ranges).cast("array<string>"), " ")
@@ -311,7 +311,7 @@ def quantize_obs(i: Inputs) -> DataFrame:
 
 TOKEN_LIST_SQL = "regexp_extract(completion, '^(\\d+(?:,\\s*\\d+)*)', 1)"
 TOKENS_PARSED_SQL = f"list_transform(string_split({TOKEN_LIST_SQL}, ','), lambda x: TRY_CAST(trim(x) AS BIGINT))"
-TOKENS_VALID_SQL = (f"({TOKEN_LIST_SQL} <> '' AND len(string_split({TOKEN_LIST_SQL}, ',')) = 3 AND "
+TOKENS_VALID_SQL = (f"({TOKEN_LIST_SQL} <> '' AND len(string_split({TOKEN_LIST_SQL}, ',')) = {ACT_DIMS} AND "
                     f"len(list_filter({TOKENS_PARSED_SQL}, lambda t: t > 999)) = 0)")
 DECODED_SQL = (f"list_transform(list_zip({TOKENS_PARSED_SQL}, (SELECT ranges FROM action_ranges)), lambda p: "
                "p[2].min + (p[1] / 999::DOUBLE) * (p[2].max - p[2].min))")
@@ -321,15 +321,15 @@ DECODED_SQL = (f"list_transform(list_zip({TOKENS_PARSED_SQL}, (SELECT ranges FRO
     SELECT prompt_id, gen_id, CASE WHEN {TOKENS_VALID_SQL} THEN {txt(DECODED_SQL)} END AS action
     FROM completions_tokenized""", "completions_tokenized", "action_ranges"))
 def dequantize_action(i: Inputs) -> DataFrame:
-    rows = stats.apply_ranges(i.completions_tokenized(), stats.dim_ranges(i.transitions(), "action", 3))
-    tokens = parse.tokens_of(F.col("completion"), parse.INTEGER_LIST, 3)
+    rows = stats.apply_ranges(i.completions_tokenized(), stats.dim_ranges(i.transitions(), "action", ACT_DIMS))
+    tokens = parse.tokens_of(F.col("completion"), parse.INTEGER_LIST, ACT_DIMS)
     return rows.select("prompt_id", "gen_id",
                        as_text(quantize.dequantize_action(tokens, F.col("ranges"))).alias("action"))
 
 
 _LOOSE = "regexp_extract(completion, '^\\s*([-+]?\\d*\\.?\\d+(?:,\\s*[-+]?\\d*\\.?\\d+)*)', 1)"
 _LOOSE_INT = "regexp_extract(completion, '^\\s*(\\d+(?:,\\s*\\d+)*)', 1)"
-_CONTINUOUS_SQL = (f"CASE WHEN {_LOOSE} <> '' AND len(string_split({_LOOSE}, ',')) = 3 THEN "
+_CONTINUOUS_SQL = (f"CASE WHEN {_LOOSE} <> '' AND len(string_split({_LOOSE}, ',')) = {ACT_DIMS} THEN "
                    f"list_transform(string_split({_LOOSE}, ','), lambda x: CAST(trim(x) AS DOUBLE)) END")
 
 
@@ -338,18 +338,18 @@ _CONTINUOUS_SQL = (f"CASE WHEN {_LOOSE} <> '' AND len(string_split({_LOOSE}, ','
     "completions_continuous"))
 def extract_action_continuous(i: Inputs) -> DataFrame:
     return i.completions_continuous().select(
-        "prompt_id", "gen_id", as_text(parse.extract_action_continuous(F.col("completion"), 3)).alias("action"))
+        "prompt_id", "gen_id", as_text(parse.extract_action_continuous(F.col("completion"), ACT_DIMS)).alias("action"))
 
 
 @query("extract_action_tokenized", oracle(f"""
     SELECT prompt_id, gen_id,
-           CASE WHEN {_LOOSE_INT} <> '' AND len(ts) = 3 AND len(list_filter(ts, lambda t: t > 999)) = 0
+           CASE WHEN {_LOOSE_INT} <> '' AND len(ts) = {ACT_DIMS} AND len(list_filter(ts, lambda t: t > 999)) = 0
                 THEN {txt('list_transform(ts, lambda t: -1::DOUBLE + (t / 999::DOUBLE) * 2)')} END AS action
     FROM (SELECT *, list_transform(string_split({_LOOSE_INT}, ','), lambda x: TRY_CAST(trim(x) AS BIGINT)) AS ts
           FROM completions_tokenized)""", "completions_tokenized"))
 def extract_action_tokenized(i: Inputs) -> DataFrame:
     return i.completions_tokenized().select(
-        "prompt_id", "gen_id", as_text(parse.extract_action_tokenized(F.col("completion"), 3)).alias("action"))
+        "prompt_id", "gen_id", as_text(parse.extract_action_tokenized(F.col("completion"), ACT_DIMS)).alias("action"))
 
 
 @query("extract_action_discrete", oracle("""
@@ -396,7 +396,7 @@ def first_valid_attempt(i: Inputs) -> DataFrame:
 
 def _first_valid(i: Inputs) -> DataFrame:
     attempts = i.completions_continuous().withColumn("attempt", F.col("gen_id") + 1)
-    return evaluate.first_valid_attempt(attempts, parse.extract_action_continuous(F.col("completion"), 3), tol=2)
+    return evaluate.first_valid_attempt(attempts, parse.extract_action_continuous(F.col("completion"), ACT_DIMS), tol=2)
 
 
 @query("retry_stats", oracle(f"""

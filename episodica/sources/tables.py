@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..operators.skew import HOT_ROWS, number_rows
 
 GENERATIONS = 4
+#: Widths of the vectors: where they start in an embedding follows from them.
+OBS_DIMS, ACT_DIMS = 17, 6
 
 
 @dataclass(frozen=True)
@@ -32,11 +34,12 @@ class Inputs:
         cores = self.spark.sparkContext.defaultParallelism
         return df.repartition(cores, key) if self.table(name).rdd.getNumPartitions() < cores else df
 
-    def logged(self) -> DataFrame:
-        """Events with the embedding they refer to."""
+    def logged(self, events: DataFrame | None = None) -> DataFrame:
+        """Events (all of them, or rows made from them) with the embedding they refer to."""
         vectors = self.table("embeddings")
         size = vectors.agg(F.count(F.lit(1)).alias("n"))
-        events = self.table("events").withColumn("vec_id", F.pmod(F.col("event_id"), size.scalar()))
+        events = self.table("events") if events is None else events
+        events = events.withColumn("vec_id", F.pmod(F.col("event_id"), size.scalar()))
         return self._spread("events", events, "vec_id").join(self._spread("embeddings", vectors, "vec_id"), "vec_id")
 
     def transitions(self) -> DataFrame:
@@ -44,15 +47,16 @@ class Inputs:
         return _transition_columns(self.logged()).drop("ts")
 
     def steps(self, hot_rows: int = HOT_ROWS) -> DataFrame:
-        """Transitions with their step number inside the episode."""
-        return number_rows(_transition_columns(self.logged()), ["episode_id"], F.date_trunc("HOUR", F.col("ts")),
-                           ["ts", "prompt_id"], "step", hot_rows).drop("ts")
+        """Transitions with their step number inside the episode: events are numbered before vectors are joined."""
+        numbered = number_rows(self.table("events"), ["user_id"], F.date_trunc("MINUTE", F.col("ts")), ["ts", "event_id"],
+                               "step", hot_rows)
+        return _transition_columns(self.logged(numbered), F.col("step")).drop("ts")
 
     def rollouts(self) -> DataFrame:
         """Step log; ``done`` marks the last step of an episode."""
         log = self.table("events").select(F.col("user_id").alias("episode_id"), "ts",
                                           F.col("event_id").alias("prompt_id"), F.col("value").alias("reward"))
-        steps = number_rows(log, ["episode_id"], F.date_trunc("HOUR", F.col("ts")), ["ts", "prompt_id"], "step")
+        steps = number_rows(log, ["episode_id"], F.date_trunc("MINUTE", F.col("ts")), ["ts", "prompt_id"], "step")
         newest = F.max(F.struct("ts", F.col("event_id").alias("prompt_id"))).alias("m")
         last = self.table("events").groupBy("user_id").agg(newest).select(
             F.col("m.prompt_id").alias("prompt_id"), F.lit(True).alias("__last"))
@@ -68,12 +72,11 @@ class Inputs:
 
     def policy_outputs(self) -> DataFrame:
         """Transitions with the outputs of a policy and a reference policy."""
-        def part(start: int, size: int) -> Column:
-            return F.slice(F.col("embedding"), start, size).cast("array<double>")
-        rows = self.logged()
-        return _transition_columns(rows, *[
-            part(8, 3).alias("mean"), part(11, 3).alias("log_std"), part(14, 3).alias("ref_mean"),
-            part(17, 3).alias("ref_log_std"), part(20, 2).alias("logits")]).drop("ts")
+        start = OBS_DIMS + ACT_DIMS + 1
+        parts = [F.slice(F.col("embedding"), start + k * ACT_DIMS, size).cast("array<double>").alias(name)
+                 for k, (name, size) in enumerate((("mean", ACT_DIMS), ("log_std", ACT_DIMS), ("ref_mean", ACT_DIMS),
+                                                   ("ref_log_std", ACT_DIMS), ("logits", 2)))]
+        return _transition_columns(self.logged(), *parts).drop("ts")
 
     def completions_discrete(self, *keep: str) -> DataFrame:
         """Four completions per prompt in ten text shapes, with the named transition columns."""
@@ -103,7 +106,7 @@ class Inputs:
 
     def completions_tokenized(self, *keep: str) -> DataFrame:
         rows = _generated(self.transitions()).withColumn("v", F.transform(
-            F.array(F.lit(0), F.lit(1), F.lit(2)),
+            F.array(*[F.lit(d) for d in range(ACT_DIMS)]),
             lambda j: ((F.col("prompt_id") * 31 + F.col("gen_id") * 17 + j * 101) % 1000).cast("string")))
         v, k, end = F.col("v"), F.col("k"), F.lit("</action>")
         joined = F.array_join(v, ",")
@@ -142,8 +145,8 @@ class Inputs:
 def _transition_columns(rows: DataFrame, *more: Column) -> DataFrame:
     return rows.select(
         F.col("user_id").alias("episode_id"), F.col("event_id").alias("prompt_id"), "ts", "event_type",
-        F.slice("embedding", 1, 4).cast("array<double>").alias("observation"),
-        F.slice("embedding", 5, 3).cast("array<double>").alias("action"),
+        F.slice("embedding", 1, OBS_DIMS).cast("array<double>").alias("observation"),
+        F.slice("embedding", OBS_DIMS + 1, ACT_DIMS).cast("array<double>").alias("action"),
         (F.col("label") % 2).cast("int").alias("action_disc"), F.col("value").alias("reward"), *more)
 
 
