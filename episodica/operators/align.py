@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 100_000
-
-
-def broadcast_if_small(dim: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Mark a dimension table for broadcast after counting that it holds at most ``max_rows`` rows."""
-    return F.broadcast(dim) if dim.limit(max_rows + 1).count() <= max_rows else dim
-
-
 def join_completions_to_transitions(completions: DataFrame, transitions: DataFrame) -> DataFrame:
     """Each completion with the logged columns of its prompt. The join strategy is left to Spark."""
     return completions.join(transitions, "prompt_id")
@@ -26,28 +16,25 @@ def repeat_prompts(prompts: DataFrame, num_generations: int) -> DataFrame:
 
 
 def attach_prompt_config(rows: DataFrame, config: DataFrame, key: str = "env") -> DataFrame:
-    """Rows with the configuration of their environment; unknown environments are left out."""
-    return rows.join(broadcast_if_small(config), key)
+    """Rows with the configuration of their environment. A row of an unknown environment stays, with null columns and
+    the reason in ``reject``. Spark broadcasts the configuration if its size allows."""
+    known = config.withColumn("__known", F.lit(True))
+    reason = F.concat(F.lit("unknown environment: "), F.coalesce(F.col(key), F.lit("null")))
+    return rows.join(known, key, "left").withColumn("reject", F.when(F.col("__known").isNull(), reason)).drop("__known")
 
 
 def unmatched_config(rows: DataFrame, config: DataFrame, key: str = "env") -> DataFrame:
     """Error report: environments without configuration, with row counts."""
-    missing = rows.join(broadcast_if_small(config.select(key)), key, "left_anti")
+    missing = rows.join(config.select(key), key, "left_anti")
     return missing.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def compare_checkpoints(scored: dict[str, DataFrame], state_id: str, value: str) -> DataFrame:
-    """The same states under several model versions, one column per tag, and their extent."""
-    tagged = [df.select(state_id, F.lit(tag).alias("tag"), F.col(value).alias("v")) for tag, df in scored.items()]
-    rows = reduce(DataFrame.unionByName, tagged)
-    per_tag = [F.max(F.when(F.col("tag") == tag, F.col("v"))).alias(tag) for tag in scored]
-    return rows.groupBy(state_id).agg(*per_tag, F.min("v").alias("lowest"), F.max("v").alias("highest"))
+def compare_checkpoints(states: DataFrame, scores: dict[str, Column], state_id: str) -> DataFrame:
+    """The same states under several model versions, one column per tag, and their extent: one projection."""
+    rows = states.select(state_id, *[score.alias(tag) for tag, score in scores.items()])
+    return rows.withColumns({"lowest": F.least(*scores), "highest": F.greatest(*scores)})
 
 
 def attach_scalar(df: DataFrame, one_row: DataFrame, name: str) -> DataFrame:
     """Attach a one-row, one-column frame to every row."""
     return df.withColumn(name, one_row.scalar())
-
-
-def first_chat_content(messages: Column) -> Column:
-    return messages[0]["content"]

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.numbers import order_key
-from .ranking import first_k_by_hash, first_k_by_number
+from .ranking import first_k_by_hash
+from .sampling import head_rows
 from .skew import number_rows
 
 SEGMENT_STEPS = 10_000
@@ -111,7 +112,7 @@ def sample_episodes(transitions: DataFrame, n: int, seed: int) -> DataFrame:
 def take_episodes(transitions: DataFrame, k: int) -> DataFrame:
     """Episodes in order up to index k: the check comes after use, so k + 1 episodes."""
     ids = transitions.select("episode_id").distinct()
-    chosen = first_k_by_number(ids, "episode_id", k + 1)
+    chosen = head_rows(ids, k + 1, "episode_id")
     return transitions.join(chosen, "episode_id", "left_semi")
 
 

@@ -110,16 +110,15 @@ def early_stop_epoch(metrics: DataFrame, patience: int, min_delta: float = 0.0,
                        F.when(F.col("s.at") >= F.col("first"), F.col("s.at")).alias("best_epoch"))
 
 
-def offline_policy_eval(scored: dict[str, DataFrame]) -> DataFrame:
+def offline_policy_eval(logged: DataFrame, policies: dict[str, Column], reward: str = "reward") -> DataFrame:
     """Policies on logged transitions: error, disagreement and reward, best (least error) first.
 
-    Each frame holds squared_error, wrong (0/1) and reward for every logged step.
+    Each policy is a struct of squared_error and wrong (0/1). The log is read once; a row is repeated per policy after
+    scoring, and only sums are shuffled.
     """
-    tagged = [df.select(F.lit(n).alias("policy"), "squared_error", "wrong", "reward") for n, df in scored.items()]
-    rows = tagged[0]
-    for frame in tagged[1:]:
-        rows = rows.unionByName(frame)
-    report = rows.groupBy("policy").agg(
-        F.avg("squared_error").alias("mse"), F.avg("wrong").alias("zero_one_loss"),
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("policy"), p["squared_error"].alias("squared_error"),
+                                        p["wrong"].alias("wrong")) for name, p in policies.items()]))
+    report = logged.select(F.col(reward).alias("reward"), each.alias("p")).groupBy("p.policy").agg(
+        F.avg("p.squared_error").alias("mse"), F.avg("p.wrong").alias("zero_one_loss"),
         F.sum("reward").alias("total_reward"), F.count(F.lit(1)).alias("n_steps"))
     return report.orderBy("mse", "policy")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,47 +83,55 @@ def sweep_cells(steps: DataFrame, row_id: str, prediction: str, target: str, see
                 reward_scales: Sequence[float] = tuple(SWEEP_REWARD_SCALES)) -> DataFrame:
     """Average angle and magnitude ratio for each parameter cell, each row being one step.
 
-    The noise of a row is drawn once for the largest cell; each cell scales a prefix z of it. The
-    samples are prediction + sigma * z, so their weighted direction is sigma * sum(w z) / sum(w) and
-    flat number arrays suffice. Rows are averaged per cell before the shuffle.
+    The noise of a row is drawn once for the largest cell; each cell scales a prefix z of it. The samples are
+    prediction + sigma * z, so their weighted direction is sigma * sum(w z) / sum(w). NumPy runs all cells over each Arrow
+    batch and emits one row of sums per cell, so rows are not multiplied and only partial sums are shuffled. Standard
+    deviations are merged from per-batch means and squared distances.
     """
     pair = F.transform(F.sequence(F.lit(0), F.lit(max(n_samples) - 1)),
                        lambda i: let(numbers.uniform_pair(seed, F.col(row_id), i), numbers.normal_pair_from))
-    cells = F.array(*[F.struct(F.lit(n).alias("n_samples"), F.lit(float(s)).alias("sigma"),
-                               F.lit(float(k)).alias("reward_scale"))
-                      for n in n_samples for s in sigmas for k in reward_scales])
-    noise = let(pair, lambda z: F.struct(F.transform(z, lambda q: q[0]).alias("x"),
-                                         F.transform(z, lambda q: q[1]).alias("y")))
-    p, t = F.col(prediction), F.col(target)
-    gap = let(vectors.sub(t, p), lambda g: F.struct(g[0].alias("x"), g[1].alias("y")))
-    expanded = (steps.select(noise.alias("z"), gap.alias("g")).select("z", "g", F.explode(cells).alias("c"))
-                .select("c.*", F.col("g.x").alias("gx"), F.col("g.y").alias("gy"),
-                        F.slice("z.x", F.lit(1), F.col("c.n_samples")).alias("zx"),
-                        F.slice("z.y", F.lit(1), F.col("c.n_samples")).alias("zy")))
-    sigma, k = F.col("sigma"), F.col("reward_scale")
-    scores = F.zip_with("zx", "zy", lambda a, b: -k * (
-        (sigma * a - F.col("gx")) * (sigma * a - F.col("gx")) + (sigma * b - F.col("gy")) * (sigma * b - F.col("gy"))))
-
-    def weighted(top: Column, scored: Column) -> Column:
-        powers = F.transform(scored, lambda r: F.exp(r - top))
-        return let(powers, lambda w: F.struct(
-            (vectors.total(w) + 1e-8 * F.exp(-top)).alias("d"), vectors.dot(w, F.col("zx")).alias("x"),
-            vectors.dot(w, F.col("zy")).alias("y")))
-
-    mean = let(scores, lambda r: let(F.array_max(r), lambda top: weighted(top, r)))
-    compared = (expanded.select("n_samples", sigma, k, "gx", "gy", mean.alias("v"))
-                .select("n_samples", "sigma", "reward_scale", "gx", "gy",
-                        (sigma * F.col("v.x") / F.col("v.d")).alias("wx"),
-                        (sigma * F.col("v.y") / F.col("v.d")).alias("wy"))
-                .withColumns({"mse_magnitude": F.hypot("gx", "gy"), "grpo_magnitude": F.hypot("wx", "wy")}))
-    m, g = F.col("mse_magnitude"), F.col("grpo_magnitude")
-    # Conditions inside the aggregate: a filter here would be pushed down with the whole computation.
+    rows = steps.select(pair.alias("z"), vectors.sub(F.col(target), F.col(prediction)).alias("gap"))
+    grid = [(int(n), float(s), float(k)) for n in n_samples for s in sigmas for k in reward_scales]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            noise = batch.column(0).flatten().flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1, 2)
+            gap = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)[:, :2]
+            columns = list(zip(*[(*cell, *_cell_sums(noise[:, :cell[0]], gap, *cell[1:])) for cell in grid]))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *map(pa.array, columns[1:])], names=_CELL_COLUMNS)
+
+    sums = rows.mapInArrow(run, "n_samples int, sigma double, reward_scale double, n bigint, angle double, spread double, "
+                                "ratio double")
+    sums = sums.withColumn("n", F.col("n").cast("double")).groupBy("n_samples", "sigma", "reward_scale").agg(
+        F.sum("n").alias("n"), F.sum("angle").alias("angle"), F.sum("ratio").alias("ratio"), F.sum("spread").alias("spread"),
+        F.sum(F.when(F.col("n") > 0, F.col("angle") * F.col("angle") / F.col("n"))).alias("squares"))
+    mean = F.col("angle") / F.col("n")
+    variance = (F.col("spread") + F.col("squares")) / F.col("n") - mean * mean
+    return sums.where("n > 0").select(
+        "n_samples", "sigma", "reward_scale", mean.alias("avg_angle_diff"),
+        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std_angle_diff"), (F.col("ratio") / F.col("n")).alias("avg_magnitude_ratio"))
+
+
+_CELL_COLUMNS = ["n_samples", "sigma", "reward_scale", "n", "angle", "spread", "ratio"]
+
+
+def _cell_sums(noise: np.ndarray, gap: np.ndarray, sigma: float, scale: float) -> tuple[int, float, float, float]:
+    """Steps that move, the sum of their angles, of its squared distances from the mean, and of their magnitude ratios."""
+    apart = sigma * noise - gap[:, None, :]
+    score = -scale * (apart * apart).sum(axis=2)
+    top = score.max(axis=1)
+    weight = np.exp(score - top[:, None])
+    total = weight.sum(axis=1) + 1e-8 * np.exp(-top)
+    mean = sigma * (weight[:, :, None] * noise).sum(axis=1) / total[:, None]
+    m, g = np.hypot(gap[:, 0], gap[:, 1]), np.hypot(mean[:, 0], mean[:, 1])
     moving = (m > 0) & (g > 0)
-    cosine = (F.col("gx") * F.col("wx") + F.col("gy") * F.col("wy")) / (m * g)
-    angle = F.when(moving, F.degrees(F.acos(vectors.clamp(cosine, -1.0, 1.0))))
-    return compared.groupBy("n_samples", "sigma", "reward_scale").agg(
-        F.avg(angle).alias("avg_angle_diff"), F.stddev_pop(angle).alias("std_angle_diff"),
-        F.avg(F.when(moving, g / m)).alias("avg_magnitude_ratio"))
+    m, g, mean, gap = m[moving], g[moving], mean[moving], gap[moving]
+    if not len(m):
+        return 0, 0.0, 0.0, 0.0
+    angle = np.degrees(np.arccos(np.clip((gap * mean).sum(axis=1) / (m * g), -1.0, 1.0)))
+    return len(m), float(angle.sum()), float(((angle - angle.mean()) ** 2).sum()), float((g / m).sum())
 
 
 def reinforce_gradients(df: DataFrame, x: Column, f: Column, y: Column, row_id: Column, n: int, sigma: float,

@@ -22,9 +22,15 @@ def random_sample_n(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     return first_k_by_hash(df, row_id, seed, n).where("chosen").drop("chosen")
 
 
-def head_rows(df: DataFrame, k: int, key: str) -> DataFrame:
-    """The first k rows by a unique integer key; k <= 0 keeps all."""
-    return first_k_by_number(df, key, k) if k > 0 else df
+def head_rows(df: DataFrame, k: int, key: str, in_one_task: int = 10_000) -> DataFrame:
+    """The first k rows by a unique integer key; k <= 0 keeps all.
+
+    Up to ``in_one_task`` rows each task keeps its first k and one task merges them, in one pass; above it the cut key is
+    found first. Both give the same rows.
+    """
+    if k <= 0:
+        return df
+    return df.orderBy(key).limit(k) if k <= in_one_task else first_k_by_number(df, key, k)
 
 
 def train_test_split(df: DataFrame, row_id: str, seed: int, test_size: float = 0.1) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -75,10 +75,9 @@ def score_categorical_policy(i: Inputs) -> DataFrame:
     FROM {forward_sql(POLICY, 'transitions', 'prompt_id', 'observation')} a
     JOIN {forward_sql(POLICY_OTHER, 'transitions', 'prompt_id', 'observation')} b USING (prompt_id)""", "transitions"))
 def compare_checkpoints(i: Inputs) -> DataFrame:
-    def scored(layers: list) -> DataFrame:
-        action = scoring.score_mlp_policy(i.spark, _network(i, layers), F.col("observation"))
-        return i.transitions().select("prompt_id", action[0].alias("v"))
-    rows = align.compare_checkpoints({"early": scored(POLICY), "late": scored(POLICY_OTHER)}, "prompt_id", "v")
+    def score(layers: list) -> Column:
+        return scoring.score_mlp_policy(i.spark, _network(i, layers), F.col("observation"))[0]
+    rows = align.compare_checkpoints(i.transitions(), {"early": score(POLICY), "late": score(POLICY_OTHER)}, "prompt_id")
     return rows.select("prompt_id", *[rounded(c, 5).alias(c) for c in ("early", "late", "lowest", "highest")])
 
 
@@ -88,21 +87,25 @@ _RANDOM_SQL = "[" + ", ".join(f"-1::DOUBLE + {hash_uniform(34, 'prompt_id', str(
 @query("offline_policy_eval", oracle(f"""
     SELECT policy, {rnd('avg(e)', 5)} AS mse, {rnd('avg(wrong)', 5)} AS zero_one_loss,
            {rnd('sum(reward)', 2)} AS total_reward, count(*) AS n_steps
-    FROM (SELECT 'mlp' AS policy, {mse_sql('y', 'action')} AS e, CASE WHEN action_disc = 0 THEN 0::DOUBLE ELSE 1::DOUBLE END AS wrong, reward
-          FROM {forward_sql(POLICY, 'transitions', 'prompt_id, action, action_disc, reward', 'observation')}
+    FROM (SELECT 'mlp' AS policy, {mse_sql('m.y', 'action')} AS e,
+                 CASE WHEN action_disc = CASE WHEN c.y[1] >= c.y[2] THEN 0 ELSE 1 END THEN 0::DOUBLE ELSE 1::DOUBLE END AS wrong, reward
+          FROM {forward_sql(POLICY, 'transitions', 'prompt_id, action, action_disc, reward', 'observation')} m
+          JOIN {_CATEGORICAL} c USING (prompt_id)
           UNION ALL SELECT 'constant', {mse_sql('[' + ', '.join(['0::DOUBLE'] * ACT_DIMS) + ']', 'action')},
                  CASE WHEN action_disc = 0 THEN 0::DOUBLE ELSE 1::DOUBLE END, reward FROM transitions
           UNION ALL SELECT 'random', {mse_sql(_RANDOM_SQL, 'action')},
                  CASE WHEN action_disc = floor({hash_uniform(35, 'prompt_id')} * 2) THEN 0::DOUBLE ELSE 1::DOUBLE END, reward
           FROM transitions) GROUP BY policy""", "transitions"))
 def offline_policy_eval(i: Inputs) -> DataFrame:
-    def against_log(action, choice) -> DataFrame:
-        return i.transitions().select(
-            vectors.mse(action, F.col("action")).alias("squared_error"),
-            F.when(choice == F.col("action_disc"), 0.0).otherwise(1.0).alias("wrong"), "reward")
+    def against_log(action: Column, choice: Column) -> Column:
+        return F.struct(vectors.mse(action, F.col("action")).alias("squared_error"),
+                        F.when(choice == F.col("action_disc"), 0.0).otherwise(1.0).alias("wrong"))
     state, zero = F.col("prompt_id"), F.lit(0)
-    report = evaluate.offline_policy_eval({
-        "mlp": against_log(scoring.score_mlp_policy(i.spark, _network(i, POLICY), F.col("observation")), zero),
+    scored = i.transitions().withColumns({
+        "y": scoring.score_mlp_policy(i.spark, _network(i, POLICY), F.col("observation")),
+        "logits": scoring.score_mlp_policy(i.spark, _network(i, CATEGORICAL_POLICY), F.col("observation"), "logits")})
+    report = evaluate.offline_policy_eval(scored, {
+        "mlp": against_log(F.col("y"), vectors.argmax(F.col("logits"))),
         "constant": against_log(policies.constant_action(ACT_DIMS), zero),
         "random": against_log(policies.random_action(state, [(-1.0, 1.0)] * ACT_DIMS, 34),
                               policies.random_discrete_action(state, 2, 35))})

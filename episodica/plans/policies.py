@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy, vectors
 from ..operators import gradients, groups, policies, stats
-from ..sources.tables import ACT_DIMS, OBS_DIMS, Inputs
+from ..sources.tables import ACT_DIMS, Inputs
 from .data import with_stats
 from .networks import normalized_sql
 from .registry import as_text, hash_normal, hash_uniform, oracle, query, rnd, rounded, txt
@@ -167,12 +167,10 @@ def baseline_policies(i: Inputs) -> DataFrame:
                 FROM (SELECT action_disc, unnest(action) AS x, generate_subscripts(action, 1) AS pos FROM transitions)
                 GROUP BY 1, 2), (SELECT unnest(range(100)) AS point) p)""", "transitions"))
 def gaussian_pdf_grid(i: Inputs) -> DataFrame:
-    def fitted(model: int) -> DataFrame:
-        rows = i.transitions().where(F.col("action_disc") == model)
-        one = stats.normalization_stats(rows, state_dim=OBS_DIMS, action_dim=ACT_DIMS)
-        return one.select(F.lit(model).alias("model"), F.col("action_mean").alias("mean"),
-                          F.col("action_std").alias("std"))
-    grid = policies.gaussian_pdf_grid(fitted(0).unionByName(fitted(1)), ["model"])
+    dims = [F.get("action", F.lit(d)) for d in range(ACT_DIMS)]
+    fitted = i.transitions().groupBy(F.col("action_disc").alias("model")).agg(
+        F.array(*[F.avg(x) for x in dims]).alias("mean"), F.array(*[F.stddev_samp(x) + 1e-8 for x in dims]).alias("std"))
+    grid = policies.gaussian_pdf_grid(fitted, ["model"])
     return grid.select("model", F.col("dim").cast("bigint").alias("dim"), F.col("point").cast("bigint").alias("point"),
                        rounded("x", 5).alias("x"), rounded("pdf", 5).alias("pdf"))
 
@@ -271,8 +269,8 @@ def gradient_series_stats(i: Inputs) -> DataFrame:
     return gradients.gradient_series_stats(_compared(i)).select(*[rounded(c, 4).alias(c) for c in _SERIES])
 
 
-# A smaller grid than the default of sweep_cells; every logged transition is a step of every cell.
-GRID = {"n_samples": [5, 10, 20], "sigmas": [0.2, 0.5, 0.8], "reward_scales": [1.0, 2.0, 3.0]}
+# Every logged transition is a step of every cell of the whole grid.
+GRID = {"n_samples": gradients.SWEEP_SAMPLES, "sigmas": gradients.SWEEP_SIGMAS, "reward_scales": gradients.SWEEP_REWARD_SCALES}
 _CELLS = {"noise": f"SELECT observation[1:2] AS p, action[1:2] AS t, {_pair_sql(38, '20')} AS z FROM transitions",
           "expanded": f"""
     SELECT n_samples, sigma, reward_scale, p, t,
@@ -289,7 +287,7 @@ _CELLS = {"noise": f"SELECT observation[1:2] AS p, action[1:2] AS t, {_pair_sql(
 def _cells(i: Inputs) -> DataFrame:
     steps = i.transitions().select("prompt_id", F.slice("observation", 1, 2).alias("p"),
                                    F.slice("action", 1, 2).alias("t"))
-    return gradients.sweep_cells(steps, "prompt_id", "p", "t", 38, **GRID)
+    return gradients.sweep_cells(steps, "prompt_id", "p", "t", 38)
 
 
 @query("sweep_cells", oracle(f"""

@@ -188,24 +188,26 @@ def _env_prompt_sql() -> str:
     return f"CASE {_ENV_SQL} {' '.join(cases)} END"
 
 
+_REJECT_SQL = f"CASE WHEN {_env_prompt_sql()} IS NULL THEN 'unknown environment: ' || {_ENV_SQL} END"
+
+
 @query("build_env_prompt", oracle(f"""
-    SELECT prompt_id, {_env_prompt_sql()} AS prompt FROM transitions
-    WHERE event_type IN ('click', 'view', 'error')""", "transitions"))
+    SELECT prompt_id, {_env_prompt_sql()} AS prompt, {_REJECT_SQL} AS reject FROM transitions""", "transitions"))
 def build_env_prompt(i: Inputs) -> DataFrame:
     specs = env_specs(i)
     prompts = specs.select("env", text.build_env_prompt({c: F.col(c) for c in specs.columns}).alias("prompt"))
-    return align.attach_prompt_config(i.environments(i.transitions()), prompts).select("prompt_id", "prompt")
+    return align.attach_prompt_config(i.environments(i.transitions()), prompts).select("prompt_id", "prompt", "reject")
 
 
 @query("fill_observation", oracle(f"""
     SELECT prompt_id, replace({_env_prompt_sql()}, '[OBSERVATION_PLACEHOLDER]',
-                              '[' || {txt('observation', 5, ', ')} || ']') AS prompt FROM transitions
-    WHERE event_type IN ('click', 'view', 'error')""", "transitions"))
+                              '[' || {txt('observation', 5, ', ')} || ']') AS prompt, {_REJECT_SQL} AS reject
+    FROM transitions""", "transitions"))
 def fill_observation(i: Inputs) -> DataFrame:
     specs = env_specs(i)
     prompts = specs.select("env", text.build_env_prompt({c: F.col(c) for c in specs.columns}).alias("p"))
     rows = align.attach_prompt_config(i.environments(i.transitions()), prompts)
-    return rows.select("prompt_id", text.fill_observation(F.col("p"), F.col("observation")).alias("prompt"))
+    return rows.select("prompt_id", text.fill_observation(F.col("p"), F.col("observation")).alias("prompt"), "reject")
 
 
 @query("attach_prompt_config", oracle(f"""
@@ -214,10 +216,8 @@ def fill_observation(i: Inputs) -> DataFrame:
 def attach_prompt_config(i: Inputs) -> DataFrame:
     rows = i.environments(i.transitions()).select("env")
     config = env_specs(i).select("env", "obs_dim")
-    known = (align.attach_prompt_config(rows, config).groupBy("env")
-             .agg(F.count(F.lit(1)).alias("n_rows"), F.max("obs_dim").alias("obs_dim")))
-    unknown = align.unmatched_config(rows, config).withColumn("obs_dim", F.lit(None).cast("int"))
-    return known.unionByName(unknown)
+    return align.attach_prompt_config(rows, config).groupBy("env").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("obs_dim").alias("obs_dim"))
 
 
 @query("truncate_text", oracle("""
@@ -238,12 +238,11 @@ _SHOTS = f"""
 
 
 @query("append_few_shot_examples", oracle(f"""
-    SELECT env, 'Control ' || env || '.' || chr(10) || blocks AS prompt FROM ({_SHOTS}) WHERE env <> 'Hopper-v4'""",
-    "transitions"))
+    SELECT env, 'Control ' || env || '.' || chr(10) || blocks AS prompt FROM ({_SHOTS})""", "transitions"))
 def append_few_shot_examples(i: Inputs) -> DataFrame:
     rows = i.environments(i.transitions()).select(
         "env", F.col("prompt_id").alias("id"), as_text("observation").alias("obs"), as_text("action").alias("action"))
-    prompts = env_specs(i).select("env", F.format_string("Control %s.\n", "env").alias("prompt"))
+    prompts = rows.select("env").distinct().select("env", F.format_string("Control %s.\n", "env").alias("prompt"))
     return episodes.append_few_shot_examples(prompts, rows, 3, seed=21)
 
 
@@ -274,11 +273,12 @@ def model_short_name(i: Inputs) -> DataFrame:
       UNION ALL SELECT 'action', unnest(ranges), generate_subscripts(ranges, 1) FROM action_ranges)""",
     "obs_ranges", "action_ranges"))
 def dim_ranges(i: Inputs) -> DataFrame:
-    def rows(side: str, dim: int) -> DataFrame:
-        found = stats.dim_ranges(i.transitions(), side, dim)
-        return found.select(F.lit(side).alias("side"), F.posexplode("ranges").alias("dim", "r")).select(
-            "side", F.col("dim").cast("bigint").alias("dim"), F.col("r.min").alias("lo"), F.col("r.max").alias("hi"))
-    return rows("observation", OBS_DIMS).unionByName(rows("action", ACT_DIMS))
+    both = i.transitions().select(F.concat("observation", "action").alias("v"))  # one pass for both vectors
+    found = stats.dim_ranges(both, "v", OBS_DIMS + ACT_DIMS).select(F.posexplode("ranges").alias("at", "r"))
+    action = F.col("at") >= OBS_DIMS
+    return found.select(F.when(action, "action").otherwise("observation").alias("side"),
+                        (F.col("at") - F.when(action, OBS_DIMS).otherwise(0)).cast("bigint").alias("dim"),
+                        F.col("r.min").alias("lo"), F.col("r.max").alias("hi"))
 
 
 @query("apply_ranges", oracle("""

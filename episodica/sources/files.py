@@ -73,7 +73,8 @@ def eval_log_pairs(evaluated: DataFrame, responses: DataFrame, n: int, seed: int
     """n random evaluation rows as (id, query, response); responses are joined by id."""
     picked = random_sample_n(evaluated, row_id, n, seed)
     queries = picked.select(row_id, text.chat_query(F.col("messages")).alias("query"))
-    return queries.join(responses.select(row_id, "response"), row_id, "left")
+    wanted = responses.select(row_id, "response").join(F.broadcast(queries.select(row_id)), row_id, "left_semi")  # n ids
+    return queries.join(wanted, row_id, "left")
 
 
 def write_eval_log(pairs: DataFrame, path: str) -> None:
