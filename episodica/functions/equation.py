@@ -15,16 +15,23 @@ from pyspark.sql import types as T
 ANSWER = r"(?d)<answer>(.*?)</answer>"
 ALLOWED = r"^[\d+\-*/().\s]+$"
 TOLERANCE = 1e-5
-MAX_BITS = 16384
+#: Integer powers above so many bits are not computed. As a whole answer they are unequal to any target; inside a larger
+#: expression the answer stays undecided and its reward is null.
+MAX_BITS = 1_000_000
 
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv,
            ast.FloorDiv: operator.floordiv}
 _UNARY = {ast.UAdd: operator.pos, ast.USub: operator.neg}
 
 
+class Undecided(Exception):
+    """A power too large to compute."""
+
+
 def _power(base, exponent):
-    if exponent and abs(base) > 1 and abs(exponent) * math.log2(abs(base)) > MAX_BITS:
-        raise OverflowError("power too large")
+    whole = isinstance(base, int) and isinstance(exponent, int)
+    if whole and exponent > 0 and abs(base) > 1 and exponent * math.log2(abs(base)) > MAX_BITS:
+        raise Undecided
     return base ** exponent
 
 
@@ -44,15 +51,29 @@ def _value(node):
 
 
 def arithmetic_value(text: str | None) -> float | None:
-    """Value of an arithmetic expression, None when it has none."""
+    """Value of an arithmetic expression: None when it has none, infinity beyond doubles, NaN when it is undecided."""
     if text is None:
         return None
     try:
-        return float(_value(ast.parse(text, mode="eval")))
+        tree = ast.parse(text, mode="eval")
+        return float(_value(tree))
+    except Undecided:
+        match tree.body:
+            case ast.BinOp(op=ast.Pow(), left=left, right=right) if not _undecided(left) and not _undecided(right):
+                return math.inf
+        return math.nan
     except Exception:
         return None
 
 
+def _undecided(node) -> bool:
+    try:
+        _value(node)
+    except Undecided:
+        return True
+    return False
+
+
 @F.arrow_udf(T.DoubleType())
 def _evaluate(expressions: pa.Array) -> pa.Array:
     return pa.array([arithmetic_value(e) for e in expressions.to_pylist()], pa.float64())
@@ -72,6 +93,6 @@ def equation_candidate(completion: Column, nums: Column) -> Column:
 
 
 def reward_equation(completion: Column, target: Column, nums: Column) -> Column:
-    """1.0 when the answer uses the numbers exactly once each and equals the target, else 0.0."""
+    """1.0 when the answer uses the numbers exactly once each and equals the target, else 0.0; null if undecided."""
     value = _evaluate(equation_candidate(completion, nums))
-    return F.when(F.abs(value - target) < TOLERANCE, 1.0).otherwise(0.0)
+    return F.when(F.isnan(value), F.lit(None).cast("double")).when(F.abs(value - target) < TOLERANCE, 1.0).otherwise(0.0)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Use a value several times, or inside a lambda, and compute it once per row.
 
@@ -45,7 +46,11 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def mse(a: Column, b: Column) -> Column:
-    return squared_distance(a, b) / F.size(b)
+    """Mean squared difference; vectors of different sizes raise an error, a null vector gives null."""
+    uneven = F.raise_error(F.lit("vectors differ in length")).cast("double")
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: F.when(
+        p["a"].isNotNull() & p["b"].isNotNull(), F.when(F.size(p["a"]) != F.size(p["b"]), uneven).otherwise(
+            squared_distance(p["a"], p["b"]) / F.size(p["b"]))))
 
 
 def argmax(v: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
 from .sampling import train_val_split_exact
 
 
@@ -19,9 +20,16 @@ def features(vector: Column) -> Column:
     return array_to_vector(vector)
 
 
-def _split(df: DataFrame, vector: Column, label: Column, row_id: str, seed: int, val_split: float):
-    rows = train_val_split_exact(df, row_id, seed, val_split).select(
-        "split", features(vector).alias("raw"), label.cast("double").alias("label"))
+def split_rows(df: DataFrame, row_id: str = "prompt_id", seed: int = 42, val_split: float = 0.1) -> DataFrame:
+    """Rows with their ``split``, written once to the shared folder and read by scaler, fit and evaluation."""
+    path = scratch_dir(df.sparkSession, "split")
+    rows = train_val_split_exact(df, row_id, seed, val_split)
+    rows.write.parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _parts(split: DataFrame, vector: Column, label: Column) -> tuple[DataFrame, DataFrame]:
+    rows = split.select("split", features(vector).alias("raw"), label.cast("double").alias("label"))
     return rows.where(F.col("split") == "train"), rows.where(F.col("split") == "val")
 
 
@@ -38,32 +46,29 @@ def _regressor(kind: str):
     raise ValueError("kind must be 'linear' or 'gbt'")
 
 
-def fit_reward_regressor(df: DataFrame, row_id: str = "prompt_id", seed: int = 42, val_split: float = 0.1,
-                         kind: str = "linear"):
-    """Learn reward from (state, action). Returns the model and its validation RMSE."""
-    train, val = _split(df, F.concat("observation", "action"), F.col("reward"), row_id, seed, val_split)
+def fit_reward_regressor(split: DataFrame, kind: str = "linear"):
+    """Learn reward from (state, action) of the rows of ``split_rows``. Returns the model and its validation RMSE."""
+    train, val = _parts(split, F.concat("observation", "action"), F.col("reward"))
     model = _pipeline(_regressor(kind)).fit(train)
     return model, RegressionEvaluator(metricName="rmse").evaluate(model.transform(val))
 
 
-def fit_bc_continuous(df: DataFrame, dim: int, row_id: str = "prompt_id", seed: int = 42, val_split: float = 0.1,
-                      kind: str = "linear"):
+def fit_bc_continuous(split: DataFrame, dim: int, kind: str = "linear"):
     """Learn each action dimension from the observation. Returns models and validation MSEs."""
     models, errors = [], []
     for i in range(dim):
-        train, val = _split(df, F.col("observation"), F.get("action", F.lit(i)), row_id, seed, val_split)
+        train, val = _parts(split, F.col("observation"), F.get("action", F.lit(i)))
         model = _pipeline(_regressor(kind)).fit(train)
         models.append(model)
         errors.append(RegressionEvaluator(metricName="mse").evaluate(model.transform(val)))
     return models, errors
 
 
-def fit_bc_discrete(df: DataFrame, n_actions: int, obs_dim: int, row_id: str = "prompt_id", seed: int = 42,
-                    val_split: float = 0.1, kind: str = "logistic"):
+def fit_bc_discrete(split: DataFrame, n_actions: int, obs_dim: int, kind: str = "logistic", seed: int = 42):
     """Learn discrete actions by cross entropy. Returns the model and the validation 0-1 loss."""
-    train, val = _split(df, F.col("observation"), F.col("action_disc"), row_id, seed, val_split)
+    train, val = _parts(split, F.col("observation"), F.col("action_disc"))
     if kind == "logistic":
-        estimator = LogisticRegression(maxIter=20)
+        estimator = LogisticRegression(maxIter=100, tol=1e-9)
     elif kind == "mlp":
         estimator = MultilayerPerceptronClassifier(layers=[obs_dim, 64, 64, n_actions], seed=seed, maxIter=50)
     else:

@@ -79,7 +79,7 @@ def write_completion_samples(i: Inputs) -> DataFrame:
 
 @query("write_success_samples", oracle(f"""
     SELECT '<think>' || completion AS line, count(*) AS n FROM countdown
-    WHERE item_id % 6 = 0 AND {hash_uniform(12, 'item_id')} < 0.1 GROUP BY line""", "countdown"))
+    WHERE item_id % 6 IN (0, 1) AND abs(a + b * 3 - target) < 1e-5 AND {hash_uniform(12, 'item_id')} < 0.1 GROUP BY line""", "countdown"))
 def write_success_samples(i: Inputs) -> DataFrame:
     scored = i.countdown().withColumn("reward", reward_equation(
         F.col("completion"), F.col("target"), F.col("nums")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import policy
-from ..operators import evaluate, groups, sampling
+from ..operators import groups, sampling
 from ..sources.tables import Inputs
 from .registry import hash_key, hash_uniform, oracle, query, rnd, rounded
 from .rewards import BC_DISCRETE_SQL, FORMAT_DISCRETE_SQL, discrete_scores
@@ -36,24 +36,6 @@ def group_advantage_unscaled(i: Inputs) -> DataFrame:
     return rows.select("prompt_id", "gen_id", rounded("advantage", 4).alias("advantage"))
 
 
-@query("reward_report", oracle(f"""
-    SELECT metric, {rnd('v', 4)} AS value FROM (
-      SELECT 'rewards/format' AS metric, avg(reward_format) AS v FROM advantages
-      UNION ALL SELECT 'rewards/bc', avg(reward_bc) FROM advantages
-      UNION ALL SELECT 'rewards/log', 0::DOUBLE
-      UNION ALL SELECT 'reward', avg(reward) FROM advantages
-      UNION ALL SELECT 'reward_std', avg(group_std) FROM advantages
-      UNION ALL SELECT 'advantage', avg(advantage) FROM advantages
-      UNION ALL SELECT 'ratio', avg(exp(0.01::DOUBLE * reward)) FROM advantages
-      UNION ALL SELECT 'kl', avg(0.5::DOUBLE * reward * reward) FROM advantages)""",
-    "completions_discrete", more=ADVANTAGES))
-def reward_report(i: Inputs) -> DataFrame:
-    rows = groups.group_advantage(discrete_scores(i)).withColumns({
-        "ratio": F.exp(F.col("reward") * 0.01), "kl": F.col("reward") * F.col("reward") * 0.5})
-    report = evaluate.reward_report(rows, ["reward_log", "reward_format", "reward_bc"], ["advantage", "ratio", "kl"])
-    return report.select("metric", rounded("value", 4).alias("value"))
-
-
 @query("minmax_scale_group", oracle(f"""
     SELECT prompt_id, gen_id, {rnd('scaled')} AS scaled, {rnd('50 + 100 * scaled', 4)} AS marker_size
     FROM (SELECT prompt_id, gen_id, (reward - min(reward) OVER w) / (max(reward) OVER w - min(reward) OVER w + 1e-8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from ..sources.tables import ACT_DIMS, OBS_DIMS, Inputs
 from .data import with_stats
 from .networks import (CATEGORICAL_POLICY, GAUSSIAN_POLICY, POLICY, POLICY_OTHER, REWARD_MODEL, forward_sql,
                        network_frame, normalized_sql)
-from .registry import as_text, hash_uniform, oracle, query, rnd, rounded, txt
+from .registry import as_text, hash_key, hash_uniform, oracle, query, rnd, rounded, txt
 from .rewards import mse_sql
 
 
@@ -113,28 +114,50 @@ def offline_policy_eval(i: Inputs) -> DataFrame:
                          rounded("total_reward", 2).alias("total_reward"), "n_steps")
 
 
-@query("fit_reward_regressor")
+# A least-squares or logistic fit is the one whose residuals are orthogonal to every feature on the training rows.
+_SPLIT = {"split": f"""
+    SELECT *, CASE WHEN row_number() OVER (ORDER BY {hash_key(42, 'prompt_id')}, prompt_id)
+                        <= round_even(count(*) OVER () * 0.1::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split FROM transitions"""}
+
+
+def _moments_sql(labels: list[str], features: int) -> str:
+    zero = " UNION ALL ".join(f"SELECT '{label}/' || j AS name, 0::DOUBLE AS value FROM range({features + 1}) t(j)" for label in labels)
+    return oracle(f"{zero} UNION ALL SELECT 'rows/' || split, count(*)::DOUBLE FROM split GROUP BY split", "transitions", more=_SPLIT)
+
+
+def _moments(split: DataFrame, residuals: dict[str, tuple[DataFrame, Column]], features: Column, dim: int, digits: int) -> DataFrame:
+    """Mean residual (feature 0) and mean residual times each feature on the training rows, and the rows of each part."""
+    out = split.groupBy(F.concat(F.lit("rows/"), "split").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    for label, (rows, residual) in residuals.items():
+        x = F.concat(F.array(F.lit(1.0)), features)
+        means = rows.where("split = 'train'").agg(*[rounded(F.avg(residual * F.get(x, F.lit(j))), digits).alias(f"{label}/{j}")
+                                                    for j in range(dim + 1)])
+        out = out.unionByName(means.unpivot([], means.columns, "name", "value"))
+    return out
+
+
+@query("fit_reward_regressor", _moments_sql(["reward"], OBS_DIMS + ACT_DIMS))
 def fit_reward_regressor(i: Inputs) -> DataFrame:
-    """Predictions of the fitted model beside the logged reward, with the validation error."""
-    model, rmse = fits.fit_reward_regressor(i.transitions())
-    rows = i.transitions().select("prompt_id", "reward", fits.features(
-        F.concat("observation", "action")).alias("raw"))
-    return model.transform(rows).select("prompt_id", "reward", F.round("prediction", 4).alias("prediction"),
-                                        F.lit(round(rmse, 6)).alias("val_rmse"))
+    split = fits.split_rows(i.transitions())
+    model, _ = fits.fit_reward_regressor(split)
+    x = F.concat("observation", "action")
+    rows = model.transform(split.withColumn("raw", fits.features(x)))
+    return _moments(split, {"reward": (rows, F.col("prediction") - F.col("reward"))}, x, OBS_DIMS + ACT_DIMS, 6)
 
 
-@query("fit_bc_continuous")
+@query("fit_bc_continuous", _moments_sql([f"action_{d}" for d in range(ACT_DIMS)], OBS_DIMS))
 def fit_bc_continuous(i: Inputs) -> DataFrame:
-    models, errors = fits.fit_bc_continuous(i.transitions(), ACT_DIMS)
-    rows = i.transitions().select("prompt_id", fits.features(F.col("observation")).alias("raw"))
-    for d, model in enumerate(models):
-        rows = model.transform(rows).withColumn(f"action_{d}", F.round("prediction", 5)).drop("features", "prediction")
-    return rows.drop("raw").withColumns({f"val_mse_{d}": F.lit(round(e, 6)) for d, e in enumerate(errors)})
+    split = fits.split_rows(i.transitions())
+    models, _ = fits.fit_bc_continuous(split, ACT_DIMS)
+    raw = split.withColumn("raw", fits.features(F.col("observation")))
+    residuals = {f"action_{d}": (model.transform(raw), F.col("prediction") - F.get("action", F.lit(d))) for d, model in enumerate(models)}
+    return _moments(split, residuals, F.col("observation"), OBS_DIMS, 6)
 
 
-@query("fit_bc_discrete")
+@query("fit_bc_discrete", _moments_sql(["action"], OBS_DIMS))
 def fit_bc_discrete(i: Inputs) -> DataFrame:
-    model, loss = fits.fit_bc_discrete(i.transitions(), 2, OBS_DIMS)
-    rows = i.transitions().select("prompt_id", "action_disc", fits.features(F.col("observation")).alias("raw"))
-    return model.transform(rows).select("prompt_id", "action_disc", F.col("prediction").cast("int").alias("predicted"),
-                                        F.lit(round(loss, 6)).alias("val_zero_one_loss"))
+    split = fits.split_rows(i.transitions())
+    model, _ = fits.fit_bc_discrete(split, 2, OBS_DIMS)
+    rows = model.transform(split.withColumn("raw", fits.features(F.col("observation"))))
+    residual = F.get(vector_to_array("probability"), F.lit(1)) - F.col("action_disc")
+    return _moments(split, {"action": (rows, residual)}, F.col("observation"), OBS_DIMS, 4)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import policy, vectors
-from ..operators import gradients, groups, policies, stats
+from ..operators import evaluate, gradients, groups, policies, stats
 from ..sources.tables import ACT_DIMS, Inputs
 from .data import with_stats
 from .networks import normalized_sql
@@ -105,21 +105,43 @@ def sample_gaussian_actions(i: Inputs) -> DataFrame:
     return _sampled(i).select("prompt_id", "gen_id", as_text("sampled", 4).alias("action"))
 
 
-@query("clipped_surrogate", oracle(f"""
-    SELECT prompt_id, gen_id, {rnd('advantage', 4)} AS advantage, {rnd('lp', 5)} AS log_prob,
-           {rnd('-advantage * least(greatest(exp(lp), 0.8::DOUBLE), 1.2::DOUBLE)', 4)} AS loss,
-           {rnd('kl', 5)} AS kl FROM adv""", "policy_outputs", more={
+_DRAWN = {
     "drawn": f"""SELECT s.*, o.kl, -({mse_sql('sampled', 'action')}) AS reward,
                         {log_prob_sql('sampled', 'mean', 'std', 'mean')} AS lp
                  FROM ({_SAMPLED_SQL}) s JOIN (SELECT prompt_id, {KL_SQL} AS kl FROM policy_outputs) o USING (prompt_id)""",
-    "adv": """SELECT *, (reward - avg(reward) OVER w) / (stddev_samp(reward) OVER w + 1e-4) AS advantage
-              FROM drawn WINDOW w AS (PARTITION BY prompt_id)"""}))
-def clipped_surrogate(i: Inputs) -> DataFrame:
-    drawn = _sampled(i).select(
-        "prompt_id", "gen_id", (-vectors.mse(F.col("sampled"), F.col("action"))).alias("reward"),
+    "adv": """SELECT *, stddev_samp(reward) OVER w AS group_std,
+                     (reward - avg(reward) OVER w) / (stddev_samp(reward) OVER w + 1e-4) AS advantage
+              FROM drawn WINDOW w AS (PARTITION BY prompt_id)"""}
+
+
+def _drawn(i: Inputs) -> DataFrame:
+    """Sampled actions with reward, log-probability and divergence, and their advantages."""
+    return groups.group_advantage(_sampled(i).select(
+        "prompt_id", "gen_id", F.size("sampled").alias("action_dim"),
+        (-vectors.mse(F.col("sampled"), F.col("action"))).alias("reward"),
         policy.gaussian_log_prob(F.col("sampled"), F.col("mean"), F.col("std"), reduce="mean").alias("log_prob"),
-        policy.gaussian_kl(F.col("mean"), F.col("std"), F.col("ref_mean"), F.col("ref_std")).alias("kl"))
-    rows = groups.group_advantage(drawn)
+        policy.gaussian_kl(F.col("mean"), F.col("std"), F.col("ref_mean"), F.col("ref_std")).alias("kl")))
+
+
+@query("reward_report", oracle(f"""
+    SELECT metric, {rnd('v', 4)} AS value FROM (
+      SELECT 'rewards/bc' AS metric, avg(reward) AS v FROM adv
+      UNION ALL SELECT 'reward', avg(reward) FROM adv UNION ALL SELECT 'reward_std', avg(group_std) FROM adv
+      UNION ALL SELECT 'advantage', avg(advantage) FROM adv UNION ALL SELECT 'ratio', avg(exp(lp)) FROM adv
+      UNION ALL SELECT 'kl', avg(kl) FROM adv UNION ALL SELECT 'action_dim', avg(len(sampled)) FROM adv)""",
+    "policy_outputs", more=_DRAWN))
+def reward_report(i: Inputs) -> DataFrame:
+    rows = _drawn(i).withColumns({"reward_bc": F.col("reward"), "ratio": F.exp("log_prob")})
+    report = evaluate.reward_report(rows, ["reward_bc"], ["advantage", "ratio", "kl", "action_dim"])
+    return report.select("metric", rounded("value", 4).alias("value"))
+
+
+@query("clipped_surrogate", oracle(f"""
+    SELECT prompt_id, gen_id, {rnd('advantage', 4)} AS advantage, {rnd('lp', 5)} AS log_prob,
+           {rnd('-advantage * least(greatest(exp(lp), 0.8::DOUBLE), 1.2::DOUBLE)', 4)} AS loss,
+           {rnd('kl', 5)} AS kl FROM adv""", "policy_outputs", more=_DRAWN))
+def clipped_surrogate(i: Inputs) -> DataFrame:
+    rows = _drawn(i)
     loss = policy.clipped_surrogate(F.col("advantage"), F.col("log_prob"))
     return rows.select("prompt_id", "gen_id", rounded("advantage", 4).alias("advantage"),
                        rounded("log_prob", 5).alias("log_prob"), rounded(loss, 4).alias("loss"),

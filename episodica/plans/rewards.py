@@ -148,7 +148,8 @@ def reward_zero_log(i: Inputs) -> DataFrame:
 @query("reward_equation", oracle("""
     SELECT item_id, CASE WHEN item_id % 6 IN (0, 1) THEN a || ' + ' || b || '*3'
                          WHEN item_id % 6 = 5 THEN '(' || a || '+' || b || ')/(3-3)' END AS candidate,
-           CASE WHEN item_id % 6 = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS reward FROM countdown""", "countdown"))
+           CASE WHEN item_id % 6 IN (0, 1) AND abs(a + b * 3 - target) < 1e-5 THEN 1::DOUBLE ELSE 0::DOUBLE END AS reward
+    FROM countdown""", "countdown"))
 def reward_equation_query(i: Inputs) -> DataFrame:
     rows = i.countdown()
     return rows.select("item_id", equation_candidate(F.col("completion"), F.col("nums")).alias("candidate"),

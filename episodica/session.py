@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -34,13 +36,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for tables a job writes and reads again.
 
     Lives in the shared folder named by ``spark.checkpoint.dir``, so it survives lost executors.
-    Only a local master falls back to a machine-local folder.
+    Only a local master falls back to a machine-local folder, which goes with the process.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="episodica-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     return os.path.join(shared, f"{label}-{uuid.uuid4().hex}")
 
 

@@ -25,11 +25,10 @@ def start_scoring(stream: DataFrame, registry: RewardRegistry, out: str, checkpo
         if log is None:
             batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
             return
-        batch.persist()
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        samples = completion_samples(batch, fraction, seed, add_action_tag=True)
+        folder = f"{out}/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(folder)
+        samples = completion_samples(batch.sparkSession.read.schema(batch.schema).parquet(folder), fraction, seed, add_action_tag=True)
         samples.select("response").write.mode("overwrite").text(f"{log}/batch={batch_id}")
-        batch.unpersist()
 
     return (score_completions(stream, registry).writeStream.foreachBatch(sink)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())

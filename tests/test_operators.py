@@ -182,8 +182,27 @@ def test_linear_fit_recovers_weights(spark):
         F.col("id").alias("prompt_id"), F.array(numbers.uniform(1, F.col("id")), numbers.uniform(2, F.col("id"))).alias("observation"),
         F.array(numbers.uniform(3, F.col("id"))).alias("action"))
     df = df.withColumn("reward", 2.0 * F.col("observation")[0] - F.col("observation")[1] + 3.0 * F.col("action")[0] + 1.0)
-    _, rmse = fits.fit_reward_regressor(df)
+    split = fits.split_rows(df)
+    _, rmse = fits.fit_reward_regressor(split)
     assert rmse < 1e-6
+    _, trees = fits.fit_reward_regressor(split, "gbt")
+    assert trees < split.agg(F.stddev_samp("reward")).first()[0] / 2
+    wide = split.withColumn("action_disc", (F.col("observation")[0] > 0.5).cast("int"))
+    for kind in ("logistic", "mlp"):
+        assert fits.fit_bc_discrete(wide, 2, 2, kind)[1] < 0.1
+
+
+def test_powers_are_exact_or_undecided():
+    from episodica.functions.equation import arithmetic_value
+    assert arithmetic_value("2**20000 // 2**19999") == 2.0 and arithmetic_value("2**-20000") == 0.0
+    assert arithmetic_value("3**9999999") == math.inf and math.isnan(arithmetic_value("3**9999999 - 3**9999999"))
+    assert arithmetic_value("1/0") is None
+
+
+def test_vectors_of_different_length_raise(spark):
+    from episodica.functions import vectors
+    with pytest.raises(Exception, match="vectors differ in length"):
+        spark.range(1).select(vectors.mse(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(2.0)))).collect()
 
 
 def test_sessions_close_once(spark, tmp_path):
