@@ -440,3 +440,75 @@ def test_archive(spark, tmp_path):
     assert stored.count() == stored.select("digest").distinct().count() == len({x or "" for *_, x in rows})
     assert {r.record_type for r in warc.archived(pages, min_bytes=10**6).collect()} == {"response"}
     assert warc.archived(pages.limit(0)).count() == 0
+
+
+# the pipeline
+
+def test_pipeline_equals_brute_force(spark):
+    import corpus_pipeline
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    texts = {d: r.text for d, r in docs.items() if quality_brute_fast(r.text)}
+    near = near_brute(list(texts.items()))
+    texts = {d: x for d, x in texts.items() if near[d][1] == d}
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = ALNUM_WORDS.findall((r.text or "").translate(UPPER))
+        windows |= {tuple(w[i:i + 13]) for i in range(max(len(w) - 12, min(len(w), 1)))}
+
+    def clean(x):
+        w, hit = ALNUM_WORDS.findall((x or "").translate(UPPER)), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                hit |= set(range(i, i + n)) if tuple(w[i:i + n]) in windows else set()
+        return not hit or 20 * len(hit) < len(w)
+    texts = {d: x for d, x in texts.items() if clean(x)}
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).collect()}
+    assert set(out) == set(texts)
+    for d, r in out.items():
+        spans = secret_scan.pattern_spans(texts[d])
+        assert not secret_scan.pattern_spans(r.text)
+        assert (r.text == texts[d] or spans or "[secret]" in r.text) and r.n_chars == len(r.text) and (r.lang, r.source) == (docs[d].lang, docs[d].source)
+    import sentencepiece as library
+    own = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    assert all(r.piece_ids == own.encode(r.text) for r in out.values())
+
+
+def quality_brute_fast(x):
+    """The verdict of the quality rules, with repeats of eight words found through their windows."""
+    w = SPACE_WORDS.findall(x or "")
+    n = len(w)
+    three = collections.Counter(tuple(w[i:i + 3]) for i in range(n - 2))
+    again = {j for i in range(n - 2) if three[tuple(w[i:i + 3])] > 1 for j in range(i, i + 3)}
+    places = collections.defaultdict(list)
+    for i in range(n - 7):
+        places[tuple(w[i:i + 8])].append(i)
+    covered = {j for found in places.values() if len(found) > 1 for i in found for j in range(i, i + 8)}
+    best = 0
+    for found in places.values():
+        for a in found:
+            for b in found:
+                k = 0
+                while a < b and b + k < n and w[a + k] == w[b + k]:
+                    k += 1
+                best = max(best, k)
+    symbols = sum(c in "#*$%&|<>" for c in x or "")
+    return (n >= 50 and 100 * len(again) <= 50 * n and symbols <= 0.1 * sum(map(len, w)) and len(covered) <= 0.5 * n
+            and best <= 0.4 * n)
+
+
+def test_pipeline_stages_take_odd_rows(spark):
+    import corpus_pipeline
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, body, "en", "s", 1), (1, body, "en", "s", 1), (1, body, "en", "s", 1), (2, body, None, None, None), (3, None, "en", "s", 0),
+            (4, "", "en", "s", 0), (5, body + " password=abcdefgh12345678 é", "en", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("kept", F.lit("clash"))
+    for given in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, given, "/root/testdata/sf0.001")
+            assert set(given.columns) <= set(out.columns), name
+            out.collect()
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "4", "None"]  # 2 and 5 repeat 1
+    redacted = {r.doc_id: r for r in corpus_pipeline.secrets_redacted(spark, docs, "").collect()}
+    assert redacted[5].text == body + " [secret] é" and redacted[5].n_chars == len(redacted[5].text)
