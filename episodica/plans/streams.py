@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
@@ -28,13 +28,44 @@ def stream_score_completions(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(f"{folder}/out").select("prompt_id", "gen_id", rounded("reward").alias("reward"))
 
 
+#: Parts in which the feed arrives, and the silence that ends an episode.
+ARRIVALS, IDLE = 3, "6 hours"
+
+
 @query("stream_episode_returns", oracle(f"""
-    SELECT episode_id, {rnd('sum(reward)', 4)} AS episode_return, count(*) AS episode_length, true AS complete
-    FROM rollouts GROUP BY episode_id""", "rollouts"))
+    SELECT episode_id * 100000 + session AS episode_id, {rnd('sum(reward)', 4)} AS episode_return,
+           count(*) AS episode_length, true AS complete
+    FROM (SELECT *, CAST(sum(CASE WHEN gap <= INTERVAL {IDLE} THEN 0 ELSE 1 END)
+                         OVER (PARTITION BY episode_id ORDER BY ts, event_id) AS BIGINT) AS session
+          FROM (SELECT user_id AS episode_id, event_id, ts, value AS reward,
+                       ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events))
+    GROUP BY episode_id, session"""))
 def stream_episode_returns(i: Inputs) -> DataFrame:
+    """Events of a user without a long silence are an episode. They arrive in time order, in parts and partly twice; a last
+    event of nobody moves the watermark, so that every episode is closed and its state dropped."""
+    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    by_episode = Window.partitionBy("episode_id").orderBy("ts", "event_id")
+    close = F.coalesce(F.col("ts") - F.lag("ts").over(by_user) <= F.expr(f"INTERVAL {IDLE}"), F.lit(False))
+    log = i.table("events").withColumn("session", F.sum(F.when(close, 0).otherwise(1)).over(by_user))
+    log = log.withColumn("episode_id", F.col("user_id") * 100_000 + F.col("session")).select(
+        "episode_id", (F.row_number().over(by_episode) - 1).cast("bigint").alias("step"), F.col("value").alias("reward"),
+        F.lead("ts").over(by_episode).isNull().alias("done"), F.col("ts").cast("timestamp").alias("ts"))
     folder = scratch_dir(i.spark, "returns")
-    feed = _as_feed(i, i.rollouts(), f"{folder}/in", 1000)
-    job = episodes.start_returns(feed, f"{folder}/out", f"{folder}/checkpoint")
-    job.awaitTermination()
-    return i.spark.read.parquet(f"{folder}/out").select(
+    log.write.parquet(f"{folder}/log")
+    log = i.spark.read.parquet(f"{folder}/log")
+    first, last = log.agg(F.min("ts"), F.max("ts")).first()
+    feed_session = i.spark.newSession()  # its own settings: one state partition for each core
+    feed_session.conf.set("spark.sql.shuffle.partitions", str(i.spark.sparkContext.defaultParallelism))
+    for k in range(ARRIVALS + 1):
+        share = F.floor((F.col("ts").cast("double") - F.lit(first).cast("double"))
+                        / (F.lit(last).cast("double") - F.lit(first).cast("double") + 1) * ARRIVALS)
+        part = log.where(share == k)
+        nobody = i.spark.range(1).select(F.lit(-1).cast("bigint").alias("episode_id"), F.lit(0).cast("bigint").alias("step"),
+                                         F.lit(0.0).alias("reward"), F.lit(True).alias("done"),
+                                         (F.lit(last) + F.expr("INTERVAL 30 DAYS")).alias("ts"))
+        part = nobody if k == ARRIVALS else part.unionByName(part.where("step % 10 = 0"))
+        part.write.mode("append").parquet(f"{folder}/in")
+        feed = feed_session.readStream.schema(log.schema).parquet(f"{folder}/in")
+        episodes.start_session_returns(feed, f"{folder}/out", f"{folder}/checkpoint", idle=IDLE).awaitTermination()
+    return i.spark.read.parquet(f"{folder}/out").where("episode_id >= 0").select(
         "episode_id", rounded("episode_return", 4).alias("episode_return"), "episode_length", "complete")

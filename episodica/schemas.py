@@ -17,21 +17,6 @@ SFT = T.StructType([
     T.StructField("action", T.StringType()),
 ])
 
-ROLLOUT = T.StructType([
-    T.StructField("episode_id", T.LongType()),
-    T.StructField("step", T.LongType()),
-    T.StructField("reward", T.DoubleType()),
-    T.StructField("done", T.BooleanType()),
-])
-
-COMPLETION = T.StructType([
-    T.StructField("prompt_id", T.LongType()),
-    T.StructField("gen_id", T.IntegerType()),
-    T.StructField("completion", T.StringType()),
-    T.StructField("observation", VECTOR),
-    T.StructField("action", VECTOR),
-])
-
 METRIC = T.StructType([
     T.StructField("run", T.StringType()),
     T.StructField("tag", T.StringType()),
@@ -39,11 +24,6 @@ METRIC = T.StructType([
     T.StructField("value", T.DoubleType()),
 ])
 
-RANGES = T.ArrayType(T.StructType([
-    T.StructField("min", T.DoubleType()),
-    T.StructField("max", T.DoubleType()),
-]))
-
 LAYER = T.StructType([
     T.StructField("head", T.StringType()),
     T.StructField("layer", T.IntegerType()),
