@@ -58,19 +58,24 @@ def arithmetic_value(text: str | None) -> float | None:
         tree = ast.parse(text, mode="eval")
         return float(_value(tree))
     except Undecided:
-        match tree.body:
-            case ast.BinOp(op=ast.Pow(), left=left, right=right) if not _undecided(left) and not _undecided(right):
-                return math.inf
-        return math.nan
+        return math.inf if _huge(tree.body) else math.nan
     except Exception:
         return None
 
 
-def _undecided(node) -> bool:
-    try:
-        _value(node)
-    except Undecided:
-        return True
+def _huge(node) -> bool:
+    """Is an undecided expression a power, or a tower of powers, beyond all doubles?"""
+    match node:
+        case ast.BinOp(op=ast.Pow(), left=left, right=right):
+            try:
+                if abs(_value(left)) <= 1:
+                    return False
+            except Exception:
+                return False
+            try:
+                return _value(right) > 0
+            except Undecided:
+                return _huge(right)
     return False
 
 
