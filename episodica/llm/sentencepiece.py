@@ -29,6 +29,8 @@ from .winnow import spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_PIECES = 1_000_000
+#: Bytes of text whose words are encoded together: the larger, the fewer words are encoded twice.
+CHUNK_BYTES = 4_000_000
 _SPACE = "▁"
 _NONE = np.int64(2**31 - 1)
 
@@ -149,7 +151,7 @@ def _words(pieces: Pieces, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
 def encode_texts(pieces: Pieces, column: pa.Array) -> pa.ListArray:
     """Piece ids of each text."""
     parts = []
-    for chunk in tokens.chunks(column):
+    for chunk in tokens.chunks(column, CHUNK_BYTES):
         raw = chunk.data.tobytes()
         bounds = chunk.offsets.tolist()
         texts = [raw[a:b].replace(_SPACE.encode(), b" ") for a, b in zip(bounds[:-1], bounds[1:])]

@@ -26,7 +26,7 @@ from . import tokens
 from .winnow import runs, spread
 
 WINDOW, GRAM = 20, 5
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 2_000_000
 _LAST = 2**63 - 1
 _BYTES = 5  # of a window's hash that are shipped
 PASSAGES = "bucket int, doc bigint, start int, words int, first_doc bigint, first_start int"

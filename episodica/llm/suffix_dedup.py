@@ -3,9 +3,9 @@
 Documents are UTF-8 bytes. Runs of 200-byte windows meet at their anchors (see winnow). Equal contexts (the bytes that a
 run's windows cover) under one anchor repeat as a whole; contexts that differ are compared: one copy of each goes, by
 anchor, into a shard of about SHARD_BYTES. A shard sorts its suffixes, and on its transform the intervals of common
-prefixes are extended backwards, breadth first: a boundary between neighbours with a common prefix of value v gives, one
-step back, boundaries of value v + 1. The expansion stops at the minimum length, and what has no boundary by then shares at
-least that many bytes. Covered bytes are then cut out of each text at once, judged on the input.
+prefixes are extended backwards, breadth first and eight bytes at a time: a boundary between neighbours with a common prefix
+below v gives, one step back, boundaries below v + 8. The expansion stops at the minimum length, and what has no boundary
+by then shares at least that many bytes. Covered bytes are then cut out of each text at once, judged on the input.
 
 An anchor with more than HOT_CONTEXTS different contexts is split by content: each of its windows goes to a shard under
 the window's own hash. Copies that meet in one batch are shipped once. Shards hold whole anchor groups, so a shard is
@@ -30,7 +30,8 @@ from .groups import kept
 from .winnow import runs, spread
 
 MIN_BYTES, GRAM = 200, 64
-SHARD_BYTES, HOT_CONTEXTS = 2_000_000, 20_000
+SHARD_BYTES, HOT_CONTEXTS = 1_000_000, 20_000
+STEP_ROWS = 500  # documents cut at a time
 _OPEN, _REPEATED, _DONE = 0, 1, 2
 _RUNS = "anchor bigint, context bigint, doc bigint, start int, n int, state int"
 #: A span of repeated windows of a document, or (asked) a context to compare: first start, number of windows.
@@ -70,18 +71,17 @@ def _whole_anchors(batches: Iterator[pa.RecordBatch], least_rows: int = 0) -> It
     """Sorted batches, cut where the anchor changes; each table has at least ``least_rows`` rows but for the last."""
     held = None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        if held.num_rows < least_rows:
-            continue
-        held = held.combine_chunks()
-        anchor = held.column("anchor").to_numpy()
-        cut = int(np.searchsorted(anchor, anchor[-1]))
-        if cut:
-            yield held.slice(0, cut).combine_chunks()
-            held = held.slice(cut)
+        for start in range(0, batch.num_rows, least_rows or batch.num_rows):
+            table = pa.Table.from_batches([batch.slice(start, least_rows or batch.num_rows)])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < least_rows:
+                continue
+            held = held.combine_chunks()
+            anchor = held.column("anchor").to_numpy()
+            cut = int(np.searchsorted(anchor, anchor[-1]))
+            if cut:
+                yield held.slice(0, cut).combine_chunks()
+                held = held.slice(cut)
     if held is not None and held.num_rows:
         yield held.combine_chunks()
 
@@ -121,7 +121,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of asked contexts; windows of hot anchors each under their own hash."""
-    for batch in batches:
+    for batch in (whole.slice(k, STEP_ROWS) for whole in batches for k in range(0, whole.num_rows, STEP_ROWS)):
         docs = batch.column(0).to_pylist()
         texts = batch.column(1).cast(pa.large_binary())
         for doc, text, asks in zip(docs, texts, batch.column(2).to_pylist()):
@@ -146,49 +146,62 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["anchor", "doc", "start", "known", "content"])
 
 
-def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks by the first ``depth`` or more symbols (bytes); later ties are in text order."""
+def _first_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, as a number that orders like them."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k:k + n]
-    width = 8
+    return key
+
+
+def suffix_ranks(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array by the first ``depth`` or more bytes, and the place of each suffix; later ties are in no order.
+
+    Three ranks are joined in each round while they fit a 64-bit key, else two.
+    """
+    n = len(data)
+    key, width = _first_bytes(data), 8
+    bits, joined = (21, 3) if n < 2**21 - 1 else (32, 2)
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])).astype(np.uint64) + np.uint64(1)
         if width >= depth or int(rank[order[-1]]) == n:
             break
-        following = np.zeros(n, np.uint64)
-        following[:n - width] = rank[width:]
-        key = rank * np.uint64(n + 2) + following
-        width *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+        key = rank.copy()
+        for k in range(1, joined):
+            key <<= np.uint64(bits)
+            key[:max(n - k * width, 0)] |= rank[k * width:]
+        width *= joined
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     return order, place
 
 
 def unbounded_prefixes(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array, and flags of the entries that share at least ``least`` bytes with the entry before."""
+    """Suffix array, and flags of the entries that share at least ``least`` bytes with the entry before.
+
+    Boundaries are found by increasing value. An interval's extension backwards by ``stride`` bytes is read off the places
+    of the suffixes ``stride`` further on: neighbours with equal first bytes get a boundary when one lies between those.
+    """
     n = len(data)
+    stride = next(s for s in (8, 4, 2, 1) if least % s == 0)
     order, place = suffix_ranks(data, least)
-    first = data[order]
+    first = (_first_bytes(data) >> np.uint64(64 - 8 * stride))[order]
     boundary = np.ones(n, bool)
     boundary[1:] = first[1:] != first[:-1]
-    # one step forward in the text: the rows whose interval, extended backwards, gives each row
-    ahead = np.minimum(order + 1, n - 1)
-    low, high = np.zeros(n, np.int64), place[ahead]
+    short = order > n - stride
+    boundary |= short
+    boundary[1:] |= short[:-1]
+    high = place[np.minimum(order + stride, n - 1)]
+    low = np.zeros(n, np.int32)
     low[1:] = high[:-1]
-    low, high = np.minimum(low, high), np.maximum(low, high)
-    ends = np.zeros(n, bool)
-    ends[order == n - 1] = True
-    boundary |= ends
-    boundary[1:] |= ends[:-1]
     waiting = np.flatnonzero(~boundary)
-    low, high = low[waiting].astype(np.int32), high[waiting].astype(np.int32)
-    for _ in range(least - 1):
+    low, high = np.minimum(low, high)[waiting], np.maximum(low, high)[waiting]
+    for _ in range(least // stride - 1):
         seen = np.cumsum(boundary, dtype=np.int32)
         reached = seen[high] > seen[low]
         if not reached.any():
@@ -233,7 +246,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(k, STEP_ROWS) for whole in batches for k in range(0, whole.num_rows, STEP_ROWS)):
         rows = []
         for doc, text, spans in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2)):
             raw = text.as_py() or b""
