@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, near_dedup, quality, secret_scan, sentencepiece, sharding, substring_dedup, suffix_dedup, warc
+from . import decontaminate, licenses, near_dedup, oracle, quality, secret_scan, sentencepiece, sharding, substring_dedup, suffix_dedup, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
-@query("op1_near_dedup")
+@query("op1_near_dedup", sql=oracle.NEAR_DEDUP)
 def op1(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs)
 
@@ -22,7 +22,7 @@ def op2(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op3_decontamination")
+@query("op3_decontamination", sql=oracle.DECONTAMINATION)
 def op3(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.decontaminate(docs.select("doc_id", "text"), benchmark)
@@ -55,13 +55,13 @@ def op8(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs.select("doc_id", "text")).select("doc_id", "quality.*")
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", sql=oracle.SUBSTRING_DEDUP)
 def op9(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(docs).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-@query("op10_warc_archive", table="pages")
+@query("op10_warc_archive", table="pages", sql=oracle.WARC_ARCHIVE)
 def op10(spark: SparkSession, pages: DataFrame, sf_dir: str) -> DataFrame:
     return warc.archived(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
