@@ -37,6 +37,8 @@ HASHES, BANDS, ROWS, BITS = 256, 32, 4, 4
 #: Seven standard errors of the estimate at the threshold: 7 * sqrt(p (1 - p) / HASHES) / (1 - 2**-BITS), p = 0.766.
 MARGIN = 0.2
 CANOPY_BLOCK, GROUP_BLOCK, BLOCK_SHINGLES = 512, 256, 500_000
+#: Size of the bitmap that holds back texts without a candidate.
+FILTER_BITS = 1 << 25
 _random = np.random.default_rng(31)
 _FACTORS = _random.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_FACTORS = _random.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -224,10 +226,25 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _confirm(cells: DataFrame, texts: DataFrame) -> DataFrame:
-    rows = cells.join(texts, "member")
+    rows = cells.join(_likely(texts, cells), "member")
     return per_group(rows.select("cell", "member", "text"), "cell", "a bigint, b bigint", _confirmed)
 
 
+def _likely(texts: DataFrame, cells: DataFrame) -> DataFrame:
+    """Texts whose member's hash is among those of the cells, so that few others are shuffled for the join.
+
+    The hashes are a bitmap of FILTER_BITS bits, in pieces of 32,768: what is broadcast has that bound at any size, and a
+    full bitmap lets everything through.
+    """
+    place = F.pmod(F.xxhash64("member"), F.lit(FILTER_BITS))
+    piece, bit = F.shiftright(place, 15), place.bitwiseAND(32_767)
+    bits = cells.select(piece.alias("_piece"), bit.alias("_bit")).groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    found = texts.withColumns({"_piece": piece, "_bit": bit.cast("int")}).join(F.broadcast(bits), "_piece")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    test = F.expr("shiftright(_byte, _bit % 8) % 2 = 1")
+    return found.withColumn("_byte", byte).filter(test).select("member", "text")
+
+
 def _rest(groups: DataFrame, split: DataFrame, found: DataFrame) -> DataFrame:
     """Cells in which each member of a split group outside its smallest member's component meets all members."""
     rows = groups.join(split, "group")
