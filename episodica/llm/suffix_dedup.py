@@ -60,7 +60,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                return_counts=True)
             state = np.full(len(context), _DONE, np.int32)
             state[first] = np.where(times > 1, _REPEATED, _OPEN)
-            anchor[state == _DONE] = context[state == _DONE]  # spread over the partitions
+            done = state == _DONE  # these meet nothing more: spread over the partitions
+            anchor[done] = tokens.mix(tokens.mix(docs[row[done] + chunk.first_row].view(np.uint64)) + r.first[done].astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(docs[row + chunk.first_row]),
                  pa.array((r.first - chunk.offsets[row]).astype(np.int32)), pa.array((r.last - r.first + 1).astype(np.int32)),
