@@ -51,21 +51,21 @@ def per_group(rows: DataFrame, key: str, schema: str,
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star step on (a, b) with b < a."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = kept(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
+    # a null-safe match makes Spark exchange both sides for the join, so that it can split a node with very many links
+    joined = both.join(least, F.col("a").eqNullSafe(F.col("node")))
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("a", F.col("m").alias("b")))
+            least.select(F.col("node").alias("a"), F.col("m").alias("b")))
     return kept(out.filter("a <> b").distinct(), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected links (a, b); the component is its smallest node.
 
-    Alternating large and small stars; minima are aggregated before the shuffle and joined from a written table, so
-    Spark can split the join of a node with very many links.
+    Alternating large and small stars; minima are aggregated before the shuffle, and each step's edges are written.
     """
     edges = kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
