@@ -1,10 +1,10 @@
 """License scans with ordered signature rules, in native column functions.
 
-Rules are regexes with a label, a gate keyword, a priority (0 is the most specific) and a confidence. They are made from
+Rules are regexes with a label, gate keywords, a priority (0 is the most specific) and a confidence. They are made from
 the families below: each license's name goes through the wording templates, and a few notices stand alone. A text without
-any gate stem is skipped; in the others only rules whose keyword occurs are tried. Detections are ordered by
-start, longest first; one that lies within a detection of the same or a more specific priority is suppressed, and so is a
-mention of a shorter name in a longer one.
+any gate stem is skipped; in the others only rules of which a keyword occurs are tried. Every match of a rule holds one of
+its keywords, so gates drop nothing. Detections are ordered by start, longest first; one that lies within a detection of
+the same or a more specific priority is suppressed, and so is a mention of a shorter name in a longer one.
 
 Base phrases are matched on words (A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``) and are never suppressed.
 The score is the highest confidence of what is left, 0 without a detection.
@@ -19,28 +19,28 @@ from pyspark.sql import functions as F
 
 #: Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Label, SPDX identifiers, names in running text, gate keyword.
+#: Label, SPDX identifiers, names in running text, gate keywords (a|b).
 LICENSES = (
     ("apache", r"apache-[0-9.]+", r"apache(?: software)?", "apache"),
-    ("mit", r"mit(?:-0)?", r"(?:mit|expat|x11)", "mit"),
+    ("mit", r"mit(?:-0)?", r"(?:mit|expat|x11)", "mit|expat|x11"),
     ("bsd", r"(?:0bsd|bsd-[0-9]-clause[a-z-]*)", r"(?:(?:new|modified|simplified|revised|[0-9]-clause) )?bsd", "bsd"),
     ("isc", r"isc", r"isc", "isc"),
     ("zlib", r"zlib[a-z-]*", r"zlib(?:/libpng)?", "zlib"),
     ("boost", r"bsl-1\.0", r"boost(?: software)?", "b"),
     ("unlicense", r"unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", r"wtfpl", r"(?:wtfpl|do what the f\S+ you want to(?: public)?)", "wt"),
+    ("wtfpl", r"wtfpl", r"(?:wtfpl|do what the f\S+ you want to(?: public)?)", "wt|do what"),
     ("agpl", r"agpl-[0-9.]+[a-z+-]*", r"(?:agpl|(?:gnu )?affero general public)", "a"),
     ("lgpl", r"lgpl-[0-9.]+[a-z+-]*", r"(?:lgpl|(?:gnu )?(?:lesser|library) general public)", "l"),
     ("gpl", r"gpl-[0-9.]+[a-z+-]*", r"(?:gpl|gnu general public)", "g"),
     ("gfdl", r"gfdl-[0-9.]+[a-z-]*", r"(?:gfdl|gnu free documentation)", "g"),
     ("mpl", r"mpl-[0-9.]+[a-z-]*", r"(?:mpl|mozilla public)", "m"),
     ("epl", r"epl-[0-9.]+", r"(?:epl|eclipse public)", "e"),
-    ("edl", r"edl-1\.0", r"eclipse distribution", "eclipse"),
+    ("edl", r"edl-1\.0", r"eclipse distribution", "edl|eclipse"),
     ("cddl", r"cddl-[0-9.]+", r"(?:cddl|common development and distribution)", "d"),
     ("cpl", r"cpl-1\.0", r"(?:cpl|common public)", "c"),
     ("eupl", r"eupl-[0-9.]+", r"(?:eupl|european union public)", "eu"),
-    ("osl", r"osl-[0-9.]+", r"open software", "software"),
-    ("afl", r"afl-[0-9.]+", r"academic free", "academic"),
+    ("osl", r"osl-[0-9.]+", r"open software", "osl|open software"),
+    ("afl", r"afl-[0-9.]+", r"academic free", "afl|academic"),
     ("artistic", r"artistic-[0-9.]+[a-z0-9-]*", r"(?:clarified )?artistic", "artistic"),
     ("python", r"(?:psf|python)-2\.0", r"(?:psf|python(?: software foundation)?)", "p"),
     ("ruby", r"ruby", r"ruby", "ruby"),
@@ -83,10 +83,10 @@ TEMPLATES = (
     (r"\blicen[sc]e\s*[:=]\s*[\"']?(?:{id}|{name})(?![a-z0-9])", 1, 0.85, "licen"),
     (r"\bpermission [^.\n]{{0,80}}\b{name}(?![a-z0-9])", 3, 0.6, "permission"),
 )
-#: Notices that stand alone: label, pattern, gate keyword, priority, confidence.
+#: Notices that stand alone: label, pattern, gate keywords (a|b), priority, confidence.
 NOTICES = (
     ("copyright", r"\bcopyright (?:\(c\)|©)? ?[0-9]{4}(?:\s*[-,]\s*[0-9]{4})*", "copyright", 2, 0.6),
-    ("copyright", r"(?:©|\(c\)) ?[0-9]{4}", "copyright", 3, 0.5),
+    ("copyright", r"(?:©|\(c\)) ?[0-9]{4}", "©|(c)", 3, 0.5),
     ("reserved", r"\ball rights (?:are )?reserved\b", "rights", 1, 0.7),
     ("reserved", r"\b(?:some|no) rights reserved\b", "rights", 2, 0.5),
     ("public-domain", r"\b(?:dedicated|released|placed) (?:in|in)to the public domain\b", "public domain", 1, 0.9),
@@ -95,24 +95,24 @@ NOTICES = (
     ("isc", r"\bpermission to use, copy, modify, and(?:/or)? distribute this software\b", "permission to use", 0, 0.95),
     ("bsd", r"\bredistribution and use in source and binary forms\b", "redistribution", 0, 0.95),
     ("warranty", r"\bprovided \"?as[ -]is\"?,? without (?:any )?warrant(?:y|ies)\b", "warrant", 2, 0.5),
-    ("proprietary", r"\b(?:proprietary and confidential|unauthorized copying of this)\b", "proprietary", 1, 0.8),
+    ("proprietary", r"\b(?:proprietary and confidential|unauthorized copying of this)\b", "proprietary|unauthorized", 1, 0.8),
     ("gpl", r"\bfree software[:;,] you can redistribute it and/or modify it under the terms of the gnu\b", "free software", 0, 1.0),
     ("cc", r"\bcreativecommons\.org/licenses/[a-z/-]+[0-9.]*", "creativecommons", 0, 0.95),
     ("noai", r"\b(?:noai|no[- ]ai[- ]training)\b", "no", 2, 0.7),
 )
 #: A text without any of these has no detection.
 _STEMS = ("licen", "copyright", "rights", "spdx", "public domain", "warrant", "creative", "permission", "redistribut",
-          "proprietary", "noai", "no-ai", "no ai", "(c)", "©", "released ", "distributed ", "available ", "published ",
+          "proprietary", "unauthorized", "noai", "no-ai", "no ai", "(c)", "©", "released ", "distributed ", "available ", "published ",
           "covered ", "provided ", "free software")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DETECTION = "array<struct<start:bigint,last:bigint,priority:int,label:string,confidence:double>>"
 
 
 def rules() -> list[tuple[str, str, str, str, int, float]]:
-    """(label, pattern, keyword, stem, priority, confidence), in order of priority."""
+    """(label, pattern, keywords, stem, priority, confidence), in order of priority."""
     out = [(label, template.format(id=ids, name=name), keyword, stem, priority, confidence)
            for template, priority, confidence, stem in TEMPLATES for label, ids, name, keyword in LICENSES]
-    out += [(label, pattern, keyword, keyword, priority, confidence) for label, pattern, keyword, priority, confidence in NOTICES]
+    out += [(label, pattern, keyword, "", priority, confidence) for label, pattern, keyword, priority, confidence in NOTICES]
     return sorted(out, key=lambda r: r[4])
 
 
@@ -121,7 +121,7 @@ def _literal(text: str) -> str:
 
 
 def _rule_array() -> Column:
-    items = ",".join(f"named_struct('label',{_literal(a)},'pattern',{_literal(p)},'keyword',{_literal(k)},'stem',{_literal(s)},"
+    items = ",".join(f"named_struct('label',{_literal(a)},'pattern',{_literal(p)},'keywords',array({','.join(map(_literal, k.split('|')))}),'stem',{_literal(s)},"
                      f"'priority',{n},'confidence',{c}D)" for a, p, k, s, n, c in rules())
     return F.expr(f"array({items})")
 
@@ -191,7 +191,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", output: str = "license")
         F.when(any_stem, F.translate("_text", _UPPER, _LOWER)).alias("_low"))
     low = F.col("_low")
     none = F.array().cast(_DETECTION)
-    tried = F.filter(_rule_array(), lambda r: low.contains(r["stem"]) & low.contains(r["keyword"]))
+    tried = F.filter(_rule_array(), lambda r: low.contains(r["stem"]) & F.exists(r["keywords"], lambda k: low.contains(k)))
     found = F.when(low.isNotNull(), F.flatten(F.filter(F.transform(tried, lambda r: _matches(low, r)), lambda x: x.isNotNull())))
     rows = rows.withColumn("_found", F.coalesce(found, none))
     rows = rows.withColumn("_kept", F.when(F.size("_found") > 0, _unsuppressed(F.col("_found"))).otherwise(none))

@@ -263,6 +263,54 @@ def test_licenses(spark):
     assert len(licenses.rules()) > 200 and all(re.compile(p) for _, p, *_ in licenses.rules())
 
 
+def examples(pattern: str) -> list[str]:
+    """Texts that ``pattern`` matches, one for each of its alternatives and options."""
+    import re._parser as parser
+
+    def of(tree):
+        parts = [step(op, arg) for op, arg in tree]
+        first = [p[0] for p in parts]
+        return list(dict.fromkeys("".join([*first[:k], x, *first[k + 1:]]) for k, p in enumerate(parts) for x in p)) or [""]
+
+    def step(op, arg):
+        name = str(op)
+        if name == "LITERAL":
+            return [chr(arg)]
+        if name == "NOT_LITERAL":
+            return ["u"]
+        if name == "IN":
+            kinds = {"LITERAL": chr, "RANGE": lambda r: chr(r[0]), "CATEGORY": lambda c: " " if str(c) == "CATEGORY_SPACE" else "u"}
+            return ["u"] if str(arg[0][0]) == "NEGATE" else [kinds[str(o)](a) for o, a in arg]
+        if name == "BRANCH":
+            return [x for tree in arg[1] for x in of(tree)]
+        if name == "SUBPATTERN":
+            return of(arg[3])
+        if name == "MAX_REPEAT":
+            low, _, tree = arg
+            return [x * max(low, 1) for x in of(tree)] + ([""] if low == 0 else [])
+        assert name in ("AT", "ASSERT_NOT"), name
+        return [""]
+
+    found = [x for x in of(parser.parse(pattern)) if re.search(pattern, x)]
+    assert found, pattern
+    return found
+
+
+def test_license_gates_drop_no_match(spark, monkeypatch):
+    texts = sorted({x for _, pattern, *_ in licenses.rules() for x in examples(pattern)})
+    texts += ["© 2024 Acme", "(c) 2024 Acme", "Released under the Expat license", "SPDX-License-Identifier: OSL-3.0",
+              "SPDX-License-Identifier: AFL-3.0", "SPDX-License-Identifier: EDL-1.0", "Unauthorized copying of this file"]
+    wanted = dict(zip(texts[-7:], ("copyright", "copyright", "mit", "osl", "afl", "edl", "proprietary")))
+    docs = frame(spark, list(enumerate(texts)))
+    gated = {r.doc_id: r.license for r in licenses.scan_licenses(docs).collect()}
+    for k, x in enumerate(texts):
+        assert gated[k].labels and gated[k].score > 0 and wanted.get(x, gated[k].labels[0]) in gated[k].labels, x
+    every = [(label, pattern, "", "", *rest) for label, pattern, _, _, *rest in licenses.rules()]
+    monkeypatch.setattr(licenses, "rules", lambda: every)
+    monkeypatch.setattr(licenses, "_STEMS", ("",))
+    assert {r.doc_id: r.license for r in licenses.scan_licenses(docs).collect()} == gated
+
+
 # 5 sharding
 
 def test_hypergeometric_counts():
