@@ -2,14 +2,16 @@
 
 Windows are 20 consecutive words of one document. Documents are dealt into buckets of about BUCKET_BYTES. Runs of windows
 meet at their anchors (see winnow), where recurring windows are confirmed and their first occurrence (smallest doc_id,
-then smallest start) is found; consecutive confirmed windows with one source are a passage, and each bucket that holds a
+then smallest key and start) is found; consecutive confirmed windows with one source are a passage, and each bucket that holds a
 passage gets it once. Each bucket compiles its passages, as word sequences, into one automaton and streams all its
 documents through it: every occurrence of a passage that is not its source is removed. An automaton is bounded by its
 bucket's text, and every text is streamed once.
 
 A window is compared by 40 bits of its hash and the 64 bits of its anchor. Runs that repeat within a batch and bucket are
-shipped once. Null and empty texts have no words. A row without doc_id counts as the last document; rows that share a
-doc_id are one place: neither is earlier. Extra columns are ignored; an empty table gives no rows.
+shipped once. Null and empty texts have no words. Rows are named by doc_id and a key, a hash of both doc_id and text. A row without
+doc_id comes after all others; rows that share a doc_id, or have none, come in the order of their keys. Rows that share
+doc_id (or have none) and text are one place: neither is earlier, and they are in one bucket. Extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,13 +31,17 @@ WINDOW, GRAM = 20, 5
 BUCKET_BYTES = 2_000_000
 _LAST = 2**63 - 1
 _BYTES = 5  # of a window's hash that are shipped
-PASSAGES = "bucket int, doc bigint, start int, words int, first_doc bigint, first_start int"
+PASSAGES = "bucket int, doc bigint, key bigint, start int, words int, first_doc bigint, first_key bigint, first_start int"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs: anchor, doc, bucket, start and the hashes of the run's windows."""
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (key % buckets).astype(np.int32)
+
+
+def _scan(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Runs: anchor, doc, key, start and the hashes of the run's windows."""
     for batch in batches:
-        docs, buckets = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        docs, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         for chunk in tokens.chunks(batch.column(2)):
             w = tokens.words(chunk, chunk.data, tokens.SPACE_WORDS)
             hashes = tokens.SpanHasher(chunk.data)(w.starts, w.ends)
@@ -45,14 +51,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(r.first):
                 continue
             row, count = w.row[r.first], r.last - r.first + 1
-            bucket = buckets[row + chunk.first_row]
+            doc, key = docs[row + chunk.first_row], keys[row + chunk.first_row]
             content = tokens.window_hashes(hashes, 1)
             sums = np.concatenate([[np.uint64(0)], np.cumsum(tokens.mix(content), dtype=np.uint64)])
             whole = tokens.mix((sums[r.last + WINDOW] - sums[r.first]) ^ grams[r.anchor]
                                ^ tokens.mix(windows[r.first]) ^ tokens.mix(tokens.mix(windows[r.last]))
-                               ^ tokens.mix(bucket.astype(np.uint64) + np.uint64(1)))
+                               ^ tokens.mix(_bucket(key, buckets).astype(np.uint64) + np.uint64(1)))
             start = r.first - w.first[row]
-            order = np.lexsort((start, docs[row + chunk.first_row]))
+            order = np.lexsort((start, key, doc))
             _, keep, times = np.unique(whole[order], return_index=True, return_counts=True)
             keep = order[keep]  # the first of equal runs of a bucket
             _, number = spread(count[keep])
@@ -60,15 +66,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = shipped.view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
             offsets = np.concatenate([[0], np.cumsum(count[keep]) * _BYTES]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[r.anchor[keep]].view(np.int64)), pa.array(docs[row[keep] + chunk.first_row]),
-                 pa.array(bucket[keep]), pa.array(start[keep].astype(np.int32)),
-                 pa.array(times > 1), pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])],
-                names=["anchor", "doc", "bucket", "start", "twins", "windows"])
+                [pa.array(grams[r.anchor[keep]].view(np.int64)), pa.array(doc[keep]), pa.array(key[keep]),
+                 pa.array(start[keep].astype(np.int32)), pa.array(times > 1),
+                 pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])],
+                names=["anchor", "doc", "key", "start", "twins", "windows"])
 
 
-def _passages(rows: pa.Table) -> pa.RecordBatch:
+def _passages(rows: pa.Table, buckets: int) -> pa.RecordBatch:
     """Passages of whole anchor groups, one row for each run that holds one (or more)."""
-    anchor, doc, bucket, start = (rows.column(c).to_numpy() for c in ("anchor", "doc", "bucket", "start"))
+    anchor, doc, key, start = (rows.column(c).to_numpy() for c in ("anchor", "doc", "key", "start"))
     packed = rows.column("windows").combine_chunks()
     lengths = np.diff(np.frombuffer(packed.buffers()[1], np.int32)[packed.offset:packed.offset + len(packed) + 1])
     low = int(np.frombuffer(packed.buffers()[1], np.int32)[packed.offset])
@@ -76,31 +82,33 @@ def _passages(rows: pa.Table) -> pa.RecordBatch:
     window = np.zeros((len(raw), 8), np.uint8)
     window[:, :_BYTES] = raw
     run, number = spread(lengths // _BYTES)
-    key = tokens.mix(window.view(np.uint64).ravel() ^ tokens.mix(anchor.view(np.uint64))[run])
+    content = tokens.mix(window.view(np.uint64).ravel() ^ tokens.mix(anchor.view(np.uint64))[run])
     place = start[run].astype(np.int64) + number
-    order = np.lexsort((place, doc[run], key))
-    ordered = key[order]
+    order = np.lexsort((place, key[run], doc[run], content))
+    ordered = content[order]
     new = np.ones(len(order), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     group = np.cumsum(new) - 1
     first = order[np.flatnonzero(new)][group]
     twins = rows.column("twins").to_numpy(zero_copy_only=False)  # runs that stand for several of their bucket
     recurs = np.add.reduceat(1 + twins[run][order], np.flatnonzero(new))[group] > 1
-    source_doc, source_start, confirmed = (np.empty(len(order), kind) for kind in (np.int64, np.int64, bool))
-    source_doc[order], source_start[order], confirmed[order] = doc[run][first], place[first], recurs
+    source, confirmed = np.empty(len(order), np.int64), np.empty(len(order), bool)
+    source[order], confirmed[order] = first, recurs
+    source_doc, source_key, source_start = doc[run[source]], key[run[source]], place[source]
     breaks = np.ones(len(order) + 1, bool)
-    breaks[1:-1] = (run[1:] != run[:-1]) | (source_doc[1:] != source_doc[:-1]) | (confirmed[1:] != confirmed[:-1]) \
-        | (np.diff(source_start) != 1)
+    breaks[1:-1] = (run[1:] != run[:-1]) | (source_doc[1:] != source_doc[:-1]) | (source_key[1:] != source_key[:-1]) \
+        | (confirmed[1:] != confirmed[:-1]) | (np.diff(source_start) != 1)
     edges = np.flatnonzero(breaks)
     begin, words = edges[:-1][confirmed[edges[:-1]]], (np.diff(edges) + WINDOW - 1)[confirmed[edges[:-1]]]
     at = run[begin]
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[at]), pa.array(doc[at]), pa.array(place[begin].astype(np.int32)), pa.array(words.astype(np.int32)),
-         pa.array(source_doc[begin]), pa.array(source_start[begin].astype(np.int32))],
-        names=["bucket", "doc", "start", "words", "first_doc", "first_start"])
+        [pa.array(_bucket(key[at], buckets)), pa.array(doc[at]), pa.array(key[at]), pa.array(place[begin].astype(np.int32)),
+         pa.array(words.astype(np.int32)), pa.array(source_doc[begin]), pa.array(source_key[begin]),
+         pa.array(source_start[begin].astype(np.int32))],
+        names=["bucket", "doc", "key", "start", "words", "first_doc", "first_key", "first_start"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Runs sorted by anchor; singles go, whole groups are compared."""
     held = None
 
@@ -110,7 +118,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[1:-1] = anchor[1:] == anchor[:-1]
         several = same[1:] | same[:-1] | table.column("twins").to_numpy()
         if several.any():
-            yield _passages(table.filter(pa.array(several)))
+            yield _passages(table.filter(pa.array(several)), buckets)
 
     for batch in batches:
         if not batch.num_rows:
@@ -136,21 +144,20 @@ def _compile(sequences: list[tuple[int, ...]]) -> ahocorasick.Automaton:
 def _remove(docs: pa.Table, passages: pa.Table) -> pa.Table:
     """One bucket: its documents without the words of passages that have an earlier source."""
     n = docs.num_rows
-    ids = docs.column("doc").to_numpy()
+    ids = list(zip(docs.column("doc").to_pylist(), docs.column("key").to_pylist()))
     chunk = next(tokens.chunks(docs.column("text"), 2**62), None)
     w = tokens.words(chunk, chunk.data, tokens.SPACE_WORDS)
     hashes = tokens.SpanHasher(chunk.data)(w.starts, w.ends)
     numbers = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
     flags = np.zeros(len(hashes), bool)
     if passages.num_rows:
-        by_id = np.argsort(ids, kind="stable")
-        row = by_id[np.searchsorted(ids[by_id], passages.column("doc").to_numpy())]
+        row_of = {name: r for r, name in enumerate(ids)}
+        row = np.array([row_of[name] for name in zip(passages.column("doc").to_pylist(), passages.column("key").to_pylist())])
         begin = w.first[row] + passages.column("start").to_numpy()
         length = passages.column("words").to_numpy()
         keys = tokens.SpanHasher(hashes.view(np.uint8))(begin * 8, (begin + length) * 8)
         _, one = np.unique(keys, return_index=True)
-        one = one[begin[one] + length[one] <= w.first[row[one] + 1]]
-        sources = np.stack([passages.column(c).to_numpy()[one] for c in ("first_doc", "first_start")], axis=1)
+        sources = np.stack([passages.column(c).to_numpy()[one] for c in ("first_doc", "first_key", "first_start")], axis=1)
         size = length[one]
         machine = _compile([tuple(numbers[b:b + k].tolist()) for b, k in zip(begin[one].tolist(), size.tolist())])
         depth = np.zeros(len(hashes) + 1, np.int64)
@@ -160,7 +167,7 @@ def _remove(docs: pa.Table, passages: pa.Table) -> pa.Table:
                 continue
             hits = np.array(list(machine.iter(tuple(numbers[low:high].tolist()))), np.int64).reshape(-1, 2)
             start = hits[:, 0] + 1 - size[hits[:, 1]]
-            later = (sources[hits[:, 1], 0] != ids[r]) | (sources[hits[:, 1], 1] != start)
+            later = (sources[hits[:, 1]] != np.column_stack([np.full((len(hits), 2), ids[r]), start])).any(axis=1)
             np.add.at(depth, low + start[later], 1)
             np.add.at(depth, low + hits[later, 0] + 1, -1)
         flags = np.cumsum(depth[:-1]) > 0
@@ -183,12 +190,15 @@ def _remove(docs: pa.Table, passages: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) of each row; needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("doc"), F.lit(1 + size // bucket_bytes)).cast("int").alias("bucket")
-    docs = docs.select("doc_id", "doc", bucket, "text")
-    found = docs.select("doc", "bucket", "text").mapInArrow(
-        _scan, "anchor bigint, doc bigint, bucket int, start int, twins boolean, windows binary")
-    passages = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_confirm, PASSAGES)
+    buckets = 1 + size // bucket_bytes
+    named = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"),
+                       F.when(F.col("doc_id").isNull(), named).otherwise(-1 - named).alias("key"), "text")  # null comes last
+    found = docs.select("doc", "key", "text").mapInArrow(
+        lambda batches: _scan(batches, buckets), "anchor bigint, doc bigint, key bigint, start int, twins boolean, windows binary")
+    passages = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
+        lambda batches: _confirm(batches, buckets), PASSAGES)
+    docs = docs.select("doc_id", "doc", "key", F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "text")
     return docs.groupBy("bucket").cogroup(passages.groupBy("bucket")).applyInArrow(
         _remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")

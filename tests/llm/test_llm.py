@@ -460,6 +460,39 @@ def test_substring_dedup_odd_rows(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def substring_brute(rows):
+    """Words left of each (doc_id, text): windows are kept once, at their first place; of places with one doc_id any may be first."""
+    wanted = collections.defaultdict(set)
+    for rank in (False, True):
+        seen = set()
+        for d, x in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] if rank else [-ord(c) for c in r[1]])):
+            w, gone = x.split(), set()
+            for i in range(len(w) - 19):
+                key = tuple(w[i:i + 20])
+                gone |= set(range(i, i + 20)) if key in seen else set()
+                seen.add(key)
+            wanted[d, x].add(" ".join(y for i, y in enumerate(w) if i not in gone))
+    return wanted
+
+
+@pytest.mark.parametrize("bucket_bytes", [300, 2_000_000])
+def test_substring_dedup_rows_without_or_with_one_id(spark, bucket_bytes):
+    shared = " ".join(f"s{k}" for k in range(40))
+    own = [" ".join(f"{c}{k}" for k in range(n)) for c, n in zip("abcdefg", (3, 90, 0, 7, 30, 1, 55))]
+    rows = [(None, f"{own[0]} {shared}"), (None, f"{own[1]} {shared} {own[3]}"), (7, f"{own[2]} {shared} {own[4]}"),
+            (8, f"{own[5]} {shared}"), (8, f"{own[6]} {shared} {own[0]}"), (None, " ".join(own)), (None, shared[:40])]
+    alone = [(None, f"{own[1]} {shared}"), (None, f"{own[0]} {shared} {own[4]}")]
+    twice = [(5, f"{own[6]} {shared}"), (5, f"{own[3]} {shared} {own[1]}")]
+    for docs in (rows, alone, twice):
+        out = substring_dedup.remove_repeats(frame(spark, docs), bucket_bytes).collect()
+        wanted = substring_brute(docs)
+        assert sorted(r.n_words for r in out) == sorted(len(x.split()) for _, x in docs)
+        left = collections.Counter((r.doc_id, r.kept_text) for r in out)
+        assert all(any((d, t) in left for t in wanted[d, x]) for d, x in docs)
+        if docs is not rows:
+            assert sorted(r.n_removed for r in out) == [0, 40]
+
+
 # 10 archive
 
 def test_archive(spark, tmp_path):
