@@ -7,9 +7,10 @@ prefixes are extended backwards, breadth first and eight bytes at a time: a boun
 below v gives, one step back, boundaries below v + 8. The expansion stops at the minimum length, and what has no boundary
 by then shares at least that many bytes. Covered bytes are then cut out of each text at once, judged on the input.
 
-An anchor with more than HOT_CONTEXTS different contexts is split by content: each of its windows goes to a shard under
-the window's own hash. Copies that meet in one batch are shipped once. Shards hold whole anchor groups, so a shard is
-bounded by SHARD_BYTES and one group.
+The windows of an anchor with more than HOT_CONTEXTS different contexts are counted by their 64-bit hashes instead, before
+the shuffle first, and the repeated ones are joined back, where Spark splits a hot one; none of their bytes are shipped.
+Copies that meet in one batch are shipped once. Shards hold whole anchor groups, so a shard is bounded by SHARD_BYTES and
+one group of at most HOT_CONTEXTS contexts.
 
 Nulls are empty texts; texts under 200 bytes lose nothing. A doc_id names one text: rows that share it and the text are
 copies of each other; a row without doc_id is named by its text's hash. Extra columns are ignored; an empty table gives no
@@ -70,24 +71,23 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole_anchors(batches: Iterator[pa.RecordBatch], least_rows: int = 0) -> Iterator[pa.Table]:
     """Sorted batches, cut where the anchor changes; each table has at least ``least_rows`` rows but for the last."""
-    held = None
+    held: list[pa.RecordBatch] = []  # joined once, when a later anchor shows that the first are whole
     for batch in batches:
         for start in range(0, batch.num_rows, least_rows or batch.num_rows):
-            table = pa.Table.from_batches([batch.slice(start, least_rows or batch.num_rows)])
-            held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows < least_rows:
+            held.append(batch.slice(start, least_rows or batch.num_rows))
+            first, last = held[0].column("anchor")[0], held[-1].column("anchor")[-1]
+            if sum(x.num_rows for x in held) < least_rows or first == last:
                 continue
-            held = held.combine_chunks()
-            anchor = held.column("anchor").to_numpy()
+            table = pa.Table.from_batches(held).combine_chunks()
+            anchor = table.column("anchor").to_numpy()
             cut = int(np.searchsorted(anchor, anchor[-1]))
-            if cut:
-                yield held.slice(0, cut).combine_chunks()
-                held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield held.combine_chunks()
+            yield table.slice(0, cut).combine_chunks()
+            held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], hot_contexts: int) -> Iterator[pa.RecordBatch]:
     """Spans of contexts that repeat as a whole, and the contexts that must be compared."""
     for table in _whole_anchors(batches):
         done = table.column("state").to_numpy() == _DONE
@@ -108,7 +108,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state[order] = np.where(repeated, _REPEATED, _OPEN)
         ask, hot = np.zeros(len(a), bool), np.zeros(len(a), bool)
         ask[order] = new_context & (contexts > 1)
-        hot[order] = contexts > HOT_CONTEXTS
+        hot[order] = contexts > hot_contexts
         names = ["anchor", "doc", "start", "n", "state"]
         asked, spans = live.filter(pa.array(ask)), live.filter(pa.array(state == _REPEATED))
         parts = ((asked, state[ask], True, hot[ask]), (spans, state[state == _REPEATED], False, np.zeros(spans.num_rows, bool)),
@@ -120,31 +120,46 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                     names=[*names, "asked", "hot"]).to_batches()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of asked contexts; windows of hot anchors each under their own hash."""
+def _asked(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[tuple[int, bytes, list[dict]]]:
+    """Documents with those of their asks that are hot, or are not."""
     for batch in (whole.slice(k, STEP_ROWS) for whole in batches for k in range(0, whole.num_rows, STEP_ROWS)):
-        docs = batch.column(0).to_pylist()
         texts = batch.column(1).cast(pa.large_binary())
-        for doc, text, asks in zip(docs, texts, batch.column(2).to_pylist()):
-            raw = text.as_py() or b""
-            hasher = None
-            rows = []
-            for ask in asks:
-                start, n, known = ask["start"], ask["n"], ask["state"] == _REPEATED
-                if not ask["hot"]:
-                    rows.append((ask["anchor"], doc, start, known, raw[start:start + n + MIN_BYTES - 1]))
-                    continue
-                if hasher is None:
-                    hasher = tokens.SpanHasher(np.frombuffer(raw, np.uint8))
-                at = np.arange(start, start + n)
-                keys = tokens.mix(hasher(at, at + MIN_BYTES) ^ np.uint64(ask["anchor"] & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-                rows += [(int(k), doc, int(s), known, raw[s:s + MIN_BYTES]) for k, s in zip(keys, at)]
-            for part in range(0, len(rows), 10_000):
-                columns = list(zip(*rows[part:part + 10_000]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()),
-                     pa.array(columns[3], pa.bool_()), pa.array(columns[4], pa.binary())],
-                    names=["anchor", "doc", "start", "known", "content"])
+        for doc, text, asks in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+            asks = [ask for ask in asks if ask["hot"] == hot]
+            if asks:
+                yield doc, text.as_py() or b"", asks
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of asked contexts, but for those of hot anchors."""
+    for doc, raw, asks in _asked(batches, False):
+        for part in range(0, len(asks), 10_000):
+            some = asks[part:part + 10_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x["anchor"] for x in some], pa.int64()), pa.array([doc] * len(some), pa.int64()),
+                 pa.array([x["start"] for x in some], pa.int32()), pa.array([x["state"] == _REPEATED for x in some], pa.bool_()),
+                 pa.array([raw[x["start"]:x["start"] + x["n"] + MIN_BYTES - 1] for x in some], pa.binary())],
+                names=["anchor", "doc", "start", "known", "content"])
+
+
+def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the asked contexts of hot anchors, by its hash under the anchor."""
+    for doc, raw, asks in _asked(batches, True):
+        hasher = tokens.SpanHasher(np.frombuffer(raw, np.uint8))
+        ask, number = spread(np.array([x["n"] for x in asks]))
+        at = np.array([x["start"] for x in asks])[ask] + number
+        anchor = np.array([x["anchor"] for x in asks], np.int64).view(np.uint64)[ask]
+        known = np.array([x["state"] == _REPEATED for x in asks])[ask]
+        window = tokens.mix(hasher(at, at + MIN_BYTES) ^ anchor).view(np.int64)
+        yield from pa.table({"window": window, "doc": np.full(len(at), doc, np.int64), "start": at.astype(np.int32),
+                             "known": known}).to_batches(max_chunksize=10_000)
+
+
+def hot_repeats(windows: DataFrame) -> DataFrame:
+    """Spans of the windows (window, doc, start, known) that occur again or are known to repeat."""
+    counts = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times"), F.max("known").alias("repeats"))
+    repeated = kept(counts.filter("times > 1 OR repeats").select("window"), "windows")
+    return windows.filter("NOT known").join(repeated.hint("merge"), "window").select("doc", "start", F.lit(1).alias("n"))
 
 
 def _first_bytes(data: np.ndarray) -> np.ndarray:
@@ -273,13 +288,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, removed (byte spans) and kept (bytes) of each row; needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), "text")
+    hot_contexts = HOT_CONTEXTS
     found = docs.select("doc", "text").mapInArrow(_scan, _RUNS)
-    found = kept(found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_meet, _FOUND), "runs")
+    found = kept(found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
+        lambda batches: _meet(batches, hot_contexts), _FOUND), "runs")
     asks = found.filter("asked").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n", "state", "hot")).alias("asks"))
     texts = docs.select("doc", "text").join(asks, "doc").select("doc", "text", "asks")
     contexts = texts.mapInArrow(_cut, "anchor bigint, doc bigint, start int, known boolean, content binary")
     compared = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "doc bigint, start int, n int")
     spans = found.filter("NOT asked").select("doc", "start", "n").unionByName(compared)
+    if not found.filter("hot").isEmpty():
+        spans = spans.unionByName(hot_repeats(texts.mapInArrow(_hot_windows, "window bigint, doc bigint, start int, known boolean")))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     rows = docs.join(spans, "doc", "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_strip, "doc_id bigint, n_bytes bigint, n_removed bigint, "

@@ -179,6 +179,21 @@ def test_suffix_dedup_odd_rows(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_windows_of_hot_anchors_are_counted_before_the_shuffle(spark):
+    import pyarrow as pa
+    shared = "".join(chr(97 + k * k % 23) for k in range(260))
+    ask = {"anchor": 5, "start": 0, "n": 100, "state": 0, "hot": True}
+    batch = pa.RecordBatch.from_pylist([{"doc": d, "text": "-" * 38 + chr(65 + d) + shared, "asks": [ask]} for d in range(30)])
+    assert sum(x.num_rows for x in suffix_dedup._cut([batch])) == 0  # no bytes of hot windows are shipped
+    windows = pa.Table.from_batches(suffix_dedup._hot_windows([batch])).to_pylist()
+    assert len(windows) == 30 * 100
+    rows = spark.createDataFrame([(x["window"], x["doc"], x["start"], x["doc"] == 3) for x in windows],
+                                 "window long, doc long, start int, known boolean")
+    out = suffix_dedup.hot_repeats(rows)
+    assert "SortMergeJoin" in out._jdf.queryExecution().toString()
+    assert sorted((r.doc, r.start, r.n) for r in out.collect()) == [(d, k, 1) for d in range(30) if d != 3 for k in range(39, 100)]
+
+
 @pytest.mark.parametrize("least", [1, 3, 12])
 def test_prefix_boundaries_match_sorted_suffixes(least):
     import numpy as np
