@@ -7,7 +7,10 @@ passage gets it once. Each bucket compiles its passages, as word sequences, into
 documents through it: every occurrence of a passage that is not its source is removed. An automaton is bounded by its
 bucket's text, and every text is streamed once.
 
-A window is compared by 40 bits of its hash and the 64 bits of its anchor. Runs that repeat within a batch and bucket are
+An anchor with more than HOT_RUNS runs, counted where a chunk has BUSY_RUNS of it or more, is hot: its windows are grouped
+by their own 64-bit hashes, with the first place taken before the shuffle, and first places are joined back, where Spark
+splits a hot window. A colder anchor's windows meet in one task; they are compared by 40 bits of their hash and the 64 bits
+of the anchor. Runs that repeat within a batch and bucket are
 shipped once. Null and empty texts have no words. Rows are named by doc_id and a key, a hash of both doc_id and text. A row without
 doc_id comes after all others; rows that share a doc_id, or have none, come in the order of their keys. Rows that share
 doc_id (or have none) and text are one place: neither is earlier, and they are in one bucket. Extra columns are ignored; an
@@ -25,21 +28,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .groups import kept
 from .winnow import runs, spread
 
 WINDOW, GRAM = 20, 5
 BUCKET_BYTES = 2_000_000
+HOT_RUNS, BUSY_RUNS = 20_000, 4
 _LAST = 2**63 - 1
 _BYTES = 5  # of a window's hash that are shipped
-PASSAGES = "bucket int, doc bigint, key bigint, start int, words int, first_doc bigint, first_key bigint, first_start int"
+#: Passages of one run that lie on from each other, source included, are joined.
+PASSAGES = "bucket int, doc bigint, key bigint, run int, start int, words int, first_doc bigint, first_key bigint, first_start int"
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
     return (key % buckets).astype(np.int32)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Runs: anchor, doc, key, start and the hashes of the run's windows."""
+def _runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of a chunk: anchor, doc, key, start, whether they stand for several, number of windows; and all their windows."""
     for batch in batches:
         docs, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         for chunk in tokens.chunks(batch.column(2)):
@@ -63,13 +69,68 @@ def _scan(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             keep = order[keep]  # the first of equal runs of a bucket
             _, number = spread(count[keep])
             shipped = windows[np.repeat(r.first[keep], count[keep]) + number]
-            raw = shipped.view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
-            offsets = np.concatenate([[0], np.cumsum(count[keep]) * _BYTES]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[r.anchor[keep]].view(np.int64)), pa.array(doc[keep]), pa.array(key[keep]),
-                 pa.array(start[keep].astype(np.int32)), pa.array(times > 1),
-                 pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])],
-                names=["anchor", "doc", "key", "start", "twins", "windows"])
+            yield grams[r.anchor[keep]], doc[keep], key[keep], start[keep], times > 1, count[keep], shipped
+
+
+def _busy(batches: Iterator[pa.RecordBatch], buckets: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Anchors with ``least`` or more runs in a chunk, and how many."""
+    for anchor, *_ in _runs(batches, buckets):
+        values, counts = np.unique(anchor.view(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values[counts >= least]), pa.array(counts[counts >= least])], names=["anchor", "n"])
+
+
+def _scan(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Runs of anchors that are not hot, with the hashes of their windows."""
+    for anchor, doc, key, start, twins, count, windows in _runs(batches, buckets):
+        if len(hot):
+            cold = ~np.isin(anchor.view(np.int64), hot)
+            windows = windows[np.repeat(cold, count)]
+            anchor, doc, key, start, twins, count = (x[cold] for x in (anchor, doc, key, start, twins, count))
+        raw = windows.view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+        offsets = np.concatenate([[0], np.cumsum(count) * _BYTES]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(key), pa.array(start.astype(np.int32)), pa.array(twins),
+             pa.Array.from_buffers(pa.binary(), len(anchor), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])],
+            names=["anchor", "doc", "key", "start", "twins", "windows"])
+
+
+def _hot_windows(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each window of the runs of hot anchors."""
+    for anchor, doc, key, start, twins, count, windows in _runs(batches, buckets):
+        run, number = spread(count)
+        here = np.isin(anchor.view(np.int64), hot)[run]
+        run, number, windows = run[here], number[here], windows[here]
+        window = tokens.mix(windows ^ tokens.mix(anchor)[run]).view(np.int64)
+        yield from pa.table({"window": window, "doc": doc[run], "key": key[run], "run": start[run].astype(np.int32),
+                             "start": (start[run] + number).astype(np.int32),
+                             "n": 1 + twins[run].astype(np.int64)}).to_batches(max_chunksize=10_000)
+
+
+def hot_passages(windows: DataFrame, buckets: int) -> DataFrame:
+    """Passages of one window each from (window, doc, key, run, start, n): those that recur, with their first places."""
+    firsts = windows.groupBy("window").agg(F.min(F.struct("doc", "key", "start")).alias("first"), F.sum("n").alias("times"))
+    firsts = kept(firsts.filter("times > 1").select("window", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc", "key", "start")]),
+                  "firsts")
+    return windows.join(firsts.hint("merge"), "window").select(
+        F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "doc", "key", "run", "start", F.lit(WINDOW).alias("words"),
+        "first_doc", "first_key", "first_start")
+
+
+def _joined(passages: pa.Table) -> pa.Table:
+    """Passages of one run that lie on from each other, and whose sources do, as one."""
+    doc, key, run, start, words, first_doc, first_key, first_start = (
+        passages.column(c).to_numpy().astype(np.int64)
+        for c in ("doc", "key", "run", "start", "words", "first_doc", "first_key", "first_start"))
+    order = np.lexsort((start, run, key, doc))
+    steps = [np.diff(x[order]) for x in (doc, key, run, first_doc, first_key)]
+    on = np.diff(start[order])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any(steps, axis=0) | (on != words[order][:-1] - WINDOW + 1) | (np.diff(first_start[order]) != on)
+    begin = np.flatnonzero(new)
+    last = order[np.append(begin[1:], len(order)) - 1]
+    head = order[begin]
+    out = passages.take(pa.array(head))
+    return out.set_column(out.schema.get_field_index("words"), "words", pa.array(start[last] + words[last] - start[head]))
 
 
 def _passages(rows: pa.Table, buckets: int) -> pa.RecordBatch:
@@ -103,14 +164,14 @@ def _passages(rows: pa.Table, buckets: int) -> pa.RecordBatch:
     at = run[begin]
     return pa.RecordBatch.from_arrays(
         [pa.array(_bucket(key[at], buckets)), pa.array(doc[at]), pa.array(key[at]), pa.array(place[begin].astype(np.int32)),
-         pa.array(words.astype(np.int32)), pa.array(source_doc[begin]), pa.array(source_key[begin]),
+         pa.array(place[begin].astype(np.int32)), pa.array(words.astype(np.int32)), pa.array(source_doc[begin]), pa.array(source_key[begin]),
          pa.array(source_start[begin].astype(np.int32))],
-        names=["bucket", "doc", "key", "start", "words", "first_doc", "first_key", "first_start"])
+        names=["bucket", "doc", "key", "run", "start", "words", "first_doc", "first_key", "first_start"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Runs sorted by anchor; singles go, whole groups are compared."""
-    held = None
+    held: list[pa.RecordBatch] = []
 
     def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
         anchor = table.column("anchor").to_numpy()
@@ -123,14 +184,16 @@ def _confirm(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Rec
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        held.append(batch)
+        if held[0].column("anchor")[0] == batch.column("anchor")[-1]:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
         anchor = table.column("anchor").to_numpy()
         cut = int(np.searchsorted(anchor, anchor[-1]))
-        if cut:
-            yield from done(table.slice(0, cut).combine_chunks())
-        held = table.slice(cut)
-    if held is not None:
-        yield from done(held.combine_chunks())
+        yield from done(table.slice(0, cut).combine_chunks())
+        held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield from done(pa.Table.from_batches(held).combine_chunks())
 
 
 def _compile(sequences: list[tuple[int, ...]]) -> ahocorasick.Automaton:
@@ -151,6 +214,7 @@ def _remove(docs: pa.Table, passages: pa.Table) -> pa.Table:
     numbers = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
     flags = np.zeros(len(hashes), bool)
     if passages.num_rows:
+        passages = _joined(passages)
         row_of = {name: r for r, name in enumerate(ids)}
         row = np.array([row_of[name] for name in zip(passages.column("doc").to_pylist(), passages.column("key").to_pylist())])
         begin = w.first[row] + passages.column("start").to_numpy()
@@ -195,10 +259,17 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     named = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"),
                        F.when(F.col("doc_id").isNull(), named).otherwise(-1 - named).alias("key"), "text")  # null comes last
-    found = docs.select("doc", "key", "text").mapInArrow(
-        lambda batches: _scan(batches, buckets), "anchor bigint, doc bigint, key bigint, start int, twins boolean, windows binary")
+    texts, least = docs.select("doc", "key", "text"), BUSY_RUNS
+    busy = texts.mapInArrow(lambda batches: _busy(batches, buckets, least), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
+    hot = np.array(sorted(r.anchor for r in busy.filter(F.col("n") > HOT_RUNS).collect()), np.int64)
+    found = texts.mapInArrow(lambda batches: _scan(batches, buckets, hot),
+                             "anchor bigint, doc bigint, key bigint, start int, twins boolean, windows binary")
     passages = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         lambda batches: _confirm(batches, buckets), PASSAGES)
+    if len(hot):
+        passages = passages.unionByName(hot_passages(texts.mapInArrow(
+            lambda batches: _hot_windows(batches, buckets, hot),
+            "window bigint, doc bigint, key bigint, run int, start int, n bigint"), buckets))
     docs = docs.select("doc_id", "doc", "key", F.pmod("key", F.lit(buckets)).cast("int").alias("bucket"), "text")
     return docs.groupBy("bucket").cogroup(passages.groupBy("bucket")).applyInArrow(
         _remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")

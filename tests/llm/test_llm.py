@@ -508,6 +508,20 @@ def test_substring_dedup_rows_without_or_with_one_id(spark, bucket_bytes):
             assert sorted(r.n_removed for r in out) == [0, 40]
 
 
+@pytest.mark.parametrize("hot", [0, 40])
+def test_substring_dedup_with_hot_anchors(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_RUNS", hot)
+    monkeypatch.setattr(substring_dedup, "BUSY_RUNS", 1)
+    calls, plain = [], substring_dedup.hot_passages
+
+    def seen(windows, buckets):
+        calls.append(plain(windows, buckets))
+        return calls[-1]
+    monkeypatch.setattr(substring_dedup, "hot_passages", seen)
+    test_substring_dedup(spark)
+    assert len(calls) == 1 and "SortMergeJoin" in calls[0]._jdf.queryExecution().toString()
+
+
 # 10 archive
 
 def test_archive(spark, tmp_path):
