@@ -6,12 +6,14 @@ be unique.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import order_key
+from ..session import scratch_dir
+
 PREFIX = 4          # hex digits of the digest that name a bucket: 65,536 buckets
 BUCKETS = 16 ** PREFIX
 
@@ -81,3 +83,32 @@ def first_k_by_number(df: DataFrame, key: str, k: Callable[[Column], Column] | i
     bucket = F.floor((F.col(key) - F.col("b.lo")) / width * BUCKETS)
     cut = _cut(keys, bucket, F.col(key), k)
     return df.withColumn("__cut", cut.scalar()).where(F.col(key) <= F.col("__cut.key")).drop("__cut")
+
+
+def _written(rows: DataFrame, label: str) -> DataFrame:
+    path = scratch_dir(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def range_number(rows: DataFrame, order: Sequence[Column], name: str = "number") -> DataFrame:
+    """``rows`` with their 0-based position in the order of ``order``, without one task that sees them all.
+
+    Rows are dealt into ranges of near equal size between sampled keys, sorted inside their range, and offset by the sizes
+    of the ranges before. Equal keys may hold any share of the rows: a row id, fixed by writing the rows first, follows the
+    keys, so ranges cut through them. Equal keys get consecutive numbers in no stated order. Two tables are written; rows
+    should be narrow.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")
+    fixed = _written(rows.select(row, *[c.alias(f"key{i}") for i, c in enumerate(order)],
+                                 F.monotonically_increasing_id().alias("tie")), "fixed")
+    keys = [F.col(f"key{i}").asc_nulls_last() for i in range(len(order))] + [F.col("tie")]
+    place = F.monotonically_increasing_id()   # range above, position in the sorted range in the 33 bits below
+    placed = _written(fixed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(
+        "row", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "placed")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return (placed.join(F.broadcast(offsets), "part")
+            .select("row.*", (F.col("before") + F.col("at")).cast("bigint").alias(name)))
