@@ -60,3 +60,47 @@ digests AS (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS first_page,
 SELECT page_id, strlen(h) AS payload_bytes, {_DIGITS} AS payload_digest,
        CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first_page THEN first_page END AS refers_to FROM digests"""
+
+
+HARD_NEGATIVES = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                  CAST(coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
+           FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+found AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                 vec_id AS negative_id, positive_score, score AS negative_score
+          FROM positives JOIN scored USING (anchor_id)
+          WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT * FROM found WHERE rank <= 5"""
+
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 2 * strlen(word), 2),
+               lambda k: ('0x' || substr(hex(encode(word)), (k + 1)::INTEGER, 2))::BIGINT)),
+               lambda c, b: xor(c >> 8, crcs.crc[(xor(c, b) & 255) + 1]))"""
+
+IMPORTANCE = f"""
+WITH RECURSIVE bits(b, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL
+    SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY b) AS crc FROM bits WHERE k = 8),
+docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+items AS (SELECT regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
+doc_words AS (SELECT doc_id, unnest(w) AS word FROM docs),
+item_words AS (SELECT unnest(w) AS word FROM items),
+hashed AS (SELECT word, xor({_CRC32}, 4294967295) % 10000 AS bucket
+           FROM (SELECT word FROM doc_words UNION SELECT word FROM item_words), crcs),
+s AS (SELECT bucket, count(*) AS s FROM doc_words JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM item_words JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS ss, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS tt),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (ss + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (tt + 10000)))) AS gain
+          FROM (SELECT DISTINCT bucket FROM hashed) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), sums),
+means AS (SELECT doc_id, floor(sum(gain) / count(*))::BIGINT AS weight FROM doc_words JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+                  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+           FROM docs LEFT JOIN means USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r,
+                  count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM ranked"""

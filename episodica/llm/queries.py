@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, near_dedup, oracle, quality, secret_scan, sentencepiece, sharding, substring_dedup, suffix_dedup, warc
+from . import (decontaminate, fingerprints, hard_negatives, importance, licenses, near_dedup, oracle, quality, secret_scan, sentencepiece,
+               sharding, substring_dedup, suffix_dedup, warc)
+from .groups import kept
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -82,3 +84,32 @@ def op5(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dealt = sharding.shuffled_shards(rows, "doc_id", 24)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op11_document_fingerprints")
+def op11(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    paired = fingerprints.with_next(fingerprints.with_sketch(texts), "doc_id", "text", ["sketch"])
+    changed = paired.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), "sketch", "next_sketch",
+                            fingerprints.edited(F.col("text"), F.col("next_text")).alias("edited"))
+    own, other, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return fingerprints.with_sketch(changed, "edited", "edited_sketch").select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(own).alias("fingerprint"),
+        fingerprints.as_text(other).alias("edited_fingerprint"), fingerprints.likeness(own, other).alias("near_edited"),
+        fingerprints.likeness(own, following).alias("near_next"), fingerprints.containment(own, other).alias("held_by_edited"),
+        fingerprints.containment(own, following).alias("held_by_next"))
+
+
+@query("op12_hard_negatives", table="embeddings", sql=oracle.HARD_NEGATIVES)
+def op12(spark: SparkSession, vectors: DataFrame, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = kept(hard_negatives.quantised(vectors.withColumn("label", moved)), "vectors")
+    return hard_negatives.mine(rows, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
+
+
+@query("op13_importance_resampling", sql=oracle.IMPORTANCE)
+def op13(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = importance.weighted(docs.select("doc_id", "text"), target).select(
+        "doc_id", "importance.n_features", "importance.weight", (F.col("importance.n_words") >= 20).alias("enough"))
+    return importance.drawn(found, "doc_id", "weight", "enough", 10, 2024).select("doc_id", "n_features", "weight", "score", "rank")
