@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows in one step of a scan; texts of a batch are held twice at most.
@@ -20,14 +21,15 @@ def with_struct(rows: DataFrame, text: str, output: str, fields: T.StructType,
                 scan: Callable[[pa.Array], pa.StructArray]) -> DataFrame:
     """``rows`` with a struct column of what ``scan`` finds in each text; a column of that name is replaced."""
     kept = [c for c in rows.columns if c != output]
-    rows = rows.select(*[f"`{c}`" for c in kept])
+    plain = [f"c{k}" for k in range(len(kept) + 1)]   # names with dots do not reach mapInArrow
+    packed = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, plain)])
     position = kept.index(text)
-    names = [*kept, output]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, STEP_ROWS):
                 part = batch.slice(start, STEP_ROWS)
-                yield pa.RecordBatch.from_arrays([*part.columns, scan(part.column(position))], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, scan(part.column(position))], names=plain)
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(output, fields)]))
+    found = packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField(plain[-1], fields)]))
+    return found.toDF(*kept, output)
