@@ -50,7 +50,7 @@ def shingle_sets(chunk: tokens.Chunk) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
     data = tokens.LOWER[chunk.data]
     w = tokens.words(chunk, data, tokens.SPACE_WORDS)
-    hashes = tokens.SpanHasher(data)(w.starts, w.ends)
+    hashes = tokens.word_hashes(data, w)
     windows = tokens.window_hashes(hashes, SHINGLE)
     sets = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):

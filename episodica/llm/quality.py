@@ -101,7 +101,7 @@ def repetition(w: tokens.Words, hashes: np.ndarray, min_repeat: int) -> tuple[np
     return tokens.per_row(flags, w.first), longest
 
 
-def _duplicate_lines(chunk: tokens.Chunk, hasher: tokens.SpanHasher, w: tokens.Words) -> np.ndarray:
+def _duplicate_lines(chunk: tokens.Chunk, w: tokens.Words) -> np.ndarray:
     cuts = np.flatnonzero(chunk.data == 0x0A)
     starts = np.sort(np.concatenate([chunk.offsets[:-1], cuts + 1]))
     row = np.searchsorted(chunk.offsets, starts, "right") - 1
@@ -110,16 +110,16 @@ def _duplicate_lines(chunk: tokens.Chunk, hasher: tokens.SpanHasher, w: tokens.W
     newline = chunk.data[ends - 1] == 0x0A
     worded = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
     starts, ends, row = starts[worded], (ends - newline)[worded], row[worded]
-    pairs = np.unique(tokens.mix(hasher(starts, ends) + row.astype(np.uint64)), return_index=True)[1]
-    return np.bincount(row, minlength=chunk.rows) - np.bincount(row[pairs], minlength=chunk.rows)
+    codes, distinct = tokens.span_codes(chunk.data, starts, ends)
+    pairs = np.unique(row * len(distinct) + codes)
+    return np.bincount(row, minlength=chunk.rows) - np.bincount(pairs // max(len(distinct), 1), minlength=chunk.rows)
 
 
 def _measure(chunk: tokens.Chunk, min_repeat: int, max_covered: float, max_longest: float) -> list[np.ndarray]:
     data = chunk.data
     w = tokens.words(chunk, data, tokens.SPACE_WORDS)
     n_words = w.counts
-    hasher = tokens.SpanHasher(data)
-    hashes = hasher(w.starts, w.ends)
+    hashes = tokens.word_hashes(data, w)
     word_chars = tokens.per_row(tokens.SPACE_WORDS[data] & ~_CONTINUED[data], chunk.offsets)
     n_symbols = tokens.per_row(_SYMBOLS[data], chunk.offsets)
     starts = tokens.windows_in_rows(w.first, 3)
@@ -128,7 +128,7 @@ def _measure(chunk: tokens.Chunk, min_repeat: int, max_covered: float, max_longe
     failed = (n_words < MIN_WORDS) | (100 * n_repeat > 50 * n_words)
     covered_words, longest = repetition(w, hashes, min_repeat)
     kept = ~failed & (n_symbols <= MAX_SYMBOLS * word_chars) & (covered_words <= max_covered * n_words) & (longest <= max_longest * n_words)
-    return [n_words, word_chars, n_symbols, _duplicate_lines(chunk, hasher, w), n_repeat, failed, covered_words, longest, kept]
+    return [n_words, word_chars, n_symbols, _duplicate_lines(chunk, w), n_repeat, failed, covered_words, longest, kept]
 
 
 def quality_rules(docs: DataFrame, text: str = "text", output: str = "quality", min_repeat: int = MIN_REPEAT,

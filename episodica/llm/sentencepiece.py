@@ -161,9 +161,8 @@ def encode_texts(pieces: Pieces, column: pa.Array) -> pa.ListArray:
             parts.append(pa.ListArray.from_arrays(pa.array(np.zeros(chunk.rows + 1, np.int32)), pa.array([], pa.int32())))
             continue
         starts, ends = cuts[:-1], cuts[1:]
-        _, one, word = np.unique(tokens.SpanHasher(data)(starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        spelled = [raw[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist())]
+        word, distinct = tokens.span_codes(data, starts, ends)
+        spelled = [x.decode() for x in distinct.to_pylist()]
         points = np.frombuffer("".join(spelled).replace(" ", _SPACE).encode("utf-32-le"), np.uint32)
         counts = np.array([len(s) for s in spelled])
         symbols, sizes = merged(pieces, pieces.char_ids[points], counts)

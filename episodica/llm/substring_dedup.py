@@ -50,7 +50,7 @@ def _runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[np.
         docs, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         for chunk in tokens.chunks(batch.column(2)):
             w = tokens.words(chunk, chunk.data, tokens.SPACE_WORDS)
-            hashes = tokens.SpanHasher(chunk.data)(w.starts, w.ends)
+            hashes = tokens.word_hashes(chunk.data, w)
             windows = tokens.window_hashes(hashes, WINDOW)
             grams = tokens.window_hashes(hashes, GRAM)
             r = runs(grams, tokens.windows_in_rows(w.first, WINDOW), WINDOW - GRAM + 1)
@@ -210,21 +210,23 @@ def _remove(docs: pa.Table, passages: pa.Table) -> pa.Table:
     ids = list(zip(docs.column("doc").to_pylist(), docs.column("key").to_pylist()))
     chunk = next(tokens.chunks(docs.column("text"), 2**62), None)
     w = tokens.words(chunk, chunk.data, tokens.SPACE_WORDS)
-    hashes = tokens.SpanHasher(chunk.data)(w.starts, w.ends)
-    numbers = np.unique(hashes, return_inverse=True)[1].astype(np.int64) + 1
-    flags = np.zeros(len(hashes), bool)
+    numbers = tokens.span_codes(chunk.data, w.starts, w.ends)[0].astype(np.int64) + 1
+    flags = np.zeros(len(numbers), bool)
     if passages.num_rows:
         passages = _joined(passages)
         row_of = {name: r for r, name in enumerate(ids)}
         row = np.array([row_of[name] for name in zip(passages.column("doc").to_pylist(), passages.column("key").to_pylist())])
         begin = w.first[row] + passages.column("start").to_numpy()
         length = passages.column("words").to_numpy()
-        keys = tokens.SpanHasher(hashes.view(np.uint8))(begin * 8, (begin + length) * 8)
-        _, one = np.unique(keys, return_index=True)
+        distinct: dict[bytes, int] = {}
+        packed = numbers.astype(np.int32).tobytes()
+        for number, (b, k) in enumerate(zip((begin * 4).tolist(), (length * 4).tolist())):
+            distinct.setdefault(packed[b:b + k], number)
+        one = np.array(list(distinct.values()))
         sources = np.stack([passages.column(c).to_numpy()[one] for c in ("first_doc", "first_key", "first_start")], axis=1)
         size = length[one]
         machine = _compile([tuple(numbers[b:b + k].tolist()) for b, k in zip(begin[one].tolist(), size.tolist())])
-        depth = np.zeros(len(hashes) + 1, np.int64)
+        depth = np.zeros(len(numbers) + 1, np.int64)
         for r in range(n):
             low, high = int(w.first[r]), int(w.first[r + 1])
             if high - low < WINDOW:

@@ -12,8 +12,8 @@ the shuffle first, and the repeated ones are joined back, where Spark splits a h
 Copies that meet in one batch are shipped once. Shards hold whole anchor groups, so a shard is bounded by SHARD_BYTES and
 one group of at most HOT_CONTEXTS contexts.
 
-Nulls are empty texts; texts under 200 bytes lose nothing. A doc_id names one text: rows that share it and the text are
-copies of each other; a row without doc_id is named by its text's hash. Extra columns are ignored; an empty table gives no
+Nulls are empty texts; texts under 200 bytes lose nothing. Rows are named by doc_id (null included) and their text's hash:
+rows that share both are copies of each other, rows that share a doc_id alone are documents of their own. Extra columns are ignored; an empty table gives no
 rows. What is left may not be valid UTF-8 and is returned as bytes.
 """
 
@@ -34,39 +34,35 @@ MIN_BYTES, GRAM = 200, 64
 SHARD_BYTES, HOT_CONTEXTS = 1_000_000, 20_000
 STEP_ROWS = 500  # documents cut at a time
 _OPEN, _REPEATED, _DONE = 0, 1, 2
-_RUNS = "anchor bigint, context bigint, doc bigint, start int, n int, state int"
+_RUNS = "anchor bigint, context bigint, doc bigint, key bigint, start int, n int, state int"
 #: A span of repeated windows of a document, or (asked) a context to compare: first start, number of windows.
-_FOUND = "anchor bigint, doc bigint, start int, n int, state int, asked boolean, hot boolean"
-
-
-def _window_grams(data: np.ndarray, size: int) -> tuple[tokens.SpanHasher, np.ndarray]:
-    hasher = tokens.SpanHasher(data)
-    at = np.arange(max(len(data) - size + 1, 0))
-    return hasher, hasher(at, at + size)
+_FOUND = "anchor bigint, doc bigint, key bigint, start int, n int, state int, asked boolean, hot boolean"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of windows. Of equal ones in a chunk the first stays, as repeated; the others are done."""
     for batch in batches:
-        docs = batch.column(0).to_numpy()
-        for chunk in tokens.chunks(batch.column(1)):
-            hasher, grams = _window_grams(chunk.data, GRAM)
+        docs, keys = batch.column(0), batch.column(1).to_numpy()
+        for chunk in tokens.chunks(batch.column(2)):
+            windows = tokens.ByteWindows(chunk.data, MIN_BYTES)
+            grams = windows.everywhere(GRAM)
             r = runs(grams, tokens.windows_in_rows(chunk.offsets, MIN_BYTES), MIN_BYTES - GRAM + 1)
             if not len(r.first):
                 continue
             row = np.searchsorted(chunk.offsets, r.first, "right") - 1
-            context = hasher(r.first, r.last + MIN_BYTES)
+            # a run's first and last window lie side by side or overlap: together they are its context
+            context = tokens.joined(windows.at(r.first, MIN_BYTES), windows.at(r.last, MIN_BYTES) + (r.last - r.first).astype(np.uint64))
             anchor = grams[r.anchor]
             _, first, group, times = np.unique(tokens.mix(context ^ tokens.mix(anchor)), return_index=True, return_inverse=True,
                                                return_counts=True)
             state = np.full(len(context), _DONE, np.int32)
             state[first] = np.where(times > 1, _REPEATED, _OPEN)
             done = state == _DONE  # these meet nothing more: spread over the partitions
-            anchor[done] = tokens.mix(tokens.mix(docs[row[done] + chunk.first_row].view(np.uint64)) + r.first[done].astype(np.uint64))
+            anchor[done] = tokens.mix(tokens.mix(keys[row[done] + chunk.first_row].view(np.uint64)) + r.first[done].astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(docs[row + chunk.first_row]),
-                 pa.array((r.first - chunk.offsets[row]).astype(np.int32)), pa.array((r.last - r.first + 1).astype(np.int32)),
-                 pa.array(state)], names=["anchor", "context", "doc", "start", "n", "state"])
+                [pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), docs.take(pa.array(row + chunk.first_row)),
+                 pa.array(keys[row + chunk.first_row]), pa.array((r.first - chunk.offsets[row]).astype(np.int32)), pa.array((r.last - r.first + 1).astype(np.int32)),
+                 pa.array(state)], names=["anchor", "context", "doc", "key", "start", "n", "state"])
 
 
 def _whole_anchors(batches: Iterator[pa.RecordBatch], least_rows: int = 0) -> Iterator[pa.Table]:
@@ -109,57 +105,57 @@ def _meet(batches: Iterator[pa.RecordBatch], hot_contexts: int) -> Iterator[pa.R
         ask, hot = np.zeros(len(a), bool), np.zeros(len(a), bool)
         ask[order] = new_context & (contexts > 1)
         hot[order] = contexts > hot_contexts
-        names = ["anchor", "doc", "start", "n", "state"]
+        names = ["anchor", "doc", "key", "start", "n", "state"]
         asked, spans = live.filter(pa.array(ask)), live.filter(pa.array(state == _REPEATED))
         parts = ((asked, state[ask], True, hot[ask]), (spans, state[state == _REPEATED], False, np.zeros(spans.num_rows, bool)),
                  (table.filter(pa.array(done)), np.full(int(done.sum()), _DONE, np.int32), False, np.zeros(int(done.sum()), bool)))
         for part, states, is_asked, is_hot in parts:
             if part.num_rows:
-                columns = [part.column(x).combine_chunks() for x in names[:4]]
+                columns = [part.column(x).combine_chunks() for x in names[:5]]
                 yield from pa.table([*columns, pa.array(states), pa.array(np.full(part.num_rows, is_asked)), pa.array(is_hot)],
                                     names=[*names, "asked", "hot"]).to_batches()
 
 
-def _asked(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[tuple[int, bytes, list[dict]]]:
+def _asked(batches: Iterator[pa.RecordBatch], hot: bool) -> Iterator[tuple[int, int, bytes, list[dict]]]:
     """Documents with those of their asks that are hot, or are not."""
     for batch in (whole.slice(k, STEP_ROWS) for whole in batches for k in range(0, whole.num_rows, STEP_ROWS)):
-        texts = batch.column(1).cast(pa.large_binary())
-        for doc, text, asks in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist()):
+        texts = batch.column(2).cast(pa.large_binary())
+        for doc, key, text, asks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, batch.column(3).to_pylist()):
             asks = [ask for ask in asks if ask["hot"] == hot]
             if asks:
-                yield doc, text.as_py() or b"", asks
+                yield doc, key, text.as_py() or b"", asks
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of asked contexts, but for those of hot anchors."""
-    for doc, raw, asks in _asked(batches, False):
+    for doc, key, raw, asks in _asked(batches, False):
         for part in range(0, len(asks), 10_000):
             some = asks[part:part + 10_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x["anchor"] for x in some], pa.int64()), pa.array([doc] * len(some), pa.int64()),
+                [pa.array([x["anchor"] for x in some], pa.int64()), pa.array([doc] * len(some), pa.int64()), pa.array([key] * len(some), pa.int64()),
                  pa.array([x["start"] for x in some], pa.int32()), pa.array([x["state"] == _REPEATED for x in some], pa.bool_()),
                  pa.array([raw[x["start"]:x["start"] + x["n"] + MIN_BYTES - 1] for x in some], pa.binary())],
-                names=["anchor", "doc", "start", "known", "content"])
+                names=["anchor", "doc", "key", "start", "known", "content"])
 
 
 def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of the asked contexts of hot anchors, by its hash under the anchor."""
-    for doc, raw, asks in _asked(batches, True):
-        hasher = tokens.SpanHasher(np.frombuffer(raw, np.uint8))
+    for doc, key, raw, asks in _asked(batches, True):
+        windows = tokens.ByteWindows(np.frombuffer(raw, np.uint8), MIN_BYTES)
         ask, number = spread(np.array([x["n"] for x in asks]))
         at = np.array([x["start"] for x in asks])[ask] + number
         anchor = np.array([x["anchor"] for x in asks], np.int64).view(np.uint64)[ask]
         known = np.array([x["state"] == _REPEATED for x in asks])[ask]
-        window = tokens.mix(hasher(at, at + MIN_BYTES) ^ anchor).view(np.int64)
-        yield from pa.table({"window": window, "doc": np.full(len(at), doc, np.int64), "start": at.astype(np.int32),
+        window = tokens.mix(windows.at(at, MIN_BYTES) ^ anchor).view(np.int64)
+        yield from pa.table({"window": window, "doc": pa.array([doc] * len(at), pa.int64()), "key": np.full(len(at), key, np.int64), "start": at.astype(np.int32),
                              "known": known}).to_batches(max_chunksize=10_000)
 
 
 def hot_repeats(windows: DataFrame) -> DataFrame:
-    """Spans of the windows (window, doc, start, known) that occur again or are known to repeat."""
+    """Spans of the windows (window, doc, key, start, known) that occur again or are known to repeat."""
     counts = windows.groupBy("window").agg(F.count(F.lit(1)).alias("times"), F.max("known").alias("repeats"))
     repeated = kept(counts.filter("times > 1 OR repeats").select("window"), "windows")
-    return windows.filter("NOT known").join(repeated.hint("merge"), "window").select("doc", "start", F.lit(1).alias("n"))
+    return windows.filter("NOT known").join(repeated.hint("merge"), "window").select("doc", "key", "start", F.lit(1).alias("n"))
 
 
 def _first_bytes(data: np.ndarray) -> np.ndarray:
@@ -249,9 +245,9 @@ def _shard(table: pa.Table) -> pa.RecordBatch | None:
         return None
     at = context[begin]
     return pa.RecordBatch.from_arrays(
-        [pa.array(table.column("doc").to_numpy()[at]),
+        [table.column("doc").combine_chunks().take(pa.array(at)), pa.array(table.column("key").to_numpy()[at]),
          pa.array((table.column("start").to_numpy()[at] + number[begin]).astype(np.int32)), pa.array((end - begin).astype(np.int32))],
-        names=["doc", "start", "n"])
+        names=["doc", "key", "start", "n"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,19 +283,28 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, removed (byte spans) and kept (bytes) of each row; needs doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), "text")
-    hot_contexts = HOT_CONTEXTS
-    found = docs.select("doc", "text").mapInArrow(_scan, _RUNS)
+    docs = docs.select("doc_id", F.col("doc_id").alias("doc"), F.xxhash64("text").alias("key"), "text")
+    hot_contexts, name = HOT_CONTEXTS, ["doc", "key"]
+
+    def of_row(rows: DataFrame, values: str, label: str) -> DataFrame:
+        found = rows.groupBy(*name).agg(F.collect_list(values).alias(label))
+        return found.withColumnsRenamed({c: f"_{c}" for c in name})
+
+    def joined(values: DataFrame, how: str) -> DataFrame:
+        return docs.join(values, docs["doc"].eqNullSafe(values["_doc"]) & (docs["key"] == values["_key"]), how)
+
+    found = docs.select("doc", "key", "text").mapInArrow(_scan, _RUNS)
     found = kept(found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
         lambda batches: _meet(batches, hot_contexts), _FOUND), "runs")
-    asks = found.filter("asked").groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "n", "state", "hot")).alias("asks"))
-    texts = docs.select("doc", "text").join(asks, "doc").select("doc", "text", "asks")
-    contexts = texts.mapInArrow(_cut, "anchor bigint, doc bigint, start int, known boolean, content binary")
-    compared = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "doc bigint, start int, n int")
-    spans = found.filter("NOT asked").select("doc", "start", "n").unionByName(compared)
+    asks = of_row(found.filter("asked").withColumn("ask", F.struct("anchor", "start", "n", "state", "hot")), "ask", "asks")
+    texts = joined(asks, "inner").select("doc", "key", "text", "asks")
+    contexts = texts.mapInArrow(_cut, "anchor bigint, doc bigint, key bigint, start int, known boolean, content binary")
+    compared = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "doc bigint, key bigint, start int, n int")
+    spans = found.filter("NOT asked").select("doc", "key", "start", "n").unionByName(compared)
     if not found.filter("hot").isEmpty():
-        spans = spans.unionByName(hot_repeats(texts.mapInArrow(_hot_windows, "window bigint, doc bigint, start int, known boolean")))
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    rows = docs.join(spans, "doc", "left").select("doc_id", "text", "spans")
+        windows = texts.mapInArrow(_hot_windows, "window bigint, doc bigint, key bigint, start int, known boolean")
+        spans = spans.unionByName(hot_repeats(windows))
+    spans = of_row(spans.withColumn("span", F.struct("start", "n")), "span", "spans")
+    rows = joined(spans, "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_strip, "doc_id bigint, n_bytes bigint, n_removed bigint, "
                                    "removed array<struct<start: bigint, end: bigint>>, kept binary")

@@ -1,12 +1,14 @@
 """Vectorised words and window hashes over whole Arrow text columns.
 
 Everything works on chunks of whole rows: the UTF-8 bytes of a chunk are one NumPy array, words are runs of word bytes
-that end at row borders, and hashes come from prefix sums, so no Python code runs per word. Hashes are 64 bits wide.
+that end at row borders. A distinct word of a chunk is hashed once, with BLAKE2, and longer windows are hashed from the hashes
+of their halves by a scrambler that is not linear. Hashes are 64 bits wide.
 Nulls count as empty texts. A chunk holds about CHUNK_BYTES, or one longer text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +17,7 @@ import pyarrow as pa
 
 #: Bytes of text that one vectorised step takes; a single longer text is taken whole.
 CHUNK_BYTES = 1_500_000
-_BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -35,24 +37,6 @@ def _alnum_words() -> np.ndarray:
 SPACE_WORDS, ALNUM_WORDS = _space_words(), _alnum_words()
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-_LETTERS = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_pair(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0..n and its inverses modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n + 1:
-        size = max(n + 1, 1 << 16)
-        pair = []
-        for factor in (base, pow(base, -1, 2**64)):
-            steps = np.full(size, factor, np.uint64)
-            steps[0] = 1
-            pair.append(np.cumprod(steps))
-        have = pair[0], pair[1]
-        if size <= CHUNK_BYTES + 1:
-            _powers[base] = have
-    return have[0][:n + 1], have[1][:n + 1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -127,31 +111,86 @@ def words(chunk: Chunk, data: np.ndarray, is_word: np.ndarray) -> Words:
     return Words(starts, ends, np.repeat(np.arange(chunk.rows), np.diff(first)), first)
 
 
-class SpanHasher:
-    """Hashes of any byte spans of ``data`` from one prefix sum."""
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashed parts, in this order. It is no polynomial, so no text collides for every choice of constants."""
+    return mix((a * _STEP) ^ b)
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _power_pair(_BASE, len(data))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        terms = _LETTERS[data]
-        terms *= power[:-1]
-        np.cumsum(terms, out=self.sums[1:])
 
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        value = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        value += (ends - starts).astype(np.uint64) * np.uint64(_STEP)
-        return mix(value)
+#: Hashes of words seen before; emptied when full.
+_known: dict[bytes, int] = {}
+_KNOWN_WORDS = 500_000
+
+
+def _word_hash(word: bytes) -> int:
+    found = _known.get(word)
+    if found is None:
+        if len(_known) >= _KNOWN_WORDS:
+            _known.clear()
+        found = _known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return found
+
+
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Dictionary index of each byte span, and the distinct spans; spans are ascending and apart, and compared in full."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    packed = np.ascontiguousarray(data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)])
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
+    """A 64-bit BLAKE2 hash of each word, computed once for each distinct one."""
+    codes, distinct = span_codes(data, w.starts, w.ends)
+    return np.fromiter(map(_word_hash, distinct.to_pylist()), np.uint64, len(distinct))[codes]
+
+
+def _windows(levels: list[np.ndarray], unit: int, size: int, starts: np.ndarray | None) -> np.ndarray:
+    """Hash of ``size`` consecutive entries from each start (or from every place); level k covers unit * 2**k entries."""
+    n = len(levels[0]) + unit - size
+    out, at = None, 0
+    for k in reversed(range(len(levels))):
+        if size // unit >> k & 1:
+            piece = levels[k][at:at + n] if starts is None else levels[k][starts + at]
+            out = piece if out is None else joined(out, piece)
+            at += unit << k
+    return out
+
+
+def _levels(first: np.ndarray, unit: int, size: int) -> list[np.ndarray]:
+    levels, width = [first], unit
+    while 2 * width <= size:
+        levels.append(joined(levels[-1][:-width], levels[-1][width:]))
+        width *= 2
+    return levels
 
 
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each ``size`` consecutive entries; entry i covers i..i+size-1, across rows too."""
-    n = len(hashes)
-    if n < size:
+    if len(hashes) < size:
         return np.zeros(0, np.uint64)
-    power, inverse = _power_pair(_STEP, n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * power[:-1], out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * inverse[:n - size + 1] + np.uint64(size))
+    return mix(_windows(_levels(mix(hashes), 1, size), 1, size, None) + np.uint64(size))
+
+
+class ByteWindows:
+    """Hashes of windows of whole eights of bytes; the longest is given. Level 0 is the eight bytes themselves, scrambled."""
+
+    def __init__(self, data: np.ndarray, longest: int):
+        self.n = len(data)
+        eight = np.zeros(max(self.n - 7, 0), np.uint64)
+        for k in range(min(8, len(eight))):
+            some = (len(eight) - k + 7) // 8
+            eight[k::8] = data[k:k + 8 * some].view(np.uint64)
+        self.levels = _levels(mix(eight), 8, min(longest, self.n))
+
+    def everywhere(self, size: int) -> np.ndarray:
+        return _windows(self.levels, 8, size, None) if self.n >= size else np.zeros(0, np.uint64)
+
+    def at(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return _windows(self.levels, 8, size, starts) if len(starts) else np.zeros(0, np.uint64)
 
 
 def windows_in_rows(first: np.ndarray, size: int) -> np.ndarray:

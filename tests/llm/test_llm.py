@@ -179,19 +179,68 @@ def test_suffix_dedup_odd_rows(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_suffix_dedup_rows_with_one_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", hot)
+    r = random.Random(2)
+    letters = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    p, noise = letters(300), letters(900)
+    for i in (1, None):
+        rows = [(i, p + "x" + noise[:3]), (i, noise), (2, "y" + p), (i, "z" * 10 + p + letters(50))]
+        out = suffix_dedup.remove_repeats(frame(spark, rows)).collect()
+        assert sorted((x.n_bytes, x.n_removed) for x in out) == [(301, 300), (304, 300), (360, 300), (900, 0)]
+
+
+def thue_morse(n: int, flip: bool = False) -> str:
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+def test_words_of_one_polynomial_differ(spark):
+    a, b = thue_morse(2_048), thue_morse(2_048, True)
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"{words}\n{a}\n{b}"), (2, f"{b}\n{a} {b}\n{b}")]
+    out = {x.doc_id: x.quality.n_dup_lines for x in quality.quality_rules(frame(spark, rows)).collect()}
+    assert out == {1: 0, 2: 1}
+    rows = [(1, a), (2, b), (3, a.upper())]
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
+    tail = " ".join(f"v{k}" for k in range(19))
+    rows = [(1, f"{tail} {a}"), (2, f"{tail} {b}"), (3, f"{tail} {a} x")]
+    assert {x.doc_id: x.n_removed for x in substring_dedup.remove_repeats(frame(spark, rows)).collect()} == {1: 0, 2: 0, 3: 20}
+    rows = [(1, a), (2, b)]
+    seen = collections.Counter(x[i:i + 200] for x in (a, b) for i in range(len(x) - 199))
+    for x in suffix_dedup.remove_repeats(frame(spark, rows)).collect():
+        text = dict(rows)[x.doc_id]
+        assert x.n_removed == len({k for i in range(len(text) - 199) if seen[text[i:i + 200]] > 1 for k in range(i, i + 200)})
+
+
+def test_byte_windows_are_as_equal_as_their_bytes():
+    import numpy as np
+    r = random.Random(1)
+    text = bytes(r.choice(b"ab") for _ in range(300)) * 3 + b"cab" * 100
+    w = tokens.ByteWindows(np.frombuffer(text, np.uint8), 200)
+    for size in (8, 64, 200):
+        hashes = w.everywhere(size) if size == 64 else w.at(np.arange(len(text) - size + 1), size)
+        assert len(hashes) == len(text) - size + 1
+        by_bytes = {}
+        for k, h in enumerate(hashes.tolist()):
+            assert by_bytes.setdefault(text[k:k + size], h) == h
+        assert len(set(by_bytes.values())) == len(by_bytes)
+    assert len(tokens.ByteWindows(np.zeros(5, np.uint8), 200).everywhere(64)) == 0
+
+
 def test_windows_of_hot_anchors_are_counted_before_the_shuffle(spark):
     import pyarrow as pa
     shared = "".join(chr(97 + k * k % 23) for k in range(260))
     ask = {"anchor": 5, "start": 0, "n": 100, "state": 0, "hot": True}
-    batch = pa.RecordBatch.from_pylist([{"doc": d, "text": "-" * 38 + chr(65 + d) + shared, "asks": [ask]} for d in range(30)])
+    batch = pa.RecordBatch.from_pylist([{"doc": d, "key": d + 7, "text": "-" * 38 + chr(65 + d) + shared, "asks": [ask]} for d in range(30)])
     assert sum(x.num_rows for x in suffix_dedup._cut([batch])) == 0  # no bytes of hot windows are shipped
     windows = pa.Table.from_batches(suffix_dedup._hot_windows([batch])).to_pylist()
     assert len(windows) == 30 * 100
-    rows = spark.createDataFrame([(x["window"], x["doc"], x["start"], x["doc"] == 3) for x in windows],
-                                 "window long, doc long, start int, known boolean")
+    rows = spark.createDataFrame([(x["window"], x["doc"], x["key"], x["start"], x["doc"] == 3) for x in windows],
+                                 "window long, doc long, key long, start int, known boolean")
     out = suffix_dedup.hot_repeats(rows)
     assert "SortMergeJoin" in out._jdf.queryExecution().toString()
-    assert sorted((r.doc, r.start, r.n) for r in out.collect()) == [(d, k, 1) for d in range(30) if d != 3 for k in range(39, 100)]
+    assert sorted((r.doc, r.key, r.start, r.n) for r in out.collect()) == [(d, d + 7, k, 1) for d in range(30) if d != 3 for k in range(39, 100)]
 
 
 @pytest.mark.parametrize("least", [1, 3, 12])
@@ -245,8 +294,11 @@ def test_decontamination(spark):
         covered = sum(len(ALNUM_WORDS.findall(text[s.start:s.end].translate(UPPER))) for s in c.spans)
         assert covered == len(hit)
     assert decontaminate.decontaminate(frame(spark, rows), bench.limit(0)).filter("contamination.contaminated").count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.decontaminate(frame(spark, rows), bench, max_benchmark_bytes=10)
+    doubled = bench.unionByName(bench)  # repeated ids and items
+    parts = decontaminate.decontaminate(frame(spark, rows).withColumn("a.b", F.lit(2)), doubled, max_benchmark_bytes=400)
+    key = lambda r: (r.doc_id, str(r.contamination))
+    assert sorted(map(key, parts.collect())) == sorted(map(key, out)) and "a.b" in parts.columns
+    assert decontaminate.decontaminate(frame(spark, rows).limit(0), bench, max_benchmark_bytes=400).count() == 0
 
 
 # 4 licenses
