@@ -17,9 +17,9 @@ def struct(fields: T.StructType, columns: list[pa.Array]) -> pa.StructArray:
     return pa.StructArray.from_arrays(columns, names=fields.names)
 
 
-def with_struct(rows: DataFrame, text: str, output: str, fields: T.StructType,
-                scan: Callable[[pa.Array], pa.StructArray]) -> DataFrame:
-    """``rows`` with a struct column of what ``scan`` finds in each text; a column of that name is replaced."""
+def with_struct(rows: DataFrame, text: str, output: str, fields: T.DataType,
+                scan: Callable[[pa.Array], pa.Array], step: int = STEP_ROWS) -> DataFrame:
+    """``rows`` with a column (a struct, or of another type) of what ``scan`` finds in each text; one of that name is replaced."""
     kept = [c for c in rows.columns if c != output]
     plain = [f"c{k}" for k in range(len(kept) + 1)]   # names with dots do not reach mapInArrow
     packed = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, plain)])
@@ -27,8 +27,8 @@ def with_struct(rows: DataFrame, text: str, output: str, fields: T.StructType,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, STEP_ROWS):
-                part = batch.slice(start, STEP_ROWS)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 yield pa.RecordBatch.from_arrays([*part.columns, scan(part.column(position))], names=plain)
 
     found = packed.mapInArrow(run, T.StructType([*packed.schema.fields, T.StructField(plain[-1], fields)]))

@@ -15,7 +15,6 @@ MAX_PIECES pieces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +24,7 @@ from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from . import tokens
+from .batches import with_struct
 from .winnow import spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -208,18 +208,8 @@ def decode_ids(pieces: Pieces, ids: list[int]) -> str:
 
 
 def _appended(rows: DataFrame, source: str, output: str, kind: T.DataType, pieces: Pieces, fn) -> DataFrame:
-    kept = [c for c in rows.columns if c != output]
-    rows = rows.select(*[f"`{c}`" for c in kept])
-    position = kept.index(source)
     shared = rows.sparkSession.sparkContext.broadcast(pieces)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1_000):
-                part = batch.slice(start, 1_000)
-                yield pa.RecordBatch.from_arrays([*part.columns, fn(shared.value, part.column(position))], names=[*kept, output])
-
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(output, kind)]))
+    return with_struct(rows, source, output, kind, lambda column: fn(shared.value, column), 1_000)
 
 
 def encode(docs: DataFrame, text: str = "text", output: str = "piece_ids", model: str = MODEL) -> DataFrame:

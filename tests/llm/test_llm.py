@@ -674,3 +674,19 @@ def test_pipeline_stages_take_odd_rows(spark):
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "4", "None"]  # 2 and 5 repeat 1
     redacted = {r.doc_id: r for r in corpus_pipeline.secrets_redacted(spark, docs, "").collect()}
     assert redacted[5].text == body + " [secret] é" and redacted[5].n_chars == len(redacted[5].text)
+
+
+def test_pipeline_stages_take_clashing_columns(spark):
+    import corpus_pipeline
+    body = " ".join(f"w{k}" for k in range(60))
+    names = ["row", "found", "hit", "_row", "_quality", "_contamination", "_secrets", "_text", "count", "component", "a.b", "member"]
+    rows = [(1, body, *names), (1, body + " x password=abcdefgh12345678", *names), (2, "short", *names), (9, body.upper(), *names)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])  # no n_chars either
+    left = {"quality_rules": 3, "near_duplicates": 2, "decontaminated": 4, "secrets_redacted": 4}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert len(found) == left[name] and all(list(r)[2:] == names for r in found), name
+    out = corpus_pipeline.encoded(spark, docs, "")
+    assert out.columns == [*docs.columns, "piece_ids"] and out.count() == 4
