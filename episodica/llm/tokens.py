@@ -1,23 +1,24 @@
 """Vectorised words and window hashes over whole Arrow text columns.
 
 Everything works on chunks of whole rows: the UTF-8 bytes of a chunk are one NumPy array, words are runs of word bytes
-that end at row borders. A distinct word of a chunk is hashed once, with BLAKE2, and longer windows are hashed from the hashes
+that end at row borders. A distinct word of a chunk is hashed once, with SipHash, and longer windows are hashed from the hashes
 of their halves by a scrambler that is not linear. Hashes are 64 bits wide.
 Nulls count as empty texts. A chunk holds about CHUNK_BYTES, or one longer text.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 
 #: Bytes of text that one vectorised step takes; a single longer text is taken whole.
 CHUNK_BYTES = 1_500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_KEY = "episodica: words"
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -116,20 +117,6 @@ def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((a * _STEP) ^ b)
 
 
-#: Hashes of words seen before; emptied when full.
-_known: dict[bytes, int] = {}
-_KNOWN_WORDS = 500_000
-
-
-def _word_hash(word: bytes) -> int:
-    found = _known.get(word)
-    if found is None:
-        if len(_known) >= _KNOWN_WORDS:
-            _known.clear()
-        found = _known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    return found
-
-
 def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Dictionary index of each byte span, and the distinct spans; spans are ascending and apart, and compared in full."""
     inside = np.zeros(len(data) + 1, np.int8)
@@ -143,9 +130,9 @@ def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
 
 
 def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
-    """A 64-bit BLAKE2 hash of each word, computed once for each distinct one."""
+    """A 64-bit SipHash of each word, computed once for each distinct one."""
     codes, distinct = span_codes(data, w.starts, w.ends)
-    return np.fromiter(map(_word_hash, distinct.to_pylist()), np.uint64, len(distinct))[codes]
+    return hash_array(distinct.to_numpy(zero_copy_only=False), hash_key=_KEY, categorize=False)[codes]
 
 
 def _windows(levels: list[np.ndarray], unit: int, size: int, starts: np.ndarray | None) -> np.ndarray:
