@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = near_dedup.near_duplicates(docs.select("doc_id", "text")).filter("kept AND doc_id IS NOT NULL")
     chosen = kept(found.groupBy("doc_id").count(), "chosen")
     rows = _packed(docs).withColumn("doc_id", F.col("row.doc_id"))
-    alone = rows.join(chosen.filter("count = 1"), "doc_id", "left_semi").select("row", "text")
+    alone = rows.join(chosen.filter("count = 1").hint("merge"), "doc_id", "left_semi").select("row", "text")  # one plan at every size
     shared = chosen.filter("count > 1")
     if not shared.isEmpty():  # one row of each is kept before the shuffle
         least = F.min_by(F.struct("row", "text"), F.struct(F.xxhash64("text"), "text")).alias("least")
