@@ -44,7 +44,7 @@ PATIENCE, MIN_DELTA = 7, 0.5
 
 @query("early_stop_epoch", oracle(f"""
     SELECT run, min(CASE WHEN streak >= {PATIENCE} THEN epoch END) AS stop_epoch,
-           arg_max(best, epoch) AS best_loss
+           arg_max(best, epoch) AS best_loss, max(CASE WHEN streak = 0 AND epoch >= 0 THEN epoch END) AS best_epoch
     FROM walk GROUP BY run""", "metrics", more={"walk": f"""
     SELECT run, -1::BIGINT AS epoch, 'infinity'::DOUBLE AS best, 0 AS streak FROM (SELECT DISTINCT run FROM metrics)
     UNION ALL
@@ -54,7 +54,7 @@ PATIENCE, MIN_DELTA = 7, 0.5
     FROM walk w JOIN metrics m ON m.run = w.run AND m.epoch = w.epoch + 1 WHERE w.streak < {PATIENCE}"""}
     ).replace("WITH ", "WITH RECURSIVE ", 1))
 def early_stop_epoch(i: Inputs) -> DataFrame:
-    return evaluate.early_stop_epoch(i.metrics(), PATIENCE, MIN_DELTA).select("run", "stop_epoch", "best_loss")
+    return evaluate.early_stop_epoch(i.metrics(), PATIENCE, MIN_DELTA).select("run", "stop_epoch", "best_loss", "best_epoch")
 
 
 _BATCHED = {"losses": f"""

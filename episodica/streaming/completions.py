@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.rewards import RewardRegistry
 from ..sources.files import completion_samples
@@ -23,7 +19,7 @@ def start_scoring(stream: DataFrame, registry: RewardRegistry, out: str, checkpo
     """Write scored rows under ``out`` and a sampled text log under ``log``.
 
     Each micro-batch overwrites its own folder, so a batch that runs again after a failure leaves
-    no duplicate. ``stream_group_advantage`` gives the advantages of full groups.
+    no duplicate. ``processors.group_advantages`` gives the advantages of full groups.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
         if log is None:
@@ -36,42 +32,3 @@ def start_scoring(stream: DataFrame, registry: RewardRegistry, out: str, checkpo
 
     return (score_completions(stream, registry).writeStream.foreachBatch(sink)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
-
-
-_GROUP = "prompt_id bigint, gen_id int, reward double, group_mean double, group_std double, advantage double"
-
-
-def stream_group_advantage(scored: DataFrame, num_generations: int, event_time: str = "ts", lateness: str = "1 hour",
-                           eps: float = 1e-4) -> DataFrame:
-    """Advantages of a prompt's completions once all ``num_generations`` are in, for append mode.
-
-    The feed has prompt_id, gen_id, reward and an event time. State holds at most ``num_generations`` rewards for each open
-    prompt: repeated generations are ignored, a full group leaves at once, and a prompt that stays incomplete until the
-    watermark passes its last event by ``lateness`` is dropped with its state.
-    """
-    patience = pd.Timedelta(lateness)
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        gens, rewards, latest = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0)
-        if len(gens) >= num_generations:
-            return  # emitted already; kept only until the timeout, so that repeats stay silent
-        for batch in batches:
-            for gen, reward, at in zip(batch["gen_id"], batch["reward"], batch[event_time]):
-                latest = max(latest, int(at.timestamp() * 1000))
-                if gen not in gens and len(gens) < num_generations:
-                    gens.append(int(gen))
-                    rewards.append(float(reward))
-        state.update((gens, rewards, latest))
-        due = latest + int(patience.total_seconds() * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if len(gens) == num_generations:
-            mean = sum(rewards) / num_generations
-            std = (sum((r - mean) ** 2 for r in rewards) / (num_generations - 1)) ** 0.5 if num_generations > 1 else float("nan")
-            yield pd.DataFrame({"prompt_id": [key[0]] * num_generations, "gen_id": gens, "reward": rewards, "group_mean": mean,
-                                "group_std": std, "advantage": [(r - mean) / (std + eps) for r in rewards]})
-
-    return scored.withWatermark(event_time, lateness).groupBy("prompt_id").applyInPandasWithState(
-        advance, _GROUP, "gens array<int>, rewards array<double>, latest bigint", "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,4 +1,6 @@
-"""Episode returns from a feed of steps: built-in stateful aggregates, summed before the shuffle."""
+"""Returns of episodes that only silence ends: built-in stateful aggregates, summed before the shuffle.
+
+Episodes that a final step ends are in ``processors``."""
 
 from __future__ import annotations
 
@@ -14,14 +16,6 @@ def _totals() -> list:
             F.coalesce(n > last, F.lit(False)).alias("complete")]
 
 
-def running_returns(feed: DataFrame) -> DataFrame:
-    """Return and length so far per episode, for update mode.
-
-    ``complete`` turns true when as many steps have come as the final step says, in whatever order.
-    """
-    return feed.groupBy("episode_id").agg(*_totals())
-
-
 def session_returns(feed: DataFrame, event_time: str = "ts", idle: str = "1 hour",
                     lateness: str = "10 minutes") -> DataFrame:
     """One row per episode once it has been silent for ``idle``, for append mode.
@@ -34,15 +28,6 @@ def session_returns(feed: DataFrame, event_time: str = "ts", idle: str = "1 hour
     return sessions.select("episode_id", "episode_return", "episode_length", "complete")
 
 
-def start_returns(feed: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write each finished episode once. A micro-batch that runs again overwrites its own folder."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.where("complete").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return (running_returns(feed).writeStream.outputMode("update").foreachBatch(sink)
-            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
-
-
 def start_session_returns(feed: DataFrame, out: str, checkpoint: str, event_time: str = "ts", idle: str = "1 hour",
                           lateness: str = "10 minutes", **trigger) -> StreamingQuery:
     """Append episodes closed by silence to Parquet."""

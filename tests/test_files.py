@@ -48,18 +48,6 @@ def test_effective_size(spark):
     assert tuple(stats.dataset_size(df).first()) == (10, 10)
 
 
-def test_returns_come_once_over_many_batches_in_any_order(spark, tmp_path):
-    rows = [(e, s, float(s + e), s == n - 1) for e, n in ((1, 7), (2, 4), (3, 1)) for s in range(n)] + [(4, 0, 1.0, False)]
-    feed = spark.createDataFrame(rows, "episode_id bigint, step bigint, reward double, done boolean")
-    feed.repartition(4, "reward").write.parquet(str(tmp_path / "in"))
-    stream = (spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    episodes.start_returns(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = sorted(tuple(r)[:4] for r in spark.read.parquet(str(tmp_path / "out")).select(
-        "episode_id", "episode_return", "episode_length", "complete").collect())
-    expected = evaluate.episode_returns(feed.where("episode_id < 4")).collect()
-    assert got == sorted((r[0], r[1], r[2], True) for r in expected)
-
-
 def test_scoring_stream_writes_rows_and_samples(spark, tmp_path):
     rows = spark.range(200).select(F.col("id").alias("prompt_id"), F.lit(0).alias("gen_id"), F.lit("1</action>").alias("completion"))
     rows.write.parquet(str(tmp_path / "in"))
@@ -70,26 +58,3 @@ def test_scoring_stream_writes_rows_and_samples(spark, tmp_path):
                               fraction=0.5).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("reward")).first()[0] == 200.0
     assert 60 < spark.read.text(str(tmp_path / "log")).where("value = '<action>1</action>'").count() < 140
-
-
-def test_stream_advantages_of_full_groups(spark, tmp_path):
-    from episodica.session import ship_package
-    ship_package(spark)
-    schema = "prompt_id bigint, gen_id int, reward double, ts timestamp"
-
-    def feed(rows):
-        base = spark.createDataFrame(rows, "prompt_id bigint, gen_id int, reward double, m int")
-        ts = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("m") * 60)
-        base.withColumn("ts", ts).drop("m").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        job = completions.stream_group_advantage(stream, 3).writeStream.format("parquet").outputMode("append")
-        (job.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
-         .trigger(availableNow=True).start().awaitTermination())
-
-    feed([(1, 0, 1.0, 0), (1, 1, 2.0, 0), (1, 1, 9.0, 0), (2, 0, 5.0, 0)])  # a repeated generation, two open groups
-    feed([(1, 2, 3.0, 1), (1, 2, 3.0, 1)])                                    # prompt 1 is full, after a restart
-    feed([(3, 0, 0.0, 1_000), (1, 0, 7.0, 2)])                                # moves the watermark; prompt 2 is dropped
-    got = {r["gen_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).where("prompt_id = 1").collect()}
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
-    assert [got[g]["reward"] for g in range(3)] == [1.0, 2.0, 3.0]
-    assert [got[g]["advantage"] for g in range(3)] == pytest.approx([-0.9999, 0.0, 0.9999], abs=1e-4)
