@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,44 +72,104 @@ def best_epoch(metrics: DataFrame, loss: str = "val_loss", run: str = "run", epo
     return best.select(run, F.col("b.e").alias("best_epoch"), F.col("b.l").alias("best_loss"))
 
 
+_STATE = "struct<best: double, at: bigint, stop: bigint>"
+_STARTS = "bucket bigint, last bigint, e array<bigint>, l array<double>, best array<double>, at array<bigint>, stop array<bigint>"
+
+
+def _chain(e: np.ndarray, l: np.ndarray, start: int, patience: int, delta: float) -> tuple[float, int, int | None]:
+    """Best loss, its epoch and the first stop of decreasing records, from an accepted one on."""
+    at = start
+    while True:
+        following = at + 1 + int(np.searchsorted(-l[at + 1:], -(l[at] - delta), "right"))
+        if following == len(l):
+            return float(l[at]), int(e[at]), None
+        if e[following] - e[at] > patience:
+            return float(l[at]), int(e[at]), int(e[at]) + patience
+        at = following
+
+
+def _summary(patience: int, delta: float, run: str):
+    """A bucket of a run as a function of the best loss before it.
+
+    That best loss lies between the running minimum ``low`` and low + delta, so only the records from the first below
+    ``low`` to the first below low - delta can be the first to be accepted; each is kept with what follows from it.
+    """
+    def summarise(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["e"].to_numpy(), kind="stable")
+        e, l = rows["e"].to_numpy()[order], rows["l"].to_numpy(zero_copy_only=False)[order]
+        low = rows["low"][0].as_py()
+        number = np.where(np.isnan(l), np.inf, l)
+        records = number < np.minimum(np.minimum.accumulate(np.concatenate([[np.inf], number[:-1]])), low)
+        re, rl = e[records], l[records]
+        starts = range(min(len(rl), int(np.searchsorted(-rl, -(low - delta), "right")) + 1))
+        ends = [_chain(re, rl, k, patience, delta) for k in starts]
+        return pa.table({run: rows[run].slice(0, 1), "bucket": rows["bucket"].slice(0, 1), "last": [int(e[-1])],
+                         "e": pa.array([re[:len(ends)]], pa.list_(pa.int64())), "l": pa.array([rl[:len(ends)]], pa.list_(pa.float64())),
+                         **{name: pa.array([[x[k] for x in ends]], kind) for k, (name, kind) in enumerate(
+                             (("best", pa.list_(pa.float64())), ("at", pa.list_(pa.int64())), ("stop", pa.list_(pa.int64()))))}})
+    return summarise
+
+
+def _advance(state: Column, bucket: Column, patience: int, delta: float) -> Column:
+    """The state after a summarised bucket."""
+    first = F.array_position(F.transform(bucket["l"], lambda x: x < state["best"] - delta), True).cast("int")
+    silent = F.when(bucket["last"] - state["at"] >= patience, state["at"] + patience)
+    late = F.get(bucket["e"], first - 1) - state["at"] > patience
+
+    def struct(best: Column, at: Column, stop: Column) -> Column:
+        return F.struct(best.alias("best"), at.alias("at"), stop.alias("stop")).cast(_STATE)
+
+    went_on = struct(F.get(bucket["best"], first - 1), F.get(bucket["at"], first - 1), F.get(bucket["stop"], first - 1))
+    return (F.when(state["stop"].isNotNull(), state).when(first == 0, struct(state["best"], state["at"], silent))
+            .when(late, struct(state["best"], state["at"], state["at"] + patience)).otherwise(went_on))
+
+
 def early_stop_epoch(metrics: DataFrame, patience: int, min_delta: float = 0.0, loss: str = "val_loss",
                      run: str = "run", epoch: str = "epoch") -> DataFrame:
-    """First epoch at which ``patience`` epochs in a row failed to beat best - min_delta.
+    """First epoch at which ``patience`` epochs in a row failed to beat best - min_delta, the best loss and its epoch.
 
-    Epochs of a run are numbered consecutively. Only a new running minimum can beat the best, so
-    running minima are found in epoch buckets (the minimum of earlier buckets is added from bucket
-    totals) and only those few rows per run are folded in order.
+    Epochs of a run are numbered consecutively and dealt into buckets of EPOCHS_PER_BUCKET. In the first bucket of a run the
+    running minima, which alone can beat the best, are folded in order. Of every later bucket a summary says how the best
+    loss before it leads to the one after it; summaries, few numbers each, are folded in the order of the buckets. So no
+    task holds more than a bucket, however long the run and however often its loss falls. A NULL loss beats nothing; a run
+    none of whose losses is a number has best loss infinity and no best epoch.
     """
-    bucketed = metrics.select(run, F.col(epoch).cast("bigint").alias("e"), F.col(loss).alias("l"),
-                              F.floor(F.col(epoch) / EPOCHS_PER_BUCKET).alias("__b"))
-    buckets = bucketed.groupBy(run, "__b").agg(F.min("l").alias("__m"), F.min("e").alias("__first"),
-                                               F.max("e").alias("__last"))
-    earlier = Window.partitionBy(run).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    lows = buckets.select(run, "__b", F.min("__m").over(earlier).alias("__low"))
-    inside = Window.partitionBy(run, "__b").orderBy("e").rowsBetween(Window.unboundedPreceding, -1)
+    width = F.floor(F.col("e") / EPOCHS_PER_BUCKET)
+    rows = metrics.select(run, F.col(epoch).cast("bigint").alias("e"), F.col(loss).cast("double").alias("l")).withColumn("bucket", width)
+    buckets = rows.groupBy(run, "bucket").agg(F.min("l").alias("m"), F.min("e").alias("first"), F.max("e").alias("last"))
+    by_bucket = Window.partitionBy(run).orderBy("bucket")  # a row for each bucket
     infinity = F.lit(float("inf"))
-    records = (bucketed.join(lows, [run, "__b"])
-               .withColumn("__before", F.coalesce(F.least(F.min("l").over(inside), F.col("__low")), infinity))
-               .where(F.col("l") < F.col("__before")))
-    folded = records.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("e", "l"))).alias("rs"))
-    extent = buckets.groupBy(run).agg(F.min("__first").alias("first"), F.max("__last").alias("last"))
-    none = F.lit(None).cast("bigint")
+    buckets = buckets.select(run, "bucket", "first", "last", (F.row_number().over(by_bucket) == 1).alias("opens"), F.coalesce(
+        F.min("m").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), infinity).alias("low"))
+    known = rows.join(buckets, [run, "bucket"])
+
+    inside = Window.partitionBy(run, "bucket").orderBy("e").rowsBetween(Window.unboundedPreceding, -1)
+    records = known.where("opens").withColumn("before", F.coalesce(F.min("l").over(inside), infinity)).where("l < before")
+    folded = records.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("e", "l"))).alias("rs"))  # of one bucket
 
     def state(best: Column, at: Column, stop: Column) -> Column:
-        return F.struct(best.alias("best"), at.alias("at"), stop.alias("stop"))
+        return F.struct(best.alias("best"), at.alias("at"), stop.alias("stop")).cast(_STATE)
 
     def step(s: Column, r: Column) -> Column:
         late = s["stop"].isNull() & (r["e"] - s["at"] > patience)
         better = s["stop"].isNull() & (r["l"] < s["best"] - min_delta)
         return (F.when(late, state(s["best"], s["at"], s["at"] + patience))
-                .when(better, state(r["l"], r["e"], none)).otherwise(s))
-
-    runs = extent.join(folded, run, "left").withColumn("s", F.aggregate(
-        F.coalesce("rs", F.array().cast("array<struct<e:bigint,l:double>>")),
-        state(infinity, F.col("first") - 1, none), step))
-    end = F.when(F.col("last") - F.col("s.at") >= patience, F.col("s.at") + patience)
-    return runs.select(run, F.coalesce("s.stop", end).alias("stop_epoch"), F.col("s.best").alias("best_loss"),
-                       F.when(F.col("s.at") >= F.col("first"), F.col("s.at")).alias("best_epoch"))
+                .when(better, state(r["l"], r["e"], F.lit(None))).otherwise(s))
+
+    opened = buckets.where("opens").join(folded, run, "left").withColumn("s", F.aggregate(
+        F.coalesce("rs", F.array().cast("array<struct<e:bigint,l:double>>")), state(infinity, F.col("first") - 1, F.lit(None)), step))
+    kind = metrics.schema[run].dataType.simpleString()
+    later = known.where("NOT opens").groupBy(run, "bucket").applyInArrow(
+        _summary(patience, min_delta, run), f"`{run}` {kind}, {_STARTS}")
+    summaries = later.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(
+        "bucket", "last", "e", "l", "best", "at", "stop"))).alias("later"), F.max("last").alias("end"))
+    ended = opened.join(summaries, run, "left").withColumn("s", F.when(F.col("later").isNull(), F.col("s")).otherwise(
+        F.aggregate("later", F.when(F.col("s.stop").isNull() & (F.col("last") - F.col("s.at") >= patience),
+                                    state(F.col("s.best"), F.col("s.at"), F.col("s.at") + patience)).otherwise(F.col("s")),
+                    lambda s, b: _advance(s, b, patience, min_delta))))
+    end = F.when(F.coalesce("end", "last") - F.col("s.at") >= patience, F.col("s.at") + patience)
+    return ended.select(run, F.coalesce("s.stop", end).alias("stop_epoch"), F.col("s.best").alias("best_loss"),
+                        F.when(F.col("s.at") >= F.col("first"), F.col("s.at")).alias("best_epoch"))
 
 
 def offline_policy_eval(logged: DataFrame, policies: dict[str, Column], reward: str = "reward") -> DataFrame:

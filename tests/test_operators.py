@@ -112,12 +112,31 @@ def test_early_stop_equals_loop(spark, monkeypatch):
             for _ in range(120)] + [[math.nan] * 4, [3.0, math.nan, 2.0], [1.0]]
     df = spark.createDataFrame([(r, e, x) for r, run in enumerate(runs) for e, x in enumerate(run)],
                                "run int, epoch bigint, val_loss double").cache()
-    for patience, delta in ((3, 0.0), (3, 0.2), (8, 0.05), (1, 0.0)):
+    for patience, delta in ((3, 0.0), (3, 0.2), (8, 0.05), (12, 0.9), (1, 0.0)):
         got = {r["run"]: (r["stop_epoch"], r["best_loss"])
                for r in evaluate.early_stop_epoch(df, patience, delta).collect()}
         assert got == {r: stop_twin(run, patience, delta) for r, run in enumerate(runs)}
 
 
+def test_early_stop_of_a_run_that_always_falls(spark):
+    """A million epochs: no group has more rows than a bucket, and what is folded is a few numbers for each bucket."""
+    n = 1_000_000
+    falls = spark.range(n, numPartitions=8).select(F.lit("a").alias("run"), F.col("id").alias("epoch"), (-F.col("id") * 0.4).alias("val_loss"))
+    ends = spark.range(n, n + 30).select(F.lit("a").alias("run"), F.col("id").alias("epoch"), F.lit(0.0).alias("val_loss"))
+    got = evaluate.early_stop_epoch(falls.unionByName(ends), 20, 1.0)
+    # with a delta of one, every third epoch is an improvement: 0, 3, .., 999999
+    assert tuple(got.first()) == ("a", 999_999 + 20, -999_999 * 0.4, 999_999)
+    sizes = []
+    summarise = evaluate._summary(20, 1.0, "run")
+    import pyarrow as pa
+    for bucket in range(3):
+        e = list(range(bucket * 10_000, (bucket + 1) * 10_000))
+        out = summarise(pa.table({"run": ["a"] * len(e), "bucket": [bucket] * len(e), "e": e, "l": [-x * 0.4 for x in e],
+                                  "low": [-(e[0] - 1) * 0.4] * len(e)}))
+        sizes.append(len(out["l"][0]))
+    assert max(sizes) <= 4
+
+
 def test_histogram_equals_numpy(spark):
     values = [float(v) for v in (0, 1, 1, 2, 5, 10, 10)]
     for data in (values, [3.0, 3.0]):
