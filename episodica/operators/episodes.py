@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.numbers import order_key
-from .ranking import first_k_by_hash
-from .sampling import head_rows
+from .sampling import head_rows, random_sample_n
 from .skew import number_rows
 
 SEGMENT_STEPS = 10_000
@@ -55,9 +54,9 @@ def concat_episodes(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def step_index(log: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
+def step_index(log: DataFrame, order: list[str]) -> DataFrame:
     """Number the steps of each episode from 0."""
-    return number_rows(log, ["episode_id"], bucket, order, "step")
+    return number_rows(log, ["episode_id"], order, "step")
 
 
 def running_return(steps: DataFrame, bucket_steps: int = SEGMENT_STEPS) -> DataFrame:
@@ -88,24 +87,29 @@ def log_every_k(steps: DataFrame, k: int = 250) -> DataFrame:
                               "action_text": F.array_join(text.log_line(F.col("action")), ", ")})
 
 
-def action_dim_series(steps: DataFrame, action: str = "action") -> DataFrame:
-    """One (tag, step, value) row per step and action dimension; a scalar action gives one row.
+def action_dim_series(steps: DataFrame, action: str | None = "action", value: str | None = None) -> DataFrame:
+    """One (tag, step, value) row per step and action dimension, and one for the scalar ``value``, from one pass.
 
     Episodes are shown from 1 and steps are counted after the environment moved, so step + 1.
     """
     ep = F.concat(F.lit("action/ep_"), (F.col("episode_id") + 1).cast("string"))
-    at = (F.col("step") + 1).cast("bigint").alias("step")
-    if not steps.schema[action].dataType.typeName() == "array":
-        return steps.select(F.concat(ep, F.lit("/value")).alias("tag"), at,
-                            F.col(action).cast("double").alias("value"))
-    return (steps.select(ep.alias("__ep"), at, F.posexplode(action).alias("__dim", "value"))
-            .select(F.concat("__ep", F.lit("/dim_"), F.col("__dim").cast("string")).alias("tag"), "step", "value"))
+
+    def point(tag: Column, x: Column) -> Column:
+        return F.struct(tag.alias("tag"), x.cast("double").alias("value"))
+
+    series = []
+    if action is not None:
+        series.append(F.transform(action, lambda x, dim: point(F.concat(F.lit("/dim_"), dim.cast("string")), x)))
+    if value is not None:
+        series.append(F.array(point(F.lit("/value"), F.col(value))))
+    return (steps.select(ep.alias("__ep"), (F.col("step") + 1).cast("bigint").alias("step"), F.explode(F.concat(*series)).alias("__p"))
+            .select(F.concat("__ep", "__p.tag").alias("tag"), "step", F.col("__p.value").alias("value")))
 
 
 def sample_episodes(transitions: DataFrame, n: int, seed: int) -> DataFrame:
     """All rows of n episodes drawn without replacement."""
     ids = transitions.select("episode_id").distinct()
-    chosen = first_k_by_hash(ids, "episode_id", seed, n).where("chosen").select("episode_id")
+    chosen = random_sample_n(ids, "episode_id", n, seed)
     return transitions.join(chosen, "episode_id", "left_semi")
 
 

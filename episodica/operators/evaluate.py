@@ -18,9 +18,13 @@ def episode_returns(rollouts: DataFrame, keys: Sequence[str] = ("episode_id",))
                                        F.count(F.lit(1)).alias("episode_length"))
 
 
-def evaluation_summary(returns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Mean and population std of returns and lengths. The lists stay rows of ``episode_returns``."""
-    return returns.groupBy(*keys).agg(
+def evaluation_summary(returns: DataFrame, keys: Sequence[str] = (), overall: bool = False) -> DataFrame:
+    """Mean and population std of returns and lengths, for each value of ``keys`` and, if ``overall``, for all episodes.
+
+    The row of all episodes has null keys. The lists stay rows of ``episode_returns``.
+    """
+    grouped = returns.groupingSets([list(keys), []], *keys) if overall else returns.groupBy(*keys)
+    return grouped.agg(
         F.avg("episode_return").alias("mean_return"), F.stddev_pop("episode_return").alias("std_return"),
         F.avg("episode_length").alias("mean_length"), F.stddev_pop("episode_length").alias("std_length"),
         F.count(F.lit(1)).alias("n_episodes"))

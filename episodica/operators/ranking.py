@@ -16,6 +16,7 @@ from ..session import scratch_dir
 
 PREFIX = 4          # hex digits of the digest that name a bucket: 65,536 buckets
 BUCKETS = 16 ** PREFIX
+SPLITTERS = 64      # parts a quantile sketch cuts the keys into
 
 
 def global_rank(df: DataFrame, row_id: str, seed: int, name: str = "rank") -> DataFrame:
@@ -75,14 +76,39 @@ def first_k_by_hash(df: DataFrame, row_id: str, seed: int, k: Callable[[Column],
             .drop("__cut"))
 
 
-def first_k_by_number(df: DataFrame, key: str, k: Callable[[Column], Column] | int) -> DataFrame:
+def cut_number(df: DataFrame, key: str, k: int, in_one_task: int = 100_000) -> int | None:
+    """The k-th smallest value of a unique integer key, or the largest if there are fewer.
+
+    A quantile sketch of the keys gives splitters, the keys between them are counted, and the search goes on between the two
+    that hold the k-th, until so few are left that one task can sort them. Only a sketch, a few kilobytes, and counts reach
+    the driver. The sketch splits by how many keys there are, so a far-off key or a crowded stretch slows nothing.
+    """
+    keys = df.select(F.col(key).cast("bigint").alias("k")).where("k IS NOT NULL")
+    while True:
+        found = keys.agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_bigint("k").alias("sketch")).first()
+        k = min(k, found["n"])
+        if not k:
+            return None
+        if found["n"] <= in_one_task:
+            return keys.orderBy("k").limit(k).agg(F.max("k")).first()[0]
+        splitters = sorted(set(df.sparkSession.range(1).select(F.kll_sketch_get_quantile_bigint(
+            F.lit(bytes(found["sketch"])), F.array(*[F.lit(i / SPLITTERS) for i in range(1, SPLITTERS)]))).first()[0]))
+        part = F.size(F.filter(F.array(*[F.lit(s) for s in splitters]), lambda s: s < F.col("k")))
+        counts = dict(keys.groupBy(part.alias("part")).count().collect())  # SPLITTERS rows at most
+        at = 0
+        while counts.get(at, 0) < k:
+            k -= counts.get(at, 0)
+            at += 1
+        if at > 0:
+            keys = keys.where(F.col("k") > splitters[at - 1])
+        if at < len(splitters):
+            keys = keys.where(F.col("k") <= splitters[at])
+
+
+def first_k_by_number(df: DataFrame, key: str, k: int) -> DataFrame:
     """Rows with the k smallest values of a unique integer key, found without sorting the rows."""
-    bounds = df.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi")).alias("b"))
-    keys = df.select(key).withColumn("b", bounds.scalar())
-    width = (F.col("b.hi") - F.col("b.lo")).cast("double") + 1.0
-    bucket = F.floor((F.col(key) - F.col("b.lo")) / width * BUCKETS)
-    cut = _cut(keys, bucket, F.col(key), k)
-    return df.withColumn("__cut", cut.scalar()).where(F.col(key) <= F.col("__cut.key")).drop("__cut")
+    cut = cut_number(df, key, k)
+    return df.where(F.col(key) <= cut) if cut is not None else df.limit(0)
 
 
 def _written(rows: DataFrame, label: str) -> DataFrame:

@@ -17,8 +17,14 @@ def bernoulli_sample(df: DataFrame, row_id: str | Sequence[str], p: float, seed:
     return df.where(numbers.uniform(seed, *[F.col(i) for i in ids]) < p)
 
 
-def random_sample_n(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
-    """n rows drawn without replacement."""
+def random_sample_n(df: DataFrame, row_id: str, n: int, seed: int, in_one_task: int = 10_000) -> DataFrame:
+    """n rows drawn without replacement.
+
+    Up to ``in_one_task`` rows each task keeps its first n in random order and one task merges them, in one pass; above it
+    the cut is found first. Both give the same rows.
+    """
+    if n <= in_one_task:
+        return df.orderBy(numbers.order_key(seed, F.col(row_id))).limit(n)
     return first_k_by_hash(df, row_id, seed, n).where("chosen").drop("chosen")
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000   # a group above this size is numbered in pieces
+from .ranking import range_number
 
 
 def _attach(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -19,11 +19,6 @@ def _attach(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(right, match, "left").drop(*[f"__right_{k}" for k in keys])
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys of all groups above ``hot_rows``, counted before the shuffle: at most rows / hot_rows of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(*keys)
-
-
 def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """Add statistics of each row's group; rows with null keys are a group too.
 
@@ -34,21 +29,14 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Col
     return _attach(df, grouped, keys)
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[str], name: str = "row_index",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
-    """0-based position of each row in its group, without putting a hot group in one task.
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_index", size: str | None = None) -> DataFrame:
+    """0-based position of each row in its group (rows with null keys are a group), and the group's ``size`` if named.
 
-    ``bucket`` must not decrease with ``order``. Rows of hot groups are sorted only inside (group,
-    bucket), and bucket sizes, counted before the shuffle, give the offset of each bucket. Other
-    groups have no bucket and need one exchange.
+    All rows are numbered in the order of group and ``order`` by ranges of near equal size (``range_number``), so neither a
+    hot group nor many rows of one time meet in a task; a position is the number less that of the group's first row. The
+    input is read once and written; give only the columns that are needed.
     """
-    hot = hot_groups(df, keys, hot_rows).withColumn("__hot", F.lit(True))
-    bucketed = _attach(df, hot, keys).withColumn("__bucket", F.when(F.col("__hot"), bucket))
-    sizes = (bucketed.where("__hot").groupBy(*keys, "__bucket")
-             .agg(F.count(F.lit(1)).alias("__n")))
-    # Runs over bucket sizes, never over rows.
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "__bucket", F.sum("__n").over(before).alias("__before"))
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    position = F.row_number().over(inside) - 1 + F.coalesce(F.col("__before"), F.lit(0))
-    return _attach(bucketed, offsets, [*keys, "__bucket"]).select(*df.columns, position.cast("bigint").alias(name))
+    numbered = range_number(df, [F.col(k) for k in [*keys, *order]], "__number")
+    groups = numbered.groupBy(*keys).agg(F.min("__number").alias("__first"), F.count(F.lit(1)).alias("__size"))
+    more = [F.col("__size").alias(size)] if size else []
+    return _attach(numbered, groups, keys).select(*df.columns, (F.col("__number") - F.col("__first")).alias(name), *more)

@@ -175,7 +175,7 @@ def infer_dims(i: Inputs) -> DataFrame:
     SELECT prompt_id, step, {rnd('sum(reward) OVER (PARTITION BY episode_id ORDER BY step)', 4)} AS running_return
     FROM transitions""", "transitions"))
 def step_index(i: Inputs) -> DataFrame:
-    return episodes.running_return(i.steps()).select("prompt_id", "step",
+    return episodes.running_return(i.step_log()).select("prompt_id", "step",
                                                      rounded("running_return", 4).alias("running_return"))
 
 
@@ -193,8 +193,7 @@ def log_every_k(i: Inputs) -> DataFrame:
     SELECT 'action/ep_' || (episode_id + 1) || '/value', step + 1, action_disc::DOUBLE FROM transitions""",
     "transitions"))
 def action_dim_series(i: Inputs) -> DataFrame:
-    steps = i.steps()
-    both = episodes.action_dim_series(steps).unionByName(episodes.action_dim_series(steps, "action_disc"))
+    both = episodes.action_dim_series(i.steps(), "action", "action_disc")
     return both.select("tag", "step", rounded("value").alias("value"))
 
 

@@ -11,24 +11,25 @@ from ..sources.tables import Inputs
 from .registry import hash_key, oracle, query, rnd, rounded
 from .rewards import mse_sql
 
-_RETURNS = {"returns": "SELECT episode_id, sum(reward) AS ret, count(*) AS len FROM rollouts GROUP BY episode_id"}
+_RETURNS = {"returns": """SELECT user_id % 4 AS policy, user_id AS episode_id, sum(value) AS ret, count(*) AS len
+                          FROM events GROUP BY user_id"""}
 
 
 @query("episode_returns", oracle(f"""
-    SELECT episode_id, {rnd('ret', 4)} AS episode_return, len AS episode_length FROM returns""",
-    "rollouts", more=_RETURNS))
+    SELECT episode_id, {rnd('ret', 4)} AS episode_return, len AS episode_length FROM returns""", more=_RETURNS))
 def episode_returns(i: Inputs) -> DataFrame:
     return evaluate.episode_returns(i.rollouts()).select(
         "episode_id", rounded("episode_return", 4).alias("episode_return"), "episode_length")
 
 
 @query("evaluation_summary", oracle(f"""
-    SELECT {rnd('avg(ret)', 4)} AS mean_return, {rnd('stddev_pop(ret)', 4)} AS std_return,
+    SELECT policy, {rnd('avg(ret)', 4)} AS mean_return, {rnd('stddev_pop(ret)', 4)} AS std_return,
            {rnd('avg(len)', 4)} AS mean_length, {rnd('stddev_pop(len)', 4)} AS std_length, count(*) AS n_episodes
-    FROM returns""", "rollouts", more=_RETURNS))
+    FROM returns GROUP BY GROUPING SETS ((policy), ())""", more=_RETURNS))
 def evaluation_summary(i: Inputs) -> DataFrame:
-    summary = evaluate.evaluation_summary(evaluate.episode_returns(i.rollouts()))
-    return summary.select(*[rounded(c, 4).alias(c) for c in (
+    """One row for each policy, and one (policy null) for all episodes, from one pass over the log."""
+    returns = evaluate.episode_returns(i.rollouts(), ["policy", "episode_id"])
+    return evaluate.evaluation_summary(returns, ["policy"], overall=True).select("policy", *[rounded(c, 4).alias(c) for c in (
         "mean_return", "std_return", "mean_length", "std_length")], "n_episodes")
 
 

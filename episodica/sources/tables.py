@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import HOT_ROWS, number_rows
+from ..operators.skew import number_rows
 
 GENERATIONS = 4
 #: Widths of the vectors: where they start in an embedding follows from them.
@@ -36,33 +36,36 @@ class Inputs:
 
     def logged(self, events: DataFrame | None = None) -> DataFrame:
         """Events (all of them, or rows made from them) with the embedding they refer to."""
-        vectors = self.table("embeddings")
+        vectors = self.table("embeddings").withColumn("__there", F.lit(True))
         size = vectors.agg(F.count(F.lit(1)).alias("n"))
         events = self.table("events") if events is None else events
         events = events.withColumn("vec_id", F.pmod(F.col("event_id"), size.scalar()))
-        return self._spread("events", events, "vec_id").join(self._spread("embeddings", vectors, "vec_id"), "vec_id")
+        joined = self._spread("events", events, "vec_id").join(self._spread("embeddings", vectors, "vec_id"), "vec_id", "left")
+        missing = F.raise_error(F.concat(F.lit("no vector has vec_id "), F.col("vec_id").cast("string")))
+        return joined.withColumn("embedding", F.when(F.col("__there"), F.col("embedding")).otherwise(missing)).drop("__there")
 
     def transitions(self) -> DataFrame:
         """Transitions without step numbers: no exchange beyond the vector join."""
         return _transition_columns(self.logged()).drop("ts")
 
-    def steps(self, hot_rows: int = HOT_ROWS) -> DataFrame:
+    def numbered(self) -> DataFrame:
+        """Events with their ``step`` inside the episode and the ``length`` of it; no vectors."""
+        events = self.table("events").select("event_id", "ts", "user_id", "event_type", "value")
+        return number_rows(events, ["user_id"], ["ts", "event_id"], "step", "length")
+
+    def steps(self) -> DataFrame:
         """Transitions with their step number inside the episode: events are numbered before vectors are joined."""
-        numbered = number_rows(self.table("events"), ["user_id"], F.date_trunc("MINUTE", F.col("ts")), ["ts", "event_id"],
-                               "step", hot_rows)
-        return _transition_columns(self.logged(numbered), F.col("step")).drop("ts")
+        return _transition_columns(self.logged(self.numbered()), F.col("step")).drop("ts")
+
+    def step_log(self) -> DataFrame:
+        """Rewards of the steps of an episode, without vectors; ``done`` marks the last one."""
+        return self.numbered().select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("prompt_id"), "step",
+                                      F.col("value").alias("reward"), (F.col("step") == F.col("length") - 1).alias("done"))
 
     def rollouts(self) -> DataFrame:
-        """Step log; ``done`` marks the last step of an episode."""
-        log = self.table("events").select(F.col("user_id").alias("episode_id"), "ts",
-                                          F.col("event_id").alias("prompt_id"), F.col("value").alias("reward"))
-        steps = number_rows(log, ["episode_id"], F.date_trunc("MINUTE", F.col("ts")), ["ts", "prompt_id"], "step")
-        newest = F.max(F.struct("ts", F.col("event_id").alias("prompt_id"))).alias("m")
-        last = self.table("events").groupBy("user_id").agg(newest).select(
-            F.col("m.prompt_id").alias("prompt_id"), F.lit(True).alias("__last"))
-        # Joined on the event, which is unique, not on the episode, which may be hot.
-        return steps.join(last, "prompt_id", "left").select(
-            "episode_id", "step", "reward", F.coalesce("__last", F.lit(False)).alias("done"))
+        """Rewards of each episode, in no order; the episode's policy is one of four."""
+        return self.table("events").select(
+            F.pmod("user_id", F.lit(4)).alias("policy"), F.col("user_id").alias("episode_id"), F.col("value").alias("reward"))
 
     def metrics(self) -> DataFrame:
         """Validation curves: every hundred events form a run."""

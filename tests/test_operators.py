@@ -46,15 +46,28 @@ def test_number_rows_of_hot_groups_equals_plain(spark):
     df = skewed(spark)
     w = Window.partitionBy("prompt_id").orderBy("reward", "gen_id")
     expected = rows_of(df.withColumn("p", (F.row_number().over(w) - 1).cast("bigint")), "gen_id", "p")
-    for hot_rows in (20, 10 ** 6):
-        got = skew.number_rows(df, ["prompt_id"], F.floor(F.col("reward") / 10), ["reward", "gen_id"], "p", hot_rows)
-        assert rows_of(got, "gen_id", "p") == expected
+    got = skew.number_rows(df, ["prompt_id"], ["reward", "gen_id"], "p", "n")
+    assert rows_of(got, "gen_id", "p") == expected
+    counts = {r["prompt_id"]: r["count"] for r in df.groupBy("prompt_id").count().collect()}
+    assert all(r["n"] == counts[r["prompt_id"]] for r in got.collect())
 
 
-def test_step_numbers_of_hot_episodes(spark):
-    from episodica.sources.tables import Inputs
-    inputs = Inputs(spark, SF)
-    assert rows_of(inputs.steps(), "prompt_id", "step") == rows_of(inputs.steps(hot_rows=5), "prompt_id", "step")
+def test_ranges_are_even_for_one_hot_minute_and_a_far_key(spark, monkeypatch):
+    """All rows of one group in one minute, and one key far off: no range has more than twice the mean."""
+    rows = spark.range(40_000).select(F.lit(1).alias("user"), F.lit("2024-01-01 00:00").alias("minute"),
+                                      F.when(F.col("id") == 0, F.lit(2**60)).otherwise(F.col("id")).alias("event"))
+    written, write = [], ranking._written
+    monkeypatch.setattr(ranking, "_written", lambda frame, label: written.append(write(frame, label)) or written[-1])
+    got = skew.number_rows(rows, ["user"], ["minute", "event"], "step", "n")
+    assert {r["event"]: r["step"] for r in got.collect()} == {**{k: k - 1 for k in range(1, 40_000)}, 2**60: 39_999}
+    sizes = [r["count"] for r in written[-1].groupBy("part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * 40_000 / 8
+
+
+@pytest.mark.parametrize("k", [0, 1, 12_345, 39_999, 40_000, 10**6])
+def test_cut_by_sketches(spark, k):
+    crowded = spark.range(40_000).select(F.when(F.col("id") == 39_999, F.lit(2**60)).otherwise(F.col("id") * 3).alias("key"))
+    assert ranking.cut_number(crowded, "key", k, in_one_task=500) == (None if not k else 2**60 if k >= 40_000 else 3 * (k - 1))
 
 
 @pytest.mark.parametrize("k", [0, 1, 17, 599, 600, 5000])
@@ -257,6 +270,14 @@ def test_plans_stay_native_without_cross_joins(spark, name):
         assert node not in plan
 
 
+@pytest.mark.parametrize("name, scans", [("step_index", 0), ("episode_returns", 1), ("evaluation_summary", 1), ("sample_episodes", 2),
+                                         ("random_sample_n", 1), ("eval_log_pairs", 4), ("action_dim_series", 0)])
+def test_events_are_read_few_times(spark, name, scans):
+    """Numbered events are read from the table that numbering wrote, after one scan of the log."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("event_id#") >= 0 and plan.count("Relation [event_id") <= scans
+
+
 def test_advantage_evaluates_its_input_twice(spark):
     plan = groups.group_advantage(skewed(spark))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Range (0, 600") == 2  # rows and statistics
