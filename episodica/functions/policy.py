@@ -51,6 +51,12 @@ def guard_loss(loss: Column, limit: float = 10.0) -> Column:
     return F.isnan(loss) | (loss > limit) | (loss < -limit)
 
 
+def checked_loss(loss: Column, limit: float = 10.0) -> Column:
+    """The loss itself; one that ``guard_loss`` flags stops the job with its value."""
+    message = F.concat(F.lit("loss out of bounds: "), loss.cast("string"))
+    return F.when(guard_loss(loss, limit), F.raise_error(message).cast("double")).otherwise(loss)
+
+
 def normalize(v: Column, mean: Column, std: Column) -> Column:
     """(x - mean) / (std + 1e-8); statistics that were never set raise."""
     unset = F.forall(std, lambda s: s == 1.0) & F.forall(mean, lambda m: m == 0.0)

@@ -27,6 +27,14 @@ def sample_gaussian_actions(states: DataFrame, n: int, seed: int, row_id: str =
     return repeated.withColumn("sampled", F.zip_with(F.col(mean), scaled, lambda m, d: m + d))
 
 
+def gaussian_draws(row_id: Column, mean: Column, std: Column, n: int, seed: int) -> Column:
+    """The n draws of ``sample_gaussian_actions`` as an array of vectors, for work on whole groups in a row."""
+    def draw(gen: Column) -> Column:
+        noise = _with_index(mean, lambda m, i: numbers.normal(seed, row_id, gen, i))
+        return F.zip_with(mean, F.zip_with(std, noise, lambda s, e: s * e), lambda m, d: m + d)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw)
+
+
 def sample_categorical_actions(states: DataFrame, n: int, seed: int, row_id: str = "prompt_id",
                                logits: str = "logits") -> DataFrame:
     """n draws per state from softmax(logits)."""

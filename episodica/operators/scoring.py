@@ -6,10 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions import policy
 from ..schemas import VECTOR
 
 MAX_PARAMETERS = 100_000_000
@@ -115,16 +114,29 @@ def policy_action(network: Network, observation: Column, distribution: Column) -
     return F.when(F.size(observation) == dim, observation).otherwise(distribution["mean"])
 
 
-def score_reward_model(spark, network: Network, state: Column, action: Column, stats: Column | None = None,
-                       head: str = "out") -> Column:
+def with_statistics(network: Network, stats: Row, head: str = "out") -> Network:
+    """A reward network with its statistics inside: inputs are scaled by the first layer, rewards by the last, linear one.
+
+    ``stats`` is the row of ``normalization_stats``. Statistics that were never set raise.
+    """
+    mean, std = (np.array([*stats[f"state_{k}"], *stats[f"action_{k}"]], float) for k in ("mean", "std"))
+    if ((mean == 0).all() and (std == 1).all()) or (stats["reward_mean"] == 0 and stats["reward_std"] == 1):
+        raise ValueError("normalization statistics have not been updated")
+    layers = list(network.heads[head])
+    if network.heads.get("body") or layers[-1][2] != "id":
+        raise ValueError("only a network of one head with a linear end takes statistics")
+    w, b, activation = layers[0]
+    w = w / (std + 1e-8)
+    layers[0] = (w, b - w @ mean, activation)
+    w, b, activation = layers[-1]
+    layers[-1] = (w * stats["reward_std"], b * stats["reward_std"] + stats["reward_mean"], activation)
+    return Network({head: layers})
+
+
+def score_reward_model(spark, network: Network, state: Column, action: Column, stats: Row | None = None, head: str = "out") -> Column:
     """Normalise, concatenate, run the network, denormalise. NULL state or action gives NULL.
 
-    ``stats`` is the row of ``normalization_stats`` as a struct column of the scored frame; without
-    it nothing is scaled.
+    ``stats`` is the row of ``normalization_stats``, folded into the network; without it nothing is scaled.
     """
-    if stats is None:
-        return F.get(score_mlp_policy(spark, network, F.concat(state, action), head), F.lit(0))
-    scaled = F.concat(policy.normalize(state, stats["state_mean"], stats["state_std"]),
-                      policy.normalize(action, stats["action_mean"], stats["action_std"]))
-    raw = F.get(score_mlp_policy(spark, network, scaled, head), F.lit(0))
-    return policy.denormalize_reward(raw, stats["reward_mean"], stats["reward_std"])
+    network = network if stats is None else with_statistics(network, stats, head)
+    return F.get(score_mlp_policy(spark, network, F.concat(state, action), head), F.lit(0))

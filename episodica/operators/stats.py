@@ -56,6 +56,52 @@ def normalization_stats(df: DataFrame, state: str = "observation", action: str =
     return out.select("state_mean", "state_std", "action_mean", "action_std", "reward_mean", "reward_std")
 
 
+def moments(df: DataFrame, state_dim: int, action_dim: int, state: str = "observation", action: str = "action",
+            reward: str = "reward") -> DataFrame:
+    """One row that merges: count, and for each dimension and the reward the mean and the sum of squared deviations."""
+    def each(column: str, dim: int, measure) -> Column:
+        return F.array(*[F.coalesce(measure(F.get(F.col(column), F.lit(i)).cast("double")), F.lit(0.0)) for i in range(dim)])
+
+    def squares(x: Column) -> Column:
+        return F.var_pop(x) * F.count(x)
+
+    r = F.array(F.col(reward).cast("double"))
+    return df.withColumn("__r", r).agg(F.count(F.lit(1)).alias("n"), *[
+        each(column, dim, measure).alias(f"{name}_{what}") for name, column, dim in (
+            ("state", state, state_dim), ("action", action, action_dim), ("reward", "__r", 1))
+        for what, measure in (("mean", F.avg), ("m2", squares))])
+
+
+def merged_moments(parts: DataFrame) -> DataFrame:
+    """The moments of all rows from those of parts of them (one row for each part; parts without rows count nothing)."""
+    names = ("state", "action", "reward")
+    parts = parts.where("n > 0")
+    widths = parts.agg(*[F.coalesce(F.max(F.size(f"{k}_mean")), F.lit(0)).alias(k) for k in names]).first()
+
+    def each(name: str, term) -> Column:
+        return F.array(*[term(name, i) for i in range(widths[name])])
+
+    total = F.sum("n")
+    means = parts.agg(F.struct(*[each(k, lambda k, i: F.sum(F.col("n") * F.get(f"{k}_mean", F.lit(i))) / total).alias(k) for k in names]).alias("m"))
+
+    def squares(name: str, i: int) -> Column:
+        shift = F.get(f"{name}_mean", F.lit(i)) - F.get(F.col("m")[name], F.lit(i))
+        return F.sum(F.get(f"{name}_m2", F.lit(i)) + F.col("n") * shift * shift)
+
+    return parts.withColumn("m", means.scalar()).agg(F.coalesce(total, F.lit(0)).cast("bigint").alias("n"), *[c for k in names for c in (
+        F.any_value(F.col("m")[k]).alias(f"{k}_mean"), each(k, squares).alias(f"{k}_m2"))])
+
+
+def stats_of_moments(one_row: DataFrame) -> DataFrame:
+    """``normalization_stats`` from merged moments."""
+    def std(m2: Column) -> Column:
+        return F.when(F.col("n") > 1, F.sqrt(m2 / (F.col("n") - 1)) + 1e-8)
+
+    return one_row.select("state_mean", F.transform("state_m2", std).alias("state_std"), "action_mean",
+                          F.transform("action_m2", std).alias("action_std"), F.get("reward_mean", F.lit(0)).alias("reward_mean"),
+                          std(F.get("reward_m2", F.lit(0))).alias("reward_std"))
+
+
 def apply_ranges(df: DataFrame, ranges: DataFrame, name: str = "ranges") -> DataFrame:
     """Attach a one-row ranges frame to every row as a scalar subquery."""
     return df.withColumn(name, ranges.scalar())

@@ -141,9 +141,13 @@ def normalization_stats(i: Inputs) -> DataFrame:
 
 @query("save_stats", oracle(_STATS, "norm_stats"))
 def save_stats(i: Inputs) -> DataFrame:
+    """Statistics kept as moments, refreshed as three parts of the log come in, and saved as the row that models load."""
     path = scratch_dir(i.spark, "stats")
-    files.save_stats(fitted_stats(i), path)
-    return stats_digest(i.spark.read.parquet(path))
+    log = i.transitions()
+    for part in range(3):
+        files.add_moments(stats.moments(log.where(F.col("prompt_id") % 3 == part), OBS_DIMS, ACT_DIMS), f"{path}/moments")
+    files.save_stats(files.refreshed_stats(i.spark, f"{path}/moments"), f"{path}/stats")
+    return stats_digest(files.load_stats(i.spark, f"{path}/stats"))
 
 
 @query("load_stats", oracle(f"""
@@ -164,11 +168,15 @@ def build_sft_examples(i: Inputs) -> DataFrame:
 
 
 @query("infer_dims", oracle("""
-    SELECT CASE WHEN min(len(observation)) = max(len(observation)) THEN max(len(observation))::INTEGER END AS obs_dim,
-           CASE WHEN min(len(action)) = max(len(action)) THEN max(len(action))::INTEGER END AS action_dim
-    FROM transitions""", "transitions"))
+    SELECT CASE WHEN min(len(embedding)) = max(len(embedding)) THEN max(len(embedding))::INTEGER END AS obs_dim,
+           (SELECT CASE WHEN min(n) = max(n) THEN max(n)::INTEGER END
+            FROM (SELECT len(string_split(text, ' ')) AS n FROM conversations)) AS words
+    FROM embeddings"""))
 def infer_dims(i: Inputs) -> DataFrame:
-    return episodes.infer_dims(i.transitions(), {"obs_dim": "observation", "action_dim": "action"})
+    """The width of the vectors as they are in the table, and that of the turns' words, which differ: no width."""
+    vectors = episodes.infer_dims(i.table("embeddings"), {"obs_dim": "embedding"})
+    turns = i.table("conversations").select(F.split("text", " ").alias("words"))
+    return vectors.withColumn("words", episodes.infer_dims(turns, {"words": "words"}).scalar())
 
 
 @query("step_index", oracle(f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy
 from ..operators import groups, sampling
+from ..operators.sampling import PRIME, round_keys
 from ..sources.tables import Inputs
 from .registry import hash_key, hash_uniform, oracle, query, rnd, rounded
 from .rewards import BC_DISCRETE_SQL, FORMAT_DISCRETE_SQL, discrete_scores
@@ -46,30 +47,59 @@ def minmax_scale_group(i: Inputs) -> DataFrame:
                        rounded("marker_size", 4).alias("marker_size"))
 
 
-@query("guard_loss", oracle("""
-    SELECT count(*) FILTER (reward > 10 OR reward < -10) AS n_flagged, count(*) AS n_rows FROM scores""",
+@query("guard_loss", oracle(f"""
+    SELECT count(*) FILTER (reward > 10 OR reward < -10) AS n_flagged, count(*) AS n_rows,
+           {rnd('sum(reward) FILTER (reward BETWEEN -10 AND 10)', 4)} AS kept_sum FROM scores""",
     "completions_discrete", more=SCORES))
 def guard_loss(i: Inputs) -> DataFrame:
-    flagged = policy.guard_loss(F.col("reward")).cast("int")
-    return discrete_scores(i).agg(F.sum(flagged).alias("n_flagged"), F.count(F.lit(1)).alias("n_rows"))
+    flagged, reward = policy.guard_loss(F.col("reward")), F.col("reward")
+    checked = policy.checked_loss(F.when(flagged, 0.0).otherwise(reward))  # would stop the job at a loss that came through
+    return discrete_scores(i).agg(F.sum(flagged.cast("int")).alias("n_flagged"), F.count(F.lit(1)).alias("n_rows"),
+                                  rounded(F.sum(checked), 4).alias("kept_sum"))
 
 
 _RANKED = {"ranked": f"""SELECT *, row_number() OVER (ORDER BY {hash_key(42, 'prompt_id')}, prompt_id) - 1 AS rank,
                                 count(*) OVER () AS n FROM transitions"""}
 
 
-@query("train_test_split", oracle("""
-    SELECT prompt_id, CASE WHEN rank < ceil(n * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM ranked""",
-    "transitions", more=_RANKED))
+def _turn_sql(r: int, k: int, m: int) -> str:
+    x, y = ("s[2]", "s[1]") if r % 2 == 0 else ("s[1]", "s[2]")
+    t = f"(({x} + {k}) % {PRIME})"
+    moved = f"({y} + ({t} * {t} % {PRIME} * {t} + {m}) % {PRIME}) % {'a' if r % 2 == 0 else 'b'}"
+    return f"[{moved}, s[2]]" if r % 2 == 0 else f"[s[1], {moved}]"
+
+
+def _once_sql(x: str) -> str:
+    """The permutation's rounds on a number, as nested list transforms."""
+    state = f"[[{x} // b, {x} % b]]"
+    for r, (k, m) in enumerate(round_keys(42)):
+        state = f"list_transform({state}, lambda s: {_turn_sql(r, k, m)})"
+    return f"list_transform({state}, lambda s: s[1] * b + s[2])[1]"
+
+
+_PERMUTED = {
+    "sized": """SELECT prompt_id, n, a, ceil(n::DOUBLE / a)::BIGINT AS b
+                FROM (SELECT prompt_id, n, ceil(sqrt(n::DOUBLE))::BIGINT AS a FROM (SELECT prompt_id, count(*) OVER () AS n FROM transitions))""",
+    "walk": f"""SELECT prompt_id, n, a, b, {_once_sql('prompt_id')} AS rank FROM sized
+                UNION ALL SELECT prompt_id, n, a, b, {_once_sql('rank')} FROM walk WHERE rank >= n""",
+    "permuted": "SELECT prompt_id, rank, n FROM walk WHERE rank < n"}
+
+
+def _permuted_oracle(body: str) -> str:
+    return oracle(body, "transitions", more=_PERMUTED).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("train_test_split", _permuted_oracle("""
+    SELECT prompt_id, CASE WHEN rank < ceil(n * 0.1::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM permuted"""))
 def train_test_split(i: Inputs) -> DataFrame:
-    return sampling.train_test_split(i.transitions(), "prompt_id", 42).select("prompt_id", "split")
+    return sampling.train_test_split(i.transitions(), "prompt_id", 42, number="prompt_id").select("prompt_id", "split")
 
 
-@query("train_val_split_exact", oracle("""
+@query("train_val_split_exact", _permuted_oracle("""
     SELECT prompt_id, CASE WHEN rank < round_even(n * 0.1::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split
-    FROM ranked""", "transitions", more=_RANKED))
+    FROM permuted"""))
 def train_val_split_exact(i: Inputs) -> DataFrame:
-    return sampling.train_val_split_exact(i.transitions(), "prompt_id", 42).select("prompt_id", "split")
+    return sampling.train_val_split_exact(i.transitions(), "prompt_id", 42, number="prompt_id").select("prompt_id", "split")
 
 
 @query("random_sample_n", oracle("SELECT prompt_id, reward FROM ranked WHERE rank < 100", "transitions", more=_RANKED))
@@ -77,10 +107,10 @@ def random_sample_n(i: Inputs) -> DataFrame:
     return sampling.random_sample_n(i.transitions(), "prompt_id", 100, 42).select("prompt_id", "reward")
 
 
-@query("minibatches", oracle("""
-    SELECT prompt_id, rank // 64 AS batch FROM ranked WHERE rank // 64 < n // 64""", "transitions", more=_RANKED))
+@query("minibatches", _permuted_oracle("""
+    SELECT prompt_id, rank // 64 AS batch FROM permuted WHERE rank // 64 < n // 64"""))
 def minibatches(i: Inputs) -> DataFrame:
-    return sampling.minibatches(i.transitions(), "prompt_id", 64, 42).select("prompt_id", "batch")
+    return sampling.minibatches(i.transitions(), "prompt_id", 64, 42, number="prompt_id").select("prompt_id", "batch")
 
 
 @query("bernoulli_sample", oracle(f"""

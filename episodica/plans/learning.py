@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import align, evaluate, fits, policies, scoring
 from ..sources.tables import ACT_DIMS, OBS_DIMS, Inputs
-from .data import with_stats
+from .data import fitted_stats
 from .networks import (CATEGORICAL_POLICY, GAUSSIAN_POLICY, POLICY, POLICY_OTHER, REWARD_MODEL, forward_sql,
                        network_frame, normalized_sql)
 from .registry import as_text, hash_key, hash_uniform, oracle, query, rnd, rounded, txt
@@ -29,8 +29,8 @@ def _network(i: Inputs, layers: list) -> scoring.Network:
                   FROM transitions"""}))
 def score_reward_model(i: Inputs) -> DataFrame:
     score = scoring.score_reward_model(i.spark, _network(i, REWARD_MODEL), F.col("observation"), F.col("action"),
-                                       F.col("stats"))
-    return with_stats(i, i.transitions()).select("prompt_id", rounded(score, 4).alias("score"))
+                                       fitted_stats(i).first())
+    return i.transitions().select("prompt_id", rounded(score, 4).alias("score"))
 
 
 @query("score_mlp_policy", oracle(f"""
@@ -125,39 +125,83 @@ def _moments_sql(labels: list[str], features: int) -> str:
     return oracle(f"{zero} UNION ALL SELECT 'rows/' || split, count(*)::DOUBLE FROM split GROUP BY split", "transitions", more=_SPLIT)
 
 
-def _moments(split: DataFrame, residuals: dict[str, tuple[DataFrame, Column]], features: Column, dim: int, digits: int) -> DataFrame:
+def _moments(split: DataFrame, rows: DataFrame, residuals: dict[str, Column], features: Column, dim: int, digits: int) -> DataFrame:
     """Mean residual (feature 0) and mean residual times each feature on the training rows, and the rows of each part."""
     out = split.groupBy(F.concat(F.lit("rows/"), "split").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    for label, (rows, residual) in residuals.items():
-        x = F.concat(F.array(F.lit(1.0)), features)
-        means = rows.where("split = 'train'").agg(*[rounded(F.avg(residual * F.get(x, F.lit(j))), digits).alias(f"{label}/{j}")
-                                                    for j in range(dim + 1)])
-        out = out.unionByName(means.unpivot([], means.columns, "name", "value"))
-    return out
-
-
-@query("fit_reward_regressor", _moments_sql(["reward"], OBS_DIMS + ACT_DIMS))
+    x = F.concat(F.array(F.lit(1.0)), features)
+    terms = rows.where("split = 'train'").select(x.alias("x"), *[r.alias(f"r_{label}") for label, r in residuals.items()])
+    means = terms.agg(*[rounded(F.avg(F.col(f"r_{label}") * F.get("x", F.lit(j))), digits).alias(f"{label}/{j}")
+                        for label in residuals for j in range(dim + 1)])
+    return out.unionByName(means.unpivot([], means.columns, "name", "value"))
+
+
+#: Steps of the reward regressor: their size, how many at most, and how many without a better validation loss end the run.
+RATE, EPOCHS, PATIENCE = 1.0, 60, 5
+_WIDTH = OBS_DIMS + ACT_DIMS + 1
+_dot = "list_dot_product({}, {})".format
+_STEPPED = f"list_transform(range(1, {_WIDTH + 1}), lambda i: w.w[i] - {RATE}::DOUBLE * (list_dot_product(t.g[i], w.w) - t.c[i]))"
+
+
+def _loss_sql(part: str) -> str:
+    fitted = _dot(f"list_transform(range(1, {_WIDTH + 1}), lambda i: list_dot_product({part}.g[i], x.w))", "x.w")
+    return f"({part}.yy - 2 * {_dot(f'{part}.c', 'x.w')} + {fitted})"
+
+
+_DESCENT = {**_SPLIT,
+    "z": "SELECT split, list_concat([1::DOUBLE], observation, action, [reward]) AS z FROM split",
+    "products": f"""SELECT split, i, j, sum(z[i] * z[j]) / count(*) AS v, count(*) AS n
+                    FROM z, range(1, {_WIDTH + 2}) a(i), range(1, {_WIDTH + 2}) b(j) GROUP BY split, i, j""",
+    "lines": "SELECT split, i, list(v ORDER BY j) AS r, any_value(n) AS n FROM products GROUP BY split, i",
+    "grams": f"""SELECT split, any_value(n) AS n, list(r[1:{_WIDTH}] ORDER BY i) FILTER (i <= {_WIDTH}) AS g,
+                        any_value(r[1:{_WIDTH}]) FILTER (i > {_WIDTH}) AS c, any_value(r[{_WIDTH + 1}]) FILTER (i > {_WIDTH}) AS yy
+                 FROM lines GROUP BY split""",
+    "walk": f"""SELECT 0 AS e, list_transform(range({_WIDTH}), lambda i: 0::DOUBLE) AS w, 'infinity'::DOUBLE AS best, 0 AS since,
+                       0::DOUBLE AS train, 'infinity'::DOUBLE AS val
+                UNION ALL
+                SELECT e, w, least(best, val), CASE WHEN val < best THEN 0 ELSE since + 1 END, train, val
+                FROM (SELECT x.e, x.w, x.best, x.since, {_loss_sql('t')} AS train, {_loss_sql('v')} AS val
+                      FROM (SELECT w.e + 1 AS e, {_STEPPED} AS w, w.best, w.since FROM walk w, (SELECT * FROM grams WHERE split = 'train') t
+                            WHERE w.since < {PATIENCE} AND w.e < {EPOCHS}) x,
+                           (SELECT * FROM grams WHERE split = 'train') t, (SELECT * FROM grams WHERE split = 'val') v)""",
+    "ran": "SELECT * FROM walk WHERE e > 0",
+    "chosen": "SELECT * FROM ran ORDER BY val, e LIMIT 1"}
+
+
+@query("fit_reward_regressor", oracle(f"""
+    SELECT 'chosen_epoch' AS name, e::DOUBLE AS value FROM chosen
+    UNION ALL SELECT 'val_loss', {rnd('val', 4)} FROM chosen UNION ALL SELECT 'train_loss', {rnd('train', 4)} FROM chosen
+    UNION ALL SELECT 'epochs_run', max(e)::DOUBLE FROM ran
+    UNION ALL SELECT 'val_loss/' || e, {rnd('val', 4)} FROM ran
+    UNION ALL SELECT 'rows/' || split, n::DOUBLE FROM grams""", "transitions", more=_DESCENT).replace("WITH ", "WITH RECURSIVE ", 1))
 def fit_reward_regressor(i: Inputs) -> DataFrame:
+    """The chosen epoch, its losses, the validation loss of every epoch that was run, and the rows of each part.
+
+    The losses of the chosen epoch are those of its predictions on the rows.
+    """
     split = fits.split_rows(i.transitions())
-    model, _ = fits.fit_reward_regressor(split)
-    x = F.concat("observation", "action")
-    rows = model.transform(split.withColumn("raw", fits.features(x)))
-    return _moments(split, {"reward": (rows, F.col("prediction") - F.col("reward"))}, x, OBS_DIMS + ACT_DIMS, 6)
+    fit = fits.fit_reward_regressor(split, "descent", rate=RATE, epochs=EPOCHS, patience=PATIENCE)
+    error = F.get(fit.model.predict(F.concat("observation", "action")), F.lit(0)) - F.col("reward")
+    scored = split.groupBy("split").agg(F.avg(error * error).alias("loss"), F.count(F.lit(1)).cast("double").alias("rows"))
+    by_part = scored.select(F.explode(F.create_map(F.concat("split", F.lit("_loss")), rounded("loss", 4), F.concat(F.lit("rows/"), "split"),
+                                                   F.col("rows"))).alias("name", "value"))
+    chosen = [("chosen_epoch", float(fit.chosen)), ("epochs_run", float(len(fit.history)))]
+    losses = [(f"val_loss/{e}", round(v, 4) + 0.0) for e, _, v in fit.history]
+    return by_part.unionByName(i.spark.createDataFrame(chosen + losses, "name string, value double"))
 
 
 @query("fit_bc_continuous", _moments_sql([f"action_{d}" for d in range(ACT_DIMS)], OBS_DIMS))
 def fit_bc_continuous(i: Inputs) -> DataFrame:
     split = fits.split_rows(i.transitions())
-    models, _ = fits.fit_bc_continuous(split, ACT_DIMS)
-    raw = split.withColumn("raw", fits.features(F.col("observation")))
-    residuals = {f"action_{d}": (model.transform(raw), F.col("prediction") - F.get("action", F.lit(d))) for d, model in enumerate(models)}
-    return _moments(split, residuals, F.col("observation"), OBS_DIMS, 6)
+    model, _ = fits.fit_bc_continuous(split, ACT_DIMS)
+    rows = split.withColumn("predicted", model.predict(F.col("observation")))
+    residuals = {f"action_{d}": F.get("predicted", F.lit(d)) - F.get("action", F.lit(d)) for d in range(ACT_DIMS)}
+    return _moments(split, rows, residuals, F.col("observation"), OBS_DIMS, 6)
 
 
 @query("fit_bc_discrete", _moments_sql(["action"], OBS_DIMS))
 def fit_bc_discrete(i: Inputs) -> DataFrame:
     split = fits.split_rows(i.transitions())
-    model, _ = fits.fit_bc_discrete(split, 2, OBS_DIMS)
+    model = fits.fit_bc_discrete(split, 2, OBS_DIMS).model
     rows = model.transform(split.withColumn("raw", fits.features(F.col("observation"))))
     residual = F.get(vector_to_array("probability"), F.lit(1)) - F.col("action_disc")
-    return _moments(split, {"action": (rows, residual)}, F.col("observation"), OBS_DIMS, 4)
+    return _moments(split, rows, {"action": residual}, F.col("observation"), OBS_DIMS, 4)

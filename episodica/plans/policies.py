@@ -115,12 +115,14 @@ _DRAWN = {
 
 
 def _drawn(i: Inputs) -> DataFrame:
-    """Sampled actions with reward, log-probability and divergence, and their advantages."""
-    return groups.group_advantage(_sampled(i).select(
-        "prompt_id", "gen_id", F.size("sampled").alias("action_dim"),
-        (-vectors.mse(F.col("sampled"), F.col("action"))).alias("reward"),
-        policy.gaussian_log_prob(F.col("sampled"), F.col("mean"), F.col("std"), reduce="mean").alias("log_prob"),
-        policy.gaussian_kl(F.col("mean"), F.col("std"), F.col("ref_mean"), F.col("ref_std")).alias("kl")))
+    """Sampled actions with reward, log-probability and divergence, and their advantages, all from the prompt's row."""
+    mean, std = F.col("mean"), F.col("std")
+    prompts = _outputs(i).select("prompt_id", "action", "mean", "std", policies.gaussian_draws(F.col("prompt_id"), mean, std, 4, 31).alias("sampled"),
+                                 policy.gaussian_kl(mean, std, F.col("ref_mean"), F.col("ref_std")).alias("kl"))
+    scored = prompts.select("prompt_id", "kl", F.transform("sampled", lambda x: F.struct(
+        F.size(x).alias("action_dim"), (-vectors.mse(x, F.col("action"))).alias("reward"),
+        policy.gaussian_log_prob(x, mean, std, reduce="mean").alias("log_prob"))).alias("draws"))
+    return groups.group_advantage_in_row(scored)
 
 
 @query("reward_report", oracle(f"""

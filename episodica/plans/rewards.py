@@ -9,7 +9,7 @@ from ..functions import rewards as rw
 from ..functions.equation import equation_candidate, reward_equation
 from ..operators import align, scoring, stats
 from ..sources.tables import ACT_DIMS, Inputs
-from .data import with_stats
+from .data import fitted_stats
 from .networks import LINEAR_REWARD, linear_reward_sql, network_frame
 from .registry import hash_uniform, oracle, query, rnd, rounded
 from .text import DECODED_SQL, TOKEN_LIST_SQL, TOKENS_VALID_SQL
@@ -112,10 +112,10 @@ def reward_control_amplitude(i: Inputs) -> DataFrame:
     f"coalesce({linear_reward_sql('observation', PARSED_SQL)}, -3.15::DOUBLE)", "completions_continuous", "norm_stats"))
 def reward_model_continuous(i: Inputs) -> DataFrame:
     net = scoring.load_network(network_frame(i.spark, LINEAR_REWARD))
-    rows = with_stats(i, i.completions_continuous("observation"))
+    rows, fitted = i.completions_continuous("observation"), fitted_stats(i).first()
     return _scored(rows, rw.reward_model_continuous(
         F.col("completion"), F.col("observation"), ACT_DIMS,
-        lambda s, a: scoring.score_reward_model(i.spark, net, s, a, F.col("stats"))))
+        lambda s, a: scoring.score_reward_model(i.spark, net, s, a, fitted)))
 
 
 @query("reward_model_tokenized", _reward_oracle(
@@ -123,10 +123,10 @@ def reward_model_continuous(i: Inputs) -> DataFrame:
     "completions_tokenized", "norm_stats", "action_ranges"))
 def reward_model_tokenized(i: Inputs) -> DataFrame:
     net = scoring.load_network(network_frame(i.spark, LINEAR_REWARD))
-    rows = with_stats(i, _with_action_ranges(i, i.completions_tokenized("observation")))
+    rows, fitted = _with_action_ranges(i, i.completions_tokenized("observation")), fitted_stats(i).first()
     return _scored(rows, rw.reward_model_tokenized(
         F.col("completion"), F.col("observation"), ACT_DIMS, F.col("ranges"),
-        lambda s, a: scoring.score_reward_model(i.spark, net, s, a, F.col("stats"))))
+        lambda s, a: scoring.score_reward_model(i.spark, net, s, a, fitted)))
 
 
 @query("reward_logged", oracle("SELECT prompt_id, gen_id, reward_logged AS reward FROM completions_discrete",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text
 from ..functions.parse import completion_text
+from ..operators import stats as statistics
 from ..operators.sampling import bernoulli_sample, random_sample_n
 
 SEPARATOR = "=============="  # fixed value: line between logged samples
@@ -96,6 +97,16 @@ def save_stats(stats: DataFrame, path: str) -> None:
     stats.coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def add_moments(moments: DataFrame, path: str) -> None:
+    """Append the moments of further rows to a statistics file; ``refreshed_stats`` reads them all."""
+    moments.coalesce(1).write.mode("append").parquet(path)
+
+
+def refreshed_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics of all rows whose moments were ever added; no earlier row is read again."""
+    return statistics.stats_of_moments(statistics.merged_moments(spark.read.parquet(path)))
+
+
 def load_stats(spark: SparkSession, path: str) -> DataFrame:
     stats = spark.read.parquet(path)
     missing = {"state_mean", "state_std", "action_mean", "action_std", "reward_mean", "reward_std"} - set(stats.columns)

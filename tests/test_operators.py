@@ -215,13 +215,151 @@ def test_linear_fit_recovers_weights(spark):
         F.array(numbers.uniform(3, F.col("id"))).alias("action"))
     df = df.withColumn("reward", 2.0 * F.col("observation")[0] - F.col("observation")[1] + 3.0 * F.col("action")[0] + 1.0)
     split = fits.split_rows(df)
-    _, rmse = fits.fit_reward_regressor(split)
-    assert rmse < 1e-6
-    _, trees = fits.fit_reward_regressor(split, "gbt")
-    assert trees < split.agg(F.stddev_samp("reward")).first()[0] / 2
+    exact = fits.fit_reward_regressor(split, "linear")
+    assert exact.val_loss < 1e-12 and exact.model.weights[:, 0] == pytest.approx([1.0, 2.0, -1.0, 3.0], abs=1e-8)
+    variance = split.agg(F.var_samp("reward")).first()[0]
+    trees = fits.fit_reward_regressor(split, "gbt", maxIter=8)
+    assert trees.val_loss < variance / 4 and trees.chosen == len(trees.history) == trees.model.stages[-1].getNumTrees
     wide = split.withColumn("action_disc", (F.col("observation")[0] > 0.5).cast("int"))
     for kind in ("logistic", "mlp"):
-        assert fits.fit_bc_discrete(wide, 2, 2, kind)[1] < 0.1
+        assert fits.fit_bc_discrete(wide, 2, 2, kind).val_loss < 0.1
+    several = fits.fit_bc_discrete(wide, 2, 2, penalties=(10.0, 0.0))
+    assert several.chosen == min(several.history, key=lambda h: (h[2], h[0]))[0]
+
+
+def test_all_outputs_are_fitted_in_one_scan(spark, monkeypatch):
+    from episodica.operators import fits
+    from episodica.session import ship_package
+    ship_package(spark)
+    r = np.random.default_rng(5)
+    x, noise = r.normal(size=(500, 4)), r.normal(size=(500, 3)) / 10
+    w = r.normal(size=(5, 3))
+    y = np.c_[np.ones(500), x] @ w + noise
+    rows = spark.createDataFrame([(k, a.tolist(), b.tolist()) for k, (a, b) in enumerate(zip(x, y))],
+                                 "prompt_id bigint, observation array<double>, action array<double>")
+    split = fits.split_rows(rows.unionByName(rows.limit(1).select(F.lit(999).cast("bigint").alias("prompt_id"), F.lit(None).cast("array<double>").alias("observation"), "action")))
+    calls, of = [], fits.grams
+    monkeypatch.setattr(fits, "grams", lambda *a: calls.append(1) or of(*a))
+    model, errors = fits.fit_bc_continuous(split, 3)
+    assert len(calls) == 1 and model.weights.shape == (5, 3)
+    train = {row["prompt_id"] for row in split.where("split = 'train'").collect()} - {999}
+    chosen = np.array([k in train for k in range(500)])
+    z = np.c_[np.ones(500), x]
+    wanted = np.linalg.lstsq(z[chosen], y[chosen], rcond=None)[0]
+    assert model.weights == pytest.approx(wanted, abs=1e-9)
+    assert errors == pytest.approx(((z[~chosen] @ wanted - y[~chosen]) ** 2).mean(axis=0), rel=1e-6)
+    predicted = {row["prompt_id"]: row["p"] for row in rows.select("prompt_id", model.predict(F.col("observation")).alias("p")).collect()}
+    assert np.array([predicted[k] for k in range(500)]) == pytest.approx(z @ wanted, abs=1e-9)
+
+
+@pytest.mark.parametrize("patience, min_delta", [(1, 0.0), (4, 0.0), (3, 0.01), (100, 0.0)])
+def test_descent_is_stopped_by_the_validation_rows(spark, patience, min_delta):
+    """Every prefix of the run is scored on the rows themselves."""
+    from episodica.operators import fits
+    from episodica.session import ship_package
+    ship_package(spark)
+    r = np.random.default_rng(1)
+    x, y = r.normal(size=(60, 12)), r.normal(size=60)   # nothing to learn: validation gets worse at some point
+    rows = spark.createDataFrame([(k, a[:8].tolist(), a[8:].tolist(), float(b)) for k, (a, b) in enumerate(zip(x, y))],
+                                 "prompt_id bigint, observation array<double>, action array<double>, reward double")
+    split = fits.split_rows(rows, val_split=0.4)
+    fit = fits.fit_reward_regressor(split, "descent", rate=0.2, epochs=40, patience=patience, min_delta=min_delta)
+    val = np.array([k in {row["prompt_id"] for row in split.where("split = 'val'").collect()} for k in range(60)])
+    z, w, losses = np.c_[np.ones(60), x], np.zeros(13), []
+    for _ in range(40):
+        w = w - 0.2 * z[~val].T @ (z[~val] @ w - y[~val]) / (~val).sum()
+        losses.append(((z[val] @ w - y[val]) ** 2).mean())
+    best, at, stop = math.inf, 0, 40
+    for e, loss in enumerate(losses, 1):
+        if loss < best - min_delta:
+            best, at = loss, e
+        elif e - at >= patience:
+            stop = e
+            break
+    assert (fit.chosen, len(fit.history)) == (at, stop) and [h[2] for h in fit.history] == pytest.approx(losses[:stop], rel=1e-9)
+    assert fit.val_loss == pytest.approx(best, rel=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 65, 1000, 4099])
+def test_permuted_numbers_are_a_bijection(spark, n):
+    for seed in (0, 42):
+        got = [r["p"] for r in spark.range(n).select(sampling.permuted(F.col("id"), F.lit(n), seed).alias("p")).collect()]
+        assert sorted(got) == list(range(n))
+        if n > 60:
+            assert len({a - k for k, a in enumerate(got)}) > n / 4 and abs(np.corrcoef(range(n), got)[0, 1]) < 0.3
+
+
+def test_splits_of_numbered_rows_are_exact_without_an_exchange(spark):
+    rows = spark.range(1_003).withColumnRenamed("id", "k")
+    test = sampling.train_test_split(rows, "k", 1, 0.25, number="k")
+    assert test.where("split = 'test'").count() == 251
+    assert sampling.train_val_split_exact(rows, "k", 1, 0.5, number="k").where("split = 'val'").count() == 502  # half to even
+    batches = sampling.minibatches(rows, "k", 100, 1, number="k").groupBy("batch").count().collect()
+    assert {(b["batch"], b["count"]) for b in batches} == {(k, 100) for k in range(10)}
+    assert sampling.minibatches(rows, "k", 100, 1, drop_last=False, number="k").count() == 1_003
+    plan = sampling.minibatches(rows, "k", 100, 1, number="k")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "Sort" not in plan and plan.count("SinglePartition") <= 4  # of the count
+    with pytest.raises(Exception, match="does not number"):
+        sampling.train_test_split(rows.where("k <> 5"), "k", 1, number="k").collect()
+    assert sampling.train_test_split(rows.limit(0), "k", 1, number="k").count() == 0
+
+
+def test_advantages_in_the_row_equal_those_of_groups(spark):
+    rewards = [[1.0, 2.0, 4.0], [3.0], [None, 1.0, 2.0], [5.0, 5.0], []]
+    rows = spark.createDataFrame([(k, r) for k, r in enumerate(rewards)], "prompt_id int, r array<double>")
+    packed = rows.select("prompt_id", F.transform("r", lambda x: F.struct(x.alias("reward"))).alias("draws"))
+    flat = rows.select("prompt_id", F.posexplode("r").alias("gen_id", "reward"))
+    for scaled in (True, False):
+        a = groups.group_advantage_in_row(packed, scaled=scaled).collect()
+        b = groups.group_advantage(flat, scaled=scaled).collect()
+        key = lambda r: (r["prompt_id"], r["gen_id"])
+        names = ("group_mean", "group_std", "advantage", "reward")
+        assert [(key(r), [r[n] for n in names]) for r in sorted(a, key=key)] == [
+            (key(r), [pytest.approx(r[n]) if r[n] is not None else None for n in names]) for r in sorted(b, key=key)]
+    plan = groups.group_advantage_in_row(packed)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_statistics_inside_a_network(spark):
+    r = np.random.default_rng(2)
+    net = scoring.Network({"out": [(r.normal(size=(4, 3)), r.normal(size=4), "tanh"), (r.normal(size=(1, 4)), r.normal(size=1), "id")]})
+    from pyspark.sql import Row
+    fitted = Row(state_mean=[0.5, -1.0], state_std=[2.0, 0.25], action_mean=[3.0], action_std=[1.5], reward_mean=7.0, reward_std=2.5)
+    x = r.normal(size=(20, 3))
+    scaled = (x - [0.5, -1.0, 3.0]) / (np.array([2.0, 0.25, 1.5]) + 1e-8)
+    assert scoring.with_statistics(net, fitted).run(x, ["out"])[0] == pytest.approx(net.run(scaled, ["out"])[0] * 2.5 + 7.0)
+    with pytest.raises(ValueError, match="not been updated"):
+        scoring.with_statistics(net, Row(state_mean=[0.0], state_std=[1.0], action_mean=[0.0], action_std=[1.0], reward_mean=1.0, reward_std=2.0))
+    with pytest.raises(ValueError, match="linear end"):
+        scoring.with_statistics(scoring.Network({"out": [net.heads["out"][0]]}), fitted)
+
+
+def test_merged_moments_equal_those_of_the_whole(spark):
+    r = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, (r.normal(size=3) * [1, 1e-3, 50] + [1e4, 0, -7]).tolist(), r.normal(size=2).tolist(), float(r.normal()))
+                                  for k in range(400)], "k int, observation array<double>, action array<double>, reward double")
+    parts = [rows.where(c) for c in ("k < 1", "k >= 1 AND k < 90", "k >= 90", "k < 0")]  # one row, and none
+    merged = stats.merged_moments(stats.moments(parts[0], 3, 2).unionByName(stats.moments(parts[1], 3, 2)).unionByName(
+        stats.moments(parts[2], 3, 2)).unionByName(stats.moments(parts[3], 3, 2)))
+    got, wanted = stats.stats_of_moments(merged).first(), stats.normalization_stats(rows, state_dim=3, action_dim=2).first()
+    for name in ("state_mean", "state_std", "action_mean", "action_std", "reward_mean", "reward_std"):
+        assert got[name] == pytest.approx(wanted[name], rel=1e-9)
+    one = stats.stats_of_moments(stats.merged_moments(stats.moments(parts[0], 3, 2))).first()
+    assert one["reward_std"] is None and one["state_std"] == [None] * 3
+
+
+def test_guards_flag_or_stop(spark):
+    losses = spark.createDataFrame([(1.0,), (-10.0,), (None,)], "loss double")
+    assert [r[0] for r in losses.select(policy.checked_loss(F.col("loss"))).collect()] == [1.0, -10.0, None]
+    for bad in (math.nan, math.inf, 10.5):
+        with pytest.raises(Exception, match="loss out of bounds"):
+            spark.createDataFrame([(bad,)], "loss double").select(policy.checked_loss(F.col("loss"))).collect()
+
+
+def test_returns_of_each_policy_and_of_all(spark):
+    returns = spark.createDataFrame([(0, 1, 2.0, 1), (0, 2, 4.0, 3), (1, 3, 9.0, 5)], "policy int, episode_id int, episode_return double, episode_length int")
+    got = {r["policy"]: (r["mean_return"], r["mean_length"], r["n_episodes"]) for r in evaluate.evaluation_summary(returns, ["policy"], overall=True).collect()}
+    assert got == {0: (3.0, 2.0, 2), 1: (9.0, 5.0, 1), None: (5.0, 3.0, 3)}
 
 
 def test_powers_are_exact_or_undecided():
