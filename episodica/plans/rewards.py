@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rewards as rw
 from ..functions.equation import equation_candidate, reward_equation
 from ..operators import align, scoring, stats
+from ..session import scratch_dir
+from ..sources import files
 from ..sources.tables import ACT_DIMS, Inputs
 from .data import fitted_stats
 from .networks import LINEAR_REWARD, linear_reward_sql, network_frame
@@ -193,3 +198,32 @@ def join_completions_to_transitions(i: Inputs) -> DataFrame:
 def repeat_prompts(i: Inputs) -> DataFrame:
     return align.repeat_prompts(i.transitions().select("prompt_id", "reward"), 5).select(
         "prompt_id", "gen_id", "reward")
+
+
+@query("join_kept_by_prompt", oracle("""
+    SELECT c.prompt_id, c.gen_id, c.completion, t.episode_id, t.action_disc, t.reward
+    FROM completions_discrete c JOIN transitions t ON t.prompt_id = c.prompt_id""",
+    "completions_discrete", "transitions"))
+def join_kept_by_prompt(i: Inputs) -> DataFrame:
+    """The join of completions and transitions that an earlier job kept in buckets of their prompts: no row is exchanged."""
+    folder = scratch_dir(i.spark, "kept")
+    name, buckets = uuid.uuid4().hex, int(i.spark.conf.get("spark.sql.shuffle.partitions"))
+    logged = i.transitions().select("prompt_id", "episode_id", "action_disc", "reward")
+    files.save_by_prompt(logged, f"transitions_{name}", buckets, f"{folder}/transitions")
+    files.save_by_prompt(i.completions_discrete(), f"completions_{name}", buckets, f"{folder}/completions")
+    return align.join_completions_to_transitions(i.spark.table(f"completions_{name}").hint("merge"), i.spark.table(f"transitions_{name}")).select(
+        "prompt_id", "gen_id", "completion", "episode_id", "action_disc", "reward")
+
+
+def _originality(prompts: list, completions: list) -> list[float]:
+    """A user's callable: one over the number of completions of the prompt that say the same."""
+    seen = Counter(zip(prompts, completions))
+    return [1.0 / seen[pair] for pair in zip(prompts, completions)]
+
+
+@query("python_reward", oracle(f"""
+    SELECT prompt_id, gen_id, {rnd('1::DOUBLE / count(*) OVER (PARTITION BY prompt_id, completion)')} AS reward
+    FROM completions_discrete""", "completions_discrete"))
+def python_reward(i: Inputs) -> DataFrame:
+    scored = align.score_whole_groups(i.completions_discrete(), _originality, {"prompts": "prompt_id", "completions": "completion"})
+    return scored.select("prompt_id", "gen_id", rounded("reward").alias("reward"))

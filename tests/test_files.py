@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from episodica.functions import rewards
-from episodica.operators import evaluate, stats
+from episodica.operators import align, evaluate, stats
 from episodica.sources import files
-from episodica.streaming import completions, episodes
+from episodica.streaming import completions
 
 
 def test_jsonl_append_repeats_and_overwrite_replaces(spark, tmp_path):
@@ -58,3 +58,45 @@ def test_scoring_stream_writes_rows_and_samples(spark, tmp_path):
                               fraction=0.5).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("reward")).first()[0] == 200.0
     assert 60 < spark.read.text(str(tmp_path / "log")).where("value = '<action>1</action>'").count() < 140
+
+
+def test_tables_kept_by_prompt_join_without_an_exchange(spark, tmp_path):
+    left = spark.range(3_000).select((F.col("id") % 500).alias("prompt_id"), F.col("id").alias("gen_id"), F.lit("x").alias("completion"))
+    right = spark.range(500).select(F.col("id").alias("prompt_id"), (F.col("id") * 2).alias("reward"))
+    files.save_by_prompt(left, "kept_left", 8, str(tmp_path / "left"))
+    files.save_by_prompt(right, "kept_right", 8, str(tmp_path / "right"))
+    joined = align.join_completions_to_transitions(spark.table("kept_left").hint("merge"), spark.table("kept_right"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert joined.count() == 3_000 and joined.where("reward <> prompt_id * 2").count() == 0
+    by_prompt = joined.groupBy("prompt_id").agg(F.avg("reward"))
+    assert "Exchange" not in by_prompt._jdf.queryExecution().executedPlan().toString() and by_prompt.count() == 500
+    for table in ("kept_left", "kept_right"):
+        spark.sql(f"DROP TABLE {table}")
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_callables_see_whole_groups(spark, batch):
+    from episodica.session import ship_package
+    ship_package(spark)
+    rows = [(p, g, f"t{g % 3}", "clash") for p in (1, 2, None, 7) for g in range(8)] + [(9, 0, None, "clash")]
+    frame = spark.createDataFrame(rows, "prompt_id long, gen_id int, `a.b` string, reward string").repartition(5)
+
+    def place(prompts, texts):  # depends on all rows of the prompt
+        return [float(prompts[:k].count(p)) + 100 * prompts.count(p) for k, p in enumerate(prompts)]
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        out = align.score_whole_groups(frame, place, {"prompts": "prompt_id", "texts": "a.b"})
+        got = {(r["prompt_id"], r["gen_id"]): r["reward"] for r in out.collect()}
+        assert out.columns == ["prompt_id", "gen_id", "a.b", "reward"]
+        assert got == {**{(p, g): 800.0 + g for p in (1, 2, None, 7) for g in range(8)}, (9, 0): 100.0}
+        assert align.score_whole_groups(frame.limit(0), place, {"prompts": "prompt_id", "texts": "a.b"}).count() == 0
+        for wrong, columns in ((lambda prompts: [1.0], {"prompts": "prompt_id"}),):
+            with pytest.raises(Exception, match="numbers for"):
+                align.score_whole_groups(frame, wrong, columns).collect()
+        with pytest.raises(Exception, match="more than 5 rows"):
+            align.score_whole_groups(frame, place, {"prompts": "prompt_id", "texts": "a.b"}, max_rows=5).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
