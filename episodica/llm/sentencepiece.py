@@ -1,36 +1,46 @@
 """SentencePiece encoding and decoding with a public byte-fallback BPE model.
 
 A text becomes words that no piece crosses: runs of spaces with what follows them, cut also around characters that occur in
-no longer piece. The distinct words of a chunk are encoded once. Their symbols meet the piece table in an equi-join of
-neighbouring pairs with the pieces' splits; grouped by word, the best pair (highest score, leftmost in a tie) is merged,
-for all words of the chunk at a time, until no word has one. Encodings equal those of the model's own library.
+no longer piece. Words are counted over all texts. Of the frequent ones, TABLE_WORDS at most, a lattice is built: their
+substrings of bounded length are exploded and joined to the piece table, the edges are grouped by word, and a higher-order
+``aggregate`` folds them. The borders between a word's symbols are the bits of a number; a step of the fold takes the edge
+with the best score (leftmost in a tie) that spans exactly two symbols and clears the border between them. The table of
+encoded words is broadcast, and texts look their words up. Rarer words, and those of over LATTICE_CHARS characters, are folded in
+the same order by NumPy, for all such words of a chunk at a time. Encodings equal those of the model's own library.
 
-The method dealt for this operator folds Viterbi over a lattice of scored substrings. That finds the best path of a unigram
-model; the public model is a BPE model, whose encoding is the order of its merges and no best path, so merges are folded.
+The method dealt for this operator folds Viterbi over the lattice. That finds the best path of a unigram model; the public
+model is a BPE model, whose encoding is the order of its merges and no best path, so the lattice's fold is that of merges.
 
-Nulls are empty texts and have no pieces. Unknown characters become byte pieces. A text with the meta symbol U+2581 decodes
-to a space, as the library does. Only models without normalisation are taken. The piece table is broadcast, at most
-MAX_PIECES pieces.
+Nulls and empty texts have no pieces; no rows give no rows. Unknown characters become byte pieces. Long texts are encoded
+whole. A text with the meta symbol U+2581 decodes to a space, as the library does. Only models without normalisation are
+taken. The piece table is broadcast, at most MAX_PIECES pieces. Other columns come along; an output column replaces one of
+its name. Repeated rows and ties of counts change nothing: a word has one encoding, wherever it is folded.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from . import tokens
 from .batches import with_struct
+from .groups import kept
 from .winnow import spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_PIECES = 1_000_000
-#: Bytes of text whose words are encoded together: the larger, the fewer words are encoded twice.
-CHUNK_BYTES = 4_000_000
+#: Bytes of text whose words are encoded together.
+CHUNK_BYTES = 2_000_000
+#: Words of the broadcast table at most, and the longest word of the lattice: its borders are bits of a 64-bit number.
+TABLE_WORDS, LATTICE_CHARS = 200_000, 61
 _SPACE = "▁"
 _NONE = np.int64(2**31 - 1)
 
@@ -47,6 +57,7 @@ class Pieces:
     spelled: list[bytes]
     alone: np.ndarray
     prefix: bool
+    normal: dict[str, int]
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -91,7 +102,7 @@ def load(path: str = MODEL) -> Pieces:
     alone = np.array([chr(b) not in joined for b in range(128)] + [False] * 128)
     alone[0x20] = False
     return Pieces(extra, char_ids, byte_ids, keys, np.array([pairs[k] for k in keys.tolist()], np.int64),
-                  np.unique(-scores, return_inverse=True)[1].astype(np.int64), spelled, alone, model.normalizer_spec.add_dummy_prefix)
+                  np.unique(-scores, return_inverse=True)[1].astype(np.int64), spelled, alone, model.normalizer_spec.add_dummy_prefix, normal)
 
 
 def _lookup(pieces: Pieces, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -148,36 +159,158 @@ def _words(pieces: Pieces, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     return data, np.flatnonzero(cut), offsets
 
 
-def encode_texts(pieces: Pieces, column: pa.Array) -> pa.ListArray:
-    """Piece ids of each text."""
-    parts = []
+def _chunk_words(pieces: Pieces, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """For each chunk: rows, number of the first word of each row (and of all words), dictionary index of each word, distinct words."""
     for chunk in tokens.chunks(column, CHUNK_BYTES):
         raw = chunk.data.tobytes()
         bounds = chunk.offsets.tolist()
         texts = [raw[a:b].replace(_SPACE.encode(), b" ") for a, b in zip(bounds[:-1], bounds[1:])]
         texts = [b" " + t if t and pieces.prefix else t for t in texts]
         data, cuts, offsets = _words(pieces, texts)
-        if not len(data):
-            parts.append(pa.ListArray.from_arrays(pa.array(np.zeros(chunk.rows + 1, np.int32)), pa.array([], pa.int32())))
+        starts, ends = (cuts[:-1], cuts[1:]) if len(data) else (cuts[:0], cuts[:0])
+        codes, distinct = tokens.span_codes(data, starts, ends)
+        yield chunk.rows, np.searchsorted(starts, offsets), codes, distinct
+
+
+@dataclass
+class WordTable:
+    """Encoded words by their sorted hashes: the words, and their ids in one array."""
+    hashes: np.ndarray
+    words: pa.Array
+    offsets: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> WordTable:
+        table = table.combine_chunks()
+        words = table["word"].combine_chunks().cast(pa.large_binary()) if table.num_rows else pa.array([], pa.large_binary())
+        ids = table["ids"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+        hashes = tokens.value_hashes(words)
+        order = pa.array(np.argsort(hashes))
+        words, ids = words.take(order), ids.take(order)
+        lengths = ids.value_lengths().to_numpy(zero_copy_only=False)
+        return cls(hashes[order.to_numpy()], words, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), ids.flatten().to_numpy())
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, or -1; words are compared in full."""
+        if not len(self.hashes) or not len(words):
+            return np.full(len(words), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, tokens.value_hashes(words)), len(self.hashes) - 1)
+        same = pc.equal(self.words.take(pa.array(at)), words).to_numpy(zero_copy_only=False)
+        return np.where(same, at, -1)
+
+
+EMPTY = WordTable(np.zeros(0, np.uint64), pa.array([], pa.large_binary()), np.zeros(1, np.int64), np.zeros(0, np.int32))
+
+
+def _folded(pieces: Pieces, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words by merges in NumPy, and how many each has."""
+    spelled = [x.decode() for x in words.to_pylist()]
+    points = np.frombuffer("".join(spelled).replace(" ", _SPACE).encode("utf-32-le"), np.uint32)
+    symbols, sizes = merged(pieces, pieces.char_ids[points], np.array([len(s) for s in spelled]))
+    unknown = np.flatnonzero(symbols >= len(pieces.spelled))
+    return _with_bytes(pieces, symbols, sizes, spelled, unknown) if len(unknown) else (symbols, sizes)
+
+
+def encode_texts(pieces: Pieces, column: pa.Array, table: WordTable = EMPTY) -> pa.ListArray:
+    """Piece ids of each text."""
+    parts = []
+    for rows, first, word, distinct in _chunk_words(pieces, column):
+        if not len(word):
+            parts.append(pa.ListArray.from_arrays(pa.array(np.zeros(rows + 1, np.int32)), pa.array([], pa.int32())))
             continue
-        starts, ends = cuts[:-1], cuts[1:]
-        word, distinct = tokens.span_codes(data, starts, ends)
-        spelled = [x.decode() for x in distinct.to_pylist()]
-        points = np.frombuffer("".join(spelled).replace(" ", _SPACE).encode("utf-32-le"), np.uint32)
-        counts = np.array([len(s) for s in spelled])
-        symbols, sizes = merged(pieces, pieces.char_ids[points], counts)
-        unknown = np.flatnonzero(symbols >= len(pieces.spelled))
-        if len(unknown):
-            symbols, sizes = _with_bytes(pieces, symbols, sizes, spelled, unknown)
-        low = np.cumsum(sizes) - sizes
+        at = table.find(distinct)
+        rare = np.flatnonzero(at < 0)
+        low, sizes, ids = table.offsets[:-1][at] if len(table.hashes) else at.copy(), np.zeros(len(at), np.int64), table.ids
+        sizes[at >= 0] = np.diff(table.offsets)[at[at >= 0]]
+        if len(rare):
+            symbols, sizes[rare] = _folded(pieces, distinct.take(pa.array(rare)))
+            low[rare] = len(ids) + np.cumsum(sizes[rare]) - sizes[rare]
+            ids = np.concatenate([ids, symbols.astype(np.int32)])
         group, number = spread(sizes[word])
-        ids = symbols[low[word][group] + number].astype(np.int32)
         totals = np.concatenate([[0], np.cumsum(sizes[word])])
-        ends_at = totals[np.searchsorted(starts, offsets)]
-        parts.append(pa.ListArray.from_arrays(pa.array(ends_at.astype(np.int32)), pa.array(ids)))
+        parts.append(pa.ListArray.from_arrays(pa.array(totals[first].astype(np.int32)), pa.array(ids[low[word][group] + number])))
     return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
 
+def word_counts(docs: DataFrame, text: str, pieces: Pieces) -> DataFrame:
+    """(word, n): the words of all texts and how often each occurs, counted in each chunk before the shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, codes, distinct in _chunk_words(shared.value, batch.column(0)):
+                if len(codes):
+                    yield pa.RecordBatch.from_arrays([distinct.cast(pa.large_string()).cast(pa.string()), pa.array(np.bincount(codes))], names=["word", "n"])
+
+    counted = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "word string, n bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent(counts: DataFrame, limit: int = TABLE_WORDS) -> DataFrame:
+    """The words of the largest counts, ``limit`` at most: all words from a count on, in steps of an eighth of a power of two."""
+    counts = counts.withColumn("level", F.floor(F.log2("n") * 8).cast("int")).where(F.length("word") <= LATTICE_CHARS)
+    room, least = limit, None
+    for row in sorted(counts.groupBy("level").count().collect(), reverse=True):  # some 500 levels at most
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["level"]
+    return counts.where(F.lit(False) if least is None else F.col("level") >= least).select("word")
+
+
+def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, start, end, id, rank) for each substring of a word that is a piece, and for each character (id may be null)."""
+    spark = words.sparkSession
+    spelled = [(p, i, int(pieces.rank[i])) for p, i in pieces.normal.items()]
+    table = spark.createDataFrame(spelled, "piece string, id int, rank bigint")  # MAX_PIECES rows at most
+    longest = max(len(p) for p in pieces.normal)
+    text = F.replace("word", F.lit(" "), F.lit(_SPACE))
+    starts = words.select("word", text.alias("text"), F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))
+    parts = starts.select("*", F.explode(lengths).alias("size")).select(
+        "word", "start", (F.col("start") + F.col("size")).alias("end"), F.substring("text", F.col("start") + 1, F.col("size")).alias("piece"))
+    joined = parts.join(F.broadcast(table), "piece", "left").where("id IS NOT NULL OR end = start + 1")
+    return joined.select("word", "start", "end", "id", "rank")
+
+
+def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, ids) of words of at most LATTICE_CHARS characters: the edges of each word's lattice, folded."""
+    one = F.lit(1).cast("bigint")
+
+    def bit(at: Column) -> Column:
+        return F.call_function("shiftleft", one, at)
+
+    edge = F.struct("rank", "start", "end", "id", bit(F.col("start")).bitwiseOR(bit(F.col("end"))).alias("ends"),
+                    (bit(F.col("end")) - bit(F.col("start") + 1)).alias("inner"))
+    grouped = lattice(words, pieces).groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))  # of one word
+    longer = F.filter("edges", lambda e: (e["end"] - e["start"] > 1))
+    folded = grouped.select("word", "edges", longer.alias("longer"), F.length("word").alias("size"))
+
+    def joins(state: Column, e: Column) -> Column:
+        between = state.bitwiseAND(e["inner"])
+        return (state.bitwiseAND(e["ends"]) == e["ends"]) & (between != 0) & (between.bitwiseAND(between - 1) == 0)
+
+    def step(state: Column, _: Column) -> Column:
+        best = F.get(F.filter("longer", lambda e: joins(state, e)), F.lit(0))
+        return F.coalesce(state - state.bitwiseAND(best["inner"]), state)  # the border between the two symbols goes
+
+    full = bit(F.col("size") + 1) - 1
+    borders = F.when(F.size("longer") == 0, full).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.col("size") - 1, F.lit(1))), full, step))
+    folded = folded.select("word", "edges", borders.alias("borders"))
+    left = F.filter("edges", lambda e: (F.col("borders").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("borders").bitwiseAND(e["inner"]) == 0))
+    in_order = F.array_sort(F.transform(left, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
+    byte_ids = F.array(*[F.lit(int(i)) for i in pieces.byte_ids])
+
+    def of_bytes(e: Column) -> Column:
+        digits = F.hex(F.encode(F.substring("word", e["start"] + 1, F.lit(1)), "UTF-8"))
+        return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)),
+                           lambda k: F.get(byte_ids, F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int")))
+
+    ids = F.flatten(F.transform(in_order, lambda e: F.when(e["id"].isNull(), of_bytes(e)).otherwise(F.array(e["id"]))))
+    return folded.select("word", ids.alias("ids"))
+
+
 def _with_bytes(pieces: Pieces, symbols: np.ndarray, sizes: np.ndarray, spelled: list[str],
                 unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols without a piece, single characters, as the pieces of their bytes."""
@@ -212,9 +345,12 @@ def _appended(rows: DataFrame, source: str, output: str, kind: T.DataType, piece
     return with_struct(rows, source, output, kind, lambda column: fn(shared.value, column), 1_000)
 
 
-def encode(docs: DataFrame, text: str = "text", output: str = "piece_ids", model: str = MODEL) -> DataFrame:
-    """``docs`` with the piece ids of each text; a column of that name is replaced."""
-    return _appended(docs, text, output, T.ArrayType(T.IntegerType()), load(model), encode_texts)
+def encode(docs: DataFrame, text: str = "text", output: str = "piece_ids", model: str = MODEL, table_words: int = TABLE_WORDS) -> DataFrame:
+    """``docs`` with the piece ids of each text; a column of that name is replaced. Texts are read twice."""
+    pieces = load(model)
+    words = frequent(kept(word_counts(docs, text, pieces), "words"), table_words)
+    table = docs.sparkSession.sparkContext.broadcast(WordTable.of(encoded_words(words, pieces).toArrow()))  # ``table_words`` at most
+    return _appended(docs, text, output, T.ArrayType(T.IntegerType()), pieces, lambda p, column: encode_texts(p, column, table.value))
 
 
 def decode(rows: DataFrame, ids: str = "piece_ids", output: str = "decoded", model: str = MODEL) -> DataFrame:

@@ -129,10 +129,15 @@ def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+def value_hashes(values: pa.Array) -> np.ndarray:
+    """A 64-bit SipHash of each binary value."""
+    return hash_array(values.to_numpy(zero_copy_only=False), hash_key=_KEY, categorize=False)
+
+
 def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
     """A 64-bit SipHash of each word, computed once for each distinct one."""
     codes, distinct = span_codes(data, w.starts, w.ends)
-    return hash_array(distinct.to_numpy(zero_copy_only=False), hash_key=_KEY, categorize=False)[codes]
+    return value_hashes(distinct)[codes]
 
 
 def _windows(levels: list[np.ndarray], unit: int, size: int, starts: np.ndarray | None) -> np.ndarray:

@@ -406,14 +406,15 @@ def test_shards(spark):
 # 6 pieces
 
 @pytest.mark.skipif(not os.path.exists(sentencepiece.MODEL), reason="no tokenizer files")
-def test_pieces_equal_the_library(spark):
+@pytest.mark.parametrize("table_words", [200_000, 60, 0])
+def test_pieces_equal_the_library(spark, table_words):
     import sentencepiece as library
     r = random.Random(9)
     parts = ["a", "b", "the", "ing", " ", "  ", "\n", "é", "語", "😀", "<", "1", "\t", "ou", "st", "\x00", "<s>", "<0x0A>"]
     rows = [(k, "".join(r.choice(parts) for _ in range(r.randint(0, 40)))) for k in range(400)]
     rows += [(900, None), (901, ""), (902, " "), (903, "ab" * 3_000), (904, "  lead"), (905, "日本 語")]
     own = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
-    coded = sentencepiece.decode(sentencepiece.encode(frame(spark, rows).withColumn("decoded", F.lit("clash")))).collect()
+    coded = sentencepiece.decode(sentencepiece.encode(frame(spark, rows).withColumn("decoded", F.lit("clash")), table_words=table_words)).collect()
     texts = dict(rows)
     for row in coded:
         text = texts[row.doc_id] or ""
@@ -422,6 +423,33 @@ def test_pieces_equal_the_library(spark):
     assert sentencepiece.encode(spark.createDataFrame([], "text string")).count() == 0
 
 
+def test_lattice_folds_merges(spark):
+    """Words of the corpus and random ones, each as a text of its own."""
+    import pyarrow as pa
+    import sentencepiece as library
+    r = random.Random(4)
+    pieces = sentencepiece.load()
+    own = library.SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect() if x.text]
+    distinct = set()
+    for _, _, _, found in sentencepiece._chunk_words(pieces, pa.array(texts)):
+        distinct |= {x.decode() for x in found.to_pylist()}
+    distinct |= {" " + "".join(r.choice("abehlnorst語é😀") for _ in range(r.randint(1, 60))) for _ in range(300)} | {" ", "  ", "語" * 61}
+    words = spark.createDataFrame([(w,) for w in distinct], "word string")
+    got = {x.word: x.ids for x in sentencepiece.encoded_words(words, pieces).collect()}
+    assert set(got) == distinct and len(distinct) > 2_000
+    whole = [w for w in distinct if w.startswith(" ") and not w.startswith("  ") and len(w) > 1]
+    assert [got[w] for w in whole] == own.encode([w[1:] for w in whole])
+    table = sentencepiece.WordTable.of(pa.table({"word": list(got), "ids": pa.array(list(got.values()), pa.list_(pa.int32()))}))
+    assert sentencepiece.encode_texts(pieces, pa.array(texts), table).to_pylist() == sentencepiece.encode_texts(pieces, pa.array(texts)).to_pylist()
+
+
+def test_frequent_words_have_a_bound(spark):
+    counts = spark.createDataFrame([("a", 100), ("b", 100), ("c", 9), ("d", 1), ("e", 1), ("x" * 70, 500)], "word string, n long")
+    for limit, wanted in ((9, "abcde"), (4, "abc"), (2, "ab"), (1, ""), (0, "")):
+        assert sorted(x.word for x in sentencepiece.frequent(counts, limit).collect()) == list(wanted)
+
+
 # 7 secrets
 
 def test_secret_patterns(spark):
