@@ -1,14 +1,17 @@
 """Secret scans: pattern rules and a battery of randomness tests.
 
 Pattern rules find assignments, access keys and hex runs. The battery takes every run of 20 or more characters of
-``[A-Za-z0-9+/_-]`` with its padding, infers its encoding (hex, base32, base64) and tests that it is uniform: a chi-squared test on
-the alphabet's parts, a runs test on halves of the alphabet and a test of serial correlation. The smallest of the three
+``[A-Za-z0-9+/_-]`` with its padding, infers its encoding (hex, plain or dashed like a UUID; base32 and base36 of either case,
+which need a digit; else base64) and tests that it is uniform over that alphabet: a chi-squared test on the alphabet's parts, a runs test on halves of the alphabet and a test of serial correlation. The smallest of the three
 p-values, times three, tells how badly a run fits random characters. Runs that are not random are sorted out with the
 Benjamini-Hochberg rule, over all runs of the corpus of a similar length, so short runs, on which the tests see little,
 do not borrow from long ones; p-values are counted on a fixed grid, so only a bounded table reaches the driver. A run
-that is left is reported unless a pattern's span covers it.
+that is left is reported unless a pattern's span covers it. The control bounds the share of random runs that are lost; it says
+nothing on how many of the reported runs are no secrets.
 
-Offsets are code points, ends exclusive. Nulls and empty texts have no spans. Equal rows give equal results.
+Offsets are code points, ends exclusive. Nulls and empty texts have no spans, long texts are scanned whole, and equal rows
+give equal results. No rows give no rows. Other columns come along; a column of the output's name is replaced. Ties of p-values
+share a cell of the grid and are kept or sorted out together.
 """
 
 from __future__ import annotations
@@ -38,7 +41,11 @@ _KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_BYTES, _RUN_BYTES = np.zeros(256, bool), np.zeros(256, bool)
 _HEX_BYTES[list(b"0123456789abcdef")] = True
 _RUN_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")] = True
-_ALPHABETS = (("hex", "0123456789abcdef"), ("hex", "0123456789ABCDEF"), ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"))
+#: Alphabets from the narrowest on, and whether a run needs a digit to be taken for one: words of letters alone are none.
+_ALPHABETS = (("0123456789abcdef", False), ("0123456789ABCDEF", False), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", True),
+              ("abcdefghijklmnopqrstuvwxyz234567", True), ("0123456789abcdefghijklmnopqrstuvwxyz", True),
+              ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", True))
+_DASHED = re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _BASE64 = {c: i for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")} | {"-": 62, "_": 63}
 _SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 FIELDS = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS[:3]] + [
@@ -60,10 +67,11 @@ def _two_sided(z: float) -> float:
 def randomness(run: str) -> float:
     """How well the run fits uniform characters of its encoding: the smallest p-value of three tests, times three."""
     body = run.rstrip("=")
+    body = body.replace("-", "") if _DASHED.fullmatch(body) else body
     n = len(body)
     chars = set(body)
-    for kind, alphabet in _ALPHABETS:
-        if chars <= set(alphabet):
+    for alphabet, needs_digit in _ALPHABETS:
+        if chars <= set(alphabet) and not (needs_digit and chars.isdisjoint("0123456789")):
             values = np.array([alphabet.index(c) for c in body])
             size, edges = len(alphabet), np.arange(0, len(alphabet) + 1, len(alphabet) // (8 if n >= 40 else 4))
             break

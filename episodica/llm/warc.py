@@ -1,14 +1,16 @@
 """A content-addressed WARC archive in two Parquet tables.
 
-``records`` keeps one exact WARC header for each page, with the digest of its payload; ``payloads`` keeps the bytes of each
-digest (hexadecimal SHA-1) once. Of records with equal payloads the one with the smallest page_id is a response, the others revisit it. SHA-1
-is the digest; one digest with two lengths or two 64-bit checks stops the write. Reading joins headers and payloads back
-to whole records, parses the headers and verifies each payload against its header's digest and length.
+``records`` keeps one exact WARC header for each page, with the address of its payload; ``payloads`` keeps the bytes of each
+address once. The address is the payload's SHA-256; the header names the SHA-1 that WARC readers expect, so two payloads of one
+SHA-1 are two payloads here. Of records with equal payloads the one with the smallest page_id is a response, the others
+revisit it. Reading joins headers and payloads back to whole records, parses the headers and verifies each payload against
+its address and its header's digest and length.
 
 Frequent payloads: the smallest page of a digest is a map-side aggregate, and digests that occur more than once are joined
 under SALTS sub-keys, so that no key holds a task. Where they are few, Spark broadcasts them and payloads do not move.
 
-A null html is an empty payload, a null url an empty target. Rows that share page_id and payload are the same record seen
+A null html is an empty payload, a null url an empty target; line breaks in a url, which would end its header line, are read
+back as one space. Rows that share page_id and payload are the same record seen
 again: each gets the same record type. A null page_id comes before all others and is written as ``null``. An empty table
 gives empty archives. Extra columns are ignored.
 """
@@ -68,21 +70,16 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"),
                         payload.alias("payload"))
-    rows = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("bigint").alias("bytes"))
-    # digests of several rows: their smallest page (null first), and a stop if two payloads share a digest
-    seen = rows.select("digest", "page_id", "bytes", F.xxhash64("payload").alias("check"))
-    often = (seen.groupBy("digest").agg(
-        F.min("page_id").alias("first"), F.max(F.col("page_id").isNull().cast("int")).alias("unnamed"), F.count(F.lit(1)).alias("n"),
-        F.max("bytes").alias("most"), F.min("bytes").alias("least"), F.max("check").alias("high"), F.min("check").alias("low"))
-        .filter("n > 1").select(
-            "digest", F.when(F.col("unnamed") == 0, F.col("first")).alias("first"),
-            F.when((F.col("most") != F.col("least")) | (F.col("high") != F.col("low")),
-                   F.raise_error(F.lit("two payloads share a SHA-1 digest")).cast("boolean")).otherwise(True).alias("shared")))
+    rows = rows.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("bigint").alias("bytes"))
+    # addresses of several rows: their smallest page (null first)
+    often = (rows.groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.max(F.col("page_id").isNull().cast("int")).alias("unnamed"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").select("digest", F.when(F.col("unnamed") == 0, F.col("first")).alias("first"), F.lit(True).alias("shared")))
     often = kept(often, "payloads-met-often")
     marked = _salted(rows, often, "page_id")
     again = F.col("shared").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     header = _header({"revisit": again & (F.col("bytes") >= min_bytes), "page": _named(F.col("page_id")), "url": F.col("url"),
-                      "digest": base32(F.col("digest")), "refers_to": _named(F.col("first")), "bytes": F.col("bytes")})
+                      "digest": base32(F.sha1("payload")), "refers_to": _named(F.col("first")), "bytes": F.col("bytes")})
     marked.select("digest", header.alias("header")).write.parquet(f"{folder}/records")
     once = marked.filter("shared IS NULL").select("digest", "payload")
     if not often.isEmpty():
@@ -110,9 +107,9 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     payloads = spark.read.parquet(f"{folder}/payloads")
     response = F.col("record_type") == "response"
     answers = (records.filter(response).join(payloads, "digest", "left")
-               .withColumns({"found": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("bigint")}))
+               .withColumns({"found": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("bigint")}))
     fits = (F.col("found") == F.col("digest")) & (F.col("payload_bytes") == F.col("told_bytes"))
-    found = base32(F.col("found"))
+    found = base32(F.sha1("payload"))
     answers = answers.withColumn("payload_digest", F.when(fits, found)).withColumn(
         "payload_digest", F.when(F.col("payload_digest") == F.col("told_digest"), F.col("payload_digest"))
         .otherwise(F.raise_error(F.lit("a payload does not fit its record"))))

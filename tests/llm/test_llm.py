@@ -483,6 +483,25 @@ def test_randomness_battery(spark):
     assert not any("random" in out[k] for k in range(60, 120))
 
 
+def test_random_runs_of_each_alphabet_and_length(spark):
+    import uuid
+    r = random.Random(12)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [lower + "234567", upper + "234567", digits + lower, digits + upper, upper + lower + digits + "+/", upper[:6] + digits]
+    keys = ["".join(r.choice(a) for _ in range(n)) for a in alphabets for n in (24, 32, 40, 48, 64, 96, 128) for _ in range(6)]
+    keys = [k for k in keys if any(c in digits for c in k)]
+    ids = [str(uuid.UUID(int=r.getrandbits(128))) for _ in range(40)]
+    words = ["internationalisierungsbehoerde", "some_identifier_of_a_table_2024", "thequickbrownfoxjumpsoverthelazydog", "page-title-with-many-words-2024",
+             "abcabcabc123abcabcabc123abc", "0000000000000000000000000001", "THISISALONGHEADINGWITHOUTSPACES", "x2" * 15] * 12
+    rows = list(enumerate(f"see {x} here" for x in keys + ids + words))
+    kinds = {x.doc_id: {s.kind for s in x.secrets.spans} for x in secret_scan.scan_secrets(frame(spark, rows)).collect()}
+    out = {k: bool(kinds[k] & {"random", "hex"}) for k in kinds}  # long lower-case hex is a pattern of its own
+    first = len(keys)
+    for low, high in [(k, k + 42) for k in range(0, first - 41, 42)] + [(first, first + 40)]:
+        assert sum(out[k] for k in range(low, high)) >= 0.85 * (high - low), low
+    assert not [rows[k] for k in range(first + 40, len(rows)) if "random" in kinds[k]]
+
+
 def test_redaction(spark):
     rows = spark.createDataFrame([("ab é secret", [(3, 4), (3, 4), (5, 11)]), ("", []), (None, [])], "t string, s array<struct<start:bigint,end:bigint>>")
     assert [r[0] for r in rows.select(secret_scan.redacted(F.col("t"), F.col("s"), "#")).collect()] == ["ab # #", "", None]
@@ -629,6 +648,8 @@ def test_archive(spark, tmp_path):
     stored = spark.read.parquet(f"{folder}/payloads")
     assert stored.count() == stored.select("digest").distinct().count() == len({x or "" for *_, x in rows})
     assert {r.record_type for r in warc.archived(pages, min_bytes=10**6).collect()} == {"response"}
+    broken = warc.archived(frame(spark, [(1, "http://a/\r\nX: y", "z")], "page_id long, url string, html string")).first()
+    assert broken.url == "http://a/ X: y" and broken.payload_bytes == 1
     assert warc.archived(pages.limit(0)).count() == 0
 
 
