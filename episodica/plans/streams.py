@@ -23,7 +23,7 @@ def _as_feed(i: Inputs, rows: DataFrame, folder: str, per_trigger: int) -> DataF
     FROM completions_discrete""", "completions_discrete"))
 def stream_score_completions(i: Inputs) -> DataFrame:
     folder = scratch_dir(i.spark, "scoring")
-    feed = _as_feed(i, i.completions_discrete("action_disc"), f"{folder}/in", 1000)
+    feed = _as_feed(i, i.completions_discrete("action_disc"), f"{folder}/in", 3)  # several micro-batches
     job = completions.start_scoring(feed, discrete_registry(), f"{folder}/out", f"{folder}/checkpoint", f"{folder}/log")
     job.awaitTermination()
     return i.spark.read.parquet(f"{folder}/out").select("prompt_id", "gen_id", rounded("reward").alias("reward"))
