@@ -6,17 +6,20 @@ a signature. Equal sets are one class, held by its smallest doc_id, so exact cop
 
 Each bucket names its smallest member as pivot; the members of all buckets of a pivot are its canopy. Within a canopy,
 signatures are compared by bit counts, similarities are corrected for chance collisions, and members whose estimate
-reaches the threshold less seven standard errors form groups. The full sets of a group confirm links with exact integer
+reaches the threshold less seven standard errors form groups. In a large canopy every member is compared with the pivot
+first, row by row, and those near it are the pivot's group. The full sets of a group confirm links with exact integer
 arithmetic; a connected forest of the confirmed links leaves the group, never all pairs. Components of the forests are
 found by alternating stars on written edges.
 
-Bounds: a canopy above CANOPY_BLOCK members is compared in pairs of blocks, all of them; a group above GROUP_BLOCK members
-or BLOCK_SHINGLES shingles is confirmed in blocks that each hold its smallest member, and then every member that is not yet
-linked to the smallest one meets all others, again in pairs of blocks. No pair of a group is left out. A link whose two
+Bounds: in a canopy above CANOPY_BLOCK members only those that are not near the pivot meet all others, in pairs of blocks; a
+group above GROUP_BLOCK members or BLOCK_SHINGLES shingles is confirmed in blocks that each hold its smallest member, and
+then every member that is not yet linked to the smallest one meets all others, again in pairs of blocks. So a group of near
+copies of one text costs its size, and no pair of a group is left out. A link whose two
 sets share no bucket is lost: with 32 bands of 4 rows that happens to 5 in a million links of similarity 0.75, less above.
 
 Null, empty and wordless texts have an empty set, link with nothing and stay. A row without doc_id is linked with nothing,
-has no component and stays. Rows that share a doc_id are one document. Extra columns are ignored.
+has no component and stays. Rows that share a doc_id are one document. Very long texts are taken whole; ties cannot occur, as
+ids differ. Extra columns are ignored, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -186,15 +189,38 @@ def _confirmed(group: pa.Table) -> pa.Table | None:
     return pa.table({"a": members[linked], "b": members[roots[linked]]})
 
 
-def _with_cells(rows: DataFrame, owner: str, blocks: DataFrame, pairs: bool) -> DataFrame:
-    """Rows with ``cell``: that of their owner, or of each pair of blocks (or block) they belong to."""
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Is a member's signature near its pivot's?"""
+    for batch in batches:
+        own, pivot = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (3, 4))
+        near = estimates(pivot, own) >= THRESHOLD / 100 - MARGIN
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near)], names=["group", "member", "blocks", "near"])
+
+
+def _with_cells(rows: DataFrame, owner: str, blocks: DataFrame) -> DataFrame:
+    """Rows with ``cell``: that of the block they belong to; the owner belongs to all blocks."""
     block = F.pmod(F.xxhash64("member"), F.col("blocks"))
     all_blocks = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
     own = F.when(F.col("member") == F.col(owner), all_blocks).otherwise(F.array(block))
-    with_pairs = F.transform(all_blocks, lambda j: F.greatest(block, j) * F.col("blocks") + F.least(block, j))
     return (rows.join(blocks, owner, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
-            .withColumn("cell", F.explode(F.array_distinct(with_pairs if pairs else own)))
-            .withColumn("cell", F.xxhash64(owner, "cell")).drop("blocks"))
+            .withColumn("cell", F.explode(own)).withColumn("cell", F.xxhash64(owner, "cell")).drop("blocks"))
+
+
+def _outside_cells(labelled: DataFrame) -> DataFrame:
+    """(cell, member): cells in which each ``outside`` member of a group meets all its members, themselves in ``blocks`` blocks.
+
+    Those outside are dealt into as few blocks of their own as their share asks for, so a few of them cost a group's size.
+    """
+    sizes = labelled.groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.count_if("outside").alias("o"), F.max("blocks").alias("b"))
+    sizes = kept(sizes.filter("o > 0").select("group", F.ceil(F.col("o") * F.col("b") / F.col("k")).alias("rows")), "outside")
+    joined, key = labelled.join(sizes, "group"), F.xxhash64("member")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    ours = joined.filter("outside").select("group", "member", F.pmod(key, F.col("rows")).alias("i"), every("blocks").alias("j"))
+    theirs = joined.select("group", "member", every("rows").alias("i"), F.pmod(key, F.col("blocks")).alias("j"))
+    return ours.unionByName(theirs).select(F.xxhash64("group", "i", "j").alias("cell"), "member").distinct()
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -209,16 +235,27 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     buckets = kept(banded.groupBy("band").agg(F.min("member").alias("pivot"), F.max("member").alias("last"))
                    .filter("pivot <> last").select("band", "pivot"), "buckets")
     canopies = kept(banded.join(buckets, "band").select("pivot", "member").distinct(), "canopies")
-    large = (canopies.groupBy("pivot").count().filter(F.col("count") > CANOPY_BLOCK)
-             .select("pivot", F.ceil(F.col("count") / CANOPY_BLOCK).alias("blocks")))
-    cells = _with_cells(canopies.join(reps.select("member", "signature"), "member"), "pivot", large, True)
-    groups = per_group(cells.select("cell", "member", "signature"), "cell", "group bigint, member bigint", _linked_groups)
+    large = kept(canopies.groupBy("pivot").count().filter(F.col("count") > CANOPY_BLOCK)
+                 .select("pivot", F.ceil(F.col("count") / CANOPY_BLOCK).alias("blocks")), "large")
+    signatures, cells, stars = reps.select("member", "signature"), canopies, None
+    if not large.isEmpty():
+        pivots = signatures.select(F.col("member").alias("pivot"), F.col("signature").alias("other"))
+        compared = canopies.join(large, "pivot").join(signatures, "member").join(pivots, "pivot").select(
+            F.col("pivot").alias("group"), "member", "blocks", "signature", "other")
+        stars = kept(compared.mapInArrow(_near, "group bigint, member bigint, blocks bigint, near boolean"), "stars")
+        cells = canopies.join(large, "pivot", "left_anti")
+    cells = cells.select(F.xxhash64("pivot").alias("cell"), "member")
+    if stars is not None:
+        cells = cells.unionByName(_outside_cells(stars.select("group", "member", "blocks", (~F.col("near")).alias("outside"))))
+    groups = per_group(cells.join(signatures, "member"), "cell", "group bigint, member bigint", _linked_groups)
+    if stars is not None:
+        groups = groups.unionByName(stars.filter("near").select("group", "member"))
     groups = kept(groups.distinct(), "groups")
     sized = groups.join(reps.select("member", "n"), "member").groupBy("group").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
     split = kept(sized.filter((F.col("k") > GROUP_BLOCK) | (F.col("n") > BLOCK_SHINGLES))
                  .select("group", F.ceil(F.greatest(F.col("k") / GROUP_BLOCK, F.col("n") / BLOCK_SHINGLES)).alias("blocks")), "split")
     texts = docs.withColumnRenamed("doc_id", "member")
-    cells = _with_cells(groups, "group", split, False).select("cell", "member")
+    cells = _with_cells(groups, "group", split).select("cell", "member")
     edges = kept(_confirm(cells, texts), "links")
     if not split.isEmpty():
         edges = edges.unionByName(kept(_confirm(_rest(groups, split, components(edges)), texts), "links"))
@@ -251,15 +288,7 @@ def _rest(groups: DataFrame, split: DataFrame, found: DataFrame) -> DataFrame:
     labelled = rows.join(found, rows["member"] == found["node"], "left").select(
         "group", "member", "blocks", F.coalesce("component", "member").alias("component"))
     main = labelled.filter(F.col("group") == F.col("member")).select("group", F.col("component").alias("main"))
-    labelled = labelled.join(main, "group")
-    block = F.pmod(F.xxhash64("member"), F.col("blocks"))
-    outside = labelled.filter("component <> main").withColumn("block", block)
-    needed = kept(outside.select("group", "block", "blocks").distinct(), "needed")  # blocks with someone outside
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    ours = outside.select("group", "member", F.col("block").alias("i"), every.alias("j"))
-    theirs = (labelled.withColumn("j", block).join(needed.select("group", F.col("block").alias("i")), "group")
-              .select("group", "member", "i", "j"))
-    return ours.unionByName(theirs).select(F.xxhash64("group", "i", "j").alias("cell"), "member").distinct()
+    return _outside_cells(labelled.join(main, "group").select("group", "member", "blocks", (F.col("component") != F.col("main")).alias("outside")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -113,6 +113,30 @@ def test_near_duplicates(spark, monkeypatch, blocks):
         assert (r.n_shingles, r.component_id) == wanted[r.doc_id] and r.kept == (r.doc_id == wanted[r.doc_id][1])
 
 
+@pytest.mark.parametrize("blocks", [(512, 256, 500_000), (8, 4, 400)])
+def test_near_duplicates_far_from_their_pivot(spark, monkeypatch, blocks):
+    """Chains: each text is like the next few only, so most of a canopy is not near its pivot; and one large group that is."""
+    for name, value in zip(("CANOPY_BLOCK", "GROUP_BLOCK", "BLOCK_SHINGLES"), blocks):
+        monkeypatch.setattr(near_dedup, name, value)
+    r = random.Random(6)
+    rows, ids = [], iter(r.sample(range(10_000), 500))
+    for chain in range(2):
+        words = [f"c{chain}w{k}" for k in range(90)]
+        for step in range(60):
+            words[step] = f"c{chain}s{step}"
+            rows.append((next(ids), " ".join(words)))
+    base = [f"b{k}" for k in range(150)]
+    for k in range(70):
+        edited = list(base)
+        edited[r.randrange(150)] = f"e{k}"
+        rows.append((next(ids), " ".join(edited)))
+    r.shuffle(rows)
+    wanted = near_brute(rows)
+    assert len({c for _, c in wanted.values()}) == 3
+    out = near_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in out} == wanted
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, None), (2, "A B C D E F")]
     out = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(frame(spark, rows)).collect())
