@@ -37,10 +37,10 @@ def op3(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @query("op6_sentencepiece")
 def op6(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = sentencepiece.decode(sentencepiece.encode(docs.select("doc_id", "text")))
-    return coded.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_pieces"),
-                        F.sha2(F.array_join("piece_ids", ","), 256).alias("pieces_sha256"),
-                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = sentencepiece.round_trip(docs.select("doc_id", "text"))
+    ids = coded["coded.piece_ids"]
+    return coded.select("doc_id", F.size(ids).cast("bigint").alias("n_pieces"), F.sha2(F.array_join(ids, ","), 256).alias("pieces_sha256"),
+                        (F.col("coded.decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 @query("op7_secret_scan")

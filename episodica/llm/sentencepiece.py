@@ -25,20 +25,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from . import tokens
-from .batches import with_struct
+from .batches import struct, with_struct
 from .groups import kept
 from .winnow import spread
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_PIECES = 1_000_000
 #: Bytes of text whose words are encoded together.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_500_000
 #: Words of the broadcast table at most, and the longest word of the lattice: its borders are bits of a 64-bit number.
 TABLE_WORDS, LATTICE_CHARS = 200_000, 61
 _SPACE = "▁"
@@ -205,7 +206,7 @@ EMPTY = WordTable(np.zeros(0, np.uint64), pa.array([], pa.large_binary()), np.ze
 
 def _folded(pieces: Pieces, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of words by merges in NumPy, and how many each has."""
-    spelled = [x.decode() for x in words.to_pylist()]
+    spelled = [x.decode() for x in words.to_numpy(zero_copy_only=False)]
     points = np.frombuffer("".join(spelled).replace(" ", _SPACE).encode("utf-32-le"), np.uint32)
     symbols, sizes = merged(pieces, pieces.char_ids[points], np.array([len(s) for s in spelled]))
     unknown = np.flatnonzero(symbols >= len(pieces.spelled))
@@ -345,14 +346,35 @@ def _appended(rows: DataFrame, source: str, output: str, kind: T.DataType, piece
     return with_struct(rows, source, output, kind, lambda column: fn(shared.value, column), 1_000)
 
 
+def word_table(docs: DataFrame, text: str, pieces: Pieces, limit: int) -> Broadcast:
+    """The encoded frequent words of all texts, ``limit`` at most, broadcast."""
+    words = frequent(kept(word_counts(docs, text, pieces), "words"), limit)
+    return docs.sparkSession.sparkContext.broadcast(WordTable.of(encoded_words(words, pieces).toArrow()))
+
+
 def encode(docs: DataFrame, text: str = "text", output: str = "piece_ids", model: str = MODEL, table_words: int = TABLE_WORDS) -> DataFrame:
     """``docs`` with the piece ids of each text; a column of that name is replaced. Texts are read twice."""
     pieces = load(model)
-    words = frequent(kept(word_counts(docs, text, pieces), "words"), table_words)
-    table = docs.sparkSession.sparkContext.broadcast(WordTable.of(encoded_words(words, pieces).toArrow()))  # ``table_words`` at most
+    table = word_table(docs, text, pieces, table_words)
     return _appended(docs, text, output, T.ArrayType(T.IntegerType()), pieces, lambda p, column: encode_texts(p, column, table.value))
 
 
+def round_trip(docs: DataFrame, text: str = "text", output: str = "coded", model: str = MODEL, table_words: int = TABLE_WORDS) -> DataFrame:
+    """``docs`` with a struct of the piece ids of each text and the text they decode to, from one pass of one Python worker."""
+    pieces = load(model)
+    kind = T.StructType([T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def both(p: Pieces, column: pa.Array) -> pa.StructArray:
+        parts = []
+        for start in range(0, len(column), 100):
+            ids = encode_texts(p, column.slice(start, 100), table.value)
+            parts.append(struct(kind, [ids, pa.array([decode_ids(p, x) for x in ids.to_pylist()], pa.string())]))
+        return pa.concat_arrays(parts) if parts else struct(kind, [pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())])
+
+    table = word_table(docs, text, pieces, table_words)
+    return _appended(docs, text, output, kind, pieces, both)
+
+
 def decode(rows: DataFrame, ids: str = "piece_ids", output: str = "decoded", model: str = MODEL) -> DataFrame:
     """``rows`` with the text of each list of piece ids; null is empty."""
     return _appended(rows, ids, output, T.StringType(), load(model), lambda pieces, column: pa.array(

@@ -444,6 +444,8 @@ def test_pieces_equal_the_library(spark, table_words):
         text = texts[row.doc_id] or ""
         assert row.piece_ids == own.encode(text)
         assert row.decoded == text
+    once = sentencepiece.round_trip(frame(spark, rows), table_words=table_words).collect()
+    assert {x.doc_id: (x.coded.piece_ids, x.coded.decoded) for x in once} == {x.doc_id: (x.piece_ids, x.decoded) for x in coded}
     assert sentencepiece.encode(spark.createDataFrame([], "text string")).count() == 0
 
 
