@@ -9,7 +9,9 @@ the same or a more specific priority is suppressed, and so is a mention of a sho
 Base phrases are matched on words (A-Z lower-cased, ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``) and are never suppressed.
 The score is the highest confidence of what is left, 0 without a detection.
 
-Nulls, empty and wordless texts have no words, no places, empty labels and score 0. Offsets are code points.
+Nulls, empty and wordless texts have no words, no places, empty labels and score 0. Offsets are code points. Very long texts
+are scanned whole; of detections with one start the longest comes first, and equal ones are ordered by priority and label. No
+rows give no rows. Other columns come along; a column of the output's name is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Label, SPDX identifiers, names in running text, gate keywords (a|b).
+#: Our own families: label, SPDX identifiers, names in running text, gate keywords (a|b).
 LICENSES = (
     ("apache", r"apache-[0-9.]+", r"apache(?: software)?", "apache"),
     ("mit", r"mit(?:-0)?", r"(?:mit|expat|x11)", "mit|expat|x11"),
@@ -74,7 +76,7 @@ LICENSES = (
     ("cc-by-sa", r"cc-by-sa-[0-9.]+", r"(?:cc[ -]by-sa|creative commons attribution-sharealike)", "c"),
     ("cc-by", r"cc-by-[0-9.]+", r"(?:cc[ -]by|creative commons attribution)(?!-)", "c"),
 )
-#: Wording around an identifier or a name, priority, confidence, and the stem each needs.
+#: Our own wording around an identifier or a name, priority, confidence, and the stem each needs.
 TEMPLATES = (
     (r"\bspdx-license-identifier:\s*(?:[a-z0-9.+() -]+ (?:or|and) )?{id}\b", 0, 1.0, "spdx"),
     (r"\b(?:licen[sc]ed|released|distributed|available|published|redistributed|covered|provided) (?:under|by) "
@@ -83,7 +85,7 @@ TEMPLATES = (
     (r"\blicen[sc]e\s*[:=]\s*[\"']?(?:{id}|{name})(?![a-z0-9])", 1, 0.85, "licen"),
     (r"\bpermission [^.\n]{{0,80}}\b{name}(?![a-z0-9])", 3, 0.6, "permission"),
 )
-#: Notices that stand alone: label, pattern, gate keywords (a|b), priority, confidence.
+#: Our own notices that stand alone: label, pattern, gate keywords (a|b), priority, confidence.
 NOTICES = (
     ("copyright", r"\bcopyright (?:\(c\)|©)? ?[0-9]{4}(?:\s*[-,]\s*[0-9]{4})*", "copyright", 2, 0.6),
     ("copyright", r"(?:©|\(c\)) ?[0-9]{4}", "©|(c)", 3, 0.5),

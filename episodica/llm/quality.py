@@ -6,7 +6,8 @@ a text is rejected if too large a share of its words is covered, if one repeat i
 many symbols. All texts of a chunk are sorted together, by row first, with prefix doubling in NumPy. Overlapping repeats count.
 
 Nulls, empty texts and texts without words have zero counts and fail the base rule of 50 words. A text without repeats
-has share 0 and longest 0.
+has share 0 and longest 0. Very long texts are measured whole. No rows give no rows. Other columns come along; a column of the
+output's name is replaced.
 """
 
 from __future__ import annotations
