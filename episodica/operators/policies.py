@@ -97,3 +97,15 @@ def sample_cloud(center: Column, n: int, sigma: float, kind: str, row_id: Column
     turn = F.array(F.cos(frame * 0.05), F.sin(frame * 0.05))
     return let(turn, lambda t: F.transform(points, lambda p: F.array(p[0] * t[0] - p[1] * t[1],
                                                                     p[0] * t[1] + p[1] * t[0])))
+
+
+def sample_clouds(rows: DataFrame, center: str, n: int, sigma: float, kinds: Sequence[str], row_id: str, seed: int,
+                  repeats: int = 1, frame: str | None = None) -> DataFrame:
+    """Each row with ``repeats`` independent clouds of each kind: columns ``kind``, ``repeat`` (from 0) and ``points``.
+
+    The draws of a repeat have a seed of their own, seed + 1000 * repeat.
+    """
+    clouds = [F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("repeat"), sample_cloud(
+        F.col(center), n, sigma, kind, F.col(row_id), seed + 1000 * k, None if frame is None else F.col(frame)).alias("points"))
+        for kind in kinds for k in range(repeats)]
+    return rows.withColumn("__c", F.explode(F.array(*clouds))).select(*rows.columns, "__c.*")

@@ -213,25 +213,23 @@ def _uniform_pair_sql(seed: int, n: int) -> str:
 
 
 @query("sample_cloud", oracle(f"""
-    SELECT prompt_id, kind, pos - 1 AS point, {rnd('p[1] * cos(f) - p[2] * sin(f)', 5)} AS x,
+    SELECT prompt_id, kind, repeat, pos - 1 AS point, {rnd('p[1] * cos(f) - p[2] * sin(f)', 5)} AS x,
            {rnd('p[1] * sin(f) + p[2] * cos(f)', 5)} AS y
-    FROM (SELECT prompt_id, kind, f, unnest(points) AS p, generate_subscripts(points, 1) AS pos FROM (
-      SELECT prompt_id, 'gaussian' AS kind, f, list_transform(z, lambda q: [c[1] + 0.3::DOUBLE * q[1], c[2] + 0.3::DOUBLE * q[2]]) AS points FROM base
-      UNION ALL SELECT prompt_id, 'uniform', f, list_transform(u, lambda q: [c[1] + (2 * q[1] - 1) * 0.6::DOUBLE, c[2] + (2 * q[2] - 1) * 0.6::DOUBLE]) FROM base
-      UNION ALL SELECT prompt_id, 'mixture', f, list_transform(z, lambda q, i: [
+    FROM (SELECT prompt_id, kind, repeat, f, unnest(points) AS p, generate_subscripts(points, 1) AS pos FROM (
+      SELECT prompt_id, 'gaussian' AS kind, repeat, f, list_transform(z, lambda q: [c[1] + 0.3::DOUBLE * q[1], c[2] + 0.3::DOUBLE * q[2]]) AS points FROM base
+      UNION ALL SELECT prompt_id, 'uniform', repeat, f, list_transform(u, lambda q: [c[1] + (2 * q[1] - 1) * 0.6::DOUBLE, c[2] + (2 * q[2] - 1) * 0.6::DOUBLE]) FROM base
+      UNION ALL SELECT prompt_id, 'mixture', repeat, f, list_transform(z, lambda q, i: [
         c[1] + CASE WHEN i <= 2 THEN 0.2::DOUBLE ELSE -0.2::DOUBLE END + 0.3::DOUBLE * q[1],
         c[2] + CASE WHEN i <= 2 THEN 0.2::DOUBLE ELSE -0.2::DOUBLE END + 0.3::DOUBLE * q[2]]) FROM base))""",
-    "transitions", more={"base": f"""
-    SELECT prompt_id, observation AS c, step * 0.05::DOUBLE AS f, {_pair_sql(36, '5')} AS z, {_uniform_pair_sql(36, 5)} AS u
-    FROM transitions"""}))
+    "transitions", more={"base": " UNION ALL ".join(f"""
+    SELECT prompt_id, {k} AS repeat, observation AS c, step * 0.05::DOUBLE AS f, {_pair_sql(36 + 1000 * k, '5')} AS z,
+           {_uniform_pair_sql(36 + 1000 * k, 5)} AS u
+    FROM transitions""" for k in range(2))}))
 def sample_cloud(i: Inputs) -> DataFrame:
-    steps = i.steps()
-    kinds = ("gaussian", "uniform", "mixture")
-    clouds = [F.struct(F.lit(k).alias("kind"), policies.sample_cloud(
-        F.col("observation"), 5, 0.3, k, F.col("prompt_id"), 36, F.col("step")).alias("points")) for k in kinds]
-    rows = (steps.select("prompt_id", F.explode(F.array(*clouds)).alias("c"))
-            .select("prompt_id", "c.kind", F.posexplode("c.points").alias("point", "p")))
-    return rows.select("prompt_id", "kind", F.col("point").cast("bigint").alias("point"),
+    steps = i.steps().select("prompt_id", "step", "observation")
+    clouds = policies.sample_clouds(steps, "observation", 5, 0.3, ("gaussian", "uniform", "mixture"), "prompt_id", 36, repeats=2, frame="step")
+    rows = clouds.select("prompt_id", "kind", "repeat", F.posexplode("points").alias("point", "p"))
+    return rows.select("prompt_id", "kind", "repeat", F.col("point").cast("bigint").alias("point"),
                        rounded(F.col("p")[0], 5).alias("x"), rounded(F.col("p")[1], 5).alias("y"))
 
 
