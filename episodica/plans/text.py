@@ -267,17 +267,19 @@ def model_short_name(i: Inputs) -> DataFrame:
 
 # --- quantisation and extraction -------------------------------------------------------------
 
-@query("dim_ranges", oracle("""
-    SELECT side, pos - 1 AS dim, r.min AS lo, r.max AS hi FROM (
-      SELECT 'observation' AS side, unnest(ranges) AS r, generate_subscripts(ranges, 1) AS pos FROM obs_ranges
-      UNION ALL SELECT 'action', unnest(ranges), generate_subscripts(ranges, 1) FROM action_ranges)""",
-    "obs_ranges", "action_ranges"))
+@query("dim_ranges", oracle(f"""
+    SELECT CASE WHEN pos <= {OBS_DIMS} THEN 'observation' WHEN pos <= {OBS_DIMS + ACT_DIMS} THEN 'action' ELSE 'output' END AS side,
+           pos - 1 - CASE WHEN pos <= {OBS_DIMS} THEN 0 WHEN pos <= {OBS_DIMS + ACT_DIMS} THEN {OBS_DIMS} ELSE {OBS_DIMS + ACT_DIMS} END AS dim,
+           min(x) AS lo, max(x) AS hi
+    FROM (SELECT unnest(emb) AS x, generate_subscripts(emb, 1) AS pos FROM logged) GROUP BY pos""", "logged"))
 def dim_ranges(i: Inputs) -> DataFrame:
-    both = i.transitions().select(F.concat("observation", "action").alias("v"))  # one pass for both vectors
-    found = stats.dim_ranges(both, "v", OBS_DIMS + ACT_DIMS).select(F.posexplode("ranges").alias("at", "r"))
-    action = F.col("at") >= OBS_DIMS
-    return found.select(F.when(action, "action").otherwise("observation").alias("side"),
-                        (F.col("at") - F.when(action, OBS_DIMS).otherwise(0)).cast("bigint").alias("dim"),
+    """Every component of the logged vectors: observation, action and what policies put out, in one pass."""
+    width = i.table("embeddings").select(F.size("embedding").alias("n")).first()
+    vectors = i.logged().select(F.col("embedding").cast("array<double>").alias("v"))
+    found = stats.dim_ranges(vectors, "v", width["n"] if width else 0).select(F.posexplode("ranges").alias("at", "r"))
+    at, first = F.col("at"), OBS_DIMS + ACT_DIMS
+    return found.select(F.when(at < OBS_DIMS, "observation").when(at < first, "action").otherwise("output").alias("side"),
+                        (at - F.when(at < OBS_DIMS, 0).when(at < first, OBS_DIMS).otherwise(first)).cast("bigint").alias("dim"),
                         F.col("r.min").alias("lo"), F.col("r.max").alias("hi"))
 
 
