@@ -98,7 +98,7 @@ def test_full_groups_leave_once(without_timers, tmp_path):
     scored(own, path, [(1, 0, 1.0), (1, 1, 2.0), (1, 2, 6.0)], "1 hour")  # all again
     rows = sorted((r.prompt_id, r.gen_id, r.reward, r.group_mean, round(r.advantage, 3)) for r in own.read.parquet(f"{path}/out").collect())
     assert rows == [(1, 0, 1.0, 3.0, -0.756), (1, 1, 2.0, 3.0, -0.378), (1, 2, 6.0, 3.0, 1.134)]
-    assert {(r.key.prompt_id, r.list_element.gen_id) for r in left(own, path, "waiting").collect()} == {(2, 0)}
+    assert {(r.key.prompt_id, r.list_element.value.gen_id) for r in left(own, path, "waiting").collect()} == {(2, 0)}
 
 
 def test_incomplete_groups_are_forgotten(without_timers, tmp_path):
