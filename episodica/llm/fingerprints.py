@@ -108,9 +108,9 @@ def with_next(rows: DataFrame, key: str, text: str, also: list[str]) -> DataFram
     first = F.get(firsts, F.col("at")) == F.col("key")
     own = F.struct(F.col("at").alias("part"), F.lit(False).alias("after"))
     before = F.struct(F.pmod(F.col("at") - 1, F.size(firsts)).alias("part"), F.lit(True).alias("after"))
-    dealt = found.select("key", "row", "n", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))).alias("to"))
-    window = Window.partitionBy("to.part").orderBy("to.after", "key")
-    paired = dealt.repartition(parts, "to.part").withColumn("next", F.lead("row").over(window)).filter("NOT to.after")
+    dealt = found.select("key", "row", "n", F.inline(F.when(first, F.array(own, before)).otherwise(F.array(own))))
+    window = Window.partitionBy("part").orderBy("after", "key")
+    paired = dealt.repartitionById(parts, "part").withColumn("next", F.lead("row").over(window)).filter("NOT after")  # a range, a task
     copies = F.when(F.col("n") > 1, F.concat(F.array("next"), F.array_repeat("row", (F.col("n") - 1).cast("int")))).otherwise(F.array("next"))
     return paired.select("row", F.explode(copies).alias("next")).select(
         "row.*", F.col(f"next.{text}").alias(f"next_{text}"), *[F.col(f"next.{c}").alias(f"next_{c}") for c in also])
