@@ -6,13 +6,19 @@ key and micro-batch, not one for each row.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# Spark asks a Python process beside the driver for a processor's states before the package is shipped anywhere, so
+# processors travel whole, not as the name of this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
