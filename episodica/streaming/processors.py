@@ -53,8 +53,8 @@ class EpisodeReturns(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "us bigint, step_id bigint, reward double, done boolean")
-        self.open = handle.getValueState("open", "start_id bigint, total double, length bigint, last_us bigint")
-        self.timer = handle.getValueState("timer", "at bigint")
+        # of the open episode (null without one), and the timer: one call reads or writes them all
+        self.open = handle.getValueState("open", "start_id bigint, total double, length bigint, last_us bigint, timer bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
@@ -65,17 +65,22 @@ class EpisodeReturns(StatefulProcessor):
                 self.waiting.appendList(list(batch[["us", "step_id", "reward", "done"]].itertuples(index=False, name=None)))
                 first = min(int(batch["us"].min()), first or int(batch["us"].min()))
         if first is not None:
-            self._wake(-(-first // 1000), sooner_only=True)
+            held, at = self.open.get(), -(-first // 1000)
+            timer = held[4] if held else None
+            if timer is None or at < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(at)
+                self.open.update((*(held[:4] if held else (None,) * 4), at))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.timer.exists() and self.timer.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.timer.clear()
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        steps = sorted({(us, step_id): (us, step_id, reward, done) for us, step_id, reward, done in self.waiting.get()}.values())
+        waiting, held = list(self.waiting.get()), self.open.get()
+        steps = sorted({(us, step_id): (us, step_id, reward, done) for us, step_id, reward, done in waiting}.values())
         due, later = [s for s in steps if s[0] <= passed], [s for s in steps if s[0] > passed]
         ended: list[tuple] = []
-        state = tuple(self.open.get()) if self.open.exists() else None
+        state = tuple(held[:4]) if held and held[2] is not None else None
         for us, step_id, reward, done in due:
             if state and us - state[3] > self.idle_us:
                 ended.append((*state[:3], False))
@@ -87,33 +92,21 @@ class EpisodeReturns(StatefulProcessor):
         if state and passed > state[3] + self.idle_us:  # whatever comes is after the silence
             ended.append((*state[:3], False))
             state = None
-        if later:
+        if later and len(later) < len(waiting):
             self.waiting.put(later)
-        else:
+        elif waiting and not later:
             self.waiting.clear()
-        if state:
-            self.open.update(state)
+        if later or state:
+            at = -(-(later[0][0] if later else state[3] + self.idle_us + 1) // 1000)
+            self.handle.registerTimer(at)
+            self.open.update((*(state or (None,) * 4), at))
         else:
             self.open.clear()
-        if later:
-            self._wake(-(-later[0][0] // 1000))
-        elif state:
-            self._wake(-(-(state[3] + self.idle_us + 1) // 1000))
         if ended:
             start, total, length, complete = zip(*ended)
             yield pd.DataFrame({"episode_id": [key[0]] * len(ended), "start_id": start, "episode_return": total,
                                 "episode_length": length, "complete": complete})
 
-    def _wake(self, at: int, sooner_only: bool = False) -> None:
-        """Keep one timer, at ``at``, or at an earlier one if ``sooner_only``."""
-        now = self.timer.get()[0] if self.timer.exists() else None
-        if now == at or (now is not None and sooner_only and now < at):
-            return
-        if now is not None:
-            self.handle.deleteTimer(now)
-        self.handle.registerTimer(at)
-        self.timer.update((at,))
-
     def close(self) -> None:
         pass
 
