@@ -37,14 +37,15 @@ WEIGHT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "n_fe
 
 
 def steps(texts: pa.Array, limit: int = STEP_BYTES) -> Iterator[pa.Array]:
-    """Slices of about ``limit`` bytes, or of one longer text."""
+    """Slices of about ``limit`` bytes, or of one longer text, copied: casting a slice leaves offsets that start inside the
+    buffer, where lower-casing reads other bytes."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     row = 0
     while row < len(texts):
         done = ends[row - 1] if row else 0
         end = max(row + 1, int(np.searchsorted(ends, done + limit, "right")))
-        yield texts.slice(row, end - row)
+        yield texts.take(pa.array(np.arange(row, end)))
         row = end
 
 

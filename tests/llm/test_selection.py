@@ -203,6 +203,30 @@ def test_importance_query_equals_brute_force(spark, tmp_path, items):
     assert sorted(repr(tuple(x)) for x in got) == importance_brute(docs, target)
 
 
+def test_importance_of_more_rows_than_a_step(spark, tmp_path):
+    r = random.Random(12)
+    docs = [(i, " ".join(f"{r.choice('ABcdé')}{r.randint(0, 400)}" for _ in range(r.randint(10, 30)))) for i in range(5_000)]
+    target = [docs[i][1] for i in range(0, 5_000, 50)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(target)), "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = QUERIES["op13_importance_resampling"](spark, str(tmp_path)).collect()
+    assert sorted(repr(tuple(x)) for x in got) == importance_brute(docs, target)
+
+
+@pytest.mark.parametrize("step", [importance.STEP_BYTES, 50])
+def test_steps_of_slices(step):
+    import pyarrow as pa
+    docs, _ = importance_rows()
+    texts = pa.array([x if x and len(x) < 1_000 else "" for _, x in docs])
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    whole = [ALNUM.findall(x.translate(lower)) for x in texts.to_pylist()]
+    got = []
+    for part in importance.steps(texts.slice(100, 150), step):
+        rows, codes, dictionary = importance.word_codes(part)
+        got += [[dictionary[c].decode() for c in codes[rows == k]] for k in range(len(part))]
+    assert got == whole[100:250]
+
+
 @pytest.mark.parametrize("step", [importance.STEP_BYTES, 50])
 def test_features_of_longer_runs(monkeypatch, step):
     import pyarrow as pa
