@@ -1,5 +1,7 @@
 """Skewed groups, exact cuts, folds, scoring and plans, each against brute force on small fixtures."""
 
+import datetime
+import hashlib
 import math
 import random
 
@@ -421,3 +423,14 @@ def test_advantage_evaluates_its_input_twice(spark):
     assert plan.count("Range (0, 600") == 2  # rows and statistics
     assert plan.count("Exchange hashpartitioning(prompt_id") == 1  # partial statistics; the join exchanges null-safe keys
 
+
+
+def test_minibatches_query_ranks_any_ids_by_their_hashes(spark, tmp_path):
+    ids = [k * 7 + 1_000_003 for k in range(700)] + [1_000_003, 1_000_010]   # neither dense nor from 0, two of them twice
+    rows = [(k, datetime.datetime(2024, 1, 1), k % 9, "view", 1.0) for k in ids]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double").repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    vectors = [(k, k % 10, [float(k)] * 64) for k in range(11)]
+    spark.createDataFrame(vectors, "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    order = sorted(ids, key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+    got = QUERIES["minibatches"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((k, r // 64) for r, k in enumerate(order[:640]))
