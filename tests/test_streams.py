@@ -3,7 +3,9 @@
 import random
 import time
 
+import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from episodica.session import ship_package
@@ -111,3 +113,52 @@ def test_incomplete_groups_are_forgotten(without_timers, tmp_path):
     time.sleep(2)
     scored(own, path, [(5, 0, 1.0)], "1 second")
     assert {r.key.prompt_id for r in left(own, path, "waiting").collect()} == {5}
+
+
+class Counted:
+    """A state of one key in memory that counts the calls it gets."""
+
+    def __init__(self):
+        self.held, self.calls = None, []
+
+    def __getattr__(self, name):
+        def call(*values):
+            self.calls.append(name)
+            before = self.held
+            if name in ("put", "update"):
+                self.held = values[0]
+            elif name == "appendList":
+                self.held = [*(before or []), *values[0]]
+            elif name == "clear":
+                self.held = None
+            return before is not None if name == "exists" else iter(before or [])
+        return call
+
+
+def test_few_state_calls_for_each_prompt():
+    """Each call is a trip to the state store's process, for every prompt of a micro-batch."""
+    group = processors.GroupAdvantages(4, 1_000, 0.0)
+    group.waiting, group.full = Counted(), Counted()
+
+    def arrive(*rows):
+        group.waiting.calls, group.full.calls = [], []
+        out = [r.asDict() for r in group.handleInputRows((7,), iter([Row(prompt_id=7, gen_id=g, reward=x) for g, x in rows]), None)]
+        return out, len(group.waiting.calls) + len(group.full.calls)
+
+    assert arrive((0, 1.0), (1, None)) == ([], 3)
+    assert arrive((1, 5.0)) == ([], 1) and arrive((3, 9.0)) == ([], 2)
+    out, calls = arrive((0, 1.0), (2, 2.0), (4, 8.0))
+    assert calls == 3 and group.waiting.held is None
+    assert [(r["gen_id"], r["reward"], r["group_mean"]) for r in out] == [(0, 1.0, 4.0), (1, None, 4.0), (3, 9.0, 4.0), (2, 2.0, 4.0)]
+    assert all(r["group_std"] == pytest.approx(19 ** 0.5) for r in out) and out[1]["advantage"] is None
+    assert arrive((0, 1.0), (5, 2.0)) == ([], 2)
+
+
+@pytest.mark.parametrize("rewards", [(1e300, -1e300, 0.0), (2.0, 2.0, 2.0), (float("inf"), 1.0, 2.0), (float("nan"), None, 3.0), (None, None, None)])
+def test_statistics_of_odd_rewards_equal_those_of_a_series(rewards):
+    group = processors.GroupAdvantages(3, 1_000, 0.0)
+    group.waiting, group.full = Counted(), Counted()
+    got = [tuple(r)[2:] for r in group.handleInputRows((7,), iter([Row(prompt_id=7, gen_id=g, reward=x) for g, x in enumerate(rewards)]), None)]
+    series = pd.Series(rewards, dtype=float)
+    wanted = pd.DataFrame({"reward": series, "mean": series.mean(), "std": series.std(), "advantage": (series - series.mean()) / series.std()})
+    assert got == [tuple(None if pd.isna(x) else pytest.approx(x) for x in r) for r in wanted.itertuples(index=False)]
