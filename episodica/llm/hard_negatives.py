@@ -1,10 +1,12 @@
 """Hard negatives: for each anchor and each of its best positives, the best other-label rows within a window of scores.
 
 Scores are exact integer inner products of quantised vectors. Anchors and candidates are dealt into blocks; a cell of one
-anchor block and one candidate block is multiplied in int64 tiles by Strassen's recursion, padded with zeros to even sizes.
-Additions and products of integers are exact, so the recursion changes no score. Each cell keeps a heap of the best
-positives of every anchor, and in a second pass, when the positives' scores are known, a heap for every anchor and positive
-of the best negatives inside its window; heaps of cells merge to the heaps of all rows.
+anchor block and one candidate block is multiplied in tiles by Strassen's recursion, padded with zeros to even sizes. Every
+sum on the way is an integer, and a bound from the lengths of the cell's vectors chooses the numbers that hold all of them
+exactly: 32-bit floats, 64-bit floats or int64. So neither the recursion nor the floats change a score. Each cell keeps a
+heap of the best positives of every anchor, and in a second pass, when the positives' scores are known, a heap for every
+anchor and positive of the best negatives inside its window; heaps of cells merge to the heaps of all rows. Candidates come
+in order of ties, so of a tile only scores above a full heap's last are looked at.
 
 Rows with a null label, a null vector, or a null or non-finite component take no part. Vectors of different lengths are
 padded with zeros. A null vec_id is no anchor, keeps its label, and follows the others in ties. Rows that share a vec_id,
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,40 +27,86 @@ from .groups import kept
 
 #: Rows of an anchor block and of a candidate block at most; rows a candidate block should have before another is made.
 ANCHOR_BLOCK, BLOCK, SMALL_BLOCK = 131_072, 262_144, 4_096
-#: Tile of one multiplication, and the size at which the recursion ends.
-TILE_ANCHORS, TILE_ROWS, LEAF = 256, 4_096, 16
-_HEAP = "anchor bigint, positive int, score bigint, vec_id bigint, row bigint"
+#: Tile of one multiplication, and the size at which the recursion ends: it fits a core's cache, and vectors of 64 are halved.
+TILE_ANCHORS, TILE_ROWS, LEAF = 256, 1_024, 32
+_HEAP = "anchor bigint, score bigint, vec_id bigint, row bigint"
+#: Beyond all scores.
+_FAR = 1 << 62
+
+
+def _levels(m: int, k: int, n: int, leaf: int) -> int:
+    """How often matrices of these sizes are halved."""
+    levels = 0
+    while min(m, k, n) > leaf:
+        m, k, n, levels = -(-m // 2), -(-k // 2), -(-n // 2), levels + 1
+    return levels
+
+
+def _parts(x: np.ndarray, levels: int, left: bool) -> np.ndarray | list:
+    """The operands that one side gives to the seven products, halved again and again; odd sizes are padded with zeros."""
+    if not levels:
+        return np.ascontiguousarray(x)
+    x = np.pad(x, [(0, -size % (1 << levels)) for size in x.shape])
+    i, j = x.shape[0] // 2, x.shape[1] // 2
+    x11, x12, x21, x22 = x[:i, :j], x[:i, j:], x[i:, :j], x[i:, j:]
+    if left:
+        seven = x11 + x22, x21 + x22, x11, x22, x11 + x12, x21 - x11, x12 - x22
+    else:
+        seven = x11 + x22, x11, x12 - x22, x21 - x11, x22, x11 + x12, x21 + x22
+    return [_parts(y, levels - 1, left) for y in seven]
+
+
+def _multiply(a: np.ndarray | list, b: np.ndarray | list, out: np.ndarray, spare: list[np.ndarray]) -> None:
+    """The product of the operands of two sides; ``spare`` holds a quarter of ``out``, of that quarter, and so on."""
+    if not spare:
+        np.matmul(a, b, out=out)
+        return
+    i, j = out.shape[0] // 2, out.shape[1] // 2
+    c11, c12, c21, c22 = out[:i, :j], out[:i, j:], out[i:, :j], out[i:, j:]
+    p, *spare = spare
+    _multiply(a[6], b[6], c11, spare)
+    _multiply(a[5], b[5], c22, spare)
+    _multiply(a[2], b[2], c12, spare)
+    c22 += c12
+    _multiply(a[1], b[1], c21, spare)
+    c22 -= c21
+    _multiply(a[0], b[0], p, spare)
+    c11 += p
+    c22 += p
+    _multiply(a[3], b[3], p, spare)
+    c11 += p
+    c21 += p
+    _multiply(a[4], b[4], p, spare)
+    c11 -= p
+    c12 += p
+
+
+def _room(m: int, n: int, levels: int, kind: np.dtype) -> list[np.ndarray]:
+    """Room for a product of this size, padded, and for quarters of it."""
+    m, n = -(-m >> levels) << levels, -(-n >> levels) << levels
+    return [np.empty((m >> k, n >> k), kind) for k in range(levels + 1)]
 
 
 def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
-    """The product of two int64 matrices by seven half-sized products; odd sizes are padded with zeros."""
+    """The product of two matrices by seven half-sized products; odd sizes are padded with zeros."""
     (m, k), n = a.shape, b.shape[1]
-    if min(m, k, n) <= leaf:
-        return a @ b
-    if m % 2 or k % 2 or n % 2:
-        a, b = np.pad(a, ((0, m % 2), (0, k % 2))), np.pad(b, ((0, k % 2), (0, n % 2)))
-    h, i, j = a.shape[0] // 2, a.shape[1] // 2, b.shape[1] // 2
-    a11, a12, a21, a22 = a[:h, :i], a[:h, i:], a[h:, :i], a[h:, i:]
-    b11, b12, b21, b22 = b[:i, :j], b[:i, j:], b[i:, :j], b[i:, j:]
-    p1 = strassen(a11 + a22, b11 + b22, leaf)
-    p2 = strassen(a21 + a22, b11, leaf)
-    p3 = strassen(a11, b12 - b22, leaf)
-    p4 = strassen(a22, b21 - b11, leaf)
-    p5 = strassen(a11 + a12, b22, leaf)
-    p6 = strassen(a21 - a11, b11 + b12, leaf)
-    p7 = strassen(a12 - a22, b21 + b22, leaf)
-    out = np.empty((2 * h, 2 * j), np.int64)
-    out[:h, :j] = p1 + p4 - p5 + p7
-    out[:h, j:] = p3 + p5
-    out[h:, :j] = p2 + p4
-    out[h:, j:] = p1 - p2 + p3 + p6
+    levels = _levels(m, k, n, leaf)
+    out, *spare = _room(m, n, levels, a.dtype)
+    _multiply(_parts(a, levels, True), _parts(b, levels, False), out, spare)
     return out[:m, :n]
 
 
+def _exact(left: np.ndarray, right: np.ndarray, levels: int) -> np.dtype:
+    """The numbers that hold all sums of a product: operands double their length at each level, and four products are added."""
+    norms = [float(np.einsum("ij,ij->i", x, x, dtype=np.float64).max(initial=0.0)) for x in (left, right)]
+    bound = 1.001 * (norms[0] * norms[1]) ** 0.5 * 4.0 ** (levels + 1)
+    return np.dtype(np.float32 if bound < 2 ** 24 else np.float64 if bound < 2 ** 53 else np.int64)
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Vectors as rows of a matrix, padded with zeros to the longest."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False)
     width = int(lengths.max()) if len(lengths) else 0
     if len(flat) == width * len(lengths):
@@ -78,13 +127,10 @@ class _Block:
         self.ids, self.null, self.rows = ids[order], null[order], rows[order]
         self.labels = table["label"].to_numpy()[order]
         self.vectors = _matrix(table["vector"])[order]
-        self.lists = [table["positives"].to_pylist()[k] or [] for k in order] if "positives" in table.column_names else []
-
-
-def _scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    width = max(left.shape[1], right.shape[1])
-    left, right = (np.pad(x, ((0, 0), (0, width - x.shape[1]))).astype(np.int64) for x in (left, right))
-    return strassen(left, np.ascontiguousarray(right.T))
+        if "positives" in table.column_names:
+            scores = _matrix(table["positives"])[order]
+            known = np.arange(scores.shape[1]) < pc.list_value_length(table["positives"]).fill_null(0).to_numpy()[order, None]
+            self.positives = scores, known
 
 
 def _first(anchor: np.ndarray, fits: np.ndarray, n: int) -> np.ndarray:
@@ -97,63 +143,131 @@ def _first(anchor: np.ndarray, fits: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Heaps:
-    """The best entries found so far in a cell, as columns; ``merge`` keeps ``n`` of each (anchor, positive)."""
+    """The ``n`` best scores of each anchor inside each of its windows from ``floor`` to ``top``, with their places.
 
-    def __init__(self, n: int):
-        self.n, self.parts = n, [np.zeros((4, 0), np.int64)]
+    What a tile has is held until it is as much as the heaps hold; ``merge`` then cuts all heaps to ``n`` and raises ``least``,
+    the score from which a window still takes one of a later place.
+    """
 
-    def add(self, anchor: np.ndarray, positive: np.ndarray, score: np.ndarray, place: np.ndarray) -> None:
-        self.parts.append(np.stack([anchor, positive, score, place]))
+    def __init__(self, floor: np.ndarray, top: np.ndarray, n: int):
+        self.floor, self.top, self.n = floor, top, n
+        self.least = np.where(floor > top, _FAR, floor)
+        self.low, self.high = self.least.min(axis=1, initial=_FAR), top.max(axis=1, initial=-_FAR)
+        self.best, self.more, self.held = np.zeros((3, 0), np.int64), [], 0
+
+    def add(self, anchor: np.ndarray, score: np.ndarray, place: np.ndarray) -> None:
+        self.more.append(np.stack([anchor, score.astype(np.int64), place]))
+        self.held += len(anchor)
+
+    def search(self, anchor: np.ndarray, place: np.ndarray, scores: np.ndarray, barred) -> None:
+        """Hold what a tile has; ``barred`` says which pairs of some anchors and all places are none."""
+        largest = scores[np.arange(len(anchor)), scores.argmax(axis=1)]
+        some = np.flatnonzero(largest >= self.low[anchor].astype(scores.dtype))
+        if not len(some):
+            return
+        anchor, scores = anchor[some], scores[some]
+        low, high = (x[anchor].astype(scores.dtype)[:, None] for x in (self.low, self.high))
+        fits = (scores >= low) & (scores <= high)
+        some = np.flatnonzero(fits.any(axis=1))
+        if not len(some):
+            return
+        anchor, scores, fits = anchor[some], scores[some], fits[some]
+        fits &= ~barred(anchor, place)
+        many = np.count_nonzero(fits, axis=1) > 4 * self.n
+        if many.any():
+            self._search_many(anchor[many], place, np.where(fits[many], scores[many], self._none(scores)))
+            fits[many] = False
+        i, j = np.nonzero(fits)
+        self.add(anchor[i], scores[i, j], place[j])
+
+    def _search_many(self, anchor: np.ndarray, place: np.ndarray, scores: np.ndarray) -> None:
+        """The ``n`` largest scores of each row and window, the first of equal ones: ties may be as many as there are rows."""
+        for window in range(self.top.shape[1]):
+            least, top = (x[anchor, window].astype(scores.dtype) for x in (self.least, self.top))
+            left = np.where(scores <= top[:, None], scores, self._none(scores))
+            for _ in range(self.n):
+                j = left.argmax(axis=1)
+                i = np.flatnonzero(left[np.arange(len(left)), j] >= least)
+                self.add(anchor[i], left[i, j[i]], place[j[i]])
+                left[np.arange(len(left)), j] = self._none(scores)
+
+    @staticmethod
+    def _none(scores: np.ndarray) -> float | int:
+        return -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
 
     def merge(self) -> np.ndarray:
-        anchor, positive, score, place = held = np.concatenate(self.parts, axis=1)
-        held = held[:, np.lexsort((place, -score, positive, anchor))]
-        key = held[0] * (1 << 20) + held[1]
-        self.parts = [held[:, _first(key, np.ones(len(key), bool), self.n)]]
-        return self.parts[0]
+        """(anchor, score, place) of all heaps; an entry of several windows is one."""
+        held = np.concatenate([self.best, *self.more], axis=1)
+        held = held[:, np.lexsort((held[2], -held[1], held[0]))]
+        held = held[:, np.r_[True, (held[:, 1:] != held[:, :-1]).any(axis=0)]] if held.shape[1] else held
+        anchor, score = held[:2]
+        stays = np.zeros(len(anchor), bool)
+        for window in range(self.top.shape[1]):
+            floor, top = self.floor[anchor, window], self.top[anchor, window]
+            picked = _first(anchor, (score >= floor) & (score <= top), self.n)
+            stays[picked] = True
+            last = picked[self.n - 1:][anchor[picked[self.n - 1:]] == anchor[picked[:max(0, len(picked) - self.n + 1)]]]  # of full heaps
+            more = score[last] + 1
+            self.least[anchor[last], window] = np.where(more > self.top[anchor[last], window], _FAR, more)
+        self.low = self.least.min(axis=1, initial=_FAR)
+        self.best, self.more, self.held = held[:, stays], [], 0
+        return self.best
+
+    def merge_if_full(self, tiles: int) -> None:
+        """After the first, second, fourth ... tile, and when as much is held as the heaps hold."""
+        if tiles & (tiles - 1) == 0 or self.held > max(self.best.shape[1], 1 << 16):
+            self.merge()
+
+
+def _tiles(places: np.ndarray, most: int) -> list[np.ndarray]:
+    return [places[k:k + most] for k in range(0, len(places), most)]
 
 
 def _cell(anchors: pa.Table, rows: pa.Table, n: int, low: int | None, base: int) -> pa.Table:
-    """Heaps of one cell: positives if ``low`` is None, else negatives with low * p <= base * score <= base * p."""
+    """Heaps of one cell: positives if ``low`` is None, else the negatives with low * p <= base * score <= base * p of any p."""
     left, right = _Block(anchors), _Block(rows)
-    heaps = _Heaps(n)
     if low is None:
+        windows = np.full((len(left.ids), 1), -_FAR), np.full((len(left.ids), 1), _FAR)
         pairs = [(np.flatnonzero(left.labels == v), np.flatnonzero(right.labels == v)) for v in np.unique(left.labels)]
     else:
+        p, known = left.positives
+        windows = np.where(known, -((-low * p) // base), _FAR), np.where(known, p, -_FAR)
         pairs = [(np.arange(len(left.ids)), np.arange(len(right.ids)))]
+    names, codes = np.unique(np.r_[left.labels, right.labels], return_inverse=True)
+    own, other = np.split(codes.astype(np.uint8 if len(names) < 256 else np.int64), [len(left.ids)])
+
+    def barred(anchor: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return left.rows[anchor][:, None] == right.rows[place] if low is None else own[anchor][:, None] == other[place]
+
+    width = max(left.vectors.shape[1], right.vectors.shape[1])
+    wide = [np.pad(x.vectors, ((0, 0), (0, width - x.vectors.shape[1]))) for x in (left, right)]
+    found = [np.zeros((3, 0), np.int64)]
     for these, those in pairs:
-        for a in range(0, len(these), TILE_ANCHORS):
-            some = these[a:a + TILE_ANCHORS]
-            for b in range(0, len(those), TILE_ROWS):
-                others = those[b:b + TILE_ROWS]
-                scores = _scores(left.vectors[some], right.vectors[others])
-                if low is None:
-                    fits = left.rows[some][:, None] != right.rows[others]
-                    if scores.shape[1] > 8 * n:  # only scores from the n + 1st on can matter, ties included
-                        fits &= scores >= np.partition(scores, scores.shape[1] - n - 1, axis=1)[:, -n - 1][:, None]
-                    i, j = np.nonzero(fits)
-                    heaps.add(some[i], np.zeros(len(i), np.int64), scores[i, j], others[j])
-                else:
-                    windows = [left.lists[k] for k in some]
-                    depth = max(map(len, windows), default=0)
-                    for p in range(depth):
-                        has = np.array([len(w) > p for w in windows])
-                        top = np.array([w[p] if len(w) > p else 0 for w in windows], np.int64)
-                        floor = -((-low * top) // base)
-                        fits = (scores >= floor[:, None]) & (scores <= top[:, None]) & has[:, None]
-                        fits &= left.labels[some][:, None] != right.labels[others]
-                        i, j = np.nonzero(fits)
-                        heaps.add(some[i], np.full(len(i), p), scores[i, j], others[j])
-            heaps.merge()
-    anchor, positive, score, place = heaps.merge()
-    return pa.table([pa.array(left.rows[anchor]), pa.array(positive.astype(np.int32)), pa.array(score),
+        if not len(these) or not len(those):
+            continue
+        tiles, heaps = _tiles(np.arange(len(these)), TILE_ANCHORS), _Heaps(*(x[these] for x in windows), n)
+        levels = _levels(min(len(these), TILE_ANCHORS), width, min(len(those), TILE_ROWS), LEAF)
+        kind = _exact(wide[0][these], wide[1][those], levels)
+        sides = [_parts(wide[0][these[some]].astype(kind), levels, True) for some in tiles]
+        room = {size: _room(*size, levels, kind) for size in {(len(some), len(place)) for some in tiles for place in _tiles(those, TILE_ROWS)}}
+        for k, place in enumerate(_tiles(those, TILE_ROWS), 1):
+            side = _parts(wide[1][place].astype(kind).T, levels, False)
+            for some, parts in zip(tiles, sides):
+                out, *spare = room[len(some), len(place)]
+                _multiply(parts, side, out, spare)
+                heaps.search(some, place, out[:len(some), :len(place)], lambda anchor, place: barred(these[anchor], place))
+            heaps.merge_if_full(k)
+        anchor, score, place = heaps.merge()
+        found.append(np.stack([these[anchor], score, place]))
+    anchor, score, place = np.concatenate(found, axis=1)
+    return pa.table([pa.array(left.rows[anchor]), pa.array(score),
                      pa.array(right.ids[place], mask=right.null[place]), pa.array(right.rows[place])],
-                    names=["anchor", "positive", "score", "vec_id", "row"])
+                    names=["anchor", "score", "vec_id", "row"])
 
 
-def _merged(heaps: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` of each (anchor, positive) over all cells, with ``rank`` from 1."""
-    best = Window.partitionBy("anchor", "positive").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), F.asc("row"))
+def _merged(heaps: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The first ``n`` of each key over all cells, with ``rank`` from 1."""
+    best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), F.asc("row"))
     return heaps.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
 
 
@@ -178,25 +292,29 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     """
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_anchor).alias("anchors")).first()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    anchor_blocks = max(1, -(-sizes["anchors"] // ANCHOR_BLOCK))
-    blocks = max(1, -(-sizes["n"] // BLOCK), min(parts, -(-sizes["n"] // SMALL_BLOCK)))
+    small = -(-sizes["n"] // SMALL_BLOCK)
+    wanted = min(parts, small)   # cells, so that the fewest rows are shipped
+    anchor_blocks = max(1, -(-sizes["anchors"] // ANCHOR_BLOCK), round((wanted * sizes["anchors"] / max(1, sizes["n"])) ** 0.5))
+    blocks = max(1, -(-sizes["n"] // BLOCK), min(small, -(-wanted // anchor_blocks)))
 
     def dealt(frame: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
+        """Each row for all cells it is in; the number of tasks is given, as small cells are work too."""
         return frame.withColumns({own: F.pmod(F.xxhash64("row"), F.lit(count)).cast("int"),
-                                  other: F.explode(F.sequence(F.lit(0), F.lit(others - 1)))})
+                                  other: F.explode(F.sequence(F.lit(0), F.lit(others - 1)))}).repartition(
+            anchor_blocks * blocks, "anchor_block", "block").groupBy("anchor_block", "block")
 
     def cells(anchors: DataFrame, least: int | None, n: int) -> DataFrame:
-        left = dealt(anchors, "anchor_block", anchor_blocks, "block", blocks).groupBy("anchor_block", "block")
-        right = dealt(rows, "block", blocks, "anchor_block", anchor_blocks).groupBy("anchor_block", "block")
-        found = left.cogroup(right).applyInArrow(lambda a, b: _cell(a, b, n, least, base), _HEAP)
-        return _merged(found, n)
+        left = dealt(anchors, "anchor_block", anchor_blocks, "block", blocks)
+        right = dealt(rows, "block", blocks, "anchor_block", anchor_blocks)
+        return left.cogroup(right).applyInArrow(lambda a, b: _cell(a, b, n, least, base), _HEAP)
 
     anchors = kept(rows.filter(is_anchor), "anchors")
-    best = kept(cells(anchors, None, positives).select(
+    best = kept(_merged(cells(anchors, None, positives), positives, "anchor").select(
         "anchor", (F.col("rank") - 1).alias("positive"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
     known = best.groupBy("anchor").agg(F.array_sort(F.collect_list(F.struct("positive", "positive_score"))).alias("s")).select(
         F.col("anchor").alias("row"), F.col("s.positive_score").alias("positives"))  # ``positives`` scores at most
-    found = cells(anchors.join(known, "row"), low, negatives)
+    inside = (F.col("positive_score") * low <= F.col("score") * base) & (F.col("score") <= F.col("positive_score"))
+    found = _merged(cells(anchors.join(known, "row"), low, negatives).join(best, "anchor").filter(inside), negatives, "anchor", "positive")
     ids = anchors.select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id"))
-    return found.join(best, ["anchor", "positive"]).join(ids, "anchor").select(
+    return found.join(ids, "anchor").select(
         "anchor_id", "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
