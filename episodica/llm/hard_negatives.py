@@ -27,8 +27,8 @@ from .groups import kept
 
 #: Rows of an anchor block and of a candidate block at most; rows a candidate block should have before another is made.
 ANCHOR_BLOCK, BLOCK, SMALL_BLOCK = 131_072, 262_144, 4_096
-#: Times that all rows may be shipped for larger candidate blocks: a heap takes most of its entries from the first rows.
-COPIES, FULL_BLOCK = 3, 65_536
+#: What an anchor costs in a block, shipped and with heaps to fill, in shipped rows.
+ANCHOR_COST = 2.5
 #: Tile of one multiplication, and the size at which the recursion ends: it fits a core's cache, and vectors of 64 are halved.
 TILE_ANCHORS, TILE_ROWS, LEAF = 256, 1_024, 32
 _HEAP = "anchor bigint, score bigint, vec_id bigint, row bigint"
@@ -295,9 +295,8 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_anchor).alias("anchors")).first()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = -(-sizes["n"] // SMALL_BLOCK)
-    wanted = min(parts, small)   # cells, so that the fewest rows are shipped
-    anchor_blocks = max(1, -(-sizes["anchors"] // ANCHOR_BLOCK), round((wanted * sizes["anchors"] / max(1, sizes["n"])) ** 0.5),
-                        min(COPIES, wanted * FULL_BLOCK // max(1, sizes["n"])))
+    wanted = min(parts, small)   # cells, so dealt that anchors and rows in all of them cost least
+    anchor_blocks = max(1, -(-sizes["anchors"] // ANCHOR_BLOCK), round((wanted * ANCHOR_COST * sizes["anchors"] / max(1, sizes["n"])) ** 0.5))
     blocks = max(1, -(-sizes["n"] // BLOCK), min(small, -(-wanted // anchor_blocks)))
 
     def dealt(frame: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
